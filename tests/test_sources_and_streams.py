@@ -35,7 +35,7 @@ def test_struct_text(spark, tmp_path):
 
 
 def test_fixed_width(spark, tmp_path):
-    (tmp_path / "c.dat").write_text("0001 12.50 abc\n0002   \\N def\n")
+    (tmp_path / "c.dat").write_text("0001 12.50 abc\n0002    \\N def\n")
     df = text.read_fixed_width(spark, str(tmp_path / "c.dat"), {"id": (1, 4, "int"), "mag": (5, 6, "double"), "name": (12, 3, "string")})
     assert sorted(map(tuple, df.collect())) == [(1, 12.5, "abc"), (2, None, "def")]
 
@@ -68,9 +68,9 @@ def test_fold_prefers_the_true_match():
     r = np.random.default_rng(2)
     ref = r.uniform(0, 1000, (40, 2))
     good = np.vstack([ref[:25] + r.normal(0, 1, (25, 2)), r.uniform(0, 1000, (5, 2))])
-    odds, label = solve.bayes_fold(good, np.full(30, 1.0), ref, 1e6)
+    odds, label = solve.bayes_fold(good, np.full(30, 1.0), ref, 1e6, stop=np.inf)
     assert odds > 60 and (label[:10] >= 0).sum() >= 9
-    bad, _ = solve.bayes_fold(r.uniform(0, 1000, (30, 2)), np.full(30, 1.0), ref, 1e6)
+    bad, _ = solve.bayes_fold(r.uniform(0, 1000, (30, 2)), np.full(30, 1.0), ref, 1e6, stop=np.inf)
     assert bad < 10
 
 
