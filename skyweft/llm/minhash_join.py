@@ -7,12 +7,13 @@
    ``k - t + 1`` of its ``k`` coordinates stay (prefix merging): two nodes that agree on ``t``
    coordinates share at least one posting of their prefixes, and very common lines or passages come
    last, so that they seldom are in a prefix at all.
-3. In each posting every member is compared with the smallest one: collisions of the signatures are
-   counted, pairs with ``t`` or more are confirmed on the full sets.
-4. Postings whose members are all in one component by then are skipped (skip merging). In the
-   others every pair of members in different components is a candidate, counted and confirmed the
-   same way. No pair inside a component is ever made, so a group of m near copies costs m rows, not
-   m * m / 2.
+3. In each posting every member is compared with the one whose values are the most frequent, which
+   among edited copies is the original or near it: collisions of the signatures are counted, pairs
+   with ``t`` or more are confirmed on the full sets.
+4. Postings whose members are all in one component by then are skipped (skip merging). For the
+   members of the others the prefix merge is repeated on full sets, between components only, and
+   what comes out is counted and confirmed the same way. No pair inside a component is ever made,
+   so a group of m near copies costs m rows, not m * m / 2.
 5. Components give the answer.
 
 A pair of similarity s agrees on a coordinate with probability s; with k = 64 and t = 36 a pair at
@@ -154,12 +155,59 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: in
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "later").mapInArrow(_confirm(width, num, den), "src long, dst long")
 
 
+def _agreeing(a: str, b: str):
+    """On how many coordinates two signatures agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
+
+
 def _counted(pairs: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
     """Pairs whose signatures agree on ``t`` coordinates or more."""
     left = sigs.select(F.col("node").alias("src"), F.col("sig").alias("sa"))
     right = sigs.select(F.col("node").alias("dst"), F.col("sig").alias("sb"))
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
-    return pairs.join(left, "src").join(right, "dst").where(same >= t).select("src", "dst").distinct()
+    return pairs.join(left, "src").join(right, "dst").where(_agreeing("sa", "sb") >= t).select("src", "dst").distinct()
+
+
+def _sets(width: int):
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+                sid = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sid, pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "sid", "shingles"])
+
+    return run
+
+
+def _across(held: DataFrame, comp: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs (src, dst) of different components that may be similar, for the nodes of postings that span components.
+
+    The prefix merge is repeated on the full sets of those nodes. In an order of rising frequency, two
+    sets with a similarity of num / den share one of their first n - ceil(num / den * n) + 1 shingles, and
+    at the first one they share enough shingles are left behind it in both. Both conditions are
+    necessary, so no link is lost, and families of texts that stay below the threshold by their
+    own rare shingles make no pairs.
+    """
+    placed = held.join(comp, "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    nodes = placed.join(mixed, "key").select("node", "comp").distinct()
+    n = nodes.count()
+    texts = texts.join(F.broadcast(nodes.select("node")) if n <= BROADCAST_IDS else nodes.select("node"), "node", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets(width), "node long, sid long, shingles array<long>").dropDuplicates(["node", "sid"]), "minhash-sets")
+    each = sets.select("node", "sid", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = each.join(often, "g").groupBy("node", "sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("own"))
+    own = own.withColumns({"single": F.expr("n - size(own)"), "room": F.expr(f"size(own) - cast(floor(({num}L * n + {den - 1}) / {den}) as int) + 1")}).where("room > 0")
+    first = own.select("node", "n", "single", F.posexplode(F.slice("own", F.lit(1), F.col("room"))).alias("i", "p"))
+    first = first.join(nodes, "node").select("node", "comp", "n", F.col("p.g").alias("g"), (F.col("single") + F.col("i")).alias("at"))
+    first = materialize(first, "minhash-first")
+    sizes = first.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("m"))
+    split = sizes.groupBy("g").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("g", F.col("top.comp").alias("big"))
+    rows = first.join(split, "g")
+    one = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("g", "node", "comp", "n", "at", "big")]
+    fits = f"a_comp <> b_comp and (b_comp = b_big or a_node > b_node) and {num + den}L * (1 + least(a_n - a_at - 1, b_n - b_at - 1)) >= {num}L * (a_n + b_n)"
+    pairs = rows.where("comp <> big").select(*one("a")).join(rows.select(*one("b")), (F.col("a_g") == F.col("b_g")) & F.expr(fits))
+    return pairs.select(F.greatest("a_node", "b_node").alias("src"), F.least("a_node", "b_node").alias("dst")).distinct()
 
 
 def near_duplicates(
@@ -176,36 +224,31 @@ def near_duplicates(
 
     linked = base.where("doc_id is not null and digest is not null")
     nodes = linked.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    sigs = materialize(
-        linked.withColumnRenamed("digest", "d").join(nodes.select(F.col("digest").alias("d"), "node"), "d").where("doc_id = node").select("node", "d", "sig").dropDuplicates(["node", "d"]), "minhash-node"
-    )
-    posted = sigs.select("node", F.posexplode("sig").alias("pos", "val")).select(
-        "node", (F.shiftleft(F.col("pos").cast("long"), 32) + F.expr("val & 4294967295L")).alias("key")
-    )
+    heads = nodes.select(F.col("digest").alias("d"), "node")
+    sigs = linked.join(heads, F.col("digest") == F.col("d")).where("doc_id = node").select("node", "d", F.col("n_shingles").alias("size"), "sig")
+    sigs = materialize(sigs.dropDuplicates(["node", "d"]), "minhash-node")
+    posted = sigs.select("node", "size", F.posexplode("sig").alias("pos", "val")).select("node", "size", (F.shiftleft(F.col("pos").cast("long"), 32) + F.expr("val & 4294967295L")).alias("key"))
     often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ordered = (
         posted.join(often, "key")
         .groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"))
+        .agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("own"), F.sum("n").alias("rank"), F.min("size").alias("low"), F.max("size").alias("high"))
         .withColumn("room", F.size("own") - F.lit(t - 1))
         .where("room > 0")
+        .withColumn("keys", F.transform(F.slice("own", F.lit(1), F.col("room")), lambda p: p["key"]))
     )
-    prefix = materialize(ordered.select("node", F.explode(F.slice("own", F.lit(1), F.col("room"))).alias("p")).select("node", F.col("p.key").alias("key")), "minhash-prefix")
+    prefix = materialize(ordered.select("node", "rank", "low", "high", "keys"), "minhash-prefix")
+    held = prefix.select("node", "rank", "low", "high", F.explode("keys").alias("key"))
 
-    heads = prefix.groupBy("key").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "dst")
-    star = prefix.join(heads, "key").where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    lead = held.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("least"), F.col("low").alias("l"), F.col("high").alias("h"))).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    lead = lead.select("key", (-F.col("top.least")).alias("dst"), F.col("top.l").alias("l"), F.col("top.h").alias("h"))
+    star = held.join(lead, "key").where(f"node <> dst and {den} * high >= {num} * l and {den} * h >= {num} * low").select(F.col("node").alias("src"), "dst").distinct()
     texts = narrow.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
     star = materialize(_counted(star, sigs, t), "minhash-star")
     found = materialize(_confirmed(star, texts, width, num, den), "minhash-link")
     comp = materialize(connected_components(found), "minhash-comp")
 
-    member = prefix.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    sizes = member.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("big"))
-    split = materialize(member.join(largest, "key"), "minhash-split")
-    minor = split.where("comp <> big").select("key", F.col("node").alias("x"), F.col("comp").alias("xc"))
-    other = split.select("key", F.col("node").alias("y"), F.col("comp").alias("yc"), F.col("big"))
-    rest = minor.join(other, "key").where("xc <> yc and (yc = big or x > y)").select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).distinct()
+    rest = materialize(_across(held.select("node", "key"), comp, texts, width, num, den), "minhash-across")
     rest = rest.join(star.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), ["src", "dst"], "left_anti")
     rest = materialize(_counted(rest, sigs, t), "minhash-rest")
     if not rest.isEmpty():
@@ -216,7 +259,7 @@ def near_duplicates(
     label = nodes.join(comp, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("label"))
     out = base.select("doc_id", "n_shingles", "digest").join(label, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    for used in (prefix, split, sigs):
+    for used in (prefix, sigs):
         discard(used)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
