@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from skyweft.session import discard, materialize
 
 STEPS = 14
-RIDGE = 1e-3
+#: Ridge penalty on standardised weights: a floor, and a part that fades with the number of positives.
+RIDGE, PRIOR_ROWS = 1e-2, 25
+#: Size of the upward steps of the non-negative correction.
+BACK = 0.2
 N = 26
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -154,9 +157,9 @@ def fit(table: DataFrame, prior: float) -> np.ndarray:
         negative = c[0] / n - prior * c[1] / n_pos
         up, uu = c[2 : 2 + N] / n, c[2 + N : 2 + 2 * N] / n_pos
         hess = c[2 + 2 * N :].reshape(N, N) / n
-        ridge = RIDGE * np.eye(N)
+        ridge = (RIDGE + PRIOR_ROWS / n_pos) * np.eye(N)
         ridge[0, 0] = 1e-9
-        grad = up - prior * pos_mean + ridge @ w if negative >= 0 else prior * uu - up
+        grad = up - prior * pos_mean + ridge @ w if negative >= 0 else BACK * (prior * uu - up)
         step = np.linalg.solve(hess + ridge + 1e-6 * np.eye(N), grad)
         size = np.linalg.norm(step)
         w = w - step * min(1.0, 4.0 / max(size, 1e-12))
