@@ -167,10 +167,10 @@ def cone_search(spark, sf):
     return spatial.cone_search(s, 150.0, 40.0, 12.0, "cell", 8).select("id", F.round("dist_deg", 6).alias("dist_deg"))
 
 
-@query(f"SELECT id, x, y FROM {POINTS} a WHERE x BETWEEN 10 AND 30 AND y BETWEEN 50 AND 90")
+@query(f"SELECT id, round(x, 9) AS x, round(y, 9) AS y FROM {POINTS} a WHERE x BETWEEN 10 AND 30 AND y BETWEEN 50 AND 90")
 def box_search(spark, sf):
     """Points in a box."""
-    return spatial.in_box(points(spark, sf), {"x": (10, 30), "y": (50, 90)}).select("id", "x", "y")
+    return spatial.in_box(points(spark, sf), {"x": (10, 30), "y": (50, 90)}).select("id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 # ---- sky cells, thinning, rank orders ------------------------------------------------------------

@@ -1,0 +1,74 @@
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from skyweft.functions import orbits, wcs
+from skyweft.operators import catalogs, match_stats
+from skyweft.plans import build_index, tweak
+
+
+def test_kepler():
+    r = np.random.default_rng(1)
+    m, e = r.uniform(-20, 20, 2000), np.concatenate([r.uniform(0, 0.999, 1998), [0.0, 0.9999]])
+    x = orbits.eccentric_anomaly(m, e)
+    assert np.abs(x - e * np.sin(x) - m).max() < 1e-9
+    p = orbits.position(np.array([2.0]), np.array([0.5]), np.array([0.3]), np.array([1.0]), np.array([0.4]), np.array([0.0]))
+    assert abs(np.linalg.norm(p) - 1.0) < 1e-12
+
+
+def test_polynomial_fit_recovers_distortion(spark):
+    w = wcs.Tan((10.0, -40.0), (100.0, 120.0), (-0.01, 0.001, 0.001, 0.01), a={(2, 0): 1e-4, (0, 2): -5e-5}, b={(1, 1): 2e-4})
+    r = np.random.default_rng(3)
+    pix = spark.createDataFrame([(float(a), float(b), float(k)) for (a, b), k in zip(r.uniform(0, 200, (200, 2)), r.uniform(0.2, 1, 200), strict=True)], "px double, py double, w double")
+    x, y, z = wcs.pixel_to_xyz(w, "px", "py")
+    rows = pix.select("px", "py", "w", F.expr(x).alias("x"), F.expr(y).alias("y"), F.expr(z).alias("z"))
+    start = wcs.Tan(w.crval, w.crpix, w.cd)
+    got = tweak.fit_polynomial(rows, start, 2, "w")
+    assert np.allclose(got.cd, w.cd, atol=1e-9)
+    assert abs(got.a[2, 0] - 1e-4) < 1e-8 and abs(got.b[1, 1] - 2e-4) < 1e-8 and abs(got.a[1, 1]) < 1e-8
+    assert tweak.fit_polynomial(rows.limit(3), start, 2) is start
+
+
+def test_tiles_with_margin_equal_brute_force(spark):
+    rows = [(i, float(ra), float(dec)) for i, (ra, dec) in enumerate((a, d) for a in range(0, 360, 15) for d in range(-90, 91, 15))]
+    s = build_index.star_table(spark.createDataFrame(rows, "k long, ra double, dec double"), "k", "ra", "dec", 1)
+    got = {}
+    for r in build_index.tiles_with_margin(s, 1, 10.0).collect():
+        got.setdefault(r.id, set()).add(r.tile)
+    from skyweft.functions import healpix
+
+    t = np.linspace(0, 1, 400)
+    edge = [np.vstack([healpix.points_of(np.full(len(t), k), 1, *d) for d in ((t, 0 * t), (t, 0 * t + 1), (0 * t, t), (0 * t + 1, t))]) for k in range(12)]
+    for i, ra, dec in rows:
+        p = np.array([math.cos(math.radians(dec)) * math.cos(math.radians(ra)), math.cos(math.radians(dec)) * math.sin(math.radians(ra)), math.sin(math.radians(dec))])
+        home = int(healpix.cells_of(p[None], 1)[0])
+        angle = [np.degrees(np.arccos(min(1.0, float((e @ p).max())))) for e in edge]
+        sure = {k for k in range(12) if k == home or angle[k] < 9.9}
+        may = {k for k in range(12) if k == home or angle[k] < 10.1}
+        assert sure <= got[i] <= may
+
+
+def test_shift_and_certificates(spark):
+    r = np.random.default_rng(5)
+    p = r.uniform(0, 50, (200, 2))
+    a = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "id long, x double, y double")
+    got = match_stats.shift_by_votes(a, a.selectExpr("id", "x + 0.55D AS x", "y - 0.25D AS y"), 1.0, 0.1).first()
+    assert abs(got.dx - 0.55) < 0.051 and abs(got.dy + 0.25) < 0.051
+    m = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 0.0, 0.1), (3, 0.0, 0.0, 0.0, 1.0)], "field long, x double, y double, z double, r2 double")
+    t = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0), (1, 9.0, 0.0, 0.0, 5), (2, 1.0, 0.0, 0.0, 0)], "field long, x double, y double, z double, rank int")
+    assert {r.field: r.correct for r in match_stats.certify(m, t, "field", 2).collect()} == {1: True, 2: False, 3: None}
+
+
+def test_catalogue_lines(spark, tmp_path):
+    line = list(" " * 206)
+    for (start, n, _), v in ((catalogs.TYCHO2["tyc1"], "0001"), (catalogs.TYCHO2["mean_ra"], "  2.31750494"), (catalogs.TYCHO2["ra"], "  2.31754222"), (catalogs.TYCHO2["dec"], "  2.23186444"), (catalogs.TYCHO2["mag_vt"], "12.146")):
+        line[start - 1 : start - 1 + len(v)] = v
+    (tmp_path / "t.dat").write_text("".join(line) + "\n")
+    row = catalogs.read_tycho2(spark, str(tmp_path / "t.dat")).first()
+    assert (row.tyc1, row.ra_best, row.dec_best, row.mag_vt, row.mag_bt) == (1, 2.31750494, 2.23186444, 12.146, None)
+    (tmp_path / "p").write_text("1.5|2.5|0|0|0|name |10.1|0|0|0|\\N|0|0|0|9.5|0|0|0|AAU|110|110|000\n")
+    row = catalogs.read_2mass(spark, str(tmp_path / "p")).first()
+    assert (row.ra, row.designation, row.j_mag, row.h_mag, row.k_mag, row.quality) == (1.5, "name", 10.1, None, 9.5, "AAU")
+    assert catalogs.mean_magnitude("m") is not None
+    assert spark.sql("SELECT array(1.0D, null, 3.0D, 0.0D) AS m").select(catalogs.mean_magnitude("m").alias("v")).first().v == 2.0
