@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from skyweft.catalog_queries import CUSTOMERS, D3, POINTS, SUPPLIERS, TAN, _chord2, _frac, _read, customers, points, query, suppliers
-from skyweft.functions import orbits, sky, wcs
+from skyweft.functions import geometry, healpix, orbits, sky, wcs
 from skyweft.functions.sky import num
-from skyweft.operators import catalogs, match_stats
+from skyweft.operators import catalogs, match_stats, web
 from skyweft.plans import build_index, tweak
 
 _PX, _PY = wcs.sky_to_pixel(TAN, "x", "y", "z")
@@ -171,3 +171,30 @@ def orbit_positions(spark, sf):
     turn = 2 * math.pi
     e = customers(spark, sf).selectExpr("id", "1.0D + id % 5 AS a", f"{_frac('id', 0.11)} * 0.9 AS e", f"{_frac('id', 0.23)} * {math.pi} AS i", f"{_frac('id', 0.37)} * {turn} AS node", f"{_frac('id', 0.41)} * {turn} AS peri", f"{_frac('id', 0.53)} * {turn} AS mean")
     return orbits.with_positions(e).select("id", *[F.round(c, 6).alias(c) for c in ("px", "py", "pz")])
+
+
+_S, _T = ("a.x", "a.y", "a.x + 8", "a.y + 3"), ("b.x", "b.y", "b.x - 2", "b.y + 9")
+_LX, _LY = geometry.line_crossing(_S, _T)
+
+
+@query(f"SELECT a.id AS a, b.id AS b, round({_LX}, 6) AS x, round({_LY}, 6) AS y FROM {POINTS} a JOIN {POINTS} b ON a.id % 100 = b.id % 100 AND a.id < b.id AND {geometry.segments_cross(_S, _T)}")
+def segment_crossings(spark, sf):
+    """Where segments of a group cross."""
+    p = points(spark, sf)
+    pair = p.withColumn("g", F.expr("id % 100")).alias("a").join(p.withColumn("g", F.expr("id % 100")).alias("b"), F.expr("a.g = b.g AND a.id < b.id"))
+    return pair.where(geometry.segments_cross(_S, _T)).select(F.expr("a.id AS a"), F.expr("b.id AS b"), F.round(F.expr(_LX), 6).alias("x"), F.round(F.expr(_LY), 6).alias("y"))
+
+
+@query()
+def polygon_overlaps(spark, sf):
+    """Areas that triangles share with a square."""
+    p = points(spark, sf).selectExpr("id", "array(array(x, y), array(x + 20, y), array(x, y + 30)) AS a", "array(array(40D, 40D), array(60D, 40D), array(60D, 60D), array(40D, 60D)) AS b")
+    return geometry.overlap_areas(p, "a", "b").select("id", F.round("area", 6).alias("area"))
+
+
+@query()
+def nearby_images(spark, sf):
+    """Images in or beside a cell, in its parent or its children."""
+    s = customers(spark, sf)
+    placed = [healpix.with_cell(s, n).selectExpr("id", f"{n} AS nside", "cell").where(f"id % 3 = {k}") for k, n in enumerate((2, 4, 8))]
+    return web.nearby_images(placed[0].unionByName(placed[1]).unionByName(placed[2]), 77, 4)

@@ -72,3 +72,63 @@ def test_catalogue_lines(spark, tmp_path):
     assert (row.ra, row.designation, row.j_mag, row.h_mag, row.k_mag, row.quality) == (1.5, "name", 10.1, None, 9.5, "AAU")
     assert catalogs.mean_magnitude("m") is not None
     assert spark.sql("SELECT array(1.0D, null, 3.0D, 0.0D) AS m").select(catalogs.mean_magnitude("m").alias("v")).first().v == 2.0
+
+
+def test_clipping():
+    from skyweft.functions import geometry
+
+    square = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], float)
+    assert abs(geometry.area(geometry.clip_convex(np.array([[1, 1], [3, 1], [3, 3], [1, 3]], float), square[::-1])) - 1) < 1e-12
+    assert len(geometry.clip_convex(square + 5, square)) == 0
+    r = np.random.default_rng(8)
+    tri, win = np.array([[0.1, 0.2], [1.7, 0.4], [0.6, 2.5]]), square
+    p = r.uniform(0, 3, (200_000, 2))
+    inside = np.ones(len(p), bool)
+    for poly in (tri, win):
+        for a, b in zip(poly, np.roll(poly, -1, axis=0), strict=True):
+            inside &= (b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0]) >= 0
+    assert abs(geometry.area(geometry.clip_convex(tri, win)) - 9 * inside.mean()) < 0.03
+
+
+def test_projection_edits_and_bounds():
+    w = wcs.Tan((0.5, 30.0), (400.0, 300.0), (-0.01, 0.0, 0.0, 0.01), (800.0, 600.0), {(2, 0): 1e-5}, {(1, 1): -1e-5})
+    pix = np.array([[10.0, 20.0], [700.0, 500.0], [400.0, 300.0]])
+    assert np.allclose(wcs.places(wcs.shifted(w, 7, -3), pix - [7, -3]), wcs.places(w, pix))
+    assert np.allclose(wcs.places(wcs.scaled(w, 2.0), pix * 2), wcs.places(w, pix))
+    assert abs(wcs.rotated(w, 30.0).pixel_scale() - w.pixel_scale()) < 1e-9
+    ra, dec, radius = wcs.centre_and_radius(w)
+    assert abs(ra - 0.5) < 1e-9 and abs(dec - 30) < 1e-9 and 4.9 < radius < 5.2
+    lo, hi, d0, d1 = wcs.sky_bounds(w)
+    assert lo > 350 and 4 < hi < 6 and d0 < 27.1 and d1 > 32.9
+    polar = wcs.Tan((10.0, 89.5), (400.0, 300.0), (-0.01, 0.0, 0.0, 0.01), (800.0, 600.0))
+    assert wcs.sky_bounds(polar)[:2] == (0.0, 360.0) and wcs.sky_bounds(polar)[3] == 90.0
+
+
+def test_inverse_polynomial(spark):
+    w = wcs.with_inverse(wcs.Tan((20.0, 10.0), (400.0, 300.0), (-0.01, 0.0, 0.0, 0.01), (800.0, 600.0), {(2, 0): 1e-5, (0, 2): 5e-6}, {(1, 1): -1e-5}), 4)
+    x, y, z = wcs.pixel_to_xyz(w, "px", "py")
+    px, py = wcs.sky_to_pixel(w, "x", "y", "z")
+    df = spark.createDataFrame([(5.0, 5.0), (790.0, 10.0), (200.0, 555.0)], "px double, py double").select("px", "py", F.expr(x).alias("x"), F.expr(y).alias("y"), F.expr(z).alias("z"))
+    assert all(abs(r.px - r.qx) < 0.01 and abs(r.py - r.qy) < 0.01 for r in df.select("px", "py", F.expr(px).alias("qx"), F.expr(py).alias("qy")).collect())
+
+
+def test_why_not(spark):
+    from skyweft.plans.solve import why_not
+
+    q = "field long, a long, b long, c long, d long, cx double, cy double, dx double, dy double"
+    feats = spark.createDataFrame([(1, 1, 2, 3, 4, 0.1, 0.2, 0.3, 0.4), (1, 1, 2, 3, 5, 0.5, 0.5, 0.5, 0.5)], q)
+    index = spark.createDataFrame([(0, 11, 12, 13, 14, 0.1, 0.2, 0.3, 0.4), (0, 11, 12, 13, 15, 0.1, 0.2, 0.3, 0.4)], q)
+    rows = [(1, 1, 2, 3, 4, 11, 12, 13, 14, 50.0), (1, 1, 2, 3, 5, 11, 12, 13, 15, 50.0), (1, 1, 2, 3, 6, 11, 12, 13, 14, 50.0), (1, 1, 2, 3, 4, 11, 12, 13, 19, 50.0), (1, 2, 3, 4, 5, 11, 12, 13, 14, 1.0)]
+    t = spark.createDataFrame(rows, "field long, a long, b long, c long, d long, ref_a long, ref_b long, ref_c long, ref_d long, size double")
+    got = {(r.a, r.d, r.ref_d): r.reason for r in why_not(t, feats, index, (10.0, 90.0), 0.01).collect()}
+    assert got == {(1, 4, 14): "found", (1, 5, 15): "code differs", (1, 6, 14): "not in field", (1, 4, 19): "not in index", (2, 5, 14): "too small"}
+
+
+def test_segment_crossings(spark):
+    from skyweft.functions import geometry
+
+    p, q = ("x", "y", "x + 4", "y + 4"), ("u", "v", "u - 4", "v + 4")
+    cx, cy = geometry.line_crossing(p, q)
+    df = spark.createDataFrame([(0.0, 0.0, 4.0, 0.0), (0.0, 0.0, 14.0, 0.0), (0.0, 0.0, 4.0, 1.0)], "x double, y double, u double, v double")
+    rows = df.select(F.expr(geometry.segments_cross(p, q)).alias("c"), F.expr(cx).alias("cx"), F.expr(cy).alias("cy")).collect()
+    assert [tuple(r) for r in rows] == [(True, 2.0, 2.0), (False, 7.0, 7.0), (True, 2.5, 2.5)]
