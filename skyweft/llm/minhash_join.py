@@ -29,27 +29,24 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweft.operators.components import connected_components
 from skyweft.session import discard, materialize
 
-#: Words, fixed by the contract: runs of anything but space and the controls 9 to 13.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+#: A-Z to a-z; words are runs of anything but space and the controls 9 to 13. Fixed by the contract.
+IN_WORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
+ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Node ids up to this many (8 bytes each) are broadcast to filter texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members of one posting that are compared with its leader in one task.
 LEADER_SLICE = 512
 
-_word_hash: dict[str, int] = {}
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (xor-shift and multiply)."""
@@ -60,41 +57,46 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
 def _constants(n: int, seed: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of mixed (byte, place in the word) codes."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(ASCII_LOWER), np.uint8) if text else np.empty(0, np.uint8)
+    at = np.flatnonzero(IN_WORD[data])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    place = at - np.repeat(at[first], np.diff(np.append(first, len(at))))
+    return np.add.reduceat(_mix((data[at].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), first)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of ``text``."""
-    words = WORD.findall(text.translate(ASCII_LOWER)) if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_word_hash) > 400_000:
-        _word_hash.clear()
-    get, out = _word_hash.get, []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _word_hash[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    h = np.array(out, np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     n = min(width, len(h))
     mult = _constants(width, 7)
     acc = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
-        acc += _mix(h[i : len(h) - n + 1 + i] + np.uint64(i + 1)) * mult[i]
-    return np.unique(_mix(acc + np.uint64(n)))
+        part = h[i : len(h) - n + 1 + i] * mult[i]
+        acc += part ^ (part >> np.uint64(32))
+    acc = _mix(acc + np.uint64(n))
+    acc.sort()
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]
 
 
 def signature(shingles: np.ndarray, k: int) -> np.ndarray:
-    """Minimum of each of ``k`` hash orders over the set, as 32 bits each."""
-    a, b = _constants(k, 101), _constants(k, 977)
+    """Minimum of each of ``k`` linear hash orders over the set, as 32 bits each."""
+    a, b = _constants(k, 101)[:, None], _constants(k, 977)[:, None]
     best = np.full(k, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), 4096):
-        part = shingles[lo : lo + 4096, None] * a[None, :] + b[None, :]
-        part ^= part >> np.uint64(29)
-        part *= np.uint64(0xBF58476D1CE4E5B9)
-        best = np.minimum(best, part.min(axis=0))
+        part = shingles[None, lo : lo + 4096] * a
+        part += b
+        best = np.minimum(best, part.min(axis=1))
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
