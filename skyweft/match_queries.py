@@ -77,7 +77,7 @@ _MOVED = f"(SELECT id, x + 1.3 AS x, y - 0.7 AS y FROM {POINTS} p WHERE id % 2 =
 _VOTE = "greatest(0, least(19, cast(floor(({v} + 2.0) / 0.2) as bigint)))"
 
 
-@query(f"""SELECT round(bx * 0.2 - 2.0 + 0.1, 6) AS dx, round(iy * 0.2 - 2.0 + 0.1, 6) AS dy, votes FROM (SELECT {_VOTE.format(v='(b.x - a.x)')} AS bx, {_VOTE.format(v='(b.y - a.y)')} AS iy, count(*) AS votes
+@query(f"""SELECT cast(round(bx * 0.2 - 2.0 + 0.1, 6) as double) AS dx, cast(round(iy * 0.2 - 2.0 + 0.1, 6) as double) AS dy, votes FROM (SELECT {_VOTE.format(v='(b.x - a.x)')} AS bx, {_VOTE.format(v='(b.y - a.y)')} AS iy, count(*) AS votes
   FROM {POINTS} a JOIN {_MOVED} b ON abs(b.x - a.x) <= 2 AND abs(b.y - a.y) <= 2 GROUP BY 1, 2) v ORDER BY votes DESC, bx, iy LIMIT 1""")
 def shift_votes(spark, sf):
     """The shift between two lists of points, by votes of pairs."""

@@ -113,7 +113,7 @@ def bounding_box(points: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def mean_direction(stars: DataFrame) -> DataFrame:
-    """Mean place (ra, dec) of unit vectors and the largest angle from it is left to a second pass."""
+    """Mean place (ra, dec) of unit vectors."""
     m = stars.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))
     norm = "sqrt(x * x + y * y + z * z)"
     return m.select(F.expr(sky.ra_of("x", "y")).alias("ra"), F.expr(sky.dec_of(f"z / {norm}")).alias("dec"))
