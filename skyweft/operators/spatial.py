@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import itertools
 import math
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,20 +39,21 @@ def radius_join(
 ) -> DataFrame:
     """``(l_id, r_id, dist2)`` for all pairs with ``min_radius <= distance <= radius`` (both ends in).
 
-    ``not_self`` drops pairs of equal ids. Rows with a null or NaN coordinate match nothing.
+    ``not_self`` drops pairs of equal ids. Rows with a null or NaN coordinate match nothing: a null has no
+    cell, and NaN is greater than any radius. The left side is the one that visits, so it should be
+    the smaller one.
     """
     if not radius > 0:
         raise ValueError("radius is positive")
     dims = range(len(coords))
     grid = range(min(3, len(coords)))
-    known = lambda df, p: df.where(" AND ".join(f"{p}{i} IS NOT NULL AND NOT isnan({p}{i})" for i in dims))
-    a = known(_renamed(left, left_id, coords, "l"), "l")
-    b = known(_renamed(right, right_id, right_coords or coords, "r"), "r")
+    a = _renamed(left, left_id, coords, "l")
+    b = _renamed(right, right_id, right_coords or coords, "r")
     cell = lambda p, i: F.floor(F.col(f"{p}{i}") / F.lit(float(radius)))
     offsets = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"o{i}") for i, o in zip(grid, off, strict=True)]) for off in itertools.product((-1, 0, 1), repeat=len(grid))])
     visits = a.withColumn("o", F.explode(offsets)).select("*", *[(cell("l", i) + F.col(f"o.o{i}")).alias(f"c{i}") for i in grid]).drop("o")
     homes = b.select("*", *[cell("r", i).alias(f"c{i}") for i in grid])
-    d2 = sum(((F.col(f"l{i}") - F.col(f"r{i}")) * (F.col(f"l{i}") - F.col(f"r{i}")) for i in dims), F.lit(0.0))
+    d2 = reduce(operator.add, [(F.col(f"l{i}") - F.col(f"r{i}")) * (F.col(f"l{i}") - F.col(f"r{i}")) for i in dims])
     near = d2 <= float(radius) ** 2
     if min_radius is not None:
         near &= d2 >= float(min_radius) ** 2
