@@ -8,7 +8,7 @@ ranks); the query itself goes through the operators.
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -571,12 +571,12 @@ def third_page(spark, sf):
 # ---- streams -------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT user_id AS field, bool_or(value > 90) AS solved, cast(least(3, count(*)) as integer) AS tries FROM events GROUP BY user_id")
 def solved_stream(spark, sf):
     """Keyed solved flags after a stream of results has run dry."""
     e = _read(spark, sf, "events").selectExpr("user_id AS field", "value > 90 AS solved")
-    base = tempfile.mkdtemp(prefix="stream-", dir=scratch_dir(spark)) if "://" not in scratch_dir(spark) else f"{scratch_dir(spark)}/stream-{spark.sparkContext.applicationId}-{id(e)}"
-    e.write.mode("overwrite").parquet(f"{base}/in")
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e.write.parquet(f"{base}/in")
     out = jobs.solved_state(jobs.job_stream(spark, f"{base}/in", "field long, solved boolean", 2))
     q = out.writeStream.outputMode("update").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()

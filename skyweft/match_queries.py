@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from skyweft.functions import geometry, healpix, orbits, sky, wcs
 from skyweft.functions.sky import num
 from skyweft.operators import catalogs, match_stats, web
 from skyweft.plans import build_index, tweak
+from skyweft.session import scratch_dir
+from skyweft.streaming import jobs
 
 _PX, _PY = wcs.sky_to_pixel(TAN, "x", "y", "z")
 
@@ -198,3 +201,15 @@ def nearby_images(spark, sf):
     s = customers(spark, sf)
     placed = [healpix.with_cell(s, n).selectExpr("id", f"{n} AS nside", "cell").where(f"id % 3 = {k}") for k, n in enumerate((2, 4, 8))]
     return web.nearby_images(placed[0].unionByName(placed[1]).unionByName(placed[2]), 77, 4)
+
+
+@query("SELECT cast(floor(epoch(ts) / 600) * 600 as bigint) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    """Ten-minute windows of a stream of events, after it has run dry."""
+    base = f"{scratch_dir(spark)}/windows-{uuid.uuid4().hex}"
+    events = _read(spark, sf, "events").select("ts", "event_type", "value")
+    events.repartition(4).write.parquet(f"{base}/in")
+    counts = jobs.windowed_counts(jobs.job_stream(spark, f"{base}/in", events.schema, 2), "ts", "event_type", "value")
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
