@@ -18,6 +18,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import sys
+from array import array
 from functools import cache
 
 import numpy as np
@@ -28,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF_BYTES = 24
-#: Pieces of up to this many characters are remembered, and so many of them, by each worker.
-CACHED_CHARS, CACHED_PIECES = 40, 250_000
+#: Pieces of up to this many characters are remembered by each worker, so many in each of two generations.
+CACHED_CHARS, CACHED_PIECES = 40, 400_000
+NO_RANK = 1 << 62
 
 
 class TreeEncoder(dict):
@@ -41,32 +44,44 @@ class TreeEncoder(dict):
         self.vocab = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.pair: dict[tuple[bytes, bytes], bool] = {}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.piece_ids(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = self._packed(piece)
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
 
+    def _packed(self, piece: str) -> bytes:
+        ids = array("I", self.piece_ids(piece.encode("utf-8", "surrogatepass")))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def merge(self, data: bytes) -> list[bytes]:
         """Merges the lowest-ranked neighbours first, the leftmost of equals, until none is left."""
         if data in self.ranks:
             return [data]
         ranks, n = self.ranks, len(data)
         if n <= 2 * LEAF_BYTES:
-            parts = [data[i : i + 1] for i in range(n)]
-            while len(parts) > 1:
-                best, at = None, -1
-                for i in range(len(parts) - 1):
-                    r = ranks.get(parts[i] + parts[i + 1])
-                    if r is not None and (best is None or r < best):
-                        best, at = r, i
-                if best is None:
+            cuts = list(range(n + 1))
+            pairs = [ranks.get(data[i : i + 2], NO_RANK) for i in range(n - 1)]  # rank of joining the parts i and i + 1
+            while pairs:
+                best = min(pairs)
+                if best == NO_RANK:
                     break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            return parts
+                i = pairs.index(best)
+                del cuts[i + 1], pairs[i]
+                if i:
+                    pairs[i - 1] = ranks.get(data[cuts[i - 1] : cuts[i + 1]], NO_RANK)
+                if i < len(pairs):
+                    pairs[i] = ranks.get(data[cuts[i] : cuts[i + 2]], NO_RANK)
+            return [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
         end, nxt, prv = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
         heapq.heapify(heap)

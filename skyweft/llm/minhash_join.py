@@ -19,6 +19,9 @@
 A pair of similarity s agrees on a coordinate with probability s; with k = 64 and t = 36 a pair at
 exactly 0.8 is missed with probability below 1e-5 (binomial tail), higher similarities far less.
 
+Counts per posting are written before they are joined back to the rows they count. The join is then
+between two exchanges of its own, and Spark can split a very common value over several tasks.
+
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with
 nothing. A text with fewer words than ``width`` has its whole word sequence as its one shingle. Rows
 that share a doc_id count as one document. A row with a null doc_id is not linked: its component_id
@@ -42,8 +45,8 @@ from skyweft.session import discard, materialize
 #: A-Z to a-z; words are runs of anything but space and the controls 9 to 13. Fixed by the contract.
 IN_WORD = np.array([c != 32 and not 9 <= c <= 13 for c in range(256)])
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Node ids up to this many (8 bytes each) are broadcast to filter texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Node ids up to this many (some 150 bytes each as a hash table) are broadcast to filter texts; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 #: Members of one posting that are compared with its leader in one task.
 LEADER_SLICE = 512
 
@@ -197,7 +200,7 @@ def _across(held: DataFrame, comp: DataFrame, texts: DataFrame, width: int, num:
     texts = texts.join(F.broadcast(nodes.select("node")) if n <= BROADCAST_IDS else nodes.select("node"), "node", "left_semi")
     sets = materialize(texts.mapInArrow(_sets(width), "node long, sid long, shingles array<long>").dropDuplicates(["node", "sid"]), "minhash-sets")
     each = sets.select("node", "sid", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
-    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = materialize(each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-df")
     own = each.join(often, "g").groupBy("node", "sid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("own"))
     own = own.withColumns({"single": F.expr("n - size(own)"), "room": F.expr(f"size(own) - cast(floor(({num}L * n + {den - 1}) / {den}) as int) + 1")}).where("room > 0")
     first = own.select("node", "n", "single", F.posexplode(F.slice("own", F.lit(1), F.col("room"))).alias("i", "p"))
@@ -205,6 +208,7 @@ def _across(held: DataFrame, comp: DataFrame, texts: DataFrame, width: int, num:
     first = materialize(first, "minhash-first")
     sizes = first.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("m"))
     split = sizes.groupBy("g").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("g", F.col("top.comp").alias("big"))
+    split = materialize(split, "minhash-split")
     rows = first.join(split, "g")
     one = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("g", "node", "comp", "n", "at", "big")]
     fits = f"a_comp <> b_comp and (b_comp = b_big or a_node > b_node) and {num + den}L * (1 + least(a_n - a_at - 1, b_n - b_at - 1)) >= {num}L * (a_n + b_n)"
@@ -230,7 +234,7 @@ def near_duplicates(
     sigs = linked.join(heads, F.col("digest") == F.col("d")).where("doc_id = node").select("node", "d", F.col("n_shingles").alias("size"), "sig")
     sigs = materialize(sigs.dropDuplicates(["node", "d"]), "minhash-node")
     posted = sigs.select("node", "size", F.posexplode("sig").alias("pos", "val")).select("node", "size", (F.shiftleft(F.col("pos").cast("long"), 32) + F.expr("val & 4294967295L")).alias("key"))
-    often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = materialize(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "minhash-often")
     ordered = (
         posted.join(often, "key")
         .groupBy("node")
@@ -243,7 +247,7 @@ def near_duplicates(
     held = prefix.select("node", "rank", "low", "high", F.explode("keys").alias("key"))
 
     lead = held.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("least"), F.col("low").alias("l"), F.col("high").alias("h"))).alias("top"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    lead = lead.select("key", (-F.col("top.least")).alias("dst"), F.col("top.l").alias("l"), F.col("top.h").alias("h"))
+    lead = materialize(lead.select("key", (-F.col("top.least")).alias("dst"), F.col("top.l").alias("l"), F.col("top.h").alias("h")), "minhash-lead")
     star = held.join(lead, "key").where(f"node <> dst and {den} * high >= {num} * l and {den} * h >= {num} * low").select(F.col("node").alias("src"), "dst").distinct()
     texts = narrow.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
     star = materialize(_counted(star, sigs, t), "minhash-star")
@@ -261,7 +265,7 @@ def near_duplicates(
     label = nodes.join(comp, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("label"))
     out = base.select("doc_id", "n_shingles", "digest").join(label, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    for used in (prefix, sigs):
+    for used in (prefix, sigs, often, lead):
         discard(used)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
