@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweft.llm.batches import sliced
+
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 K1, B = 1.2, 0.75
@@ -183,7 +185,7 @@ def _hit_rows(index, threshold: float):
     kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(0).to_pylist()
             hits = [(ids[h[0]], *h[1:]) for h in search(index.value, batch.column(1).to_pylist(), threshold)]
             cols = list(zip(*hits, strict=True)) if hits else [[]] * 6
@@ -194,7 +196,7 @@ def _hit_rows(index, threshold: float):
 
 def _clean_rows(index, threshold: float, text_at: int, overlap: float, part_overlap: float):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keep = np.ones(batch.num_rows, bool)
             for hit in search(index.value, batch.column(text_at).to_pylist(), threshold):
                 if _is_leak(hit, overlap, part_overlap):

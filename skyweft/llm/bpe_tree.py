@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 LEAF_BYTES = 24
 #: Pieces of up to this many characters are remembered by each worker, so many in each of two generations.
-CACHED_CHARS, CACHED_PIECES = 40, 400_000
+CACHED_CHARS, CACHED_PIECES = 40, 100_000
 NO_RANK = 1 << 62
 
 

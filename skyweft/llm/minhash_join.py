@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweft.llm.batches import sliced
 from skyweft.operators.components import connected_components
 from skyweft.session import discard, materialize
 
@@ -126,7 +127,7 @@ def _confirm(width: int, num: int, den: int):
 
     def run(batches):
         now, base = None, None
-        for batch in batches:
+        for batch in sliced(batches):
             src, dst = [], []
             leaders, parts, firsts, nodes, texts = (batch.column(i).to_pylist() for i in range(5))
             for a, p, first, b, text in zip(leaders, parts, firsts, nodes, texts, strict=True):

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweft.llm.batches import sliced
 from skyweft.session import discard, materialize
 
 STEPS = 14
@@ -84,7 +85,7 @@ def features(text: str | None) -> list[float]:
 
 
 def _feature_rows(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         x = [features(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "x"])
 
@@ -206,7 +207,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     least, at = math.log(cut / (1 - cut)), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             x = np.array([features(t) for t in batch.column(at).to_pylist()], np.float32).reshape(-1, N).astype(np.float64)
             yield batch.filter(pa.array(x @ w >= least))
 
