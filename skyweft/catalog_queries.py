@@ -496,7 +496,8 @@ def coadd_images(spark, sf):
 @query()
 def source_extraction(spark, sf):
     """Sources of small made-up images, a Gaussian per part on a noisy ground."""
-    p = _read(spark, sf, "part").where("p_partkey % 20 = 0").selectExpr("p_partkey AS image", "8 + p_partkey % 13 AS cx", "8 + p_partkey % 11 AS cy", "p_retailprice AS flux")
+    parts = _read(spark, sf, "part").select("p_partkey", "p_retailprice").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    p = parts.selectExpr("p_partkey AS image", "8 + p_partkey % 13 AS cx", "8 + p_partkey % 11 AS cy", "p_retailprice AS flux")
     pixel = "flux * exp(-0.5 * (pow(i % 32 - cx, 2) + pow(floor(i / 32) - cy, 2))) + pmod(hash(image, i), 1000) / 100.0"
     return images.source_table(p.selectExpr("image", "32 AS width", f"transform(sequence(0, 1023), i -> cast({pixel} as double)) AS pixels"), "image", "width", "pixels")
 

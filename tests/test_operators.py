@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skyweft.catalog_queries import QUERIES
 from skyweft.functions import sky
 from skyweft.operators import images, quads, spatial, table, uniformize, web
 from skyweft.operators.components import connected_components
@@ -184,3 +185,8 @@ def test_service_queries(spark):
     assert [r.image_id for r in web.images_by_tag(im, tags, "ngc 1").collect()] == [1]
     assert sorted(r.image_id for r in web.images_by_tag(im, tags, "NGC 1", exact=False).collect()) == [1, 2]
     assert [r.image_id for r in web.page(im, [F.col("image_id")], 2, 2).collect()] == [3]
+
+
+def test_source_extraction_makes_an_image_of_every_part(spark, sf):
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    assert {r.image for r in QUERIES["source_extraction"](spark, sf).select("image").distinct().collect()} == parts
