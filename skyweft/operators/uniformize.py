@@ -16,15 +16,16 @@ def uniformize_top(stars: DataFrame, cell: str, order: list[Column], per_cell: i
     return stars.withColumn("sweep", F.row_number().over(Window.partitionBy(cell).orderBy(*order)) - 1).where(F.col("sweep") < per_cell)
 
 
-def uniformize_dedup(stars: DataFrame, id_col: str, rank_col: str, cell: str, per_cell: int, radius: float, coords=("x", "y", "z"), max_rounds: int = 200) -> DataFrame:
+def uniformize_dedup(stars: DataFrame, id_col: str, rank_col: str, cell: str, per_cell: int, radius: float, coords=("x", "y", "z"), max_rounds: int | None = None) -> DataFrame:
     """Thinning with a minimum distance: ``(id, sweep)`` of the stars kept.
 
     In rank order a star is kept unless its cell is full or a kept star lies within ``radius``. Rounds
     decide all stars whose earlier neighbours and cell mates allow it, so decisions equal those of a
     walk in order: dropped when a kept earlier star is near or the cell has ``per_cell`` kept earlier
     stars, kept when no near earlier star is open and the cell can't fill before it, else left open.
-    The first open star is always decided. Near pairs are made once; each round is a few joins whose
-    result is written to shared storage.
+    The first open star is always decided, so rounds go on until no star is open; a chain of near stars
+    takes about one round a link. With ``max_rounds`` it raises where stars are open after so many.
+    Near pairs are made once; each round is a few joins whose result is written to shared storage.
     """
     base = stars.select(F.col(id_col).alias("id"), F.col(rank_col).alias("rank"), F.col(cell).alias("cell"))
     near = radius_join(stars, stars, radius, coords, id_col, id_col, not_self=True)
@@ -32,7 +33,13 @@ def uniformize_dedup(stars: DataFrame, id_col: str, rank_col: str, cell: str, pe
     near = near.join(ranks.select(F.col("id").alias("l_id"), F.col("rank").alias("lr")), "l_id").join(ranks.select(F.col("id").alias("r_id"), F.col("rank").alias("rr")), "r_id")
     near = materialize(near.where("rr < lr OR (rr = lr AND r_id < l_id)").select(F.col("l_id").alias("id"), F.col("r_id").alias("earlier")), "uniformize-near")
     state = materialize(base.withColumn("kept", F.lit(None).cast("boolean")), "uniformize")
-    for _ in range(max_rounds):
+    rounds, before = 0, None
+    while left := state.where("kept IS NULL").count():
+        if left == before:
+            raise ValueError("a round decided no star: ids have to be unique")
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"{left} stars are open after {max_rounds} rounds")
+        rounds, before = rounds + 1, left
         order = Window.partitionBy("cell").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, -1)
         mates = state.withColumn("full", F.coalesce(F.sum(F.when(F.col("kept"), 1).otherwise(0)).over(order), F.lit(0))).withColumn(
             "may", F.coalesce(F.sum(F.when(F.coalesce("kept", F.lit(True)), 1).otherwise(0)).over(order), F.lit(0))
@@ -50,8 +57,6 @@ def uniformize_dedup(stars: DataFrame, id_col: str, rank_col: str, cell: str, pe
         nxt = materialize(nxt, "uniformize")
         discard(state)
         state = nxt
-        if state.where("kept IS NULL").isEmpty():
-            break
     return state.where("kept").select("id", (F.row_number().over(Window.partitionBy("cell").orderBy("rank", "id")) - 1).alias("sweep"))
 
 

@@ -92,6 +92,13 @@ def test_dedup_chain(spark):
     assert sorted(r.id for r in uniformize.uniformize_dedup(df, "id", "id", "cell", 99, 1.0, ("x",)).collect()) == [0, 2, 4]
 
 
+def test_dedup_chain_longer_than_the_rounds(spark):
+    df = spark.createDataFrame([(i, 0.9 * i) for i in range(8)], "id long, x double").withColumn("cell", F.floor(F.col("id") / 2))
+    with pytest.raises(RuntimeError):
+        uniformize.uniformize_dedup(df, "id", "id", "cell", 99, 1.0, ("x",), max_rounds=3)
+    assert sorted(r.id for r in uniformize.uniformize_dedup(df, "id", "id", "cell", 99, 1.0, ("x",)).collect()) == [0, 2, 4, 6]
+
+
 def test_interleave_of_two_orders(spark):
     flux, ground = [50, 100, 50, 100, 20, 20, 40, 40], [0, 10, 10, 0, 10, 0, 5, 0]
     df = spark.createDataFrame([(1, i, float(f), float(b)) for i, (f, b) in enumerate(zip(flux, ground, strict=True))], "k int, id int, f double, b double")
