@@ -3,8 +3,9 @@
 A page is read as a sequence of words and tags. Words score above zero and tags below; how much
 depends on where a word stands (link, side matter or neither) and on the tag's name, as log ratios
 of counts inside and outside the main text of labelled pages. One linear scan finds the contiguous
-region of the highest sum. The region tells where the content is; its element is the deepest one
-that holds most of the region's words, the article or main element around it where there is one.
+region of the highest sum. The region tells where the content is; its element is the smallest one
+that holds all of the region's words, widened to the outermost article or main element around it, or
+else to one that adds the h1 and no links.
 All text blocks of that element are the main text, without those of menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments inside it.
 
@@ -57,7 +58,6 @@ VOID = frozenset("br hr img input meta link area base col source track wbr".spli
 ENDS = {t: ("p",) for t in BLOCKS - {"html", "body"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 #: An element of the key is not ended from inside of one of the values.
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": tuple(CONTAINERS | {"table", "td", "th", "li", "blockquote", "ul", "ol", "nav", "header", "footer", "aside", "form"}), "option": ("select",)}
-SHARE = 0.8
 
 
 def _is_side(name: str, attrs: str) -> bool:
@@ -76,6 +76,7 @@ class Reader:
         self.tokens: list[tuple[str, int, int]] = []
         self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
         self.names: list[str] = []
+        self.titles: set[int] = set()
         stack: list[tuple[str, bool, bool, tuple[int, ...]]] = [("", False, False, ())]
         parts: list[str] = []
 
@@ -83,6 +84,8 @@ class Reader:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
             parts.clear()
             if text:
+                if any(x[0] == "h1" for x in stack):
+                    self.titles.add(len(self.blocks))
                 self.blocks.append((text, stack[-1][1], stack[-1][3]))
 
         def close(at: int) -> None:
@@ -149,12 +152,29 @@ class Reader:
                     held[c] = held.get(c, 0) + n
         if not total:
             return ""
-        enough = [c for c, n in held.items() if n >= SHARE * total]
-        named = [c for kind in ("article", "main") for c in enough if self.names[c] == kind]
-        chosen = named[0] if named else max(enough, default=None)  # containers are numbered from outside in
+        around = sorted(c for c, n in held.items() if n == total)  # from outside in
+        named = [c for c in around if self.names[c] in ("article", "main")]
+        chosen = named[0] if named else self._with_title(around)
         return "\n\n".join(text for text, side, inside in self.blocks if not side and (chosen is None or chosen in inside))
 
 
+    def _with_title(self, around: list[int]) -> int | None:
+        """The last of the nested containers ``around``, or one around it (not html or body) that adds an h1 and no links."""
+        if not around:
+            return None
+        links = {block for kind, _, block in self.tokens if kind == "link"}
+        chosen = around[-1]
+        for c in reversed(around[:-1]):
+            if self.names[c] in ("html", "body"):
+                break
+            more = [i for i, (_, side, inside) in enumerate(self.blocks) if not side and c in inside and chosen not in inside]
+            if not links.isdisjoint(more):
+                break
+            if not self.titles.isdisjoint(more):
+                chosen = c
+        return chosen
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """[first, last) of the contiguous region with the highest sum; the earliest, then longest of equals."""
     best, at, run, start = 0.0, (0, 0), 0.0, 0

@@ -163,6 +163,23 @@ def test_other_layouts_and_cut_pages():
         assert html_maxsub.main_text(empty, w) == ""
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<div id='post'><h1>Title</h1><div class='body'><p>{long}</p><p>{long}</p></div></div>",
+        "<div id='content'><section><h1>Title</h1><p>{long}</p><p>{long}</p><p>{long}</p><p>{long}</p><p>{long}</p></section><section><p>{long}</p></section></div>",
+        "<main><h1>Title</h1><p>{short}</p><article><p>{long}</p><p>{long}</p><p>{long}</p><p>{long}</p><p>{long}</p></article></main>",
+        "<div><h1>Title</h1><p>{long}</p></div>",
+    ],
+)
+def test_nothing_beside_the_largest_part_is_lost(inner):
+    page = inner.format(long=" ".join(f"word{i}" for i in range(30)), short="four words stand here")
+    want = "\n\n".join(b for b in re.split(r"<[^>]*>", page) if b)
+    links = "".join(f"<li><a href='/{i}'>page {i}</a></li>" for i in range(8))
+    html = f"<html><body><div><ul>{links}</ul></div>{page}<footer><p>all rights reserved</p></footer></body></html>"
+    assert html_maxsub.main_text(html, dict(html_maxsub.default_weights())) == want
+
+
 def test_best_region_equals_brute_force():
     r = random.Random(2)
     for _ in range(300):
