@@ -9,6 +9,9 @@ else to one that adds the h1 and no links.
 All text blocks of that element are the main text, without those of menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments inside it.
 
+An element is side matter by its tag or by a whole class, id or role name; a name does not make it so
+where it holds the main element, the only articles or 95% of the words outside side tags.
+
 The labelled pages are made by :func:`labelled_pages` from a seed, in several layouts.
 
 Defined cases: a null or empty page, or one without words outside side matter, gives the empty
@@ -41,12 +44,19 @@ NAME_PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 #: Elements that are side matter, by name.
 SIDE_TAGS = frozenset("nav header footer aside form button select option menu dialog head object embed canvas audio video".split())
-#: Parts of class, id or role names that mark side matter.
+#: Class, id or role names that mark side matter, alone or in compounds such as site-header and ad-box.
 SIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices nav navbar navigation menu"
     " sidebar footer header banner breadcrumb breadcrumbs comment comments reply replies disqus share sharing social related newsletter"
     " subscribe subscription popup modal overlay widget pagination pager toolbar contentinfo complementary search".split()
 )
+#: Other words that such a compound may begin or end with.
+SIDE_FIRST = frozenset("site global main top bottom left right primary secondary".split())
+SIDE_LAST = frozenset("area bar block box container form inner item items links list section slot thread unit wrap wrapper".split())
+#: Elements that no name makes side matter.
+NEVER_SIDE = frozenset("html body main article".split())
+#: Share of the words outside side elements from which an element holds the content, whatever its name.
+MOST = 0.95
 BLOCKS = frozenset(
     "p div section article main body html h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre hr"
     " figure figcaption address details summary fieldset center nav header footer aside form menu dialog".split()
@@ -60,24 +70,59 @@ ENDS = {t: ("p",) for t in BLOCKS - {"html", "body"}} | {"li": ("li", "p"), "dt"
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": tuple(CONTAINERS | {"table", "td", "th", "li", "blockquote", "ul", "ol", "nav", "header", "footer", "aside", "form"}), "option": ("select",)}
 
 
-def _is_side(name: str, attrs: str) -> bool:
-    if name in SIDE_TAGS:
-        return True
-    for _, a, b, c in ATTRIBUTE.findall(attrs) if attrs else ():
-        if not SIDE_NAMES.isdisjoint(NAME_PART.findall((a or b or c).lower())):
-            return True
-    return False
+def _side_name(token: str) -> bool:
+    """Whether one whole class name, id or role is a side name or a compound of one."""
+    parts = NAME_PART.findall(token)
+    while parts and parts[0] in SIDE_FIRST:
+        parts.pop(0)
+    while parts and parts[-1] in SIDE_LAST:
+        parts.pop()
+    return bool(parts) and SIDE_NAMES.issuperset(parts)
+
+
+def _named_side(attrs: str) -> bool:
+    return any(_side_name(token) for _, a, b, c in ATTRIBUTE.findall(attrs) for token in (a or b or c).lower().split())
 
 
 class Reader:
-    """One pass over a page: ``tokens`` (kind, words, block) and ``blocks`` (text, side, containers)."""
+    """A page's ``tokens`` (kind, words, block) and ``blocks`` (text, side, containers).
+
+    Elements that are side matter by their name alone are numbered as they open. Those that hold a main
+    element, the only articles or nearly all words are read again as content.
+    """
 
     def __init__(self, page: str):
+        self._read(page, frozenset())
+        spared = self._spared()
+        if spared:
+            self._read(page, spared)
+
+    def _spared(self) -> frozenset[int]:
+        words = sum(self.words.values())
+        articles = sum(1 for kind, _ in self.homes if kind == "article")
+        mains = {m for kind, marks in self.homes if kind == "main" for m in marks}
+        held: dict[int, int] = {}
+        inside: dict[int, int] = {}
+        for marks, n in self.words.items():
+            for m in marks:
+                held[m] = held.get(m, 0) + n
+        for kind, marks in self.homes:
+            if kind == "article":
+                for m in marks:
+                    inside[m] = inside.get(m, 0) + 1
+        only = {m for m, n in inside.items() if n == articles} if articles and not any(kind == "main" for kind, _ in self.homes) else set()
+        return frozenset(mains | only | {m for m, n in held.items() if n >= MOST * words})
+
+    def _read(self, page: str, spared: frozenset[int]) -> None:
         self.tokens: list[tuple[str, int, int]] = []
         self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
         self.names: list[str] = []
         self.titles: set[int] = set()
-        stack: list[tuple[str, bool, bool, tuple[int, ...]]] = [("", False, False, ())]
+        #: Words outside side elements, and main and article elements, by the numbered elements around them.
+        self.words: dict[tuple[int, ...], int] = {}
+        self.homes: list[tuple[str, tuple[int, ...]]] = []
+        named = 0
+        stack: list[tuple[str, bool, bool, tuple[int, ...], tuple[int, ...] | None]] = [("", False, False, (), ())]
         parts: list[str] = []
 
         def flush() -> None:
@@ -99,7 +144,9 @@ class Reader:
                 parts.append(text)
                 n = len(text.split())
                 if n:
-                    _, side, link, _ = stack[-1]
+                    _, side, link, _, marks = stack[-1]
+                    if marks is not None:
+                        self.words[marks] = self.words.get(marks, 0) + n
                     self.tokens.append(("side" if side else "link" if link else "word", n, len(self.blocks)))
                 continue
             name = m["name"] or m["name2"]
@@ -131,14 +178,23 @@ class Reader:
             attrs = m["attrs"] or m["attrs2"] or ""
             if attrs.endswith("/") and name not in BLOCKS:
                 continue
-            _, side, link, inside = stack[-1]
-            own = side or _is_side(name, attrs)
+            _, side, link, inside, marks = stack[-1]
+            own = side
+            if name in SIDE_TAGS:
+                own, marks = True, None
+            elif marks is not None:
+                if name not in NEVER_SIDE and attrs and _named_side(attrs):
+                    own = side or named not in spared
+                    marks = (*marks, named)
+                    named += 1
+                if name in ("main", "article"):
+                    self.homes.append((name, marks))
             if name in BLOCKS or own != side:
                 flush()
             if name in CONTAINERS:
                 inside = (*inside, len(self.names))
                 self.names.append(name)
-            stack.append((name, own, link or name == "a", inside))
+            stack.append((name, own, link or name == "a", inside, marks))
         flush()
 
     def text(self, weights: dict[str, float]) -> str:

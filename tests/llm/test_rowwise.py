@@ -180,6 +180,30 @@ def test_nothing_beside_the_largest_part_is_lost(inner):
     assert html_maxsub.main_text(html, dict(html_maxsub.default_weights())) == want
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<body class='has-sidebar'><article><h1>Title</h1><p>{long}</p></article></body>",
+        "<body><div class='content with-sidebar'><h1>Title</h1><p>{long}</p></div></body>",
+        "<body><article class='post comments-open'><h1>Title</h1><p>{long}</p></article></body>",
+        "<body><div id='search-page'><h1>Title</h1><p>{long}</p></div></body>",
+        "<body><article><div class='entry-header'><h1>Title</h1></div><p>{long}</p></article></body>",
+        "<body><div class='widget'><main><h1>Title</h1><p>{long}</p></main></div><div class='comments'><p>so many words</p></div></body>",
+        "<body><div class='banner'><article><h1>Title</h1><p>{long}</p></article></div><div class='site-header'><p>so many words</p></div></body>",
+        "<body><div class='sidebar'><h1>Title</h1><p>{long}</p></div></body>",
+    ],
+)
+def test_names_of_side_matter_do_not_hide_the_content(inner):
+    long = " ".join(f"word{i}" for i in range(40))
+    assert html_maxsub.main_text(f"<html>{inner.format(long=long)}<footer><p>all rights reserved</p></footer></html>", dict(html_maxsub.default_weights())) == f"Title\n\n{long}"
+
+
+def test_side_names_are_whole_names():
+    side = "ad sidebar site-header main-nav cookie-banner comment-list ad_box-2 comments-area nav-links"
+    assert all(map(html_maxsub._side_name, side.split()))
+    assert not any(map(html_maxsub._side_name, "has-sidebar with-sidebar comments-open search-page entry-header post-header main content list".split()))
+
+
 def test_best_region_equals_brute_force():
     r = random.Random(2)
     for _ in range(300):
