@@ -13,7 +13,7 @@ from skyweft.functions.sky import num, xyz
 from skyweft.operators.quads import normal_form, pixel_code
 from skyweft.operators.spatial import radius_join
 from skyweft.operators.uniformize import uniformize_dedup, uniformize_top
-from skyweft.session import materialize
+from skyweft.session import discard, materialize
 
 #: Lower edges of the scale presets, arc minutes (fixed values).
 PRESET_EDGES = (0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0, 11.0, 16.0, 22.0, 30.0, 42.0, 60.0, 85.0, 120.0, 170.0, 240.0, 340.0, 480.0, 680.0, 1000.0, 1400.0, 2000.0)
@@ -40,13 +40,12 @@ def star_table(catalog: DataFrame, id_col: str, ra: str, dec: str, nside: int) -
     return healpix.with_cell(stars, nside)
 
 
-def cell_quads(stars: DataFrame, nside: int, low_arcmin: float, high_arcmin: float, per_cell: int, max_uses: int) -> DataFrame:
+def cell_quads(stars: DataFrame, nside: int, low_arcmin: float, high_arcmin: float, per_cell: int, max_uses: int, loosen: int = 20) -> DataFrame:
     """Up to ``per_cell`` features per cell of the grid: those of the brightest stars whose AB midpoint lies in the cell.
 
     Candidate pairs come from a ring join; C and D from neighbour lists within the pair's circle. Per
-    cell the pairs are ranked by their faintest star, and stars used more than ``max_uses`` times
-    lose their later features. All cells are treated alike from one snapshot, so the result is a valid
-    index that does not depend on a walking order.
+    cell the features of all pairs are ranked by their faintest star and chosen by :func:`_choose`. All
+    cells are treated alike, so the result is a valid index that does not depend on a walking order.
     """
     lo, hi = (2 * math.sin(math.radians(a / 60) / 2) for a in (low_arcmin, high_arcmin))
     s = stars.select("id", "x", "y", "z", "rank")
@@ -57,14 +56,13 @@ def cell_quads(stars: DataFrame, nside: int, low_arcmin: float, high_arcmin: flo
     norm = "sqrt(pow(lx + rx, 2) + pow(ly + ry, 2) + pow(lz + rz, 2))"
     ab = healpix.with_cell(ab.withColumns({f"m{c}": F.expr(f"{mid[c]} / {norm}") for c in "xyz"}), nside, "mx", "my", "mz")
     ab = ab.withColumn("faint", F.greatest("lrank", "rrank"))
-    top = ab.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("faint", "l_id", "r_id"))).where(F.col("k") <= 4 * per_cell)
-    top = top.withColumn("pair", F.xxhash64("l_id", "r_id")).withColumnRenamed("l_id", "a").withColumnRenamed("r_id", "b")
+    top = ab.withColumn("pair", F.xxhash64("l_id", "r_id")).withColumnRenamed("l_id", "a").withColumnRenamed("r_id", "b")
     east_north, ends, last = tangent_steps()
     for step in (*east_north, ends):
         top = top.withColumns({c: F.expr(e) for c, e in step.items()})
     top = materialize(top, "index-pairs")
     near = radius_join(top, s, hi / 2 * 1.001, ("mx", "my", "mz"), "pair", "id", right_coords=("x", "y", "z"))
-    inner = near.select(F.col("l_id").alias("pair"), F.col("r_id").alias("p")).join(top.drop("k"), "pair").where("p <> a AND p <> b").join(s.select(F.col("id").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.col("rank").alias("prank")), "p")
+    inner = near.select(F.col("l_id").alias("pair"), F.col("r_id").alias("p")).join(top, "pair").where("p <> a AND p <> b").join(s.select(F.col("id").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.col("rank").alias("prank")), "p")
     for step in last:
         inner = inner.withColumns({c: F.expr(e) for c, e in step.items()})
     inner = materialize(inner.where("u * u - u + v * v - v <= 0").select("pair", "a", "b", "cell", "faint", "p", "prank", "u", "v"), "index-inner")
@@ -72,10 +70,41 @@ def cell_quads(stars: DataFrame, nside: int, low_arcmin: float, high_arcmin: flo
     head = inner.select("pair", "a", "b", "cell", "faint").dropDuplicates(["pair"])
     q = one("c", "cx", "cy").join(one("d", "dx", "dy"), "pair").where("c_rank < d_rank").join(head, "pair")
     q = normal_form(q).withColumn("faint", F.greatest("faint", "d_rank", "c_rank")).withColumn("quad_id", F.xxhash64(F.array_sort(F.array("a", "b", "c", "d"))))
-    q = q.dropDuplicates(["quad_id"]).withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("faint", "quad_id"))).where(F.col("k") <= per_cell)
-    uses = q.select("quad_id", "k", F.explode(F.array("a", "b", "c", "d")).alias("star")).withColumn("u", F.row_number().over(Window.partitionBy("star").orderBy("k", "quad_id")))
-    over = uses.where(F.col("u") > max_uses).select("quad_id").distinct()
-    return q.join(over, "quad_id", "left_anti").select("quad_id", "cell", "a", "b", "c", "d", "cx", "cy", "dx", "dy")
+    q = q.withColumn("same", F.row_number().over(Window.partitionBy("quad_id").orderBy("faint", "a", "b"))).where("same = 1")
+    q = q.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("faint", "quad_id"))).select("quad_id", "cell", "k", "a", "b", "c", "d", "cx", "cy", "dx", "dy")
+    return _choose(materialize(q, "index-features"), per_cell, max_uses, loosen).drop("k")
+
+
+def _choose(features: DataFrame, per_cell: int, max_uses: int, loosen: int) -> DataFrame:
+    """The first ``per_cell`` features of each cell by ``k`` whose stars are used at most ``max_uses`` times.
+
+    In rounds, each cell that lacks features asks for its next ones without used-up stars; of those that
+    ask for one star the first by (k, quad_id) get it. The first of all always does, so rounds end when
+    no feature is left to ask for. Then cells that still lack features try with one more use a star, up
+    to ``loosen``.
+    """
+    chosen, limit = features.limit(0), max_uses
+    left, n = features, 0
+    while True:
+        uses = chosen.select(F.explode(F.array("a", "b", "c", "d")).alias("star")).groupBy("star").agg(F.count(F.lit(1)).alias("uses"))
+        full = uses.where(F.col("uses") >= limit)
+        ask = left
+        for star in "abcd":
+            ask = ask.join(full.select(F.col("star").alias(star)), star, "left_anti")
+        have = chosen.groupBy("cell").agg(F.count(F.lit(1)).alias("have"))
+        ask = ask.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("k"))).join(have, "cell", "left")
+        ask = materialize(ask.where(F.col("place") + F.coalesce("have", F.lit(0)) <= per_cell).select(*features.columns), "index-ask")
+        want = ask.select("quad_id", "k", F.explode(F.array("a", "b", "c", "d")).alias("star")).withColumn("turn", F.row_number().over(Window.partitionBy("star").orderBy("k", "quad_id")))
+        over = want.join(uses, "star", "left").where(F.col("turn") + F.coalesce("uses", F.lit(0)) > limit).select("quad_id").distinct()
+        chosen = materialize(chosen.unionByName(ask.join(over, "quad_id", "left_anti")), "index-chosen")
+        filled = chosen.groupBy("cell").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= per_cell).select("cell")
+        left = materialize(left.join(filled, "cell", "left_anti").join(chosen.select("quad_id"), "quad_id", "left_anti"), "index-left")
+        discard(ask)
+        before, n = n, chosen.count()
+        if left.isEmpty() or n == before and limit >= loosen:
+            return chosen
+        if n == before:
+            limit += 1
 
 
 def tangent_steps() -> tuple[list[dict[str, str]], dict[str, str], list[dict[str, str]]]:
@@ -93,7 +122,7 @@ def tangent_steps() -> tuple[list[dict[str, str]], dict[str, str], list[dict[str
     return [east, north], place("l") | place("r"), [place("p"), {"u": u, "v": v}]
 
 
-def build_index(catalog: DataFrame, id_col: str, ra: str, dec: str, sort_col: str, preset: int | tuple[float, float], per_cell: int = 10, quads_per_cell: int = 8, max_uses: int = 8, dedup_arcsec: float = 0.0, nside: int | None = None) -> Index:
+def build_index(catalog: DataFrame, id_col: str, ra: str, dec: str, sort_col: str, preset: int | tuple[float, float], per_cell: int = 10, quads_per_cell: int = 8, max_uses: int = 8, dedup_arcsec: float = 0.0, nside: int | None = None, loosen: int = 20) -> Index:
     """Stars and features of one scale range (a preset number, or edges in arc minutes)."""
     low, high = preset_scales(preset) if isinstance(preset, int) else preset
     n = nside or healpix.nside_of(low)
@@ -103,7 +132,7 @@ def build_index(catalog: DataFrame, id_col: str, ra: str, dec: str, sort_col: st
         kept = uniformize_dedup(stars, "id", sort_col, "cell", per_cell, math.radians(dedup_arcsec / 3600))
         top = stars.join(kept, "id")
     top = materialize(top.withColumn("rank", F.struct("sweep", F.col(sort_col), "id")), "index-stars")
-    return Index(top.drop("rank"), materialize(cell_quads(top, n, low, high, quads_per_cell, max_uses), "index-quads"), low, high)
+    return Index(top.drop("rank"), materialize(cell_quads(top, n, low, high, quads_per_cell, max_uses, loosen), "index-quads"), low, high)
 
 
 def tiles_with_margin(stars: DataFrame, nside: int, margin_deg: float) -> DataFrame:

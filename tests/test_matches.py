@@ -49,6 +49,31 @@ def test_tiles_with_margin_equal_brute_force(spark):
         assert sure <= got[i] <= may
 
 
+def _ranked_stars(spark, places):
+    df = spark.createDataFrame([(i, float(ra), float(dec), i) for i, (ra, dec) in enumerate(places)], "k long, ra double, dec double, rank int")
+    return build_index.star_table(df, "k", "ra", "dec", 1)
+
+
+def _cluster(ra, dec):
+    return [(ra, dec), (ra + 2, dec + 2), (ra + 0.8, dec + 0.9), (ra + 1.2, dec + 1.3)]
+
+
+def test_features_of_later_pairs_are_found(spark):
+    line = [(4.8 * i, 0) for i in range(-5, 6)]
+    s = _ranked_stars(spark, line + _cluster(0, 15))
+    got = build_index.cell_quads(s, 1, 60.0, 300.0, 1, 8).collect()
+    assert [sorted((r.a, r.b, r.c, r.d)) for r in got] == [[11, 12, 13, 14]]
+
+
+def test_used_up_stars_are_replaced_then_the_limit_loosens(spark):
+    near = [*_cluster(0, 15), (1.0, 15.9)]
+    s = _ranked_stars(spark, near + _cluster(0, -15))
+    strict = build_index.cell_quads(s, 1, 60.0, 300.0, 3, 1, loosen=1).collect()
+    assert sorted(min(r.a, r.b, r.c, r.d) for r in strict) == [0, 5]
+    loose = build_index.cell_quads(s, 1, 60.0, 300.0, 3, 1).collect()
+    assert len(loose) == 3 and {r.quad_id for r in strict} <= {r.quad_id for r in loose}
+
+
 def test_shift_and_certificates(spark):
     r = np.random.default_rng(5)
     p = r.uniform(0, 50, (200, 2))
