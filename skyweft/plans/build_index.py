@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from skyweft.session import discard, materialize
 #: Lower edges of the scale presets, arc minutes (fixed values).
 PRESET_EDGES = (0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0, 11.0, 16.0, 22.0, 30.0, 42.0, 60.0, 85.0, 120.0, 170.0, 240.0, 340.0, 480.0, 680.0, 1000.0, 1400.0, 2000.0)
 FIRST_PRESET = -5
+#: Parts of a tile's side between samples.
+EDGE_STEPS = 32
 
 
 @dataclass(frozen=True)
@@ -138,26 +142,59 @@ def build_index(catalog: DataFrame, id_col: str, ra: str, dec: str, sort_col: st
 def tiles_with_margin(stars: DataFrame, nside: int, margin_deg: float) -> DataFrame:
     """Every star once per tile that holds it or lies within the margin; ``tile`` and ``own``.
 
-    The table of tiles per fine cell has a fixed size for a grid; a residual test by angle to the
-    tile's border is done by sampling the tile's edge.
+    The table of tiles per fine cell has a fixed size for a grid. Samples of a tile's edge, with their
+    spacing added to the reach, only say which stars to test; those are tested against the nearest
+    point of the edge itself. The margin counts in, as far as rounding (about 1e-7 degrees) lets it.
     """
-    import numpy as np
-
     spark = stars.sparkSession
     tiles = np.arange(12 * nside * nside)
-    t = np.linspace(0, 1, 33)
-    edge = np.stack([healpix.points_of(np.repeat(tiles, 4 * len(t)), nside, *(np.tile(np.concatenate(x), len(tiles)) for x in ((t, t, 0 * t, 0 * t + 1), (0 * t, 0 * t + 1, t, t))))]).reshape(len(tiles), -1, 3)
-    cells = [(int(i), [[float(v) for v in p] for p in e]) for i, e in zip(tiles, edge, strict=True)]
-    border = spark.createDataFrame(cells, "tile long, edge array<array<double>>")  # 12 nside^2 rows
+    t = np.linspace(0, 1, EDGE_STEPS + 1)
+    edge = np.stack([_edge_points(np.full(4 * len(t), k), np.repeat(np.arange(4), len(t)), np.tile(t, 4), nside) for k in tiles])
+    ends = edge.reshape(len(tiles), 4, len(t), 3)
+    gap = float(np.degrees(np.arccos(np.clip((ends[:, :, 1:] * ends[:, :, :-1]).sum(-1), -1, 1))).max())
     fine = max(nside, 4 * nside)
-    reach = healpix.cell_radius(fine) + margin_deg
+    reach = healpix.cell_radius(fine) + margin_deg + gap
     centre = healpix.points_of(np.arange(12 * fine * fine), fine)
     near = [(int(c), int(k)) for c in range(len(centre)) for k in np.flatnonzero((np.einsum("tek,k->te", edge, centre[c]).max(1) >= math.cos(math.radians(min(180, reach)))) | (healpix.cells_of(centre[c : c + 1], nside) == tiles))]
     lookup = spark.createDataFrame(near, "fine long, tile long")
     s = healpix.with_cell(healpix.with_cell(stars, fine, out="fine"), nside, out="home")
-    s = s.join(F.broadcast(lookup), "fine").join(F.broadcast(border), "tile")
-    closest = F.array_max(F.transform("edge", lambda p: p[0] * F.col("x") + p[1] * F.col("y") + p[2] * F.col("z")))
-    return s.where((F.col("home") == F.col("tile")) | (closest >= F.lit(math.cos(math.radians(margin_deg))))).withColumn("own", F.col("home") == F.col("tile")).drop("edge", "fine", "home")
+    s = s.join(F.broadcast(lookup), "fine")
+
+    @F.pandas_udf("double")
+    def away(x: pd.Series, y: pd.Series, z: pd.Series, tile: pd.Series) -> pd.Series:
+        return pd.Series(_degrees_to_edge(np.column_stack([x, y, z]).astype(float), tile.to_numpy(), nside, margin_deg + gap))
+
+    s = s.withColumn("own", F.col("home") == F.col("tile")).withColumn("away", away("x", "y", "z", "tile"))
+    return s.where(F.col("own") | (F.col("away") <= margin_deg + 1e-7)).drop("fine", "home", "away")
+
+
+def _edge_points(tile: np.ndarray, side: np.ndarray, t: np.ndarray, nside: int) -> np.ndarray:
+    """Points at ``t`` of [0, 1] on one of the four sides of tiles."""
+    dx = np.choose(side, (t, t, 0 * t, 0 * t + 1))
+    dy = np.choose(side, (0 * t, 0 * t + 1, t, t))
+    return healpix.points_of(tile, nside, dx, dy)
+
+
+def _degrees_to_edge(p: np.ndarray, tile: np.ndarray, nside: int, reach_deg: float) -> np.ndarray:
+    """Degrees from points to the edges of their tiles; infinite where no sample of the edge is within ``reach_deg``.
+
+    Around every sample that is nearer than its neighbours the distance is minimised by ternary search.
+    """
+    best = np.full(len(p), np.inf)
+    angle = lambda q, e: np.degrees(2 * np.arcsin(np.clip(np.linalg.norm(q - e, axis=1) / 2, 0, 1)))
+    t = np.linspace(0, 1, EDGE_STEPS + 1)
+    for side in range(4):
+        a = np.stack([angle(p, _edge_points(tile, np.full(len(p), side), np.full(len(p), v), nside)) for v in t], axis=1)
+        wide = np.pad(a, ((0, 0), (1, 1)), constant_values=np.inf)
+        row, at = np.nonzero((a <= wide[:, :-2]) & (a <= wide[:, 2:]) & (a <= reach_deg))
+        low, high = np.maximum(t[at] - 1 / EDGE_STEPS, 0), np.minimum(t[at] + 1 / EDGE_STEPS, 1)
+        q, k, sides = p[row], tile[row], np.full(len(row), side)
+        for _ in range(60):
+            one, two = low + (high - low) / 3, high - (high - low) / 3
+            left = angle(q, _edge_points(k, sides, one, nside)) <= angle(q, _edge_points(k, sides, two, nside))
+            low, high = np.where(left, low, one), np.where(left, two, high)
+        np.minimum.at(best, row, np.minimum(a[row, at], angle(q, _edge_points(k, sides, (low + high) / 2, nside))))
+    return best
 
 
 def indexes_for(indexes: DataFrame, scales: tuple[float, float], ra: float | None = None, dec: float | None = None, radius_deg: float = 0.0) -> DataFrame:

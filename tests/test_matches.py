@@ -49,6 +49,31 @@ def test_tiles_with_margin_equal_brute_force(spark):
         assert sure <= got[i] <= may
 
 
+def test_small_margins_reach_between_samples(spark):
+    k = np.repeat(np.arange(12), 64)
+    t = np.tile((np.arange(64) + 0.5) / 64, 12)
+    from skyweft.functions import healpix
+
+    edge = healpix.points_of(k, 1, t, 0 * t)
+    step = edge - healpix.points_of(k, 1, t, 0 * t + 1e-3)
+    step -= edge * (edge * step).sum(1)[:, None]
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    for away, found in ((0.15, True), (0.3, False)):
+        p = edge + step * math.tan(math.radians(away))
+        p /= np.linalg.norm(p, axis=1)[:, None]
+        if not found:  # nearest point of a bent edge by dense samples
+            u = np.linspace(0, 1, 20_001)
+            sides = [np.vstack([healpix.points_of(np.full(len(u), j), 1, *d) for d in ((u, 0 * u), (u, 0 * u + 1), (0 * u, u), (0 * u + 1, u))]) for j in range(12)]
+            true = np.array([math.degrees(math.acos(min(1.0, float((sides[j] @ q).max())))) for q, j in zip(p, k, strict=True)])
+        rows = [(i, *map(float, q)) for i, q in enumerate(p)]
+        got = {(r.id, r.tile) for r in build_index.tiles_with_margin(spark.createDataFrame(rows, "id long, x double, y double, z double"), 1, 0.2).collect()}
+        for i, j in enumerate(k):
+            if found:
+                assert (i, int(j)) in got
+            elif abs(true[i] - 0.2) > 0.01 and healpix.cells_of(p[i : i + 1], 1)[0] != j:
+                assert ((i, int(j)) in got) == (true[i] < 0.2)
+
+
 def _ranked_stars(spark, places):
     df = spark.createDataFrame([(i, float(ra), float(dec), i) for i, (ra, dec) in enumerate(places)], "k long, ra double, dec double, rank int")
     return build_index.star_table(df, "k", "ra", "dec", 1)
