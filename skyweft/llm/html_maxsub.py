@@ -1,22 +1,23 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
-A page is read as a sequence of words and tags. Words score above zero and tags below; how much
-depends on where a word stands (link, side matter or neither) and on the tag's name, as log ratios
-of counts inside and outside the main text of labelled pages. One linear scan finds the contiguous
-region of the highest sum. The region tells where the content is; its element is the smallest one
-that holds all of the region's words, widened to the outermost article or main element around it, or
-else to one that adds the h1 and no links.
-All text blocks of that element are the main text, without those of menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments inside it.
-
-An element is side matter by its tag or by a whole class, id or role name; a name does not make it so
-where it holds the main element, the only articles or 95% of the words outside side tags.
-
-The labelled pages are made by :func:`labelled_pages` from a seed, in several layouts.
-
-Defined cases: a null or empty page, or one without words outside side matter, gives the empty
-string. Unclosed tags, comments and cut pages are read as far as they go. Repeated rows each get a
-row, a null page_id stays null, an empty table gives no rows, further columns are ignored.
+A page is read as a sequence of words and tags. A word's score is the log odds, learnt from labelled
+pages, that a word in its place is main text: what is known of the place are the elements around it
+(their tags, their class, id and role names, their share of linked words) and its block (length,
+linked words, kind), each seen relative to the page's article or main elements where it has such. A
+tag's score is its learnt cost, always below zero. One linear scan finds the contiguous region of the
+highest sum, and the blocks that the region reaches are the main text. Blocks inside it whose words
+score below zero (adverts, menus, forms between paragraphs) are left out; however long, a run of such
+blocks weighs no more than SIDE_COST, so that it does not cut the content around it in two.
+
+The labelled pages are made by :func:`labelled_pages` from a seed, in several layouts. Own ones may be
+given instead. Weights come from a logistic regression over their blocks.
+
+Reading is linear in the length of a page: what an element adds is worked out once and inherited.
+
+Defined cases: a null or empty page, or one without words that score above zero, gives the empty
+string. Unclosed tags, comments and cut pages are read as far as they go. Of regions of one sum the
+first counts. Repeated rows each get a row, a null page_id stays null, an empty table gives no rows,
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import random
 import re
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,100 +44,88 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
-#: Elements that are side matter, by name.
-SIDE_TAGS = frozenset("nav header footer aside form button select option menu dialog head object embed canvas audio video".split())
-#: Class, id or role names that mark side matter, alone or in compounds such as site-header and ad-box.
-SIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices nav navbar navigation menu"
-    " sidebar footer header banner breadcrumb breadcrumbs comment comments reply replies disqus share sharing social related newsletter"
-    " subscribe subscription popup modal overlay widget pagination pager toolbar contentinfo complementary search".split()
-)
-#: Other words that such a compound may begin or end with.
-SIDE_FIRST = frozenset("site global main top bottom left right primary secondary".split())
-SIDE_LAST = frozenset("area bar block box container form inner item items links list section slot thread unit wrap wrapper".split())
-#: Elements that no name makes side matter.
-NEVER_SIDE = frozenset("html body main article".split())
-#: Share of the words outside side elements from which an element holds the content, whatever its name.
-MOST = 0.95
+#: Elements whose words are not main text wherever they stand (fixed by what is asked for).
+NEVER_MAIN = frozenset("head nav form button select option menu dialog object embed canvas audio video".split())
+#: Elements whose words do not count when it is asked which element holds most of a page.
+APART = NEVER_MAIN | frozenset("header footer aside".split())
+HOMES = frozenset(("article", "main"))
 BLOCKS = frozenset(
     "p div section article main body html h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre hr"
     " figure figcaption address details summary fieldset center nav header footer aside form menu dialog".split()
 )
-#: Elements that may be the one that holds the content.
-CONTAINERS = frozenset("html body div section article main td center".split())
 VOID = frozenset("br hr img input meta link area base col source track wbr".split())
 #: An opening tag of the key ends an open element of the values.
-ENDS = {t: ("p",) for t in BLOCKS - {"html", "body"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
+ENDS = {t: ("p",) for t in BLOCKS - {"html", "body"}} | {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",), "body": ("head",)}
 #: An element of the key is not ended from inside of one of the values.
-SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": tuple(CONTAINERS | {"table", "td", "th", "li", "blockquote", "ul", "ol", "nav", "header", "footer", "aside", "form"}), "option": ("select",)}
+SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "p": tuple("html body div section article main td center table th li blockquote ul ol nav header footer aside form".split()), "option": ("select",), "head": ()}
+#: From this share of a page's words on an element's names say nothing of what it holds.
+MOST = 0.9
+#: Bounds of a word's and a tag's score, and the most that a run of side matter weighs.
+WORD_SCORE, TAG_SCORE, SIDE_COST = (1.0, 6.0), (-0.3, -0.02), 3.0
 
 
-def _side_name(token: str) -> bool:
-    """Whether one whole class name, id or role is a side name or a compound of one."""
-    parts = NAME_PART.findall(token)
-    while parts and parts[0] in SIDE_FIRST:
-        parts.pop(0)
-    while parts and parts[-1] in SIDE_LAST:
-        parts.pop()
-    return bool(parts) and SIDE_NAMES.issuperset(parts)
+class Element:
+    __slots__ = ("parent", "name", "names", "words", "linked", "homes", "apart", "is_home", "home")
 
+    def __init__(self, parent: int, name: str, names: tuple[str, ...], apart: bool, is_home: bool, home: bool):
+        self.parent, self.name, self.names, self.apart, self.is_home, self.home = parent, name, names, apart, is_home, home
+        self.words = self.linked = self.homes = 0
 
-def _named_side(attrs: str) -> bool:
-    return any(_side_name(token) for _, a, b, c in ATTRIBUTE.findall(attrs) for token in (a or b or c).lower().split())
 
+class Frame:
+    """An open tag: its element, whether it is in a link, and where what it may end stands."""
 
-class Reader:
-    """A page's ``tokens`` (kind, words, block) and ``blocks`` (text, side, containers).
+    __slots__ = ("name", "element", "link", "near", "heading")
+
+    def __init__(self, name: str, element: int, link: bool, near: dict[str, int], heading: str):
+        self.name, self.element, self.link, self.near, self.heading = name, element, link, near, heading
 
-    Elements that are side matter by their name alone are numbered as they open. Those that hold a main
-    element, the only articles or nearly all words are read again as content.
-    """
+
+def _names(attrs: str) -> tuple[str, ...]:
+    """Whole class, id and role names and their first and last parts, as features."""
+    out = []
+    for kind, a, b, c in ATTRIBUTE.findall(attrs):
+        for token in (a or b or c).lower().split():
+            if kind.lower() == "role" and token == "main":
+                out.append("role:main")
+                continue
+            parts = NAME_PART.findall(token)
+            if parts:
+                out += ["name:" + "-".join(parts), f"first:{parts[0]}", f"last:{parts[-1]}"]
+    return tuple(dict.fromkeys(out))
+
+
+class Reader:
+    """A page's ``tokens`` (tag or None, words, block), ``blocks`` (text, element, words, linked words, heading) and ``elements``."""
 
     def __init__(self, page: str):
-        self._read(page, frozenset())
-        spared = self._spared()
-        if spared:
-            self._read(page, spared)
-
-    def _spared(self) -> frozenset[int]:
-        words = sum(self.words.values())
-        articles = sum(1 for kind, _ in self.homes if kind == "article")
-        mains = {m for kind, marks in self.homes if kind == "main" for m in marks}
-        held: dict[int, int] = {}
-        inside: dict[int, int] = {}
-        for marks, n in self.words.items():
-            for m in marks:
-                held[m] = held.get(m, 0) + n
-        for kind, marks in self.homes:
-            if kind == "article":
-                for m in marks:
-                    inside[m] = inside.get(m, 0) + 1
-        only = {m for m, n in inside.items() if n == articles} if articles and not any(kind == "main" for kind, _ in self.homes) else set()
-        return frozenset(mains | only | {m for m, n in held.items() if n >= MOST * words})
-
-    def _read(self, page: str, spared: frozenset[int]) -> None:
-        self.tokens: list[tuple[str, int, int]] = []
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
-        self.names: list[str] = []
-        self.titles: set[int] = set()
-        #: Words outside side elements, and main and article elements, by the numbered elements around them.
-        self.words: dict[tuple[int, ...], int] = {}
-        self.homes: list[tuple[str, tuple[int, ...]]] = []
-        named = 0
-        stack: list[tuple[str, bool, bool, tuple[int, ...], tuple[int, ...] | None]] = [("", False, False, (), ())]
+        self.tokens: list[tuple[str | None, int, int]] = []
+        self.blocks: list[tuple[str, int, int, int, str]] = []
+        self.elements = [Element(-1, "", (), False, False, False)]
+        stack = [Frame("", 0, False, {}, "")]
+        open_: dict[str, int] = {}
         parts: list[str] = []
+        pending = [0, 0, 0]  # words and linked words of the block, and its first token
+        tokens, blocks, elements = self.tokens, self.blocks, self.elements
 
         def flush() -> None:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
             parts.clear()
             if text:
-                if any(x[0] == "h1" for x in stack):
-                    self.titles.add(len(self.blocks))
-                self.blocks.append((text, stack[-1][1], stack[-1][3]))
+                top = stack[-1]
+                blocks.append((text, top.element, pending[0], pending[1], top.heading))
+                e = elements[top.element]
+                e.words += pending[0]
+                e.linked += pending[1]
+            elif pending[0]:  # spaces written as character references
+                tokens[pending[2] :] = [t for t in tokens[pending[2] :] if t[0] is not None]
+            pending[:] = 0, 0, len(tokens)
 
         def close(at: int) -> None:
-            if any(x[0] in BLOCKS for x in stack[at:]) or stack[-1][1] != stack[at - 1][1]:
+            if any(f.name in BLOCKS or f.element != stack[at - 1].element for f in stack[at:]):
                 flush()
+            for f in stack[at:]:
+                open_[f.name] -= 1
             del stack[at:]
 
         for m in TOKEN.finditer(page):
@@ -144,22 +134,24 @@ class Reader:
                 parts.append(text)
                 n = len(text.split())
                 if n:
-                    _, side, link, _, marks = stack[-1]
-                    if marks is not None:
-                        self.words[marks] = self.words.get(marks, 0) + n
-                    self.tokens.append(("side" if side else "link" if link else "word", n, len(self.blocks)))
+                    tokens.append((None, n, len(blocks)))
+                    pending[0] += n
+                    if stack[-1].link:
+                        pending[1] += n
                 continue
             name = m["name"] or m["name2"]
             if name is None:
                 continue
             name = name.lower()
-            self.tokens.append((name, 0, len(self.blocks)))
             if m["close"] or m["close2"]:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-                if at:
+                if open_.get(name):
+                    at = len(stack) - 1
+                    while stack[at].name != name:
+                        at -= 1
                     close(at)
                 elif name in BLOCKS:
                     flush()
+                tokens.append((name, 0, -1))
                 continue
             if name == "br":
                 parts.append(" ")
@@ -167,68 +159,94 @@ class Reader:
             if name in VOID:
                 if name in BLOCKS:
                     flush()
+                tokens.append((name, 0, -1))
                 continue
             for old in ENDS.get(name, ()):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == old:
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPE.get(old, ()):
-                        break
+                at = stack[-1].near.get(old, 0)
+                if at:
+                    close(at)
             attrs = m["attrs"] or m["attrs2"] or ""
             if attrs.endswith("/") and name not in BLOCKS:
                 continue
-            _, side, link, inside, marks = stack[-1]
-            own = side
-            if name in SIDE_TAGS:
-                own, marks = True, None
-            elif marks is not None:
-                if name not in NEVER_SIDE and attrs and _named_side(attrs):
-                    own = side or named not in spared
-                    marks = (*marks, named)
-                    named += 1
-                if name in ("main", "article"):
-                    self.homes.append((name, marks))
-            if name in BLOCKS or own != side:
+            top = stack[-1]
+            element, names = top.element, _names(attrs) if attrs else ()
+            if name in BLOCKS or name in NEVER_MAIN or names:
                 flush()
-            if name in CONTAINERS:
-                inside = (*inside, len(self.names))
-                self.names.append(name)
-            stack.append((name, own, link or name == "a", inside, marks))
+                above = elements[element]
+                is_home = name in HOMES or "role:main" in names
+                elements.append(Element(element, name, names, above.apart or name in APART, is_home, above.home or is_home))
+                element = len(elements) - 1
+            tokens.append((name, 0, -1))
+            near = top.near
+            if name in SCOPE or name in _SCOPES:
+                near = {old: at for old, at in near.items() if name not in SCOPE[old]}
+                if name in SCOPE:
+                    near[name] = len(stack)
+            stack.append(Frame(name, element, top.link or name == "a", near, name if name in ("h1", "h2", "h3", "li", "td", "p") else top.heading))
+            open_[name] = open_.get(name, 0) + 1
         flush()
+        self.total = 0  # words outside elements that stand apart
+        for e in elements:
+            if not e.apart:
+                self.total += e.words
+        for e in reversed(elements[1:]):
+            up = elements[e.parent]
+            up.words += e.words
+            up.linked += e.linked
+            up.homes += e.homes + (e.is_home and e.words > 0)
+        self.has_home = elements[0].homes > 0
+
+    def element_features(self, e: Element) -> list[str]:
+        """What an element adds to what is known of the words in it."""
+        where = "around" if e.homes and not e.home else "in" if e.home else "out" if self.has_home else "no"
+        out = [f"{e.name}|{where}"]
+        if where != "around" and e.names and not (not e.apart and e.words >= MOST * self.total):
+            out += e.names
+        return out
+
+    def block_features(self, block: tuple[str, int, int, int, str]) -> list[str]:
+        _, at, words, linked, heading = block
+        e = self.elements[at]
+        where = "in" if e.home else "out" if self.has_home else "no"
+        parent = self.elements[e.parent] if e.parent >= 0 else e
+        return ["bias", f"place|{where}", f"linked:{round(4 * linked / max(1, words))}|{where}", f"around:{round(4 * parent.linked / max(1, parent.words))}|{where}", f"length:{min(6, words.bit_length())}|{where}", f"kind:{heading}|{where}"]
+
+    def scores(self, weights: dict[str, float]) -> list[float]:
+        """Log odds of the words of each block."""
+        get = weights.get
+        down = [0.0] * len(self.elements)
+        for i, e in enumerate(self.elements):
+            if i:
+                own = -WORD_SCORE[1] * 4 if e.name in NEVER_MAIN else sum(get(f, 0.0) for f in self.element_features(e))
+                down[i] = max(-50.0, min(50.0, down[e.parent] + own))
+        return [down[b[1]] + sum(get(f, 0.0) for f in self.block_features(b)) for b in self.blocks]
+
+    def region(self, weights: dict[str, float]) -> tuple[list[float], int, int]:
+        """The words' scores by block, and the best region's first and last token."""
+        least, most = WORD_SCORE
+        word = [min(most, max(least, x)) if x > 0 else x for x in self.scores(weights)]
+        rest = weights.get("<>", TAG_SCORE[1])
+        line = [weights.get(f"<{name}>", rest) if name is not None else n * word[b] for name, n, b in self.tokens]
+        first, last = -1, -1  # of a run of side matter, with the tags between its words
+        for i, (name, _, b) in enumerate([*self.tokens, (None, 0, None)]):
+            if name is not None:
+                continue
+            if b is not None and word[b] <= 0:
+                first, last = (i if first < 0 else first), i
+            elif first >= 0:
+                total = sum(line[first : last + 1])
+                if total < -SIDE_COST:
+                    line[first : last + 1] = [x * SIDE_COST / -total for x in line[first : last + 1]]
+                first = -1
+        return word, *best_region(line)
 
     def text(self, weights: dict[str, float]) -> str:
-        first, last = best_region([weights.get(k, weights["tag"]) * (n or 1) for k, n, _ in self.tokens])
-        held: dict[int, int] = {}
-        total = 0
-        for kind, n, block in self.tokens[first:last]:
-            if n and kind != "side" and block < len(self.blocks) and not self.blocks[block][1]:
-                total += n
-                for c in self.blocks[block][2]:
-                    held[c] = held.get(c, 0) + n
-        if not total:
-            return ""
-        around = sorted(c for c, n in held.items() if n == total)  # from outside in
-        named = [c for c in around if self.names[c] in ("article", "main")]
-        chosen = named[0] if named else self._with_title(around)
-        return "\n\n".join(text for text, side, inside in self.blocks if not side and (chosen is None or chosen in inside))
-
-
-    def _with_title(self, around: list[int]) -> int | None:
-        """The last of the nested containers ``around``, or one around it (not html or body) that adds an h1 and no links."""
-        if not around:
-            return None
-        links = {block for kind, _, block in self.tokens if kind == "link"}
-        chosen = around[-1]
-        for c in reversed(around[:-1]):
-            if self.names[c] in ("html", "body"):
-                break
-            more = [i for i, (_, side, inside) in enumerate(self.blocks) if not side and c in inside and chosen not in inside]
-            if not links.isdisjoint(more):
-                break
-            if not self.titles.isdisjoint(more):
-                chosen = c
-        return chosen
+        word, first, last = self.region(weights)
+        reached = dict.fromkeys(b for name, _, b in self.tokens[first:last] if name is None)
+        return "\n\n".join(self.blocks[b][0] for b in reached if word[b] > 0)
+
+
+_SCOPES = frozenset(name for names in SCOPE.values() for name in names)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -243,40 +261,158 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def labelled_pages(n: int = 120, seed: int = 5) -> list[tuple[str, str]]:
-    """(html, main text) of made-up pages in several layouts."""
+#: Names that page authors give to side matter and to content (fixed values of the made-up pages).
+SIDE_WORDS = (
+    "ad ads advert advertisement sponsor sponsored promo cookie cookies consent gdpr notice notices nav navbar navigation menu sidebar"
+    " footer header banner breadcrumb breadcrumbs comment comments reply replies disqus share sharing social related newsletter"
+    " subscribe subscription popup modal overlay pagination pager toolbar complementary contentinfo"
+).split()
+MAIN_WORDS = "main content post entry story text body article page node copy prose".split()
+
+
+def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, str]]:
+    """(html, main text) of made-up pages in several layouts, with side matter before, after and inside the content."""
     r = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
     words = ["".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(400)]
     some = lambda a, b: " ".join(r.choice(words) for _ in range(r.randint(a, b)))
+    links = lambda: "".join(f'<li><a href="/{w}">{w}</a></li>' for w in r.sample(words, r.randint(3, 12)))
+
+    bar = lambda: " ".join(f"<a href='/{w}'>{w}</a>" for w in r.sample(words, r.randint(2, 6)))
+
+    def side_name() -> str:
+        w = r.choice(SIDE_WORDS)
+        return r.choice([w, w, w, f"site-{w}", f"top-{w}", f"{w}-box", f"{w}-list", f"{w}-container", f"{w}-area"])
+
+    def main_name() -> str:
+        w, s = r.choice(MAIN_WORDS), r.choice(SIDE_WORDS)
+        return r.choice([w, w, w, w, f"{w}-body", f"{w}-text", f"{w} has-{s}", f"{w} with-{s}", f"{w} {s}-open", f"no-{s}", "widget-text", "search-results", "search-page", "header-image", "entry-header", "related-work"])
+
+    def side(inside: bool) -> str:
+        body = r.choice([f"<p>{some(3, 40)}</p>", some(2, 25), f"<ul>{links()}</ul>", f"<p>{some(1, 6)} <a href='/x'>{some(1, 4)}</a></p>", f"<h3>{some(1, 4)}</h3><ul>{links()}</ul>", bar(), f"<p>{some(5, 30)}</p><p>{some(5, 30)}</p>"])
+        if r.random() < 0.5:
+            where = r.choice(["class", "class", "id"])
+            return f"<{(t := r.choice(['div', 'div', 'section', 'ul' if body.startswith('<li') else 'div']))} {where}='{side_name()}'>{body}</{t}>"
+        if inside:
+            return r.choice([f"<aside>{body}</aside>", f"<form>{body}<input></form>", f"<footer>{body}</footer>", f"<nav><ul>{links()}</ul></nav>"])
+        return r.choice([f"<nav><ul>{links()}</ul></nav>", f"<header>{body}</header>", f"<header><h1>{some(1, 4)}</h1><nav><ul>{links()}</ul></nav></header>", f"<footer>{body}</footer>", f"<footer>{some(3, 25)}</footer>", f"<aside>{body}</aside>", f"<form>{body}<input></form>", f"<div><ul>{links()}</ul></div>", f"<div>{bar()}</div>", f"<div id='{r.choice(['top', 'bottom'])}'>{bar()}</div>", f"<div role='{r.choice(['navigation', 'banner', 'contentinfo', 'complementary'])}'>{body}</div>"])
+
+    def piece(blocks: list[str]) -> str:
+        kind = r.random()
+        if kind < 0.72:
+            b = some(1, 90)
+            blocks.append(b)
+            return r.choice([f"<p>{b}</p>", f"<p>{b}</p>", f"<p>{b}", f"<div>{b}</div>", f"<blockquote>{b}</blockquote>", f"<p class='{main_name()}'>{b}</p>"])
+        if kind < 0.8:
+            a, b = some(1, 8), some(1, 12)
+            blocks.extend([a, b])
+            return f"<ul><li>{a}</li><li>{b}</li></ul>"
+        if kind < 0.86:
+            b = some(1, 7)
+            blocks.append(b)
+            return f"<h2>{b}</h2>"
+        if kind < 0.93:
+            a, b, c = some(1, 20), some(1, 4), some(1, 20)
+            blocks.append(f"{a} {b} {c}")
+            return f"<p>{a} <a href='/y'>{b}</a> {c}</p>"
+        if kind < 0.96:
+            b = some(1, 8)
+            blocks.append(b)
+            return f"<p><a href='/z'>{b}</a></p>"
+        b = some(3, 30)
+        blocks.append(b)
+        return f"<div class='{main_name()}'><p>{b}</p></div>"
+
     out = []
     for _ in range(n):
-        blocks = [some(3, 9)] + [some(1, 90) for _ in range(r.randint(1, 9))]
-        body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
-        links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in r.sample(words, r.randint(3, 12)))
-        open_, shut = r.choice([("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post"><section>', "</section></div>"), ("<main><article>", "</article></main>")])
-        before = r.choice([f"<nav><ul>{links}</ul></nav>", f"<header><p>{some(2, 8)}</p></header>", f'<div class="menu"><ul>{links}</ul></div>', f'<div class="cookie-notice"><p>{some(8, 30)}</p></div>'])
-        after = r.choice([f"<footer><p>{some(3, 25)}</p></footer>", f"<aside><p>{some(5, 40)}</p><ul>{links}</ul></aside>", f'<div class="comments"><p>{some(5, 60)}</p></div>', f"<form><p>{some(2, 9)}</p><input></form>"])
-        out.append((f"<html><head><title>{some(2, 6)}</title></head><body>{before}{open_}{body}{shut}{after}</body></html>", "\n\n".join(blocks)))
+        title = some(2, 9)
+        blocks = [title]
+        head = r.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<div class='{r.choice(['entry-header', 'post-header', 'title-header'])}'><h1>{title}</h1></div>"])
+        plain = f"<h1>{title}</h1>"
+        body = [piece(blocks) for _ in range(r.randint(1, 9))]
+        if sum(len(b.split()) for b in blocks) < 25:
+            blocks.append(some(25, 60))
+            body.append(f"<p>{blocks[-1]}</p>")
+        while r.random() < 0.55:
+            body.insert(r.randrange(len(body) + 1), side(True))
+        half = len(body) // 2
+        rest, first = "".join(body), "".join(body[:half])
+        main = r.choice(
+            [
+                f"<article>{head}{rest}</article>",
+                f"<article class='{main_name()}'>{head}{rest}</article>",
+                f"<main>{head}{rest}</main>",
+                f"<div role='main'>{head}{rest}</div>",
+                f"<main><article>{head}{rest}</article></main>",
+                f"<main>{plain}{first}<article>{''.join(body[half:])}</article></main>",
+                f"<div class='{main_name()}'>{plain}{rest}</div>",
+                f"<div id='{r.choice(MAIN_WORDS)}'>{plain}<div class='{main_name()}'>{rest}</div></div>",
+                f"<div id='{r.choice(MAIN_WORDS)}'><section>{plain}{first}</section><section>{''.join(body[half:])}</section></div>",
+                f"<div>{plain}{rest}</div>",
+                f"<div class='{r.choice(SIDE_WORDS)}'><article>{head}{rest}</article></div>",
+                f"<table><tr><td>{plain}{rest}</td></tr></table>",
+            ]
+        )
+        before, after = "".join(side(False) for _ in range(r.randint(0, 3))), "".join(side(False) for _ in range(r.randint(0, 3)))
+        whole = f"{before}{main}{after}"
+        wrap = r.choice(["", "", "<div class='wrap'>", "<div id='page'>"])
+        out.append((f"<html><head><title>{some(2, 6)}</title></head><body{r.choice(['', '', f' class={chr(39)}{main_name()}{chr(39)}'])}>{wrap}{whole}{'</div>' if wrap else ''}</body></html>", "\n\n".join(blocks)))
     return out
 
 
-def train_weights(pages: list[tuple[str, str]]) -> dict[str, float]:
-    """Log ratios of token kinds inside and outside the main text, words kept above and tags below zero."""
+def train_weights(pages: list[tuple[str, str]], ridge: float = 4e-6, least: int = 3, steps: int = 14) -> dict[str, float]:
+    """Log odds of features by logistic regression over the pages' blocks, and costs of tags by their share beside main text."""
+    index: dict[str, int] = {}
+    rows: list[dict[int, float]] = []
+    label: list[bool] = []
     inside: dict[str, int] = {}
     outside: dict[str, int] = {}
     for page, main in pages:
         read, kept = Reader(page), set(main.split("\n\n"))
-        good = {i for i, b in enumerate(read.blocks) if b[0] in kept}
-        for kind, n, block in read.tokens:
-            count = inside if block in good else outside
-            count[kind] = count.get(kind, 0) + (n or 1)
-    total_in, total_out = sum(inside.values()), sum(outside.values())
-    kinds = inside.keys() | outside.keys() | {"link", "side", "word"}
-    ratio = {k: math.log((inside.get(k, 0) + 1) / (total_in + len(kinds))) - math.log((outside.get(k, 0) + 1) / (total_out + len(kinds))) for k in kinds}
-    weights = {k: min(-0.1, v) for k, v in ratio.items() if k not in ("word", "link", "side")}
-    weights |= {"word": max(0.5, ratio["word"]), "link": max(0.05, ratio["link"]), "side": min(-0.5, ratio["side"])}
-    weights["tag"] = sum(v for k, v in weights.items() if k not in ("word", "link", "side")) / max(1, len(weights) - 3)
+        good = [b[0] in kept for b in read.blocks]
+        down: list[dict[int, float]] = []
+        for i, e in enumerate(read.elements):
+            f = dict(down[e.parent]) if i else {}
+            for name in read.element_features(e) if i and e.name not in NEVER_MAIN else ():
+                k = index.setdefault(name, len(index))
+                f[k] = f.get(k, 0.0) + 1
+            down.append(f)
+        ever = [False] * len(read.elements)
+        for i, e in enumerate(read.elements):
+            ever[i] = bool(i) and (ever[e.parent] or e.name in NEVER_MAIN)
+        for b, ok in zip(read.blocks, good, strict=True):
+            if not ever[b[1]]:
+                f = dict(down[b[1]])
+                for name in read.block_features(b):
+                    k = index.setdefault(name, len(index))
+                    f[k] = f.get(k, 0.0) + 1
+                rows.append(f)
+                label.append(ok)
+        spots = [i for i, (name, _, b) in enumerate(read.tokens) if name is None and good[b]]
+        lo, hi = (spots[0], spots[-1]) if spots else (0, -1)
+        for i, (name, _, _) in enumerate(read.tokens):
+            if name is not None:
+                count = inside if lo <= i <= hi else outside
+                count[name] = count.get(name, 0) + 1
+    weights: dict[str, float] = {}
+    if rows:
+        x = np.zeros((len(rows), len(index)))
+        for i, f in enumerate(rows):
+            x[i, list(f)] = list(f.values())
+        known = (x > 0).sum(0) >= least
+        x, index = x[:, known], {n: k for k, n in enumerate(n for n, k in index.items() if known[k])}
+        y, w = np.array(label, float), np.zeros(len(index))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            hess = (x * (p * (1 - p))[:, None]).T @ x / len(x) + ridge * np.eye(len(w))
+            w -= np.linalg.solve(hess, x.T @ (p - y) / len(x) + ridge * w)
+        weights |= {name: round(float(w[k]), 6) for name, k in index.items()}
+    names = inside.keys() | outside.keys()
+    a, b = sum(inside.values()) + len(names) + 1, sum(outside.values()) + len(names) + 1
+    low, high = TAG_SCORE
+    ratio = {t: math.log((inside.get(t, 0) + 1) / a) - math.log((outside.get(t, 0) + 1) / b) for t in names}
+    weights |= {f"<{t}>": round(min(high, max(low, v / 10)), 6) for t, v in ratio.items()}
+    weights["<>"] = round(sum(weights[f"<{t}>"] for t in names) / max(1, len(names)), 6) if names else high
     return weights
 
 
