@@ -294,9 +294,35 @@ def test_joining_is_associative():
     e = bpe_tree.encoder()
     for _ in range(300):
         a, b, c = ("".join(r.choice("abetinghs") for _ in range(r.randint(0, 30))).encode() for _ in range(3))
-        t = [e.piece_tokens(x) for x in (a, b, c)]
+        t = [e.piece_ids(x) for x in (a, b, c)]
         left, right = e.join(e.join(t[0], t[1]), t[2]), e.join(t[0], e.join(t[1], t[2]))
-        assert left == right == e.piece_tokens(a + b + c)
+        assert left == right == e.piece_ids(a + b + c)
+
+
+def test_the_tree_does_the_work(spark, sf):
+    e = bpe_tree.TreeEncoder(bpe_tree.encoder().ranks, public_tokenizers.PATTERN)
+    texts = [t for _, t in _docs(spark, sf) if t]
+    for t in texts:
+        e.encode(t)
+    pieces = {p for t in texts for p in e.pattern.findall(t)}
+    long = [p for p in pieces if len(p.encode()) > bpe_tree.LEAF_BYTES and p.encode() not in e.ranks]
+    assert e.trees >= len(long) > 1000 and e.joins >= len(long) and e.windows > e.joins / 4
+    # every window is of the neighbours of one seam, and no leaf holds a whole long piece
+    assert max(map(len, e.leaves)) <= bpe_tree.LEAF_BYTES
+    plain = {p: e.merge(p.encode()) for p in long}
+    e.merge = lambda data, merge=e.merge: merge(data) if data not in whole else pytest.fail("a whole piece was merged at once")  # type: ignore[method-assign]
+    whole = {p.encode() for p in long if len(p) > 24}
+    assert all(e.piece_ids(p.encode()) == plain[p] for p in long if len(p) > 24)
+
+
+def test_neighbours_that_are_stable_make_an_encoding():
+    r = random.Random(7)
+    e = bpe_tree.encoder()
+    ids = sorted(e.vocab)
+    for _ in range(3000):
+        run = [r.choice(ids) for _ in range(r.randint(2, 5))]
+        data = b"".join(e.vocab[i] for i in run)
+        assert (e.merge(data) == run) == (all(e.again(a, b) is None for a, b in zip(run, run[1:], strict=False)) and data not in e.ranks)
 
 
 def test_token_query(spark, sf, library):
