@@ -1,13 +1,15 @@
 """TIFF media columns: image directories walked, strips and tiles decoded, one row per page.
 
 Reads classic TIFF of either byte order: uncompressed, PackBits, LZW and deflate strips or tiles,
-8-bit samples, chunky or planar, with or without the horizontal predictor. The writer stores bytes
-as 8-bit grey pages of a fixed width and is lossless.
+samples of 1, 2, 4, 8, 16 or 32 bits, chunky or planar, with or without the horizontal predictor. A
+page's bytes are its samples by row, those of less than 8 bits as a byte each, those of more in
+little-endian order. The writer stores bytes as 8-bit grey pages of a fixed width and is lossless.
 
 Defined cases: a null blob gives one row with page -1 and error 'null'; a blob that is no TIFF, is
-cut short, repeats a directory or holds an unsupported form gives one row with page -1 and the
-reason after the pages read so far. A null text is stored like an empty one. Repeated rows each get
-rows, an empty table gives none, further columns are ignored.
+cut short, repeats a directory, has a size of zero, is too short for the size it claims or holds an
+unsupported form gives one row with page -1 and the reason after the pages read so far. A null text
+is stored like an empty one. Repeated rows each get rows, an empty table gives none, further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweft.llm.batches import sliced
+
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 OLD_DEFLATE = 32946
 #: Bytes of each field type, by its code; fixed by the format.
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_W, TILE_H, TILES, TILE_BYTES = 322, 323, 324, 325
+#: Bytes that one byte of a segment can stand for at most, by compression: bounds what a page can hold.
+EXPANSION = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
 PAGE_ROWS = 16_384
 STRIP_ROWS = 1_024
 PIXELS_A_ROW = 64
@@ -234,37 +240,57 @@ def walk_pages(data: bytes) -> Iterator[Page]:
                 tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
                 size = TYPE_BYTES.get(kind, 0) * count
                 where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-                if kind in (1, 3, 4):
+                if kind in (1, 3, 4) and count:
+                    if size > len(data):
+                        raise TiffError(f"directory {index}: a field is longer than the file")
                     tags[tag] = struct.unpack_from(f"{order}{count}{'BHI'[(1, 3, 4).index(kind)]}", data, where)
             after = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
-            yield _page(data, tags, index)
-        except (struct.error, KeyError, IndexError) as e:
+            page = _page(data, tags, index, order)
+        except (struct.error, KeyError, IndexError, MemoryError, OverflowError) as e:
             raise TiffError(f"directory {index}: {e}") from e
+        yield page
         at, index = after, index + 1
 
 
-def _page(data: bytes, tags: dict, index: int) -> Page:
-    width, height = tags[WIDTH][0], tags[HEIGHT][0]
-    samples, planar = tags.get(SAMPLES, (1,))[0], tags.get(PLANAR, (1,))[0]
-    compression, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-    if any(b != 8 for b in tags.get(BITS, (1,))):
-        raise TiffError("samples are not of 8 bits")
-    if predictor not in (1, 2):
-        raise TiffError(f"predictor {predictor}")
+def _page(data: bytes, tags: dict, index: int, order: str) -> Page:
+    one = lambda tag, default=None: tags.get(tag, (default,))[0] if default is not None else tags[tag][0]
+    width, height = one(WIDTH), one(HEIGHT)
+    samples, planar = one(SAMPLES, 1), one(PLANAR, 1)
+    compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    kinds = set(tags.get(BITS, (1,)))
+    bits = kinds.pop()
+    if kinds or bits not in (1, 2, 4, 8, 16, 32):
+        raise TiffError("samples are not of 1, 2, 4, 8, 16 or 32 bits each")
+    if predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise TiffError(f"predictor {predictor} with {bits} bits")
+    if compression not in EXPANSION:
+        raise TiffError(f"compression {compression}")
     tiled = TILES in tags
-    w, h = (tags[TILE_W][0], tags[TILE_H][0]) if tiled else (width, min(tags.get(ROWS, (height,))[0], height))
+    w, h = (one(TILE_W), one(TILE_H)) if tiled else (width, min(one(ROWS, height), height))
+    if min(width, height, samples, w, h) < 1:
+        raise TiffError("a size is zero")
     at, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags[STRIP_BYTES])
     depth = samples if planar == 1 else 1
     planes = 1 if planar == 1 else samples
     across, down = -(-width // w), -(-height // h)
-    image = np.zeros((planes, down * h, across * w, depth), np.uint8)
+    held = sum(min(n, len(data)) for n in sizes) * EXPANSION[compression]
+    row = -(-w * depth * bits // 8)
+    if planes * across * (down * h if tiled else height) * row > held + 8:
+        raise TiffError("segments are too short for the page")
+    sample = np.dtype(f"<u{max(1, bits // 8)}")
+    image = np.zeros((planes, down * h, across * w, depth), sample)
     for k in range(planes * across * down):
         plane, cell = divmod(k, across * down)
         y, x = divmod(cell, across)
         rows = h if tiled else min(h, height - y * h)
-        part = np.frombuffer(_unpack(data[at[k] : at[k] + sizes[k]], compression, rows * w * depth), np.uint8).reshape(rows, w, depth)
+        raw = np.frombuffer(_unpack(data[at[k] : at[k] + sizes[k]], compression, rows * row), np.uint8)
+        if bits < 8:
+            each = np.unpackbits(raw.reshape(rows, row), axis=1).reshape(rows, -1, bits)
+            part = (each @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, : w * depth].reshape(rows, w, depth)
+        else:
+            part = raw.view(np.dtype(f"{order}u{bits // 8}")).reshape(rows, w, depth)
         if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=np.uint8)
+            part = np.cumsum(part, axis=1, dtype=sample)
         image[plane, y * h : y * h + rows, x * w : x * w + w] = part
     image = image[:, :height, :width]
     flat = image[0] if planes == 1 else np.moveaxis(image[..., 0], 0, -1)
@@ -277,20 +303,23 @@ PAGE_SCHEMA = "id long, page int, width int, height int, samples int, compressio
 def tiff_pages(blobs: DataFrame, id_col: str, blob_col: str) -> DataFrame:
     """One row per page of every TIFF in ``blob_col``; see the module text for what fails."""
 
+    kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.string()]
+    names = [f.split()[0] for f in PAGE_SCHEMA.split(", ")]
+
+    def rows(i, blob):
+        try:
+            if blob is None:
+                raise TiffError("null")
+            for p in walk_pages(blob):
+                yield i, p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.data, None
+        except TiffError as e:
+            yield i, -1, None, None, None, None, None, None, str(e)
+
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                try:
-                    if blob is None:
-                        raise TiffError("null")
-                    for p in walk_pages(blob):
-                        rows.append((i, p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.data, None))
-                except TiffError as e:
-                    rows.append((i, -1, None, None, None, None, None, None, str(e)))
-                kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.string()]
-                names = [f.split()[0] for f in PAGE_SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+                for row in rows(i, blob):  # a page at a time
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
     return blobs.select(F.col(id_col).cast("long").alias("id"), F.col(blob_col).cast("binary").alias("blob")).mapInArrow(run, PAGE_SCHEMA)
 
@@ -307,7 +336,7 @@ def _media_rows(compression: int, predictor: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -330,7 +359,7 @@ def text_tiffs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, media)``: each text as a TIFF, for :func:`tiff_pages`."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             media = []
             for t in batch.column(1).to_pylist():
                 raw = (t or "").encode("utf-8", "surrogatepass")
