@@ -2,10 +2,12 @@
 
 The rules' regular expressions are compiled together: parsed, turned into one non-deterministic
 automaton over bytes, made deterministic by subset construction over byte classes and minimised by
-partition refinement. The result is one transition array. A scan reads each byte of a text once and
-notes where some rule has just completed a match. There the rule's reversed automaton finds the
-leftmost start and its own automaton the longest end, which gives leftmost-longest matches that do
-not overlap within a rule. An extra condition of a rule (``check``) then drops matches; what it
+partition refinement. The result is one transition array. One pass reads each byte of a text once and
+notes where each rule completes a match for the first time; most texts are done then. From there on
+the rule's own automata take over: the reversed one finds the leftmost start, the anchored one the
+longest end, and the open one starts afresh behind that end and goes on to the next completed match.
+So matches are leftmost-longest and do not overlap within a rule, and no byte is read more than a few
+times per rule, whatever the text. An extra condition of a rule (``check``) drops matches; what it
 drops is not searched again.
 
 A rule's first completed match has to have the leftmost start, which holds for rules that begin with
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweft.llm.batches import sliced
 
 @dataclass(frozen=True)
 class Rule:
@@ -219,22 +222,40 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.all = Dfa(rules, anchored=False)
+        self.open = [Dfa((r,), anchored=False) for r in rules]
         self.ahead = [Dfa((r,), anchored=True) for r in rules]
         self.behind = [Dfa((r,), anchored=True, back=True) for r in rules]
 
-    def _events(self, data: bytes) -> list[tuple[int, int]]:
+    def _first(self, data: bytes) -> dict[int, int]:
+        """Rule -> where it completes its first match, from one pass over the bytes."""
         d = self.all
-        table, accept, s, out = d.table, d.accept, d.start * d.classes, []
-        for i, c in enumerate(data.translate(d.byte_class)):
+        table, accept, mask, s, out = d.table, d.accept, d.mask, d.start * d.classes, {}
+        missing = (1 << len(self.rules)) - 1
+        for i, c in enumerate(data.translate(d.byte_class), 1):
             s = table[s + c]
-            if s >= accept:
-                out.append((i + 1, s))
+            if s >= accept and mask[s // d.classes] & missing:
+                for k in range(len(self.rules)):
+                    if mask[s // d.classes] & missing & (1 << k):
+                        out[k] = i
+                missing &= ~mask[s // d.classes]
+                if not missing:
+                    break
         return out
 
     @staticmethod
-    def _farthest(d: Dfa, data: bytes, at: int, step: int, bound: int) -> int | None:
-        """How far a match of ``d`` reaches from ``at`` in the direction ``step``."""
-        s, best, cls = d.start * d.classes, None, d.byte_class
+    def _next(d: Dfa, coded: bytes, at: int) -> int | None:
+        """Where an open automaton that starts at ``at`` completes its first match."""
+        table, accept, s = d.table, d.accept, d.start * d.classes
+        for i in range(at, len(coded)):
+            s = table[s + coded[i]]
+            if s >= accept:
+                return i + 1
+        return None
+
+    @staticmethod
+    def _farthest(d: Dfa, data: bytes, at: int, step: int, bound: int) -> int:
+        """How far a match of ``d`` reaches from ``at`` in the direction ``step``; there is one."""
+        s, best, cls = d.start * d.classes, at, d.byte_class
         while at != bound:
             s = d.table[s + cls[data[at if step > 0 else at - 1]]]
             at += step
@@ -246,20 +267,16 @@ class Scanner:
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) in bytes, by start, then rule."""
-        n = len(self.rules)
-        done, found = [0] * n, []
-        for end, s in self._events(data):
-            mask = self.all.mask[s // self.all.classes]
-            for k in range(n):
-                if mask >> k & 1 and end > done[k]:
-                    start = self._farthest(self.behind[k], data, end, -1, done[k])
-                    if start is None:
-                        continue
-                    stop = self._farthest(self.ahead[k], data, start, 1, len(data))
-                    done[k] = stop
-                    check = self.rules[k].check
-                    if check is None or check(data[start:stop]):
-                        found.append((start, stop, k))
+        found = []
+        for k, end in self._first(data).items():
+            done, check = 0, self.rules[k].check
+            coded = data.translate(self.open[k].byte_class)
+            while end is not None:
+                start = self._farthest(self.behind[k], data, end, -1, done)
+                done = self._farthest(self.ahead[k], data, start, 1, len(data))
+                if check is None or check(data[start:done]):
+                    found.append((start, done, k))
+                end = self._next(self.open[k], coded, done)
         return sorted(found, key=lambda x: (x[0], x[2]))
 
 
@@ -291,7 +308,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = [r.kind for r in BASE]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = scan_text(text, rules)

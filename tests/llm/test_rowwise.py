@@ -51,6 +51,64 @@ def test_media_query(spark, sf):
     assert all(r.media_bytes > 0 and len(r.media_sha256) == 64 for r in rows)
 
 
+def test_media_and_feature_of_the_query(spark, sf):
+    """The stored form is read with zlib alone, the feature is counted byte by byte."""
+    import struct
+
+    texts = dict(_docs(spark, sf))
+    media = {r.id: bytes(r.media) for r in tiff_media.text_tiffs(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for r in queries.op1_tiff_media(spark, sf).collect()[:60]:
+        blob, pay = media[r.doc_id], (texts[r.doc_id] or "").encode()
+        pay += b"\0" * (-len(pay) % 64 or (64 if not pay else 0))
+        assert (r.media_bytes, r.media_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+        at, pages, back = struct.unpack_from("<I", blob, 4)[0], 0, b""
+        while at:
+            n = struct.unpack_from("<H", blob, at)[0]
+            tag = {}
+            for k in range(n):
+                t, _, count, value = struct.unpack_from("<HHII", blob, at + 2 + 12 * k)
+                tag[t] = [value] if count == 1 else list(struct.unpack_from(f"<{count}I", blob, value))
+            for a, size in zip(tag[273], tag[279], strict=True):
+                raw = zlib.decompress(blob[a : a + size])
+                for lo in range(0, len(raw), 64):
+                    total = 0
+                    for c in raw[lo : lo + 64]:
+                        total = (total + c) % 256
+                        back += bytes((total,))
+            at, pages = struct.unpack_from("<I", blob, at + 2 + 12 * n)[0], pages + 1
+        assert back == pay
+        steps = sum(abs(x - y) for lo in range(0, len(pay), 64) for x, y in zip(pay[lo : lo + 63], pay[lo + 1 : lo + 64], strict=True))
+        assert r.feature == f"64x{len(pay) // 64};pages={pages};sum={sum(pay)};steps={steps};values={len(set(pay))}"
+
+
+def _tiff(tags, data):
+    """A one-page file of whole numbers as tags and one segment of ``data``."""
+    import struct
+
+    tags = {273: 8, 279: len(data), 278: tags.get(257, 1)} | tags
+    fields = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items()))
+    return b"II*\0" + struct.pack("<I", 8 + len(data)) + data + struct.pack("<H", len(tags)) + fields + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize("bits,data,want", [(1, b"\xa0\x40", [1, 0, 1, 0, 1, 0]), (4, b"\x12\x30\x45\x60", [1, 2, 3, 4, 5, 6]), (16, bytes(range(12)), None), (32, bytes(range(24)), None)])
+def test_samples_of_other_widths(bits, data, want):
+    page = next(tiff_media.walk_pages(_tiff({256: 3, 257: 2, 258: bits, 259: 1}, data)))
+    assert list(page.data) == (want or list(data))
+
+
+def test_sixteen_bit_predictor():
+    steps = np.array([[300, 65535, 2], [1, 1, 1]], "<u2")
+    page = next(tiff_media.walk_pages(_tiff({256: 3, 257: 2, 258: 16, 259: 1, 317: 2}, steps.tobytes())))
+    assert np.frombuffer(page.data, "<u2").tolist() == [300, 299, 301, 1, 2, 3]
+
+
+@pytest.mark.parametrize("tags", [{256: 0}, {257: 0}, {278: 0}, {277: 0}, {256: 2**31, 257: 2**31}, {257: 2**32 - 1}, {322: 0, 323: 16, 324: 8, 325: 6}, {322: 2**31, 323: 2**31, 324: 8, 325: 6}, {258: 7}, {259: 9}, {279: 2**32 - 1, 256: 2**20}])
+def test_impossible_sizes_give_a_reason(spark, tags):
+    blob = _tiff({256: 3, 257: 2, 258: 8, 259: 1} | tags, b"abcdef")
+    got = tiff_media.tiff_pages(spark.createDataFrame([(1, blob)], "id long, b binary"), "id", "b").collect()
+    assert [(r.page, bool(r.error)) for r in got] == [(-1, True)]
+
+
 @pytest.mark.parametrize("compression", [tiff_media.NONE, tiff_media.LZW, tiff_media.DEFLATE, tiff_media.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [None, 16, 48])
@@ -127,6 +185,19 @@ def test_secret_query(spark, sf):
         assert all(f"{k}:{a}:{b}" in r.spans.split(",") for a, b, k in base)
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["secret=token = " + "a" * 1_000_000, "secret" + " " * 1_000_000 + "=x", "token=" * 150_000, "AKIA" * 250_000, "a" * 1_000_000, "password: abc " * 70_000, "-----BEGIN " + "A " * 500_000, "eyJa.eyJ" * 120_000, "secret = " + "token=" * 100_000 + "\u00e9"],
+)
+def test_long_values_take_linear_time(text):
+    import time
+
+    start = time.perf_counter()
+    got = secret_dfa.scan_text(text)
+    assert time.perf_counter() - start < 30
+    assert [s for s in got if s[2] in ("assign", "access", "hex")] == _base_secrets(text)
+
+
 def test_automaton_is_minimal_and_more_kinds():
     d = secret_dfa.Dfa((secret_dfa.Rule("k", "(ab|cb)(x|y)"),), anchored=True)
     assert d.states == 5  # start, first letter, b, match, dead
