@@ -93,7 +93,18 @@ def test_defined_cases_of_near_duplicates(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 4, 6, 7, 9]
 
 
-def test_rows_that_repeat_an_id_stay_once(spark):
+def test_rows_are_judged_by_their_texts_not_their_ids(spark):
+    a, b, x, y = ("a b c d e f", "only here g h i j", "x one two three four five", "y six seven eight nine ten")
+    rows = [(1, a), (5, b), (5, a), (7, x), (7, y), (8, y), (8, y), (9, "p q r s t u"), (9, "p q r s t u"), (None, a), (6, None), (6, None)]
+    df = spark.createDataFrame([(i, t, "q", 1, 2, 3) for i, t in rows], "doc_id long, text string, __id string, k_id int, label int, best int").withColumnRenamed("best", "r")
+    got = minhash_join.drop_near_duplicates(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted([(1, a), (5, b), (7, x), (7, y), (9, "p q r s t u"), (0, a), (6, ""), (6, "")])
+    near = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_join.near_duplicates(df).collect()}
+    assert {(5, 2, 5, True), (5, 2, 1, False), (7, 2, 7, True), (8, 2, 7, False), (9, 2, 9, True), (None, 2, None, True)} <= near
+
+
+def test_rows_that_repeat_stay_once(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l")], DOCS)
     assert sorted(r.doc_id for r in minhash_join.drop_near_duplicates(df).collect()) == [1, 2]
 
