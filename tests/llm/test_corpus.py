@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -123,45 +124,93 @@ def test_signatures_estimate_similarity():
 # ---- op6
 
 
-def _bm25(items, texts, window):
-    words = [bm25_wand.WORD.findall(t.lower()) for _, t in items]
-    n, mean = len(items), np.mean([len(w) for w in words])
+def _bm25(items, texts, least):
+    """All (text, item) with a passage at or above ``least``, by sets of words; passages by an item's class of lengths."""
+    words = {i: re.findall(r"\w+", t.lower()) for i, t in items}
+    n, mean = len(items), np.mean([len(w) for w in words.values()])
     df = {}
-    for w in words:
+    for w in words.values():
         for x in set(w):
             df[x] = df.get(x, 0) + 1
-    stride = max(32, max(map(len, words)))
+    kind = {i: next(c for c in range(20) if len(w) <= 32 * 4**c) for i, w in words.items()}
+    stride = {c: max(32, *(len(w) for i, w in words.items() if kind[i] == c)) for c in set(kind.values())}
+    share = {}
+    for i, iw in words.items():
+        norm = 1.2 * (0.25 + 0.75 * len(iw) / mean)
+        weight = {x: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * iw.count(x) * 2.2 / (iw.count(x) + norm) for x in set(iw)}
+        share[i] = {x: v / sum(weight.values()) for x, v in weight.items()}
     out = {}
     for row, t in enumerate(texts):
-        ws = bm25_wand.WORD.findall((t or "").lower())
-        for lo in range(0, len(ws), stride):
-            seen = set(ws[lo : lo + 2 * stride])
-            for (item, _), iw in zip(items, words, strict=True):
-                norm = 1.2 * (0.25 + 0.75 * len(iw) / mean)
-                weight = {x: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * iw.count(x) * 2.2 / (iw.count(x) + norm) for x in set(iw)}
-                score = sum(v for x, v in weight.items() if x in seen) / sum(weight.values())
-                if score >= window:
-                    out[row, item] = max(out.get((row, item), 0), score)
+        ws = re.findall(r"\w+", (t or "").lower())
+        for c, step in stride.items():
+            for lo in range(0, len(ws), step):
+                seen = set(ws[lo : lo + 2 * step])
+                for i in words:
+                    if kind[i] == c:
+                        score = sum(v for x, v in share[i].items() if x in seen)
+                        if score >= least:
+                            out[row, i] = max(out.get((row, i), 0), score)
     return out
 
 
 def test_retrieval_equals_brute_force(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()][:30]
+    items += [(9001, "short one"), (9002, " ".join(f"long{k % 90}" for k in range(300))), (9003, "short one two three")]
     docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
-    docs += [docs[0][:300] + " " + items[3][1].upper() + " " + docs[1][:300], items[5][1], None, ""]
+    docs += [docs[0][:300] + " " + items[3][1].upper() + " " + docs[1][:300], items[5][1], None, "", "a short one here", items[-2][1] + " x"]
     for threshold in (0.35, 0.6):
         want = _bm25(items, docs, threshold)
         ix = next(bm25_wand.build_indexes(spark.createDataFrame(items, "item_id long, text string"))).value
-        got = {(h[0], h[1]): h[2] for h in bm25_wand.search(ix, docs, threshold)}
-        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert len(ix) > 1
+        for group in (bm25_wand.GROUP_POSTINGS, 50):
+            bm25_wand.GROUP_POSTINGS, kept = group, bm25_wand.GROUP_POSTINGS
+            got = {(h[0], h[1]): h[2] for h in bm25_wand.search(ix, docs, threshold)}
+            bm25_wand.GROUP_POSTINGS = kept
+            assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_blocks_without_a_pivot_term_are_skipped(spark):
+    items = [(i, f"common words of all items and rare{i} unlike{i}") for i in range(400)]
+    ix = next(bm25_wand.build_indexes(spark.createDataFrame(items, "item_id long, text string"))).value[0]
+    seen = []
+    ranges = bm25_wand._ranges
+    bm25_wand._ranges = lambda lo, hi: seen.append(int((hi - lo).sum())) or ranges(lo, hi)
+    try:
+        got = bm25_wand.search([ix], ["the common words of all items and rare7 unlike7 stand here"], 0.6)
+        assert [h[1] for h in got] == [7] and seen[0] <= 2  # of 402 entries only those of rare words
+        seen.clear()
+        assert bm25_wand.search([ix], ["common words of all items"], 0.95) == [] and sum(seen) == 0
+    finally:
+        bm25_wand._ranges = ranges
 
 
 def test_leak_query(spark, sf):
-    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    want = {(d, i) for d, t in docs.items() for i, b in items.items() if " ".join(b.split()) in " ".join((t or "").split())}
-    got = {(r.doc_id, r.item_id): r for r in queries.op6_bm25_decontamination(spark, sf).collect()}
-    assert want <= got.keys() and all(r.overlap >= 0.8 for r in got.values())
+    """All rows of the query against retrieval and shares of shingles by brute force."""
+    items = sorted({(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text})
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    cut = lambda t: re.findall(r"\w+", t.lower())
+    text = dict(items)
+    want = {}
+    for (row, item), score in _bm25(items, [t for _, t in docs], 0.6).items():
+        held, sentences = grams(cut(docs[row][1])), re.split(r"(?<=[.!?])\s+", text[item].strip())
+        parts = [cut(text[item]), cut(" ".join(sentences[:-1] or sentences)), cut(sentences[-1]) if len(sentences) > 1 else []]
+        own = "\n".join(["", *cut(docs[row][1]), ""])
+        share = [(float("\n".join(["", *p, ""]) in own) if len(p) < 5 else len(grams(p) & held) / len(grams(p))) if p else 1.0 for p in parts]
+        if share[0] >= 0.8 and min(share[1:]) >= 0.5:
+            want[docs[row][0], item] = (score, *share)
+    got = {(r.doc_id, r.item_id): (r.score, r.overlap, r.question_overlap, r.answer_overlap) for r in queries.op6_bm25_decontamination(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert {(d, i) for d, t in docs for i, b in items if " ".join(b.split()) in " ".join((t or "").split())} <= got.keys()
+
+
+def test_words_are_cut_alike_in_all_sizes(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "कित x‿y İstanbul a\u200db one two three"), (2, "one two three four five six seven")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so कित x‿y İstanbul a\u200db one two three is here"), (2, "one two three four five six seven")], DOCS)
+    one = sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in bm25_wand.retrieve_items(docs, items).collect())
+    monkeypatch.setattr(bm25_wand, "SHARD_BYTES", 20)
+    assert sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in bm25_wand.retrieve_items(docs, items).collect()) == one
+    assert [x[:2] for x in one] == [(1, 1), (2, 2)]
 
 
 def test_shards_find_the_same(spark, sf, monkeypatch):
