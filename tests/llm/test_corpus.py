@@ -319,6 +319,63 @@ def test_quality_query_on_held_out_rows(spark):
     assert np.mean([p == q for p, q in held]) > 0.95
 
 
+def _feature_table(spark, seed, n=400, prior=0.3):
+    """Texts of two made-up classes as (x, positive, fold); a third of the good ones is trusted."""
+    r = random.Random(seed)
+    texts, good = [], []
+    for _ in range(n):
+        good.append(r.random() < prior)
+        words = [("w" if good[-1] or r.random() < 0.4 else "#!") + "".join(r.choice("abcdef") for _ in range(r.randint(2, 7))) for _ in range(r.randint(5, 40))]
+        texts.append(" ".join(words))
+    rows = [([float(np.float32(v)) for v in pu_quality.features(t)], g and r.random() < 0.33, r.randrange(pu_quality.FOLDS)) for t, g in zip(texts, good, strict=True)]
+    return spark.createDataFrame(rows, "x array<float>, positive boolean, fold int").coalesce(3).cache(), rows, good
+
+
+def test_the_fit_minimises_the_risk(spark):
+    """The weights against the risk summed row by row: no direction lowers it, and its gradient by differences is zero."""
+    table, rows, _ = _feature_table(spark, 1)
+    at = pu_quality._Scale(table)
+    x = (np.array([v for v, _, _ in rows]) - at.mean) / at.scale
+    p, fold = np.array([b for _, b, _ in rows]), np.array([k for _, _, k in rows])
+
+    def risk(w, ridge, rows_of):
+        plus = minus = unl = 0.0
+        for v, hit, ok in zip(x, p, rows_of, strict=True):
+            if ok:
+                z = float(v @ w)
+                unl += math.log1p(math.exp(-abs(z))) + max(z, 0)
+                if hit:
+                    minus += math.log1p(math.exp(-abs(z))) + max(z, 0)
+                    plus += math.log1p(math.exp(-abs(z))) + max(-z, 0)
+        n, m = rows_of.sum(), (p & rows_of).sum()
+        assert unl / n - prior * minus / m > 0
+        return prior * plus / m + unl / n - prior * minus / m + ridge / 2 * float(w[1:] @ w[1:])
+
+    prior = 0.1
+    models = [(0.1, -1), (0.1, 1), (1.0, -1)]
+    r = np.random.default_rng(0)
+    for (ridge, left_out), w in zip(models, pu_quality._newton(table, at, prior, models), strict=True):
+        own = fold != left_out
+        here = risk(w, ridge, own)
+        for _ in range(12):
+            d = r.normal(size=len(w))
+            d *= 1e-3 / np.linalg.norm(d)
+            a, b = risk(w + d, ridge, own), risk(w - d, ridge, own)
+            assert here <= a + 1e-12 and here <= b + 1e-12 and abs(a - b) / 2e-3 < 1e-4
+
+
+def test_the_prior_comes_from_positives_and_unlabelled_texts(spark):
+    for prior in (0.2, 0.5, 0.8):
+        table, _, good = _feature_table(spark, 2, 1500, prior)
+        assert abs(pu_quality.estimate_prior(table, pu_quality._Scale(table)) - np.mean(good)) < 0.08
+
+
+def test_negative_labels_are_not_learnt_from(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = ({r.doc_id: r.score for r in pu_quality.score_quality(docs, x).collect()} for x in (labels, labels.where("quality = 1")))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-6 for i in a)
+
+
 def test_held_out_labels_are_not_learnt_from(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     lied = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
