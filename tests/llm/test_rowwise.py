@@ -468,6 +468,53 @@ def test_model_on_held_out_sentences():
     assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.95
 
 
+#: Sentences written by hand: spans that the field should find in them.
+HAND = [
+    ("Please meet at noon.Tomorrow we leave.", []),
+    ("ISBN 978-3-16-148410-0 is out of print.", []),
+    ("The host 192.168.1.300 does not exist.", []),
+    ("Call tel 030 1234567 today.", ["phone:030 1234567"]),
+    ("Mobil: 0171/1234567 abends", ["phone:0171/1234567"]),
+    ("Invoice 2024-00123 of 12.05.2024 over 1,250.00 EUR", []),
+    ("Write to jane dot doe at example dot org please", ["email:jane dot doe at example dot org"]),
+    ("contact: sales [at] shop [dot] com", ["email:sales [at] shop [dot] com"]),
+    ("Look at example.com for more.", []),
+    ("Ring (020) 7946 0018 before five.", ["phone:(020) 7946 0018"]),
+    ("Phone 555-867-5309, ask for Jo.", ["phone:555-867-5309"]),
+    ("Born 1984-11-02, lives at 12 Elm Street.", []),
+    ("Card 4111.1111.1111.1111 was charged", ["card:4111.1111.1111.1111"]),
+    ("server 10[.]0[.]0[.]12 is down", ["ip:10[.]0[.]0[.]12"]),
+    ("Version 2.14.0.1523 fixes it", []),
+    ("between 1914-1918 and 1939-1945", []),
+    ("The city has 3 645 000 people.", []),
+    ("at 48.8566 2.3522 on the map", []),
+    ("pages 120-1345 of the report", []),
+    ("Telefon 06 12 34 56 78", ["phone:06 12 34 56 78"]),
+    ("order no. 5521-88731 shipped", []),
+    ("mail bob(at)mail(dot)de now", ["email:bob(at)mail(dot)de"]),
+    ("He works at night.Then he sleeps.", []),
+    ("Fax 0049 30 901820", ["phone:0049 30 901820"]),
+    ("ZIP 90210-1234", []),
+    ("They won 3-2 and 4-1.", []),
+    ("ISSN 1234-5678 and EAN 4006381333931", []),
+    ("$1,299.99 or 1.199,00 EUR", []),
+    ("ssh to 10(.)1(.)2(.)3 first", ["ip:10(.)1(.)2(.)3"]),
+    ("Call 1-800-555-0199 toll free", ["phone:1-800-555-0199"]),
+    ("Room 204 opens at 10:30 on 3.4.2021.", []),
+    ("pay 12 345 678 euros by 30.06.", []),
+    ("amex 3782-822463-10005 expired", ["card:3782-822463-10005"]),
+]
+
+
+def test_model_on_hand_written_sentences():
+    w = dict(pii_semicrf.default_weights())
+    hit = wrong = missed = 0
+    for x, want in HAND:
+        got = {f"{k}:{x[a:b]}" for a, b, k in pii_semicrf.find_spans(x, w)[1]}
+        hit, wrong, missed = hit + len(got & set(want)), wrong + len(got - set(want)), missed + len(set(want) - got)
+    assert hit / (hit + wrong) >= 0.9 and hit / (hit + missed) >= 0.9, (hit, wrong, missed)
+
+
 def test_decoding_is_optimal():
     w = dict(pii_semicrf.default_weights())
     for x, _ in pii_semicrf.labelled_sentences(40, 5):
