@@ -249,7 +249,15 @@ def _verdicts(urls, z=1.645, threshold=0.5):
     for h, _, _, v in rows:
         n, k = hosts.get(h, (0, 0))
         hosts[h] = (n + (v is not None), k + (v == "block"))
-    domain = lambda h: ".".join(h.rsplit(".", 2)[-2:]) if "." in h and all(h.rsplit(".", 2)[-2:]) else h
+
+    def domain(h):
+        labels = h.split(".")
+        if len(labels) < 2 or not all(labels[-2:]):
+            return h
+        n = 3 if ".".join(labels[-2:]) in host_reputation.SUFFIXES and len(labels) > 2 and labels[-3] else 2
+        return ".".join(labels[-n:])
+
+    suffix = lambda d: ".".join(d.split(".")[-2:]) if ".".join(d.split(".")[-2:]) in host_reputation.SUFFIXES else d.rsplit(".", 1)[-1]
 
     def rolled(keys):
         out = {}
@@ -259,7 +267,7 @@ def _verdicts(urls, z=1.645, threshold=0.5):
         return out
 
     domains = rolled((v, domain(h)) for h, v in hosts.items())
-    suffixes = rolled((v, d.rsplit(".", 1)[-1]) for d, v in domains.items())
+    suffixes = rolled((v, suffix(d)) for d, v in domains.items())
 
     def strength(level):
         c = [(n, k) for n, k in level.values() if n]
@@ -275,7 +283,7 @@ def _verdicts(urls, z=1.645, threshold=0.5):
     ms, md, mh = strength(suffixes), strength(domains), strength(hosts)
     out = []
     for h, p, rule, v in rows:
-        s, d, g = suffixes[domain(h).rsplit(".", 1)[-1]], domains[domain(h)], hosts[h]
+        s, d, g = suffixes[suffix(domain(h))], domains[domain(h)], hosts[h]
         rate = (ms * (k + 1) / (n + 2) + s[1]) / (ms + s[0])
         rate = (md * rate + d[1]) / (md + d[0])
         a, b = mh * rate + g[1], mh * (1 - rate) + g[0] - g[1]
@@ -291,7 +299,7 @@ def test_url_query(spark, sf):
 
 
 def test_defined_cases_of_urls(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/71?x", "ftp://com/en/", "x://net/de/#f", "x://É.org/es/", "a://b://c/d", "x://h.example.com?/en/7", "x://h.example.com/en/8", "x://h.example.com/en/8", "x://:80/"]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/71?x", "ftp://com/en/", "x://net/de/#f", "x://É.org/es/", "a://b://c/d", "x://h.example.com?/en/7", "x://h.example.com/en/8", "x://h.example.com/en/8", "x://:80/", "x://a.shop.co.uk/en/1", "x://b.shop.co.uk/", "x://co.uk/", "x://.co.uk/", "x://x.other.co.uk/", "x://a..b/", "x://b.example.org/es/1"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "rule": F.lit(2)})
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in host_reputation.filter_urls(df).collect()}
     assert got == dict(enumerate(_verdicts(urls)))
@@ -414,6 +422,19 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf):
     assert all(r.n_tokens == want[i] == len(r.ids) for i, r in got.items())
 
 
+def test_stages_judge_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = [r.text for r in docs.where("length(text) > 400").orderBy("doc_id").limit(4).collect()]
+    made = spark.createDataFrame([(1, text[0]), (1, text[1]), (2, text[1]), (3, text[2]), (3, text[2]), (None, text[3]), (4, None), (4, "")], DOCS)
+    made = made.withColumns({"__id": F.lit("a"), "k_id": F.lit(1), "r": F.lit(2), "content": F.lit(3), "label": F.lit(4), "n_chars": F.length("text")})
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["near_dedup"](spark, made, sf)
+    assert got.columns == made.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(1, text[0]), (1, text[1]), (3, text[2]), (0, text[3]), (4, ""), (4, "")])
+    assert stages["decontaminate"](spark, made, sf).columns == made.columns and stages["quality"](spark, made, sf).columns == made.columns
+    assert stages["pii"](spark, made, sf).count() == stages["encode"](spark, made, sf).count() == made.count()
+
+
 def test_stages_keep_the_columns_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "pii", "encode"]
