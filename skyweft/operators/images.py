@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyweft.functions import wcs
+
 SOURCES = "image long, source int, x double, y double, flux double, background double"
 
 
@@ -90,7 +92,7 @@ def centroid3(patch: np.ndarray) -> tuple[float, float] | None:
 def extract_sources(image: np.ndarray, psf: float = 1.0, limit: float = 8.0, half: int = 100, most: int = 10_000) -> list[tuple[float, float, float, float]]:
     """(x, y, flux, background), brightest first: background off, smoothed, peaks among significant pixels.
 
-    Every peak lies in the box around its own significant pixel, so boxes and their components are not needed to find it.
+    At most ``most`` of an image are returned, the brightest. Every peak lies in the box around its own significant pixel, so boxes and their components are not needed to find it.
     """
     image = np.asarray(image, float)
     back = median_background(image, half)
@@ -149,6 +151,42 @@ def coadd(pixels: DataFrame, target_x: str, target_y: str, value: str = "value",
     return total.select("x", "y", F.when(F.abs("weight") > 1e-12, F.col("s") / F.col("weight")).otherwise(bad).alias("value"), "weight")
 
 
-def pixel_blocks(pixels: DataFrame, size: int) -> DataFrame:
-    """Block average of long-form pixels (image, x, y, value)."""
-    return pixels.groupBy("image", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by")).agg(F.avg("value").alias("value"))
+def pixel_blocks(pixels: DataFrame, size: int, weight: str | None = None, whole: bool = False) -> DataFrame:
+    """Block average of long-form pixels (image, x, y, value).
+
+    With ``weight`` a weighted one, zero where all weights of a block are. ``whole`` leaves out blocks cut at an edge.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    total = F.sum(w * F.col("value"))
+    g = pixels.groupBy("image", F.floor(F.col("x") / size).alias("bx"), F.floor(F.col("y") / size).alias("by")).agg(total.alias("total"), F.sum(w).alias("weight"), F.count(F.lit(1)).alias("n"))
+    g = g.where(F.col("n") == size * size) if whole else g
+    value = F.when(F.col("weight") != 0, F.col("total") / F.col("weight")).otherwise(0.0).alias("value")
+    return g.select("image", "bx", "by", value, *(["weight"] if weight else []))
+
+
+def arithmetic(left: DataFrame, right: DataFrame, how: str, keys: tuple[str, ...] = ("image", "x", "y")) -> DataFrame:
+    """Two images in long form pixel by pixel: ``+``, ``-``, ``*`` or ``/`` (null where the divisor is zero); pixels of both only."""
+    b = right.select(*keys, F.col("value").alias("other"))
+    other = F.col("other") if how != "/" else F.when(F.col("other") != 0, F.col("other"))
+    value = {"+": F.col("value") + other, "-": F.col("value") - other, "*": F.col("value") * other, "/": F.col("value") / other}[how]
+    return left.join(b, list(keys)).select(*keys, value.alias("value"))
+
+
+def scaled_image(pixels: DataFrame, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
+    """``value * scale + offset`` of every pixel."""
+    return pixels.withColumn("value", F.col("value") * scale + offset)
+
+
+def resample(pixels: DataFrame, source: wcs.Tan, target: wcs.Tan, order: int = 3) -> DataFrame:
+    """Pixels of one projection at the whole pixels of another: placed through the sky, summed with Lanczos weights."""
+    x, y, z = wcs.pixel_to_xyz(source, "x", "y")
+    px, py = wcs.sky_to_pixel(target, "sx", "sy", "sz")
+    sky = pixels.select("value", F.expr(x).alias("sx"), F.expr(y).alias("sy"), F.expr(z).alias("sz"))
+    placed = sky.select("value", F.expr(px).alias("tx"), F.expr(py).alias("ty"), F.lit(1.0).alias("weight")).where("tx is not null and ty is not null")
+    out = coadd(placed, "tx", "ty", order=order)
+    return out.where(wcs.in_image(target, "x", "y")) if target.size != (0.0, 0.0) else out
+
+
+def image_statistics(pixels: DataFrame) -> DataFrame:
+    """Size, range, mean and spread of the values of each image."""
+    return pixels.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"))

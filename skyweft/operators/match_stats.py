@@ -110,3 +110,75 @@ def variance_growth(dist2: str, quad_radius2: str, sigma: float) -> str:
 def relevance_radius2(area: float, distractors: float, n_ref: int, sigma: float, quad_radius2: float) -> float:
     """Squared distance beyond which a star can't add odds."""
     return quad_radius2 * max(1.0, area * (1 - distractors) / (4 * math.pi * n_ref * sigma**2) - 1.0)
+
+
+def dedup_field_stars(stars: DataFrame, radius: float, field: str = "field", id_col: str = "id") -> DataFrame:
+    """Field stars (x, y, rank) without those that a brighter one of the same field lies within ``radius`` of.
+
+    Stars of a field meet in cells of the radius, so that no field is taken as a whole.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = stars.select(F.col(field).alias("f"), F.col(id_col).alias("own"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("rank").alias("ar"), F.explode(around).alias("o"), cell("x").alias("cx"), cell("y").alias("cy"))
+    a = a.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")})
+    b = stars.select(F.col(field).alias("f"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("rank").alias("br"), cell("x").alias("cx"), cell("y").alias("cy"))
+    near = a.join(b, ["f", "cx", "cy"]).where(F.expr(f"br < ar AND (ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= {sky.num(radius**2)}"))
+    return stars.join(near.select(F.col("f").alias(field), F.col("own").alias(id_col)).distinct(), [field, id_col], "left_anti")
+
+
+def effective_area(field_stars: DataFrame, width: float, height: float, bins: int, field: str = "field") -> DataFrame:
+    """``(field, area)``: the image's area times the share of its bins x bins parts that hold a star."""
+    part = lambda c, size: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col(c) * bins / size)))
+    used = field_stars.groupBy(field, part("x", width).alias("i"), part("y", height).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    return used.groupBy(field).agg((F.count(F.lit(1)) * (width * height / bins**2)).alias("area"))
+
+
+def unique_solutions(matches: DataFrame, keys: list[str], odds: str) -> DataFrame:
+    """One row of each solution found several times: that of the highest odds, ties by all other columns."""
+    rest = [c for c in matches.columns if c not in keys]
+    best = matches.groupBy(*keys).agg(F.max(F.struct(odds, *[c for c in rest if c != odds])).alias("m"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"m.{c}").alias(c) for c in matches.columns])
+
+
+def feature_magnitudes(quads: DataFrame, stars: DataFrame, mag: str = "mag") -> DataFrame:
+    """``(quad_id, brightest, faintest)`` of every feature's members."""
+    s = stars.select(F.col("id").alias("sid"), F.col(mag).alias("m"))
+    member = quads.select("quad_id", F.explode(F.array("a", "b", "c", "d")).alias("sid"))
+    return member.join(s, "sid").groupBy("quad_id").agg(F.min("m").alias("brightest"), F.max("m").alias("faintest"))
+
+
+def index_summary(stars: DataFrame, quads: DataFrame) -> DataFrame:
+    """One row: numbers of stars, features and stars used, uses a star, and the stars of the fullest cell."""
+    used = quads.select(F.explode(F.array("a", "b", "c", "d")).alias("star")).groupBy("star").agg(F.count(F.lit(1)).alias("uses"))
+    u = used.agg(F.count(F.lit(1)).alias("n_used"), F.max("uses").alias("most_uses"), F.avg("uses").alias("mean_uses"))
+    cells = stars.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    c = cells.agg(F.sum("n").alias("n_stars"), F.count(F.lit(1)).alias("n_cells"), F.max("n").alias("most_in_cell"))
+    q = quads.agg(F.count(F.lit(1)).alias("n_quads"))
+    return c.crossJoin(q).crossJoin(u)  # three tables of one row
+
+
+def pixel_range(low_arcmin: str, high_arcmin: str, scale: tuple[float, float]) -> tuple[str, str]:
+    """Sizes in pixels that features of an index can have in an image of so many arc seconds a pixel, as SQL text."""
+    return f"({low_arcmin} * 60.0 / {sky.num(scale[1])})", f"({high_arcmin} * 60.0 / {sky.num(scale[0])})"
+
+
+def guess_scale(header: DataFrame) -> DataFrame:
+    """``(image, guess, low, high)``: arc seconds a pixel from the keywords of headers (image, name, value), 1% around each.
+
+    Read are PIXSCALE and SCALE (arc seconds), CDELT1 (degrees), CD1_1 with CD1_2, CD2_1 and CD2_2 (degrees), and FOCALLEN
+    (mm) with XPIXSZ (microns).
+    """
+    wanted = ["PIXSCALE", "SCALE", "CDELT1", "CD1_1", "CD1_2", "CD2_1", "CD2_2", "FOCALLEN", "XPIXSZ"]
+    value = lambda k: F.max(F.when(F.upper("name") == k, F.expr("try_cast(value as double)"))).alias(k)
+    h = header.where(F.upper("name").isin(wanted)).groupBy("image").agg(*map(value, wanted))
+    det = "abs(CD1_1 * CD2_2 - coalesce(CD1_2, 0.0D) * coalesce(CD2_1, 0.0D))"
+    g = h.select("image", F.explode(F.expr(f"array(PIXSCALE, SCALE, abs(CDELT1) * 3600, sqrt({det}) * 3600, XPIXSZ / FOCALLEN * {sky.num(math.degrees(1e-3) * 3600)})")).alias("guess"))
+    return g.where("guess > 0").distinct().select("image", "guess", (F.col("guess") * 0.99).alias("low"), (F.col("guess") * 1.01).alias("high"))
+
+
+def invalid_fields(stars: DataFrame, field: str = "field") -> DataFrame:
+    """``(field, reason, n)``: stars of a field list that cannot be used: no position, no number in it, a repeated id."""
+    bad = F.when(F.col("x").isNull() | F.col("y").isNull(), "no position").when(F.isnan("x") | F.isnan("y") | (F.abs("x") == float("inf")) | (F.abs("y") == float("inf")), "not a number")
+    places = stars.select(field, bad.alias("reason")).where("reason is not null")
+    again = stars.groupBy(field, "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(field, F.lit("repeated id").alias("reason"))
+    return places.unionByName(again).groupBy(field, "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -95,11 +95,12 @@ def match_lists(left: DataFrame, right: DataFrame, radius: float, coords: Sequen
 def nearest(left: DataFrame, right: DataFrame, coords: Sequence[str], first_radius: float, left_id: str = "id", right_id: str = "id", rounds: int = 12) -> DataFrame:
     """``(l_id, r_id, dist2)``: the nearest right row of every left row, without a radius given.
 
-    Joins within a radius that doubles each round and keeps only the rows still unmatched, so most
-    rows meet few candidates. Rows left after all rounds (isolated ones) keep doubling in one last
-    round that spans the data.
+    Joins within a radius that grows fourfold each round and keeps only the rows still unmatched, so most
+    rows meet few candidates. Rows left after all rounds (isolated ones) meet all others in one last
+    round that spans the data. Rows with a null or NaN coordinate have no nearest one, rows of one id count once.
     """
-    left = left.select(left_id, *coords)
+    known = reduce(operator.and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords])
+    left, right = left.select(left_id, *coords).where(known).dropDuplicates([left_id]), right.where(known)
     todo, out, r = left, None, float(first_radius)
     span = right.agg(*[(F.max(c) - F.min(c)).alias(c) for c in coords]).first()
     wide = left.agg(*[F.max(F.abs(c)).alias(c) for c in coords]).first()
@@ -116,23 +117,51 @@ def nearest(left: DataFrame, right: DataFrame, coords: Sequence[str], first_radi
         r = limit if rounds <= 1 else r * 4
 
 
+def join_by(left: DataFrame, right: DataFrame, distance2: Column, radius: float, coords: Sequence[str], reach: float | None = None, left_id: str = "id", right_id: str = "id") -> DataFrame:
+    """Radius join under another distance: ``distance2`` is its square over columns ``l0, l1, ..`` and ``r0, r1, ..``.
+
+    ``reach`` is the Euclidean distance that no qualifying pair exceeds (by default ``radius``).
+    """
+    far = float(reach or radius)
+    pairs = radius_join(left, right, far, coords, left_id, right_id)
+    whole = pairs.select("l_id", "r_id").join(_renamed(left, left_id, coords, "l"), "l_id").join(_renamed(right, right_id, coords, "r"), "r_id")
+    return whole.select("l_id", "r_id", distance2.alias("dist2")).where(F.col("dist2") <= float(radius) ** 2)
+
+
 def array_distance2(a: str, b: str) -> Column:
     """Squared distance of two arrays of numbers."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-def array_radius_join(left: DataFrame, right: DataFrame, radius: float, vec: str, left_id: str, right_id: str, grid_dims: int = 3, not_self: bool = False) -> DataFrame:
-    """Radius join of array columns of many dimensions: grid over the first ones, distance over all."""
-    a = left.select(F.col(left_id).alias("l_id"), F.col(vec).alias("lv"), *[F.col(vec)[i].cast("double").alias(f"l{i}") for i in range(grid_dims)])
-    b = right.select(F.col(right_id).alias("r_id"), F.col(vec).alias("rv"), *[F.col(vec)[i].cast("double").alias(f"r{i}") for i in range(grid_dims)])
-    visits = a
-    for i in range(grid_dims):
-        visits = visits.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"l{i}") / radius) + o for o in (-1, 0, 1)])))
-    homes = b.select("*", *[F.floor(F.col(f"r{i}") / radius).alias(f"c{i}") for i in range(grid_dims)])
-    pairs = visits.join(homes, [f"c{i}" for i in range(grid_dims)])
+def array_radius_join(left: DataFrame, right: DataFrame, radius: float, vec: str, left_id: str, right_id: str, grid_dims: int = 3, not_self: bool = False, strips: int = 4) -> DataFrame:
+    """Radius join of array columns of many dimensions.
+
+    The grid is over the ``grid_dims`` dimensions in which the right side spreads most. Distances are added
+    up in ``strips`` parts of the dimensions, the widest first, in generated code; a pair is given up as soon
+    as a part exceeds the radius. Arrays of another length than the right side's longest match nothing.
+    In many dimensions no grid prunes much (the distance then does the work): vectors should be short ones.
+    """
+    size = right.agg(F.max(F.size(vec)).alias("n")).first()["n"] or 0
+    if size <= 0:
+        return left.select(F.col(left_id).alias("l_id"), F.col(left_id).alias("r_id"), F.lit(0.0).alias("dist2")).where("false")
+    spread = right.agg(*[F.var_pop(F.get(F.col(vec), F.lit(i))).alias(f"v{i}") for i in range(size)]).first()
+    order = sorted(range(size), key=lambda i: -(spread[i] or 0.0))
+    grid = order[: min(grid_dims, size)]
+    cols = lambda df, id_col, p: df.where(F.size(vec) == size).select(F.col(id_col).alias(f"{p}_id"), *[F.get(F.col(vec), F.lit(i)).cast("double").alias(f"{p}{i}") for i in range(size)])
+    a, b = cols(left, left_id, "l"), cols(right, right_id, "r")
+    for i in grid:
+        a = a.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"l{i}") / radius) + o for o in (-1, 0, 1)])))
+    b = b.withColumns({f"c{i}": F.floor(F.col(f"r{i}") / radius) for i in grid})
+    pairs = a.join(b, [f"c{i}" for i in grid])
     if not_self:
         pairs = pairs.where("l_id <> r_id")
-    return pairs.select("l_id", "r_id", array_distance2("lv", "rv").alias("dist2")).where(F.col("dist2") <= radius * radius)
+    step, upto = -(-size // strips), None
+    for k in range(0, size, step):
+        part = reduce(operator.add, [(F.col(f"l{i}") - F.col(f"r{i}")) * (F.col(f"l{i}") - F.col(f"r{i}")) for i in order[k : k + step]])
+        upto = part if upto is None else F.col("upto") + part
+        rest = [f"{p}{i}" for i in order[k + step :] for p in "lr"]
+        pairs = pairs.select("l_id", "r_id", *rest, upto.alias("upto")).where(F.col("upto") <= radius * radius)
+    return pairs.select("l_id", "r_id", F.col("upto").alias("dist2"))
 
 
 def friends_of_friends(points: DataFrame, radius: float, coords: Sequence[str], id_col: str = "id", singletons: bool = True) -> DataFrame:
@@ -152,15 +181,19 @@ def in_box(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     return df
 
 
-def cone_search(stars: DataFrame, ra: float, dec: float, radius_deg: float, cell_col: str | None = None, nside: int = 0) -> DataFrame:
-    """Stars (x, y, z) within a cone, with their distance; prunes by ``cell_col`` where stars carry cells."""
+def cone_search(stars: DataFrame, ra: float, dec: float, radius_deg: float, cell_col: str | None = None, nside: int = 0, accept: Column | None = None) -> DataFrame:
+    """Stars (x, y, z) within a cone, with their distance; prunes by ``cell_col`` where stars carry cells.
+
+    ``accept`` is a further condition over the stars' columns and ``dist_deg``.
+    """
     from skyweft.functions.healpix import cells_within
 
     x, y, z = (math.cos(math.radians(dec)) * math.cos(math.radians(ra)), math.cos(math.radians(dec)) * math.sin(math.radians(ra)), math.sin(math.radians(dec)))
     if cell_col:
         stars = stars.where(F.col(cell_col).isin(cells_within(x, y, z, radius_deg, nside)))
     d2 = f"(x - {sky.num(x)}) * (x - {sky.num(x)}) + (y - {sky.num(y)}) * (y - {sky.num(y)}) + (z - {sky.num(z)}) * (z - {sky.num(z)})"
-    return stars.withColumn("dist_deg", F.expr(sky.deg_of_chord2(f"({d2})"))).where(F.expr(f"({d2}) <= {sky.num(sky.chord2_of_deg(radius_deg))}"))
+    out = stars.withColumn("dist_deg", F.expr(sky.deg_of_chord2(f"({d2})"))).where(F.expr(f"({d2}) <= {sky.num(sky.chord2_of_deg(radius_deg))}"))
+    return out if accept is None else out.where(accept)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank_col: str = "rank") -> DataFrame:

@@ -13,6 +13,14 @@ class MissingColumns(ValueError):
     """Columns that a reader asked for and the table lacks."""
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def require_columns(df: DataFrame, wanted: dict[str, str], optional: Sequence[str] = ()) -> DataFrame:
     """``wanted`` columns cast to the types given; all that are missing are named in one error, optional ones become null."""
     have = {c.lower(): c for c in df.columns}
@@ -61,9 +69,9 @@ def assign_where(df: DataFrame, condition: Column, values: dict[str, Column]) ->
 def assign_rows(df: DataFrame, key: str, updates: DataFrame) -> DataFrame:
     """Rows of ``updates`` replace those of equal key, column by column."""
     cols = [c for c in updates.columns if c != key]
-    new = updates.select(F.col(key), F.lit(True).alias("__new"), *[F.col(c).alias(f"__{c}") for c in cols])
-    out = df.join(new, key, "left")
-    return out.select(*[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    old = df.select(F.col(key), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("old"))
+    out = old.join(updates.select(F.col(key), F.struct(*cols).alias("new")), key, "left")
+    return out.select(*[F.when(F.col("new").isNotNull(), F.col("new")[c]).otherwise(F.col("old")[c]).alias(c) if c in cols else F.col("old")[c].alias(c) for c in df.columns])
 
 
 def column_zip(left: DataFrame, right: DataFrame, row_col: str, suffix: str = "_2") -> DataFrame:
@@ -86,7 +94,8 @@ def ranked(df: DataFrame, by: Sequence[Column], keys: Sequence[str] = (), rank_c
 
 def head_rows(df: DataFrame, n: int, by: Sequence[Column], keys: Sequence[str]) -> DataFrame:
     """The first ``n`` rows of every extension."""
-    return ranked(df, by, keys, "__r").where(F.col("__r") < n).drop("__r")
+    place = _unused(df, "place")
+    return ranked(df, by, keys, place).where(F.col(place) < n).drop(place)
 
 
 def merge_tables(tables: Sequence[DataFrame], how: str | Sequence[str] = "strict") -> DataFrame:
@@ -120,7 +129,10 @@ def merge_tables(tables: Sequence[DataFrame], how: str | Sequence[str] = "strict
 
 
 def bin_of(value: str, low: float, size: float, bins: int, policy: str = "clamp") -> str:
-    """Bin number as SQL text; ``clamp`` puts outliers in the first and last bin, ``discard`` gives null."""
+    """Bin number as SQL text; ``clamp`` puts outliers in the first and last bin, ``discard`` gives null.
+
+    Bins are closed below and open above, so a value below the low edge is an outlier however near it is.
+    """
     raw = f"cast(floor(({value} - {float(low)!r}) / {float(size)!r}) as bigint)"
     if policy == "clamp":
         return f"greatest(0, least({bins - 1}, {raw}))"
@@ -162,3 +174,57 @@ def filter_header(header: DataFrame, pattern: str, name_col: str = "name") -> Da
 def flag_columns(df: DataFrame, flags: str, names: Sequence[str]) -> DataFrame:
     """One boolean column per bit of a bit field, lowest first."""
     return df.withColumns({n: F.getbit(F.col(flags).cast("long"), F.lit(i)) == 1 for i, n in enumerate(names)})
+
+
+def edit_header(header: DataFrame, updates: dict[str, str | None], name_col: str = "name", value_col: str = "value") -> DataFrame:
+    """Header rows with new values for the keywords named; None removes one, keywords not there yet are added."""
+    upper = F.upper(F.col(name_col))
+    gone = [k.upper() for k, v in updates.items() if v is None]
+    new = {k.upper(): v for k, v in updates.items() if v is not None}
+    kept = header.where(~upper.isin([*gone, *new]))
+    if not new:
+        return kept
+    added = header.sparkSession.range(1).select(F.explode(F.create_map(*[F.lit(x) for kv in new.items() for x in kv])).alias(name_col, value_col))
+    return kept.unionByName(added, allowMissingColumns=True)
+
+
+def read_as(df: DataFrame, rename: dict[str, str] | None = None, lower: bool = True, columns: Sequence[str] | None = None, rows: tuple[str, Sequence[int]] | None = None) -> DataFrame:
+    """A table under other names: lower-case ones if asked for, then ``rename``, some columns only, the rows numbered in a list."""
+    names = {c: (rename or {}).get(c.lower() if lower else c, c.lower() if lower else c) for c in df.columns}
+    out = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    if rows is not None:
+        out = gather_list(out, rows[0], rows[1])
+    return out.select(*(["position"] if rows is not None else []), *columns) if columns else out
+
+
+def gather_arrays(df: DataFrame, row_col: str, picks: DataFrame, pick_col: str, array_col: str, size: int) -> DataFrame:
+    """Array entries of the rows of a list, entry by entry: (position, 0, 1, .. size - 1 as columns)."""
+    got = gather(df.select(row_col, array_col), row_col, picks, pick_col)
+    return got.select("position", *[F.get(F.col(array_col), F.lit(i)).alias(f"v{i}") for i in range(size)])
+
+
+def with_constants(tables: Sequence[DataFrame], constants: Sequence[str], how: str | Sequence[str] = "minimal") -> DataFrame:
+    """Merged tables whose ``constants`` (one value a table) all take the first table's value."""
+    out = merge_tables(tables, how)
+    if not constants:
+        return out
+    first = tables[0].agg(*[F.first(c, ignorenulls=True).alias(c) for c in constants]).first()
+    types = dict(out.dtypes)
+    return out.withColumns({c: F.lit(first[c]).cast(types[c]) for c in constants})
+
+
+def sweep_order(stars: DataFrame, sweep: str, value: str, tie: str) -> DataFrame:
+    """Global order of a thinned catalogue: sweep by sweep, within one by value, then by ``tie``."""
+    return stars.orderBy(sweep, value, tie)
+
+
+def filter_rows(df: DataFrame, expression: str) -> DataFrame:
+    """Rows for which an expression over the columns holds (C-style ``&&``, ``||``, ``!``, ``==`` are read as SQL)."""
+    text = re.sub(r"!(?!=)", " NOT ", expression.replace("&&", " AND ").replace("||", " OR ").replace("==", "="))
+    return df.where(text)
+
+
+def column_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Count, minimum, maximum, mean and spread of columns, in long form (keys, column, ...)."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e"))
+    return long.groupBy(*keys, F.col("e.column").alias("column")).agg(F.count("e.v").alias("n"), F.min("e.v").alias("low"), F.max("e.v").alias("high"), F.avg("e.v").alias("mean"), F.stddev_pop("e.v").alias("spread"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweft.operators.spatial import radius_join
+from skyweft.operators.table import _unused
 from skyweft.session import discard, materialize
 
 
@@ -63,11 +64,13 @@ def uniformize_dedup(stars: DataFrame, id_col: str, rank_col: str, cell: str, pe
 def interleave(df: DataFrame, keys: list[str], first: list[Column], second: list[Column], out: str = "place") -> DataFrame:
     """Alternates two orders, each row at its first occurrence: place by least(2 r1, 2 r2 + 1) of the 0-based ranks."""
     w = lambda cols: F.row_number().over(Window.partitionBy(*keys).orderBy(*cols)) - 1
-    both = df.withColumns({"__a": w(first), "__b": w(second)}).withColumn("__k", F.least(2 * F.col("__a"), 2 * F.col("__b") + 1))
-    return both.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("__k")) - 1).drop("__a", "__b", "__k")
+    a, b, k = (_unused(df, n) for n in ("first_rank", "second_rank", "turn"))
+    both = df.withColumns({a: w(first), b: w(second)}).withColumn(k, F.least(2 * F.col(a), 2 * F.col(b) + 1))
+    return both.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(k)) - 1).drop(a, b, k)
 
 
 def round_robin(df: DataFrame, keys: list[str], cell: str, order: list[Column], out: str = "place") -> DataFrame:
     """Interleaves the cells of a field: all firsts of the cells in order, then all seconds, and so on."""
-    in_cell = df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, cell).orderBy(*order)))
-    return in_cell.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("__r", *order)) - 1).drop("__r")
+    r = _unused(df, "turn")
+    in_cell = df.withColumn(r, F.row_number().over(Window.partitionBy(*keys, cell).orderBy(*order)))
+    return in_cell.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(r, *order)) - 1).drop(r)

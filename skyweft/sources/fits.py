@@ -1,9 +1,13 @@
-"""FITS binary tables as a Spark data source (``spark.read.format("skytable").load(path)``).
+"""FITS binary tables and images as Spark data sources (``spark.read.format("skytable").load(path)``).
 
 Files are sequences of 2880-byte blocks: header cards of 80 characters, then data. A binary table has
 rows of fixed width, big-endian. One partition reads a range of rows of one extension, so a large
 table is read in parallel without reading the rest of it. The source needs paths that Python can
 open on all machines; for others use :func:`tables_from_binary` over Spark's ``binaryFile``.
+
+``df.write.format("skytable")`` writes a folder with one file a partition; ``append`` adds files to it.
+A task encodes a bounded number of rows at a time and writes the header's row count last. Strings have
+the width of the option ``strings`` (32), arrays that of the option ``arrays`` (1); longer ones raise.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 BLOCK, CARD = 2880, 80
 #: Binary table codes (fixed by the format): numpy type and Spark type.
@@ -164,6 +168,126 @@ class SkyTableSource(DataSource):
         return SkyTableReader([(p, self._table(p)) for p in self._files()], int(self.options.get("rows", 200_000)), [f.name for f in schema.fields])
 
 
+    def writer(self, schema, overwrite):
+        return SkyTableWriter(self.options["path"].removeprefix("file://"), [(f.name, f.dataType.simpleString()) for f in schema.fields], overwrite, int(self.options.get("strings", 32)), int(self.options.get("arrays", 1)))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    path: str
+
+
+class SkyTableWriter(DataSourceWriter):
+    """Files are written under hidden names and get their own when all tasks have ended."""
+
+    STEP = 10_000
+
+    def __init__(self, folder: str, columns: list[tuple[str, str]], overwrite: bool, strings: int, arrays: int):
+        self.folder, self.columns, self.overwrite, self.strings, self.arrays = folder, columns, overwrite, strings, arrays
+        os.makedirs(folder, exist_ok=True)
+        self.old = sorted(glob.glob(os.path.join(folder, "*.fits"))) if overwrite else []
+
+    def write(self, rows):
+        import uuid
+
+        path = os.path.join(self.folder, f".{uuid.uuid4().hex}.fits.part")
+        n, step = 0, []
+        with open(path, "wb") as f:
+            f.write(table_header(self.columns, self._widths(), 0))
+            for row in rows:
+                step.append(tuple(row))
+                if len(step) == self.STEP:
+                    f.write(encode_rows(self.columns, self._widths(), step))
+                    n, step = n + len(step), []
+            f.write(encode_rows(self.columns, self._widths(), step))
+            n += len(step)
+            f.write(b"\0" * (-f.tell() % BLOCK))
+            f.seek(0)
+            f.write(table_header(self.columns, self._widths(), n))
+        return Written(path)
+
+    def _widths(self) -> list[int]:
+        return [self.strings if k == "string" else self.arrays if k.startswith("array<") else 1 for _, k in self.columns]
+
+    def commit(self, messages):
+        for m in messages:
+            if m is not None:
+                folder, name = os.path.split(m.path)
+                os.replace(m.path, os.path.join(folder, "part-" + name[1:].removesuffix(".part")))
+        for path in self.old:
+            os.remove(path)
+
+    def abort(self, messages):
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.remove(m.path)
+
+
+class SkyImageSource(DataSource):
+    """FITS images as rows (file, image, x, y, value), a range of image rows a partition. Options: ``path``, ``rows``."""
+
+    @classmethod
+    def name(cls):
+        return "skyimage"
+
+    def schema(self):
+        return "file string, image long, x long, y long, value double"
+
+    def reader(self, schema):
+        path = self.options["path"].removeprefix("file://")
+        files = sorted(glob.glob(os.path.join(path, "*.fits") if os.path.isdir(path) else path))
+        if not files:
+            raise FileNotFoundError(path)
+        return SkyImageReader(files, int(self.options.get("rows", 256)))
+
+
+class SkyImageReader(DataSourceReader):
+    """Two-dimensional images of all extensions, numbered file by file; BSCALE and BZERO applied, BLANK and NaN left out."""
+
+    def __init__(self, files: list[str], rows: int):
+        self.files, self.rows = files, rows
+
+    def partitions(self):
+        out, number = [], 0
+        for path in self.files:
+            with open(path, "rb") as f:
+                for _, h, at in read_headers(f):
+                    if h.get("XTENSION", "IMAGE") == "IMAGE" and int(h.get("NAXIS", 0)) == 2:
+                        height = int(h["NAXIS2"])
+                        for lo in range(0, height, self.rows):
+                            out.append(ImageRows(path, number, h, at, lo, min(height, lo + self.rows)))
+                        number += 1
+        return out or [ImageRows("", 0, {}, 0, 0, 0)]
+
+    def read(self, part):
+        if part.last == part.first:
+            return
+        h, kind = part.header, np.dtype({8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[int(part.header["BITPIX"])])
+        width = int(h["NAXIS1"])
+        scale, zero, blank = float(h.get("BSCALE", 1)), float(h.get("BZERO", 0)), h.get("BLANK")
+        for y in range(part.first, part.last):
+            with open(part.path, "rb") as f:
+                f.seek(part.at + y * width * kind.itemsize)
+                raw = np.frombuffer(f.read(width * kind.itemsize), kind)
+            value = zero + scale * raw.astype(float)
+            known = ~np.isnan(value) & ((raw != int(blank)) if blank is not None else True)
+            for x in np.flatnonzero(known).tolist():
+                yield part.path, part.number, x, y, float(value[x])
+
+
+class ImageRows(InputPartition):
+    def __init__(self, path: str, number: int, header: dict[str, str], at: int, first: int, last: int):
+        self.path, self.number, self.header, self.at, self.first, self.last = path, number, header, at, first, last
+
+
+def encode_image(image: np.ndarray) -> bytes:
+    """A file with one image of doubles."""
+    card = lambda k, v: f"{k:<8}= {v:>20}".ljust(CARD)
+    head = card("SIMPLE", "T") + card("BITPIX", -64) + card("NAXIS", 2) + card("NAXIS1", image.shape[1]) + card("NAXIS2", image.shape[0]) + "END".ljust(CARD)
+    pad = lambda b, fill: b + fill * (-len(b) % BLOCK)
+    return pad(head.encode("ascii"), b" ") + pad(image.astype(">f8").tobytes(), b"\0")
+
+
 class SkyTableReader(DataSourceReader):
     def __init__(self, tables, rows: int, wanted: list[str]):
         self.tables, self.rows, self.wanted = tables, rows, wanted
@@ -182,37 +306,53 @@ class SkyTableReader(DataSourceReader):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SkyTableSource)
+    spark.dataSource.register(SkyImageSource)
 
 
-def encode_table(columns: list[tuple[str, str]], rows: list[tuple], header: dict[str, str] | None = None) -> bytes:
-    """A whole file with one binary table; columns are (name, Spark type), strings as wide as the longest."""
-    forms, packers = [], []
-    for i, (_, kind) in enumerate(columns):
-        if kind == "string":
-            width = max([1, *(len(r[i] or "") for r in rows)])
-            forms.append(f"{width}A")
-            packers.append(lambda v, w=width: (v or "").encode("latin-1").ljust(w))
-            continue
-        array = kind.startswith("array<")
-        base = kind[6:-1] if array else kind
-        code = FROM_SPARK[base]
-        count = len(rows[0][i]) if array and rows else 1
-        forms.append(f"{count}{code}")
-        dtype = np.dtype(CODES[code][0])
-        if code == "L":
-            packers.append(lambda v, a=array: b"".join(b"T" if x else b"F" for x in (v if a else [v])))
-        else:
-            packers.append(lambda v, d=dtype, a=array: np.asarray(v if a else [v]).astype(d).tobytes())
-    body = b"".join(p(v) for r in rows for p, v in zip(packers, r, strict=True))
-    width = len(body) // len(rows) if rows else sum(int(f[:-1]) * (1 if f[-1] == "A" else np.dtype(CODES[f[-1]][0]).itemsize) for f in forms)
+def table_header(columns: list[tuple[str, str]], widths: list[int], rows: int, header: dict[str, str] | None = None) -> bytes:
+    """The empty first part and the header of a binary table."""
+    forms = [f"{w}{'A' if k == 'string' else FROM_SPARK[k[6:-1] if k.startswith('array<') else k]}" for (_, k), w in zip(columns, widths, strict=True)]
+    width = sum(int(f[:-1]) * (1 if f[-1] == "A" else np.dtype(CODES[f[-1]][0]).itemsize) for f in forms)
     card = lambda k, v: f"{k:<8}= {v:>20}".ljust(CARD)
     text = lambda k, v: f"{k:<8}= '{v}'".ljust(CARD)
-    pad = lambda b, fill: b + fill * (-len(b) % BLOCK)
     first = card("SIMPLE", "T") + card("BITPIX", 8) + card("NAXIS", 0) + card("EXTEND", "T")
-    second = text("XTENSION", "BINTABLE") + card("BITPIX", 8) + card("NAXIS", 2) + card("NAXIS1", width) + card("NAXIS2", len(rows)) + card("PCOUNT", 0) + card("GCOUNT", 1) + card("TFIELDS", len(columns))
+    second = text("XTENSION", "BINTABLE") + card("BITPIX", 8) + card("NAXIS", 2) + card("NAXIS1", width) + card("NAXIS2", rows) + card("PCOUNT", 0) + card("GCOUNT", 1) + card("TFIELDS", len(columns))
     second += "".join(text(f"TTYPE{i}", n) + text(f"TFORM{i}", f) for i, ((n, _), f) in enumerate(zip(columns, forms, strict=True), 1))
     second += "".join(text(k, v) for k, v in (header or {}).items())
-    return b"".join(pad((h + "END".ljust(CARD)).encode("ascii"), b" ") for h in (first, second)) + pad(body, b"\0")
+    return b"".join((h + "END".ljust(CARD)).encode("ascii").ljust(-(-(len(h) + CARD) // BLOCK) * BLOCK) for h in (first, second))
+
+
+def encode_rows(columns: list[tuple[str, str]], widths: list[int], rows: list[tuple]) -> bytes:
+    """Rows as the bytes of a table; nulls are empty texts, false, NaN or zero."""
+    out = []
+    for i, ((name, kind), width) in enumerate(zip(columns, widths, strict=True)):
+        values = [r[i] for r in rows]
+        if kind == "string":
+            texts = [(v or "").encode("latin-1", "replace") for v in values]
+            if any(len(t) > width for t in texts):
+                raise ValueError(f"a text of {name} is longer than {width}")
+            out.append(np.array(texts, f"S{width}").view(np.uint8).reshape(len(rows), width) if rows else np.empty((0, width), np.uint8))
+            continue
+        base = kind[6:-1] if kind.startswith("array<") else kind
+        code = FROM_SPARK[base]
+        flat = values if kind.startswith("array<") else [[v] for v in values]
+        flat = [list(v) if v is not None else [None] * width for v in flat]
+        if any(len(v) != width for v in flat):
+            raise ValueError(f"an array of {name} has not {width} entries")
+        if code == "L":
+            block = np.array([[b"T" if x else b"F" for x in v] for v in flat], "S1").reshape(len(rows), width)
+        else:
+            empty = float("nan") if code in "ED" else 0
+            block = np.array([[empty if x is None else x for x in v] for v in flat]).astype(CODES[code][0]).reshape(len(rows), width)
+        out.append(np.ascontiguousarray(block).view(np.uint8).reshape(len(rows), -1))
+    return np.concatenate(out, axis=1).tobytes() if rows else b""
+
+
+def encode_table(columns: list[tuple[str, str]], rows: list[tuple], header: dict[str, str] | None = None) -> bytes:
+    """A small file with one binary table, as bytes; columns are (name, Spark type), strings as wide as the longest. Large ones are written by Spark."""
+    widths = [max([1, *(len(r[i] or "") for r in rows)]) if k == "string" else len(rows[0][i]) if k.startswith("array<") and rows else 1 for i, (_, k) in enumerate(columns)]
+    body = encode_rows(columns, widths, rows)
+    return table_header(columns, widths, len(rows), header) + body + b"\0" * (-len(body) % BLOCK)
 
 
 def tables_from_binary(files: DataFrame, like: bytes) -> DataFrame:

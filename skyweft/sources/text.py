@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Types of the struct text format and their Spark types (fixed values).
 STRUCT_TYPES = {"short": "short", "int": "int", "long": "long", "float": "float", "double": "double", "char": "string"}
+#: Different headers of a folder that are read for its types.
+MOST_HEADERS = 100
 _TYPEDEF = re.compile(r"typedef\s+(struct|enum)\s*\{(.*?)\}\s*(\w+)\s*;", re.S)
 _MEMBER = re.compile(r"(\w+)\s+(\w+)((?:\s*[\[<]\d*[\]>])*)\s*;?")
 
@@ -17,11 +20,13 @@ def read_delimited(spark: SparkSession, path: str, names: list[str], separator:
     """``(rows, dropped)``: lines of whitespace or separator delimited text, ``#`` comments off, lines of a wrong width counted in ``dropped``.
 
     Types not given are inferred for a column as a whole: long if all values are whole numbers (0x..
-    too), else double if all are numbers, else string; that takes one pass over the file.
+    too), else double if all are numbers, else string; that takes one pass over the file. The first
+    ``skip`` lines of each file, whatever they hold, are left out.
     """
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
+    lines = spark.read.text(path)
     if skip:
-        lines = lines.where(F.col("value").isNotNull())
+        lines = _without_head(lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")), skip)
+    lines = lines.where(~F.col("value").rlike(r"^\s*(#|$)"))
     pattern = r"\s+" if separator is None else re.escape(separator)
     cut = lines.select(F.split(F.trim("value") if separator is None else F.col("value"), pattern).alias("v"))
     good = cut.where(F.size("v") == len(names)).select(*[F.trim(F.col("v")[i]).alias(n) for i, n in enumerate(names)])
@@ -36,6 +41,52 @@ def read_delimited(spark: SparkSession, path: str, names: list[str], separator:
     return good.select(*[(as_long(n) if known[n] == "long" else F.col(n).cast(known[n])).alias(n) for n in names]), dropped
 
 
+def _without_head(lines: DataFrame, skip: int) -> DataFrame:
+    """Lines (value, file, at) without the first ``skip`` of each file, which are in its first block (128 MB or so)."""
+
+    def run(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            keep = []
+            for file, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen[file] = seen.get(file, 0) + (at == 0)
+                keep.append(at != 0 or seen[file] > skip)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
+def _quoted(v):
+    return F.concat(F.lit('"'), F.regexp_replace(v, '"', "'"), F.lit('"'))
+
+
+def _plain(v):
+    return v.cast("string")
+
+
+def struct_text_lines(df: DataFrame, table: str) -> tuple[str, DataFrame]:
+    """``(header, lines)``: the typedef of a table and its data lines, one row each, ready for ``write.text``."""
+    names = {v: k for k, v in STRUCT_TYPES.items()} | {"bigint": "long", "smallint": "short", "tinyint": "short"}
+    members, parts = [], []
+    for c, kind in df.dtypes:
+        array = kind.startswith("array<")
+        base = kind[6:-1] if array else kind
+        size = df.agg(F.max(F.size(c))).first()[0] if array else 0
+        members.append(f" {names[base]} {c}{f'[{size}]' if array else ''}{'[256]' if base == 'string' else ''};")
+        text = _quoted if base == "string" else _plain
+        parts.append(F.concat(F.lit("{"), F.array_join(F.transform(c, text), " "), F.lit("}")) if array else text(F.col(c)))
+    header = "typedef struct {\n" + "\n".join(members) + f"\n}} {table.upper()};\n"
+    return header, df.select(F.concat_ws(" ", F.lit(table.upper()), *parts).alias("value"))
+
+
+def write_struct_text(df: DataFrame, path: str, table: str, mode: str = "errorifexists") -> None:
+    """A folder of struct text: the typedef in a file of its own, data lines in one file a partition; ``append`` adds files."""
+    header, lines = struct_text_lines(df, table)
+    lines.write.mode(mode).text(path)
+    if mode != "append":
+        df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def struct_text_schema(text: str) -> dict[str, list[tuple[str, str, int]]]:
     """Table name -> (column, Spark type, array length or 0) of the typedefs in a struct text file."""
     enums = {name for kind, _, name in _TYPEDEF.findall(text) if kind == "enum"}
@@ -60,7 +111,8 @@ def _tokens(line: str) -> list[str]:
 def read_struct_text(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One table of a struct text file: data lines begin with the table's name; ``\\`` joins lines, arrays stand in braces."""
     whole = spark.read.text(path, wholetext=True)
-    header = "\n".join(r["value"] for r in whole.select(F.concat_ws("\n", F.regexp_extract_all("value", F.lit(r"(?s)typedef\s+(?:struct|enum)\s*\{.*?\}\s*\w+\s*;"), F.lit(0))).alias("value")).limit(1).collect())
+    found = whole.select(F.concat_ws("\n", F.regexp_extract_all("value", F.lit(r"(?s)typedef\s+(?:struct|enum)\s*\{.*?\}\s*\w+\s*;"), F.lit(0))).alias("value"))
+    header = "\n".join(r["value"] for r in found.where("value <> ''").distinct().limit(MOST_HEADERS).collect())
     cols = struct_text_schema(header)[table.upper()]
     schema = ", ".join(f"`{c}` {f'array<{t}>' if n else t}" for c, t, n in cols)
     cast = {"short": int, "int": int, "long": int, "float": float, "double": float, "string": str}

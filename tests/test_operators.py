@@ -197,3 +197,43 @@ def test_service_queries(spark):
 def test_source_extraction_makes_an_image_of_every_part(spark, sf):
     parts = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
     assert {r.image for r in QUERIES["source_extraction"](spark, sf).select("image").distinct().collect()} == parts
+
+
+def test_columns_of_any_name_pass_ranks_and_updates(spark):
+    from skyweft.operators import table, uniformize
+
+    df = spark.createDataFrame([(1, 5, "a", 7), (2, 4, "b", 8), (3, 6, "c", 9)], "id long, v int, place string, turn int").withColumns({"__new": F.lit(0), "__r": F.lit(1), "first_rank": F.lit(2), "old": F.lit(3), "new": F.lit(4)})
+    assert [r.id for r in table.head_rows(df, 2, [F.col("v")], []).orderBy("v").collect()] == [2, 1]
+    up = table.assign_rows(df, "id", spark.createDataFrame([(2, 40)], "id long, v int"))
+    assert up.columns == df.columns and {r.id: r.v for r in up.collect()} == {1: 5, 2: 40, 3: 6}
+    got = uniformize.interleave(df.drop("place"), ["old"], [F.col("v")], [F.desc("v")]).orderBy("place").collect()
+    assert [r.id for r in got] == [2, 3, 1] and set(got[0].asDict()) == {*df.columns}
+    assert uniformize.round_robin(df.drop("place"), ["old"], "new", [F.col("v")]).count() == 3
+
+
+def test_nearest_leaves_out_rows_without_a_place(spark):
+    from skyweft.operators import spatial
+
+    a = spark.createDataFrame([(1, 0.0), (1, 0.0), (2, None), (3, float("nan")), (4, 9.0)], "id long, x double")
+    b = spark.createDataFrame([(10, 0.5), (11, None), (12, 8.0)], "id long, x double")
+    assert {(r.l_id, r.r_id) for r in spatial.nearest(a, b, ("x",), 0.1).collect()} == {(1, 10), (4, 12)}
+
+
+def test_join_spreads_hot_keys(spark):
+    from skyweft.operators import skew
+
+    left = spark.createDataFrame([("h", i) for i in range(50)] + [("c", 1), ("d", 2), (None, 3)], "k string, i int")
+    right = spark.createDataFrame([("h", 50, "H"), ("c", 1, "C")], "k string, n long, v string")
+    got = {(r.k, r.i): r.v for r in skew.spread_join(left, right, "k", "n").collect()}
+    assert len(got) == 53 and got["h", 7] == "H" and got["c", 1] == "C" and got["d", 2] is None and got[None, 3] is None
+    assert skew.spread_join(left, right, "k", "n", "inner").count() == 51
+    assert skew.spread_join(left, right.where("false"), "k", "n").count() == 53
+
+
+def test_vectors_of_another_length_match_nothing(spark):
+    from skyweft.operators import spatial
+
+    v = spark.createDataFrame([(1, [0.0, 0.0, 0.0, 0.0, 0.0]), (2, [0.1, 0.0, 0.0, 0.0, 0.2]), (3, [0.0]), (4, None), (5, [3.0, 0.0, 0.0, 0.0, 0.0])], "id long, e array<double>")
+    got = spatial.array_radius_join(v, v, 0.5, "e", "id", "id", not_self=True).collect()
+    assert {(r.l_id, r.r_id) for r in got} == {(1, 2), (2, 1)} and all(abs(r.dist2 - 0.05) < 1e-12 for r in got)
+    assert spatial.array_radius_join(v, v.where("false"), 0.5, "e", "id", "id").count() == 0

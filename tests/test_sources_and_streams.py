@@ -80,8 +80,64 @@ def test_fold_resolves_conflicts():
     assert label.tolist() == [-2, 0, 1]
 
 
+def test_a_conflict_credits_a_reference_star_once():
+    """Worked by hand: 1 pixel of noise, an area of 10^6, two reference stars, a quarter of distractors."""
+    ref, area = np.array([[10.0, 10.0], [500.0, 500.0]]), 1e6
+    fore = lambda d2: np.log(0.75 / (2 * np.pi * 2)) - d2 / 2 + np.log(area)
+    back = lambda k: np.log(0.25 + 0.75 * k / 2)
+    got, label = solve.bayes_fold(np.array([[12.5, 10.0], [10.0, 10.0]]), np.ones(2), ref, area)
+    # the second star takes the first one's place: its odds, and the first star as a distractor of its time
+    assert label.tolist() == [-2, 0] and abs(got - (fore(0.0) + back(0))) < 1e-9
+    one, _ = solve.bayes_fold(np.array([[10.0, 10.0]]), np.ones(1), ref, area)
+    assert abs(one - fore(0.0)) < 1e-9 and got < one
+    got, label = solve.bayes_fold(np.array([[10.0, 10.0], [11.5, 10.0], [500.0, 500.0]]), np.ones(3), ref, area)
+    assert label.tolist() == [0, -2, 1] and abs(got - (fore(0.0) + back(1) + fore(0.0))) < 1e-9
+
+
 @pytest.mark.parametrize("mode,want", [("best", {1: 30.0}), ("first", {1: 20.0})])
 def test_agreeing(spark, mode, want):
     m = spark.createDataFrame([(1, 5.0, 9, 0), (1, 20.0, 9, 1), (1, 30.0, 9, 2), (2, 50.0, 1, 0)], "field long, odds double, n int, o int")
     assert {r.field: r.odds for r in solve.agreeing(m, "field", "odds", "n", "o", 10.0, 5, mode).collect()} == want
     assert {r.field for r in solve.leftovers(m, "field", "odds", "n", 10.0, 5).collect()} == {2}
+
+
+def test_skipped_lines(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("x y z\n9 9 9\n1 2 3\n4 5 6\n")
+    df, dropped = text.read_delimited(spark, str(tmp_path), ["i", "j", "k"], skip=2)
+    assert sorted(map(tuple, df.collect())) == [(1, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 6)] and dropped.first()["dropped"] == 0
+    assert text.read_delimited(spark, str(tmp_path), ["i", "j", "k"], skip=9)[0].count() == 0
+
+
+def test_struct_text_is_written_and_appended(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", [1.5, 2.5]), (2, "c", [3.0, 4.0])], "n int, name string, mag array<double>")
+    out = str(tmp_path / "s")
+    text.write_struct_text(df, out, "star")
+    text.write_struct_text(df.withColumn("n", F.col("n") + 10), out, "star", "append")
+    assert sorted(map(tuple, text.read_struct_text(spark, out, "STAR").collect())) == [(1, "a b", [1.5, 2.5]), (2, "c", [3.0, 4.0]), (11, "a b", [1.5, 2.5]), (12, "c", [3.0, 4.0])]
+
+
+def test_tables_are_written_by_tasks_appended_and_replaced(spark, tmp_path):
+    fits.register(spark)
+    df = spark.range(25_000).selectExpr("id", "id / 7.0D AS ra", "cast(id % 3 = 0 as boolean) AS ok", "concat('s', id) AS name", "array(cast(id as float), 0.5f) AS v").repartition(3)
+    out = str(tmp_path / "t")
+    df.write.format("skytable").option("arrays", 2).mode("append").save(out)
+    df.where("id < 5").selectExpr("id + 100000 AS id", "ra", "ok", "name", "v").write.format("skytable").option("arrays", 2).mode("append").save(out)
+    back = spark.read.format("skytable").load(out)
+    assert back.count() == 25_005 and back.where("id < 25000").exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+    df.where("id = 1").write.format("skytable").option("arrays", 2).mode("overwrite").save(out)
+    assert [r.id for r in spark.read.format("skytable").load(out).collect()] == [1]
+    with pytest.raises(Exception, match="longer than 2"):
+        df.where("id = 1000").write.format("skytable").option("arrays", 2).option("strings", 2).mode("append").save(out)
+    assert spark.read.format("skytable").load(out).count() == 1
+
+
+def test_images_are_read_by_rows(spark, tmp_path):
+    fits.register(spark)
+    image = np.arange(600.0).reshape(20, 30)
+    image[3, 4] = np.nan
+    (tmp_path / "i.fits").write_bytes(fits.encode_image(image))
+    df = spark.read.format("skyimage").option("rows", 7).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 3
+    got = {(r.x, r.y): r.value for r in df.collect()}
+    assert got == {(x, y): image[y, x] for x in range(30) for y in range(20) if not np.isnan(image[y, x])}
