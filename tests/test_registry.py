@@ -7,8 +7,7 @@ import __spark_entry__ as entry
 from skyweft.catalog_queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Queries that Spark should run without Python, apart from those whose operators are Arrow functions.
-NATIVE = [q for q in ORACLE_SQL if not q.startswith("op")]
+
 
 
 @pytest.fixture(scope="module")
