@@ -31,10 +31,12 @@ def position(a, e, i, node, peri, mean) -> np.ndarray:
 
 
 def with_positions(elements: DataFrame) -> DataFrame:
-    """``elements`` (a, e, i, node, peri, mean) with columns px, py, pz."""
+    """``elements`` (a, e, i, node, peri, mean) with columns px, py, pz, in place of any so named; NaN where an element is null."""
 
     @F.pandas_udf("px double, py double, pz double")
     def place(a: pd.Series, e: pd.Series, i: pd.Series, node: pd.Series, peri: pd.Series, mean: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(position(*(s.to_numpy(float) for s in (a, e, i, node, peri, mean))), columns=["px", "py", "pz"])
 
-    return elements.withColumn("__p", place("a", "e", "i", "node", "peri", "mean")).select(*elements.columns, "__p.*")
+    kept = [c for c in elements.columns if c not in ("px", "py", "pz")]
+    made = "_".join([*kept, "place"])  # longer than any of their names
+    return elements.select(*kept, place("a", "e", "i", "node", "peri", "mean").alias(made)).select(*kept, f"{made}.*")

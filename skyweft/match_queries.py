@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyweft.catalog_queries import CUSTOMERS, D3, POINTS, SUPPLIERS, TAN, _chord2, _frac, _read, customers, points, query, suppliers
 from skyweft.functions import geometry, healpix, orbits, sky, wcs
 from skyweft.functions.sky import num
-from skyweft.operators import catalogs, match_stats, web
+from skyweft.operators import catalogs, match_stats, spatial, web
 from skyweft.plans import build_index, tweak
 from skyweft.session import scratch_dir
 from skyweft.streaming import jobs
@@ -168,7 +168,14 @@ def refined_projection(spark, sf):
     return spark.createDataFrame(rows, "part string, p int, q int, value double").select("part", "p", "q", F.round("value", 9).alias("value"))
 
 
-@query()
+_ORBITS = f"(SELECT id, 1.0 + id % 5 AS a, {_frac('id', 0.11)} * 0.9 AS e, {_frac('id', 0.23)} * {math.pi} AS i, {_frac('id', 0.37)} * {2 * math.pi} AS node, {_frac('id', 0.41)} * {2 * math.pi} AS peri, {_frac('id', 0.53)} * {2 * math.pi} AS mean FROM {CUSTOMERS} c0)"
+_ANOMALY = f"""(SELECT *, list_reduce(list_transform(range(60), lambda k: CAST(m AS DOUBLE)), lambda v, k: greatest(m - e, least(m + e, v - (v - e * sin(v) - m) / (1 - e * cos(v)))), m + e * sin(m)) AS big
+  FROM (SELECT *, CASE WHEN mean >= {math.pi} THEN mean - {2 * math.pi} ELSE mean END AS m FROM {_ORBITS} o0) o1)"""
+
+
+@query(f"""SELECT id, round(p * (cos(node) * cos(peri) - sin(node) * sin(peri) * cos(i)) - q * (cos(node) * sin(peri) + sin(node) * cos(peri) * cos(i)), 6) AS px,
+  round(p * (sin(node) * cos(peri) + cos(node) * sin(peri) * cos(i)) - q * (sin(node) * sin(peri) - cos(node) * cos(peri) * cos(i)), 6) AS py, round(p * sin(peri) * sin(i) + q * cos(peri) * sin(i), 6) AS pz
+  FROM (SELECT *, a * (cos(big) - e) AS p, a * sqrt(1 - e * e) * sin(big) AS q FROM {_ANOMALY} o2) o3""")
 def orbit_positions(spark, sf):
     """Positions of bodies on Kepler orbits."""
     turn = 2 * math.pi
@@ -180,22 +187,34 @@ _S, _T = ("a.x", "a.y", "a.x + 8", "a.y + 3"), ("b.x", "b.y", "b.x - 2", "b.y +
 _LX, _LY = geometry.line_crossing(_S, _T)
 
 
-@query(f"SELECT a.id AS a, b.id AS b, round({_LX}, 6) AS x, round({_LY}, 6) AS y FROM {POINTS} a JOIN {POINTS} b ON a.id % 100 = b.id % 100 AND a.id < b.id AND {geometry.segments_cross(_S, _T)}")
+@query(f"SELECT a.id AS a, b.id AS b, round({_LX}, 6) AS x, round({_LY}, 6) AS y FROM {POINTS} a JOIN {POINTS} b ON a.id < b.id AND {geometry.segments_cross(_S, _T)}")
 def segment_crossings(spark, sf):
-    """Where segments of a group cross."""
+    """Where the segments of points cross those of later points."""
     p = points(spark, sf)
-    pair = p.withColumn("g", F.expr("id % 100")).alias("a").join(p.withColumn("g", F.expr("id % 100")).alias("b"), F.expr("a.g = b.g AND a.id < b.id"))
-    return pair.where(geometry.segments_cross(_S, _T)).select(F.expr("a.id AS a"), F.expr("b.id AS b"), F.round(F.expr(_LX), 6).alias("x"), F.round(F.expr(_LY), 6).alias("y"))
+    out = spatial.segment_crossings(p.selectExpr("id", "x AS x0", "y AS y0", "x + 8 AS x1", "y + 3 AS y1"), p.selectExpr("id", "x AS x0", "y AS y0", "x - 2 AS x1", "y + 9 AS y1"), 4.0)
+    return out.where("l_id < r_id").select(F.col("l_id").alias("a"), F.col("r_id").alias("b"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query()
+_V0, _V1 = "(y + 30 - 1.5 * greatest(0, 40 - x) - greatest(40, y))", "(y + 30 - 1.5 * least(20, 60 - x) - greatest(40, y))"
+_UNDER = "CASE WHEN {v} <= 0 THEN 0 WHEN {v} <= h THEN {v} * {v} / 2 ELSE h * h / 2 + h * ({v} - h) END"
+
+
+@query(f"""SELECT id, round(CASE WHEN h <= 0 OR x + 20 <= 40 OR x >= 60 THEN 0 ELSE (({_UNDER.format(v=_V0)}) - ({_UNDER.format(v=_V1)})) / 1.5 END, 6) AS area
+  FROM (SELECT *, 60 - greatest(40, y) AS h FROM {POINTS} p) q""")
 def polygon_overlaps(spark, sf):
-    """Areas that triangles share with a square."""
+    """Areas that triangles share with a square; the SQL integrates the triangle's height over the square."""
     p = points(spark, sf).selectExpr("id", "array(array(x, y), array(x + 20, y), array(x, y + 30)) AS a", "array(array(40D, 40D), array(60D, 40D), array(60D, 60D), array(40D, 60D)) AS b")
     return geometry.overlap_areas(p, "a", "b").select("id", F.round("area", 6).alias("area"))
 
 
-@query()
+#: Cell 77 of the grid of 4 with all cells that touch it, its parent, and the children of the former.
+_NEAR, _PARENT = [0, 1, 2, 72, 73, 74, 76, 77, 78], 18
+_CHILDREN = [c // 16 * 64 + (c % 16 // 4 * 2 + i) * 8 + c % 4 * 2 + j for c in _NEAR for i in (0, 1) for j in (0, 1)]
+_listed = lambda cells: ", ".join(map(str, cells))
+_PLACED = " UNION ALL ".join(f"SELECT id, {n} AS nside, cell FROM {healpix.cell_sql(CUSTOMERS, n, 'id')} h{n} WHERE id % 3 = {k}" for k, n in enumerate((2, 4, 8)))
+
+
+@query(f"SELECT id, nside, cell FROM ({_PLACED}) p WHERE nside = 4 AND cell IN ({_listed(_NEAR)}) OR nside = 2 AND cell = {_PARENT} OR nside = 8 AND cell IN ({_listed(_CHILDREN)})")
 def nearby_images(spark, sf):
     """Images in or beside a cell, in its parent or its children."""
     s = customers(spark, sf)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweft.functions import sky
+from skyweft.functions import geometry, sky
 from skyweft.operators.components import connected_components
 from skyweft.session import materialize
 
@@ -174,6 +174,45 @@ def friends_of_friends(points: DataFrame, radius: float, coords: Sequence[str],
     return ids.join(groups, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
+def segment_crossings(left: DataFrame, right: DataFrame, cell: float, ends: Sequence[str] = ("x0", "y0", "x1", "y1"), left_id: str = "id", right_id: str = "id") -> DataFrame:
+    """``(l_id, r_id, x, y)``: where the segments of two tables cross inside both; touching at an end is no crossing.
+
+    A segment's level is that of the smallest cells, ``cell`` times a power of two, that are as wide as its
+    bounding box, so it lies in four of them at most. A pair meets at the level of its longer segment: that
+    one stands in its own cells and the shorter one visits them, so neither short nor long segments are
+    copied more than four times a level. Of the cells that a pair shares only the upper one counts.
+    Segments with a null, NaN or infinite end cross nothing.
+    """
+    if not cell > 0:
+        raise ValueError("cell is positive")
+
+    def placed(df: DataFrame, id_col: str, p: str) -> DataFrame:
+        s = df.select(F.col(id_col).alias(f"{p}_id"), *[F.col(c).cast("double").alias(f"{p}{i}") for i, c in enumerate(ends)])
+        s = s.where(reduce(operator.and_, [F.abs(f"{p}{i}") < float("inf") for i in range(4)]))
+        low = {f"{p}u": F.least(f"{p}0", f"{p}2"), f"{p}v": F.least(f"{p}1", f"{p}3")}
+        extent = F.greatest(F.abs(F.col(f"{p}2") - F.col(f"{p}0")), F.abs(F.col(f"{p}3") - F.col(f"{p}1")))
+        level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(cell)) / cell)).cast("int"))
+        return s.withColumns(low | {f"{p}n": level})
+
+    def cells(s: DataFrame, p: str, level) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col("level")) * cell
+        at = lambda c: F.floor(F.col(c) / size)
+        s = s.withColumn("level", level).withColumns({f"{p}cu": at(f"{p}u"), f"{p}cv": at(f"{p}v")})
+        ranges = [F.sequence(F.col(f"{p}c{n}"), F.floor(F.greatest(f"{p}{i}", f"{p}{i + 2}") / size)) for i, n in enumerate("uv")]
+        return s.withColumn("cu", F.explode(ranges[0])).withColumn("cv", F.explode(ranges[1]))
+
+    a, b = placed(left, left_id, "l"), placed(right, right_id, "r")
+    top = a.select(F.col("ln").alias("n")).unionByName(b.select(F.col("rn").alias("n"))).agg(F.max("n").alias("n")).first()["n"] or 0
+    above = lambda p, k: F.explode(F.sequence(F.col(f"{p}n") + k, F.lit(top)))
+    shorter_right = cells(a, "l", F.col("ln")).join(cells(b, "r", above("r", 0)), ["level", "cu", "cv"])
+    shorter_left = cells(a.where(F.col("ln") < top), "l", above("l", 1)).join(cells(b, "r", F.col("rn")), ["level", "cu", "cv"])
+    l, r = (tuple(f"{p}{i}" for i in range(4)) for p in "lr")  # noqa: E741
+    x, y = geometry.line_crossing(l, r)
+    once = "cu = greatest(lcu, rcu) AND cv = greatest(lcv, rcv)"
+    pairs = shorter_right.unionByName(shorter_left).where(f"{once} AND {geometry.segments_cross(l, r)}")
+    return pairs.select("l_id", "r_id", F.expr(x).alias("x"), F.expr(y).alias("y"))
+
+
 def in_box(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     """Rows inside a box, both ends in; reaches the scan as a filter."""
     for c, (lo, hi) in limits.items():
