@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweft.llm import bm25_wand, bpe_tree, fim_scan, host_reputation, html_maxsub, merkle_manifest, minhash_join, pii_semicrf, pu_quality, secret_dfa, tiff_media, token_offsets
+from skyweft.llm import bm25_wand, bpe_tree, fim_scan, host_reputation, html_maxsub, merkle_manifest, minhash_join, pii_semicrf, pu_quality, secret_dfa, tiff_media, token_offsets, voronoi_knn
 
 #: Width of shingles that the contract of near-duplicates sets.
 SHINGLE_WORDS = 4
@@ -54,6 +54,10 @@ def op10_pu_quality(spark, sf_dir):
     return pu_quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_voronoi_knn(spark, sf_dir):
+    return voronoi_knn.embedding_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle_manifest.document_manifest(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op13_fim_scan(spark, sf_dir):
     return fim_scan.fim_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_tiff_media, op2_secret_automaton, op3_html_main_text, op4_minhash_near_dedup, op5_token_attribution, op6_bm25_decontamination, op7_bpe_tree, op8_host_reputation, op9_pii_semicrf, op10_pu_quality, op12_merkle_manifest, op13_fim_scan)}
+QUERIES = {f.__name__: f for f in (op1_tiff_media, op2_secret_automaton, op3_html_main_text, op4_minhash_near_dedup, op5_token_attribution, op6_bm25_decontamination, op7_bpe_tree, op8_host_reputation, op9_pii_semicrf, op10_pu_quality, op11_voronoi_knn, op12_merkle_manifest, op13_fim_scan)}
 
 NEAR_DUPLICATES_SQL = f"""
 WITH RECURSIVE worded AS (
@@ -87,6 +91,7 @@ FROM sets JOIN component ON sets.doc_id = component.doc_id
 ORACLE_SQL = {
     "op4_minhash_near_dedup": NEAR_DUPLICATES_SQL,
     "op8_host_reputation": host_reputation.verdict_sql("pages"),
+    "op11_voronoi_knn": voronoi_knn.neighbours_sql("embeddings"),
     "op12_merkle_manifest": merkle_manifest.manifest_sql("documents"),
     "op13_fim_scan": fim_scan.digests_sql("documents"),
 }
