@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweft.functions import sky
+from skyweft.operators.greedy import near_in_group, walk_dropped
 from skyweft.operators.spatial import radius_join
 from skyweft.operators.table import bin_of, histogram
 
@@ -102,35 +103,15 @@ def free_stars(stars: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
     return stars.join(used.select(*keys).distinct(), keys, "left_anti")
 
 
-def variance_growth(dist2: str, quad_radius2: str, sigma: float) -> str:
-    """A star's variance at a distance from the match's centre, as SQL text."""
-    return f"({sky.num(sigma**2)} * (1.0 + ({dist2}) / ({quad_radius2})))"
-
-
-def relevance_radius2(area: float, distractors: float, n_ref: int, sigma: float, quad_radius2: float) -> float:
-    """Squared distance beyond which a star can't add odds."""
-    return quad_radius2 * max(1.0, area * (1 - distractors) / (4 * math.pi * n_ref * sigma**2) - 1.0)
-
-
 def dedup_field_stars(stars: DataFrame, radius: float, field: str = "field", id_col: str = "id") -> DataFrame:
-    """Field stars (x, y, rank) without those that a brighter one of the same field lies within ``radius`` of.
+    """Field stars (x, y, rank) that no kept brighter one of the same field lies within ``radius`` of.
 
-    Stars of a field meet in cells of the radius, so that no field is taken as a whole.
+    Stars are taken by (rank, id); a star that was dropped drops no other. Stars of a field meet in cells of the
+    radius, so that no field is taken as a whole. Stars without a position stay.
     """
-    cell = lambda c: F.floor(F.col(c) / radius)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = stars.select(F.col(field).alias("f"), F.col(id_col).alias("own"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("rank").alias("ar"), F.explode(around).alias("o"), cell("x").alias("cx"), cell("y").alias("cy"))
-    a = a.withColumns({"cx": F.col("cx") + F.col("o.i"), "cy": F.col("cy") + F.col("o.j")})
-    b = stars.select(F.col(field).alias("f"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("rank").alias("br"), cell("x").alias("cx"), cell("y").alias("cy"))
-    near = a.join(b, ["f", "cx", "cy"]).where(F.expr(f"br < ar AND (ax - bx) * (ax - bx) + (ay - by) * (ay - by) <= {sky.num(radius**2)}"))
-    return stars.join(near.select(F.col("f").alias(field), F.col("own").alias(id_col)).distinct(), [field, id_col], "left_anti")
-
-
-def effective_area(field_stars: DataFrame, width: float, height: float, bins: int, field: str = "field") -> DataFrame:
-    """``(field, area)``: the image's area times the share of its bins x bins parts that hold a star."""
-    part = lambda c, size: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col(c) * bins / size)))
-    used = field_stars.groupBy(field, part("x", width).alias("i"), part("y", height).alias("j")).agg(F.count(F.lit(1)).alias("n"))
-    return used.groupBy(field).agg((F.count(F.lit(1)) * (width * height / bins**2)).alias("area"))
+    s = stars.select(F.col(field).alias("group"), F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("rank").alias("turn"))
+    gone = walk_dropped(near_in_group(s, ["group"], sky.num(radius), sky.num(radius**2)), ["group"])
+    return stars.join(gone.select(F.col("group").alias(field), F.col("id").alias(id_col)), [field, id_col], "left_anti")
 
 
 def unique_solutions(matches: DataFrame, keys: list[str], odds: str) -> DataFrame:

@@ -323,7 +323,9 @@ def table_header(columns: list[tuple[str, str]], widths: list[int], rows: int, h
 
 
 def encode_rows(columns: list[tuple[str, str]], widths: list[int], rows: list[tuple]) -> bytes:
-    """Rows as the bytes of a table; nulls are empty texts, false, NaN or zero."""
+    """Rows as the bytes of a table, none for no rows; nulls are empty texts, false, NaN or zero."""
+    if not rows:
+        return b""
     out = []
     for i, ((name, kind), width) in enumerate(zip(columns, widths, strict=True)):
         values = [r[i] for r in rows]
@@ -331,7 +333,7 @@ def encode_rows(columns: list[tuple[str, str]], widths: list[int], rows: list[tu
             texts = [(v or "").encode("latin-1", "replace") for v in values]
             if any(len(t) > width for t in texts):
                 raise ValueError(f"a text of {name} is longer than {width}")
-            out.append(np.array(texts, f"S{width}").view(np.uint8).reshape(len(rows), width) if rows else np.empty((0, width), np.uint8))
+            out.append(np.array(texts, f"S{width}").view(np.uint8).reshape(len(rows), width))
             continue
         base = kind[6:-1] if kind.startswith("array<") else kind
         code = FROM_SPARK[base]
@@ -345,7 +347,7 @@ def encode_rows(columns: list[tuple[str, str]], widths: list[int], rows: list[tu
             empty = float("nan") if code in "ED" else 0
             block = np.array([[empty if x is None else x for x in v] for v in flat]).astype(CODES[code][0]).reshape(len(rows), width)
         out.append(np.ascontiguousarray(block).view(np.uint8).reshape(len(rows), -1))
-    return np.concatenate(out, axis=1).tobytes() if rows else b""
+    return np.concatenate(out, axis=1).tobytes()
 
 
 def encode_table(columns: list[tuple[str, str]], rows: list[tuple], header: dict[str, str] | None = None) -> bytes:

@@ -187,18 +187,16 @@ def resampled_image(spark, sf):
 # ---- fields, matches, indexes --------------------------------------------------------------------
 
 
-@query(f"SELECT a.id FROM {FIELDS} a WHERE NOT EXISTS (SELECT 1 FROM {FIELDS} b WHERE b.field = a.field AND b.rank < a.rank AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {num(15.0**2)})")
+@query(f"""WITH RECURSIVE f AS {FIELDS}, w AS (
+  SELECT DISTINCT field, cast(-1 as bigint) AS k, [] :: STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM f
+  UNION ALL SELECT w.field, s.rank, CASE WHEN len(list_filter(kept, lambda p: (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) <= {num(15.0**2)})) > 0 THEN kept ELSE list_append(kept, {{'id': s.id, 'x': s.x, 'y': s.y}}) END
+    FROM w JOIN f s ON w.field = s.field AND s.rank = w.k + 1)
+SELECT u.m.id AS id FROM (SELECT unnest(kept) AS m FROM w JOIN (SELECT field, max(rank) AS k FROM f GROUP BY field) e ON w.field = e.field AND w.k = e.k) u""")
 def field_star_dedup(spark, sf):
-    """Field stars without those beside a brighter one."""
+    """Field stars without those beside a kept brighter one."""
     return match_stats.dedup_field_stars(fields(spark, sf), 15.0).select("id")
 
 
-@query(f"SELECT field, count(*) * 625.0 AS area FROM (SELECT DISTINCT field, least(3, greatest(0, cast(floor(x * 4 / 100) as bigint))) AS i, least(3, greatest(0, cast(floor(y * 4 / 100) as bigint))) AS j FROM {FIELDS} f) b GROUP BY field")
-def effective_area(spark, sf):
-    """The part of each field that has stars."""
-    return match_stats.effective_area(fields(spark, sf), 100.0, 100.0, 4)
-
-
 @query(f"SELECT field, 'repeated id' AS reason, count(*) AS n FROM (SELECT cast(floor(id / 10.0) as bigint) AS field, id FROM {POINTS} p WHERE id % 7 = 0) s GROUP BY field UNION ALL SELECT cast(floor(id / 10.0) as bigint), 'no position', 2 * count(*) FROM {POINTS} p WHERE id % 21 = 0 GROUP BY 1")
 def invalid_fields(spark, sf):
     """What is wrong with lists of field stars."""

@@ -64,36 +64,6 @@ def test_depth_batches_stop_at_the_first_success(spark):
     assert {r.field: r.depth for r in found.collect()} == {1: 10, 2: 20}
 
 
-def test_fold_prefers_the_true_match():
-    r = np.random.default_rng(2)
-    ref = r.uniform(0, 1000, (40, 2))
-    good = np.vstack([ref[:25] + r.normal(0, 1, (25, 2)), r.uniform(0, 1000, (5, 2))])
-    odds, label = solve.bayes_fold(good, np.full(30, 1.0), ref, 1e6, stop=np.inf)
-    assert odds > 60 and (label[:10] >= 0).sum() >= 9
-    bad, _ = solve.bayes_fold(r.uniform(0, 1000, (30, 2)), np.full(30, 1.0), ref, 1e6, stop=np.inf)
-    assert bad < 10
-
-
-def test_fold_resolves_conflicts():
-    ref = np.array([[10.0, 10.0], [500.0, 500.0]])
-    odds, label = solve.bayes_fold(np.array([[12.0, 10.0], [10.1, 10.0], [500.0, 500.2]]), np.full(3, 1.0), ref, 1e6)
-    assert label.tolist() == [-2, 0, 1]
-
-
-def test_a_conflict_credits_a_reference_star_once():
-    """Worked by hand: 1 pixel of noise, an area of 10^6, two reference stars, a quarter of distractors."""
-    ref, area = np.array([[10.0, 10.0], [500.0, 500.0]]), 1e6
-    fore = lambda d2: np.log(0.75 / (2 * np.pi * 2)) - d2 / 2 + np.log(area)
-    back = lambda k: np.log(0.25 + 0.75 * k / 2)
-    got, label = solve.bayes_fold(np.array([[12.5, 10.0], [10.0, 10.0]]), np.ones(2), ref, area)
-    # the second star takes the first one's place: its odds, and the first star as a distractor of its time
-    assert label.tolist() == [-2, 0] and abs(got - (fore(0.0) + back(0))) < 1e-9
-    one, _ = solve.bayes_fold(np.array([[10.0, 10.0]]), np.ones(1), ref, area)
-    assert abs(one - fore(0.0)) < 1e-9 and got < one
-    got, label = solve.bayes_fold(np.array([[10.0, 10.0], [11.5, 10.0], [500.0, 500.0]]), np.ones(3), ref, area)
-    assert label.tolist() == [0, -2, 1] and abs(got - (fore(0.0) + back(1) + fore(0.0))) < 1e-9
-
-
 @pytest.mark.parametrize("mode,want", [("best", {1: 30.0}), ("first", {1: 20.0})])
 def test_agreeing(spark, mode, want):
     m = spark.createDataFrame([(1, 5.0, 9, 0), (1, 20.0, 9, 1), (1, 30.0, 9, 2), (2, 50.0, 1, 0)], "field long, odds double, n int, o int")
