@@ -253,18 +253,23 @@ def _item_words(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], names=["shard", "n", "words"])
 
 
+def n_shards(items: DataFrame, item_text: str = "text") -> int:
+    """Shards that items are dealt into: at most SHARD_BYTES of text each, or so."""
+    size = items.agg(F.sum(F.octet_length(F.col(item_text).cast("string"))).alias("bytes")).first()["bytes"] or 0
+    return max(1, -(-size // SHARD_BYTES))
+
+
 def build_indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text"):
     """Broadcast indexes of all shards of the items, one after another; each holds SHARD_BYTES of text or so."""
     spark = items.sparkSession
     it = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
-    size = it.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
+    shards = n_shards(items, item_text)
     tagged = it.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
     cut = materialize(tagged.select("shard", "text").mapInArrow(_item_words, "shard int, n long, words array<string>").where("n > 0"), "bm25-words")
     lens = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
     terms = cut.select("shard", F.explode("words").alias("w"))
     local = terms.distinct().join(terms.groupBy("w").agg(F.count(F.lit(1)).alias("df")), "w")
-    local = materialize(local.repartition("shard").select("shard", "w", "df"), "bm25-terms")
+    local = materialize(local.select("shard", "w", "df"), "bm25-terms")
     for s in range(shards):
         rows = [(r["item_id"], r["text"]) for r in tagged.where(F.col("shard") == s).collect()]  # SHARD_BYTES or so
         df = {r["w"]: r["df"] for r in local.where(F.col("shard") == s).collect()}  # no more than the words of these
@@ -284,13 +289,27 @@ def _broadcast(spark, rows, n_items: int, mean_len: float, df: dict[str, int]):
 
 
 def retrieve_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.6) -> DataFrame:
-    """All (document, item) pairs with a passage at or above ``threshold``, with their overlaps."""
+    """All (document, item) pairs with a passage at or above ``threshold``, with their overlaps.
+
+    Shard by shard: the hits of one are written and its index is given up before the next is built.
+    """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
-    parts = [narrow.mapInArrow(_hit_rows(index, threshold), schema) for index in build_indexes(items)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    return _by_shard(items, lambda index: narrow.mapInArrow(_hit_rows(index, threshold), schema))
+
+
+def _by_shard(items: DataFrame, run) -> DataFrame:
+    """What ``run`` finds with each shard's index; with several shards as written tables, so that one index is held at a time."""
+    shards, found = n_shards(items), []
+    for index in build_indexes(items):
+        here = run(index)
+        if shards > 1:
+            here = materialize(here, "bm25-hits")
+            index.unpersist()
+        found.append(here)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -303,10 +322,17 @@ def contaminated(docs: DataFrame, items: DataFrame, overlap: float = 0.8, part_o
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = 0.6, overlap: float = 0.8, part_overlap: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text holds no verified item. Each row is judged where it stands, without a join.
 
-    Null and empty texts stay, repeated rows are judged alike and all stay or go, without items all rows stay,
-    an empty table gives no rows, columns of any names pass as they are.
+    With several shards of items the rows that one leaves are written and meet the next one's index. Null and empty texts stay,
+    repeated rows are judged alike and all stay or go, without items all rows stay, an empty table gives no rows, columns of any
+    names pass as they are.
     """
-    out = docs
+    shards, out = n_shards(items), docs
     for index in build_indexes(items):
-        out = out.mapInArrow(_clean_rows(index, threshold, docs.columns.index(text_col), overlap, part_overlap), docs.schema)
+        kept = out.mapInArrow(_clean_rows(index, threshold, docs.columns.index(text_col), overlap, part_overlap), docs.schema)
+        if shards > 1:
+            kept = materialize(kept, "bm25-clean")
+            index.unpersist()
+            if out is not docs:
+                discard(out)
+        out = kept
     return out

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|title|svg|math)\b[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|title|svg)(?=[\s/>]|\Z)[^>]*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",

@@ -4,6 +4,7 @@ import hashlib
 import html as H
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -190,7 +191,6 @@ def test_secret_query(spark, sf):
     ["secret=token = " + "a" * 1_000_000, "secret" + " " * 1_000_000 + "=x", "token=" * 150_000, "AKIA" * 250_000, "a" * 1_000_000, "password: abc " * 70_000, "-----BEGIN " + "A " * 500_000, "eyJa.eyJ" * 120_000, "secret = " + "token=" * 100_000 + "\u00e9"],
 )
 def test_long_values_take_linear_time(text):
-    import time
 
     start = time.perf_counter()
     got = secret_dfa.scan_text(text)
@@ -281,7 +281,6 @@ def test_the_region_bounds_the_text(monkeypatch):
 
 @pytest.mark.parametrize("part", ["<div>x", "<b>", "<p><b>", "<ul><li>", "<div class='a b'>x", "<table><tr><td>", "&nbsp;<p>", "</i>", "<p><b><h1>x"])
 def test_reading_is_linear(part):
-    import time
 
     w, took = dict(html_maxsub.default_weights()), []
     for n in (4000, 32_000):
@@ -534,3 +533,35 @@ def test_masking(spark):
     assert [r.text for r in pii_semicrf.mask_personal_data(df).orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE]!", None, "x"]
     assert pii_semicrf.mask_personal_data(df).columns == df.columns
     assert df.select(F.length("text")).count() == 3
+
+
+@pytest.mark.parametrize("part", ["1 ", "1.", "12 34 56 78 ", "0.123 4.567 8.910\n", "4111 1111 ", "a at b.c "])
+def test_long_digit_tables_take_linear_time(part):
+    w, took = pii_semicrf.Weights(pii_semicrf.default_weights()), []
+    for n in (50_000, 400_000):
+        text = part * (n // len(part))
+        start = time.perf_counter()
+        pii_semicrf.find_spans(text, w)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * 3 * took[0] + 0.5
+
+
+def test_numbers_within_longer_ones_are_no_personal_data():
+    w = pii_semicrf.Weights(pii_semicrf.default_weights())
+    for text in ("dates 2020-01-01 2021-02-03 x", "ticket 0123456789 x", "1 2 3 4 5 6 7 8 9", "rows 1.5/2.5/3.5/4.5/5.5"):
+        assert pii_semicrf.find_spans(text, w)[1] == []
+    assert pii_semicrf.find_spans("call 030 1234567 now", w)[1] == [(5, 16, "phone")]
+
+
+def test_remembered_scores_are_the_same():
+    plain, seen = dict(pii_semicrf.default_weights()), pii_semicrf.Weights(pii_semicrf.default_weights())
+    seen.MOST = 20
+    for text, _ in pii_semicrf.labelled_sentences(150, 3):
+        assert pii_semicrf._segments(text, plain) == pii_semicrf._segments(text, seen)
+
+
+def test_elements_whose_names_only_begin_like_raw_ones_hold_text():
+    w = dict(html_maxsub.default_weights())
+    words = " ".join(f"word{i}" for i in range(40))
+    page = f"<body><header><svg-icon></svg-icon><title-card>site</title-card></header><article><h1>Title</h1><p>{words} <math><mi>x</mi></math> end</p><iframe-wrap></iframe-wrap></article></body>"
+    assert html_maxsub.main_text(page, w) == f"Title\n\n{words} x end"
