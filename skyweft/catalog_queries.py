@@ -495,11 +495,27 @@ def coadd_images(spark, sf):
 
 @query()
 def source_extraction(spark, sf):
-    """Sources of small made-up images, a Gaussian per part on a noisy ground."""
-    parts = _read(spark, sf, "part").select("p_partkey", "p_retailprice").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
-    p = parts.selectExpr("p_partkey AS image", "8 + p_partkey % 13 AS cx", "8 + p_partkey % 11 AS cy", "p_retailprice AS flux")
-    pixel = "flux * exp(-0.5 * (pow(i % 32 - cx, 2) + pow(floor(i / 32) - cy, 2))) + pmod(hash(image, i), 1000) / 100.0"
-    return images.source_table(p.selectExpr("image", "32 AS width", f"transform(sequence(0, 1023), i -> cast({pixel} as double)) AS pixels"), "image", "width", "pixels")
+    """Sources of small made-up images, a Gaussian per part on a noisy ground, all pixels as rows."""
+    p = _read(spark, sf, "part").selectExpr("p_partkey AS image", "8 + p_partkey % 13 AS cx", "8 + p_partkey % 11 AS cy", "p_retailprice AS flux", "explode(sequence(0, 1023)) AS i")
+    value = "flux * exp(-0.5 * (pow(i % 32 - cx, 2) + pow(floor(i / 32) - cy, 2))) + pmod(hash(image, i), 1000) / 100.0"
+    return images.source_table(p.selectExpr("image", "cast(i % 32 as bigint) AS x", "cast(floor(i / 32) as bigint) AS y", f"cast({value} as double) AS value"))
+
+
+@query(f"""WITH p AS {PIXELS_SQL}, a AS (SELECT q.image, q.x, q.y, sum(p.value * exp(-0.5 * (q.x - p.x) * (q.x - p.x))) AS total, sum(exp(-0.5 * (q.x - p.x) * (q.x - p.x))) AS norm FROM p q JOIN p ON q.image = p.image AND q.y = p.y AND abs(q.x - p.x) <= 3 GROUP BY 1, 2, 3)
+  SELECT q.image, q.x, q.y, round(sum(a.total * exp(-0.5 * (q.y - a.y) * (q.y - a.y))) / sum(a.norm * exp(-0.5 * (q.y - a.y) * (q.y - a.y))), 6) AS value FROM a q JOIN a ON q.image = a.image AND q.x = a.x AND abs(q.y - a.y) <= 3 GROUP BY 1, 2, 3""")
+def smoothed_images(spark, sf):
+    """Images smoothed along rows, then columns."""
+    return images.smoothed(_pixels(spark, sf), 1.0).select("image", "x", "y", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT image, x, y FROM {PIXELS_SQL} p WHERE sin(x * 0.7 + image) * cos(y * 0.9) > 0.2),
+  r AS (SELECT image, x, y, image * 400 + y * 20 + x AS k FROM m UNION SELECT m.image, m.x, m.y, r.k FROM r JOIN m ON m.image = r.image AND abs(m.x - r.x) <= 1 AND abs(m.y - r.y) <= 1 WHERE r.k < m.image * 400 + m.y * 20 + m.x),
+  l AS (SELECT image, x, y, min(k) AS k FROM r GROUP BY 1, 2, 3)
+  SELECT image, x, y, cast(dense_rank() OVER (PARTITION BY image ORDER BY k) as integer) AS object FROM (
+    SELECT l.image, l.x, l.y, l.k FROM l) o""")
+def image_objects(spark, sf):
+    """Connected objects of a mask, numbered in reading order."""
+    return images.object_labels(_pixels(spark, sf).where("sin(x * 0.7 + image) * cos(y * 0.9) > 0.2"))
 
 
 # ---- service -------------------------------------------------------------------------------------

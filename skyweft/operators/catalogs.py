@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweft.functions import sky, wcs
+from skyweft.sources.packed import read_records
 from skyweft.sources.text import read_fixed_width
 
 #: Tycho-2 main catalogue lines: name -> (first column, length, type); fixed by the catalogue.
@@ -18,6 +19,7 @@ TYCHO2 = {
 #: Columns of the 2MASS point-source text, in order, as far as they are read here; fields are split at '|'.
 TWOMASS = {0: ("ra", "double"), 1: ("dec", "double"), 5: ("designation", "string"), 6: ("j_mag", "double"), 10: ("h_mag", "double"), 14: ("k_mag", "double"), 18: ("quality", "string"), 19: ("read_flag", "string"), 20: ("blend", "string"), 21: ("cc", "string")}
 #: Packed record of the NOMAD catalogue begins with these fields, as struct codes (fixed by the catalogue).
+NOMAD_RECORD = 88
 NOMAD_PACKED = [("ra_mas", "I"), ("spd_mas", "I"), ("sigma_ra", "I"), ("sigma_spd", "I"), ("pm_ra", "i"), ("pm_spd", "i"), ("sigma_pm_ra", "I"), ("sigma_pm_spd", "I"), ("epoch_ra", "I"), ("epoch_spd", "I"), ("mag_b", "h"), ("mag_v", "h"), ("mag_r", "h"), ("mag_j", "h"), ("mag_h", "h"), ("mag_k", "h")]
 
 
@@ -34,6 +36,11 @@ def read_2mass(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(*[field(i).try_cast(t).alias(n) for i, (n, t) in TWOMASS.items()])
 
 
+def read_nomad(spark: SparkSession, path: str, records: int = 1_000_000) -> DataFrame:
+    """Positions and magnitudes of NOMAD files, a range of records a task."""
+    return nomad_positions(read_records(spark, path, NOMAD_PACKED, NOMAD_RECORD, records))
+
+
 def nomad_positions(packed: DataFrame) -> DataFrame:
     """Degrees and magnitudes of packed NOMAD records; 30 mag and more means none."""
     mag = lambda c: F.when(F.col(c) < 30000, F.col(c) / 1000.0).alias(c)

@@ -1,136 +1,172 @@
-"""Images: source extraction, block averages, smoothing, resampling and coadds.
+"""Images in long form (image, x, y, value): source extraction, block averages, smoothing, resampling and coadds.
 
-An image is a row with its pixels as an array, so images are spread over tasks; one image is worked
-on by numpy within its row. Sums over many images (coadds) are grouped by output pixel in Spark.
+A pixel is a row, so that one large image is the work of many tasks. Neighbours along a row or column come from windows over it,
+boxes and blocks from grouping, objects from connected components.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweft.functions import wcs
+from skyweft.operators.components import connected_components
+from skyweft.session import materialize
 
-SOURCES = "image long, source int, x double, y double, flux double, background double"
-
-
-def block_average(image: np.ndarray, size: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """Means over size x size blocks; blocks cut at the edge are means of what they have."""
-    h, w = image.shape
-    wt = np.ones_like(image) if weight is None else weight
-    pad = ((0, -h % size), (0, -w % size))
-    fold = lambda a: np.pad(a, pad).reshape(-(-h // size), size, -(-w // size), size).sum((1, 3))
-    total = fold(wt)
-    return np.divide(fold(image * wt), total, out=np.zeros_like(total), where=total > 0)
-
-
-def smooth(image: np.ndarray, sigma: float, weight: np.ndarray | None = None) -> np.ndarray:
-    """Separable Gaussian with weights; edges renormalise by the weight they see."""
-    r = max(1, math.ceil(3 * sigma))
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-
-    def along(a, axis):
-        padded = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(2)])
-        return sum(k[i] * np.take(padded, range(i, i + a.shape[axis]), axis=axis) for i in range(2 * r + 1))
-
-    wt = np.ones_like(image) if weight is None else weight
-    norm = along(along(wt, 0), 1)
-    return np.divide(along(along(image * wt, 0), 1), norm, out=np.zeros_like(norm), where=norm > 0)
-
-
-def median_background(image: np.ndarray, half: int) -> np.ndarray:
-    """Medians on a grid of half-width boxes, joined linearly."""
-    h, w = image.shape
-    ys, xs = (np.unique(np.r_[np.arange(0, n, max(1, half)), n - 1]) for n in (h, w))
-    grid = np.array([[np.median(image[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1]) for x in xs] for y in ys])
-    rows = np.array([np.interp(np.arange(w), xs, g) for g in grid])
-    return np.array([np.interp(np.arange(h), ys, rows[:, x]) for x in range(w)]).T
-
-
-def noise_sigma(image: np.ndarray, offset: int = 5) -> float:
-    """Noise from differences of pixel pairs on a diagonal, sampled on a grid: 68th percentile over sqrt 2."""
-    step = max(1, min(20, min(image.shape) // 4))
-    a = image[: -offset or None : step, : -offset or None : step]
-    b = image[offset::step, offset::step][: a.shape[0], : a.shape[1]]
-    a = a[: b.shape[0], : b.shape[1]]
-    return float(np.percentile(np.abs(a - b), 68.27) / math.sqrt(2)) if a.size else 0.0
-
-
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """8-connected components numbered from 1 in reading order, by minimum propagation; 0 elsewhere."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    big = mask.size + 1
-    while True:
-        p = np.pad(np.where(label > 0, label, big), 1, constant_values=big)
-        low = np.min([p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        new = np.where(mask, low, 0)
-        new = np.where(mask, np.minimum(new, np.r_[0, np.where(mask, new, 0).ravel()][new]), 0)
-        if (new == label).all():
-            break
-        label = new
-    names, out = np.unique(label[mask], return_inverse=True)
-    result = np.zeros(mask.shape, int)
-    result[mask] = out + 1
-    return result
 
+def image_sizes(pixels: DataFrame) -> DataFrame:
+    """``(image, width, height)`` from the largest coordinates."""
+    return pixels.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
 
-def centroid3(patch: np.ndarray) -> tuple[float, float] | None:
-    """Peak of parabolas through the middle row and column of a 3 x 3 patch; None where it falls outside."""
-    out = []
-    for a, b, c in (patch[1], patch[:, 1]):
-        d = a - 2 * b + c
-        if d >= 0:
-            return None
-        out.append(0.5 * (a - c) / d)
-    return (out[0], out[1]) if max(map(abs, out)) <= 1 else None
 
+def _neighbours(col: str, along: str, window, k: int):
+    """(value, distance) of the rows ``k`` places before and after in the window."""
+    return [(f(col, k).over(window), F.abs(f(along, k).over(window) - F.col(along))) for f in (F.lag, F.lead)]
 
-def extract_sources(image: np.ndarray, psf: float = 1.0, limit: float = 8.0, half: int = 100, most: int = 10_000) -> list[tuple[float, float, float, float]]:
-    """(x, y, flux, background), brightest first: background off, smoothed, peaks among significant pixels.
 
-    At most ``most`` of an image are returned, the brightest. Every peak lies in the box around its own significant pixel, so boxes and their components are not needed to find it.
+def smoothed(pixels: DataFrame, sigma: float, weight: str | None = None) -> DataFrame:
+    """``(image, x, y, value)``: separable Gaussian over pixels in long form, as far as three sigmas; edges renormalise by the weights they see.
+
+    One window along rows, one along columns, by distance. A missing pixel takes no part and is no place for a sum of its row; a bad one
+    that should be such a place has a weight of zero.
+    """
+    reach = max(1, math.ceil(3 * sigma))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    p = pixels.select("image", "x", "y", (F.col("value") * w).alias("total"), w.alias("norm"))
+    for along, across in (("x", "y"), ("y", "x")):
+        window = Window.partitionBy("image", across).orderBy(along)
+        sums = {}
+        for c in ("total", "norm"):
+            out = F.col(c)
+            for k in range(1, reach + 1):
+                for v, d in _neighbours(c, along, window, k):
+                    out = out + F.coalesce(F.when(d <= reach, v * F.exp(-0.5 * (d / sigma) * (d / sigma))), F.lit(0.0))
+            sums[c] = out
+        p = p.select("image", "x", "y", *[v.alias(c) for c, v in sums.items()])
+    return p.select("image", "x", "y", F.when(F.col("norm") > 0, F.col("total") / F.col("norm")).otherwise(0.0).alias("value"))
+
+
+def background(pixels: DataFrame, half: int = 100) -> DataFrame:
+    """``(image, x, y, value)``: medians of boxes of ``half`` pixels to each side, on a grid as wide, joined linearly."""
+    n = image_sizes(pixels)
+    p = pixels.select("image", "x", "y", "value").join(n, "image")
+    last = lambda size: F.ceil((F.col(size) - 1) / half).cast("long")
+    place = lambda k, size: F.least(k * half, F.col(size) - 1)
+
+    def boxes(c, size):
+        k = F.floor(F.col(c) / half).cast("long")
+        return F.filter(F.sequence(F.greatest(F.lit(0).cast("long"), k - 1), F.least(last(size), k + 2)), lambda i: F.abs(place(i, size) - F.col(c)) <= half)
+
+    spread = p.withColumn("kx", F.explode(boxes("x", "width"))).withColumn("ky", F.explode(boxes("y", "height")))
+    node = spread.groupBy("image", "kx", "ky").agg(F.median("value").alias("m"))
+    at = lambda i, j: node.select("image", (F.col("kx") - i).alias("kx"), (F.col("ky") - j).alias("ky"), F.col("m").alias(f"m{i}{j}"))
+    cells = at(0, 0)
+    for i, j in ((1, 0), (0, 1), (1, 1)):
+        cells = cells.join(at(i, j), ["image", "kx", "ky"], "left")
+    zero = F.lit(0).cast("long")
+    cell = lambda c, size: F.greatest(zero, F.least(F.floor(F.col(c) / half).cast("long"), last(size) - 1))
+    p = p.withColumns({"kx": cell("x", "width"), "ky": cell("y", "height")}).join(cells, ["image", "kx", "ky"])
+
+    def share(c, k, size):
+        lo, hi = F.col(k) * half, place(F.col(k) + 1, size)
+        return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
+
+    tx, ty = share("x", "kx", "width"), share("y", "ky", "height")
+    here = lambda c: F.coalesce(c, F.lit(0.0))  # noqa: E731  beyond the last box the share is zero
+    value = (1 - ty) * ((1 - tx) * F.col("m00") + tx * here("m10")) + ty * ((1 - tx) * here("m01") + tx * here("m11"))
+    return p.select("image", "x", "y", value.alias("value"))
+
+
+def noise(pixels: DataFrame, offset: int = 5) -> DataFrame:
+    """``(image, sigma)``: differences of pixel pairs on a diagonal, sampled on a grid: 68th percentile over sqrt 2; images too small for pairs are left out."""
+    n = image_sizes(pixels).withColumn("step", F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.least("width", "height") / 4))))
+    a = pixels.select("image", "x", "y", "value").join(n.select("image", "step"), "image").where("x % step = 0 AND y % step = 0")
+    b = pixels.select("image", (F.col("x") - offset).alias("x"), (F.col("y") - offset).alias("y"), F.col("value").alias("other"))
+    return a.join(b, ["image", "x", "y"]).groupBy("image").agg((F.expr("percentile(abs(value - other), 0.6827D)") / math.sqrt(2)).alias("sigma"))
+
+
+def object_labels(mask: DataFrame) -> DataFrame:
+    """``(image, x, y, object)`` of the pixels (image, x, y) of a mask: 8-connected objects, numbered in reading order from 1 in each image.
+
+    Edges between neighbouring pixels go to the connected components, so an image may be as large as it likes.
     """
-    image = np.asarray(image, float)
-    back = median_background(image, half)
-    flat = image - back
-    sigma = noise_sigma(flat)
-    soft = smooth(flat, psf)
-    significant = soft > limit * sigma / (2 * math.sqrt(math.pi) * psf)
-    out = []
-    edge = np.pad(soft, 1, constant_values=-np.inf)
-    peak = np.all([soft >= edge[1 + dy : edge.shape[0] - 1 + dy, 1 + dx : edge.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0) & significant
-    for y, x in zip(*np.nonzero(peak), strict=True):
-        if 0 < y < image.shape[0] - 1 and 0 < x < image.shape[1] - 1:
-            shift = centroid3(soft[y - 1 : y + 2, x - 1 : x + 2])
-            if shift:
-                fx, fy = x + shift[0], y + shift[1]
-                ry, rx = (min(max(round(v), 0), n - 1) for v, n in ((fy, image.shape[0]), (fx, image.shape[1])))
-                out.append((float(fx), float(fy), float(flat[ry, rx]), float(back[ry, rx])))
-    return sorted(out, key=lambda s: (-s[2], s[0], s[1]))[:most]
-
-
-def source_table(images: DataFrame, image_col: str, width_col: str, pixels_col: str, retries: int = 3, **how) -> DataFrame:
-    """One row per source of every image; an image without any is halved and tried again."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for image, width, pixels in pdf.itertuples(index=False):
-                data, scale = np.asarray(pixels, float).reshape(-1, int(width)), 1
-                found = extract_sources(data, **how)
-                for _ in range(retries):
-                    if found or min(data.shape) < 4:
-                        break
-                    data, scale = block_average(data, 2), scale * 2
-                    found = extract_sources(data, **how)
-                rows += [(image, i, (x + 0.5) * scale - 0.5, (y + 0.5) * scale - 0.5, f, b) for i, (x, y, f, b) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SOURCES.split(", ")])
-
-    return images.select(F.col(image_col).cast("long"), F.col(width_col).cast("int"), pixels_col).mapInPandas(run, SOURCES)
+    pixel = materialize(mask.select(F.col("image").cast("long").alias("image"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct(), "object-pixels")
+    node = F.struct("image", "y", "x")
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])
+    a = pixel.select("image", "x", "y", node.alias("src"), F.explode(steps).alias("s"))
+    a = a.select("image", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "src")
+    edges = a.join(pixel.withColumn("dst", node), ["image", "x", "y"]).select("src", "dst")
+    parts = connected_components(edges).select(F.col("node").alias("me"), F.col("component").alias("first"))
+    rooted = pixel.withColumn("me", node).join(parts, "me", "left").select("image", "x", "y", F.coalesce("first", "me").alias("first"))
+    heads = rooted.select("image", "first").distinct().withColumn("object", F.row_number().over(Window.partitionBy("image").orderBy("first")))
+    return rooted.join(heads, ["image", "first"]).select("image", "x", "y", "object")
+
+
+def significant(pixels: DataFrame, psf: float = 1.0, limit: float = 8.0, half: int = 100) -> DataFrame:
+    """``(image, x, y, flat, back, soft, above)``: the background taken off, smoothed, and whether the smoothed value is ``limit`` sigmas of its noise."""
+    back = background(pixels, half).withColumnRenamed("value", "back")
+    flat = materialize(pixels.select("image", "x", "y", "value").join(back, ["image", "x", "y"]).select("image", "x", "y", "back", (F.col("value") - F.col("back")).alias("value")), "image-flat")
+    soft = smoothed(flat, psf).withColumnRenamed("value", "soft")
+    cut = noise(flat).select("image", (F.col("sigma") * (limit / (2 * math.sqrt(math.pi) * psf))).alias("cut"))
+    both = flat.join(soft, ["image", "x", "y"]).join(cut, "image", "left")
+    return both.select("image", "x", "y", F.col("value").alias("flat"), "back", "soft", (F.col("soft") > F.coalesce("cut", F.lit(0.0))).alias("above"))
+
+
+def sources(pixels: DataFrame, psf: float = 1.0, limit: float = 8.0, half: int = 100, most: int | None = 10_000) -> DataFrame:
+    """``(image, source, x, y, flux, background)``: the sources of images in long form (image, x, y, value), brightest first in each.
+
+    Background off, smoothed, the highest pixels among the significant ones, their places by parabolas through the 3 x 3 pixels around.
+    ``most`` a source list of an image, the brightest (None: all). Pixels are rows throughout, so an image is not held by one task.
+    """
+    p = significant(pixels, psf, limit, half).join(image_sizes(pixels), "image")
+    down = Window.partitionBy("image", "x").orderBy("y")
+    own = F.struct("soft", "flat", "back")
+    p = p.withColumn("mid", own)
+    beside = lambda f, c, at, w: F.when(F.abs(f(at, 1).over(w) - F.col(at)) == 1, f(c, 1).over(w))
+    p = p.select("image", "x", "y", "above", "width", "height", F.struct(beside(F.lag, "mid", "y", down).alias("up"), F.col("mid"), beside(F.lead, "mid", "y", down).alias("low")).alias("column"))
+    right = Window.partitionBy("image", "y").orderBy("x")
+    p = p.select("*", beside(F.lag, "column", "x", right).alias("left"), beside(F.lead, "column", "x", right).alias("right"))
+    p = p.where("above AND x > 0 AND y > 0 AND x < width - 1 AND y < height - 1")
+    around = [F.col(f"{c}.{r}") for c in ("left", "column", "right") for r in ("up", "mid", "low")]
+    centre = F.col("column.mid.soft")
+    for a in around:
+        p = p.where(a.isNotNull() & (centre >= a["soft"]))
+    soft = lambda c, r: F.col(f"{c}.{r}.soft")
+
+    def shift(a, b, c):
+        d = a - 2 * b + c
+        return F.when(d < 0, 0.5 * (a - c) / d)
+
+    p = p.withColumns({"sx": shift(soft("left", "mid"), centre, soft("right", "mid")), "sy": shift(soft("column", "up"), centre, soft("column", "low"))})
+    p = p.where("sx IS NOT NULL AND sy IS NOT NULL AND abs(sx) <= 1 AND abs(sy) <= 1").withColumns({"fx": F.col("x") + F.col("sx"), "fy": F.col("y") + F.col("sy")})
+    ix, iy = F.rint("fx") - F.col("x"), F.rint("fy") - F.col("y")
+    nearest = F.coalesce(*[F.when((ix == i) & (iy == j), F.col(f"{c}.{r}")) for i, c in ((-1, "left"), (0, "column"), (1, "right")) for j, r in ((-1, "up"), (0, "mid"), (1, "low"))])
+    p = p.withColumn("at", nearest).select("image", F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("at.flat").alias("flux"), F.col("at.back").alias("background"))
+    p = p.withColumn("source", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("flux"), "x", "y")) - 1)
+    p = p if most is None else p.where(F.col("source") < most)
+    return p.select("image", "source", "x", "y", "flux", "background")
+
+
+def source_table(pixels: DataFrame, retries: int = 3, **how) -> DataFrame:
+    """:func:`sources` of all images; those without any are halved in size and tried again, up to ``retries`` times. Places are those of the whole image."""
+    left, scale, out = pixels.select("image", "x", "y", "value"), 1, None
+    for k in range(retries + 1):
+        found = sources(left, **how)
+        if k < retries:
+            found = materialize(found, "image-sources")
+        here = found.select("image", "source", *[((F.col(c) + 0.5) * scale - 0.5).alias(c) for c in ("x", "y")], "flux", "background")
+        out = here if out is None else out.unionByName(here)
+        if k == retries:
+            break
+        large = image_sizes(left).where("width >= 4 AND height >= 4").select("image")
+        rest = left.join(found.select("image").distinct(), "image", "left_anti").join(large, "image")
+        left, scale = materialize(pixel_blocks(rest, 2).select("image", F.col("bx").alias("x"), F.col("by").alias("y"), "value"), "image-halved"), scale * 2
+        if left.isEmpty():
+            break
+    return out
 
 
 def lanczos(d: str, order: int) -> str:
@@ -138,17 +174,18 @@ def lanczos(d: str, order: int) -> str:
     return f"(CASE WHEN {d} = 0 THEN 1.0 WHEN abs({d}) >= {order} THEN 0.0 ELSE {order} * sin(pi() * {d}) * sin(pi() * {d} / {order}) / (pi() * pi() * {d} * {d}) END)"
 
 
-def coadd(pixels: DataFrame, target_x: str, target_y: str, value: str = "value", weight: str = "weight", order: int = 3, bad: float = 0.0) -> DataFrame:
-    """``(x, y, value, weight)``: weighted Lanczos sums at whole output pixels of input pixels placed at (target_x, target_y).
+def coadd(pixels: DataFrame, target_x: str, target_y: str, value: str = "value", weight: str = "weight", order: int = 3, bad: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys, x, y, value, weight)``: weighted Lanczos sums at whole output pixels of input pixels placed at (target_x, target_y), an image for each of ``keys``.
 
     Each input pixel reaches (2 order)^2 output pixels; sums are combined before the shuffle.
     """
     reach = F.sequence(F.lit(1 - order), F.lit(order))
-    p = pixels.withColumns({"__ox": F.explode(reach)}).withColumns({"__oy": F.explode(reach)})
-    p = p.withColumns({"x": (F.floor(F.col(target_x)) + F.col("__ox")).cast("long"), "y": (F.floor(F.col(target_y)) + F.col("__oy")).cast("long")})
-    p = p.withColumn("__k", F.expr(f"{lanczos(f'(x - {target_x})', order)} * {lanczos(f'(y - {target_y})', order)} * {weight}"))
-    total = p.groupBy("x", "y").agg(F.sum(F.col("__k") * F.col(value)).alias("s"), F.sum("__k").alias("weight"))
-    return total.select("x", "y", F.when(F.abs("weight") > 1e-12, F.col("s") / F.col("weight")).otherwise(bad).alias("value"), "weight")
+    p = pixels.select(*keys, F.col(target_x).alias("tx"), F.col(target_y).alias("ty"), F.col(value).alias("v"), F.col(weight).alias("w"))
+    p = p.withColumn("ox", F.explode(reach)).withColumn("oy", F.explode(reach))
+    p = p.withColumns({"x": (F.floor("tx") + F.col("ox")).cast("long"), "y": (F.floor("ty") + F.col("oy")).cast("long")})
+    p = p.withColumn("k", F.expr(f"{lanczos('(x - tx)', order)} * {lanczos('(y - ty)', order)} * w"))
+    total = p.groupBy(*keys, "x", "y").agg(F.sum(F.col("k") * F.col("v")).alias("s"), F.sum("k").alias("weight"))
+    return total.select(*keys, "x", "y", F.when(F.abs("weight") > 1e-12, F.col("s") / F.col("weight")).otherwise(bad).alias("value"), "weight")
 
 
 def pixel_blocks(pixels: DataFrame, size: int, weight: str | None = None, whole: bool = False) -> DataFrame:
@@ -177,13 +214,13 @@ def scaled_image(pixels: DataFrame, scale: float = 1.0, offset: float = 0.0) ->
     return pixels.withColumn("value", F.col("value") * scale + offset)
 
 
-def resample(pixels: DataFrame, source: wcs.Tan, target: wcs.Tan, order: int = 3) -> DataFrame:
-    """Pixels of one projection at the whole pixels of another: placed through the sky, summed with Lanczos weights."""
+def resample(pixels: DataFrame, source: wcs.Tan, target: wcs.Tan, order: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """Pixels of one projection at the whole pixels of another: placed through the sky, summed with Lanczos weights; images of ``keys`` apart."""
     x, y, z = wcs.pixel_to_xyz(source, "x", "y")
     px, py = wcs.sky_to_pixel(target, "sx", "sy", "sz")
-    sky = pixels.select("value", F.expr(x).alias("sx"), F.expr(y).alias("sy"), F.expr(z).alias("sz"))
-    placed = sky.select("value", F.expr(px).alias("tx"), F.expr(py).alias("ty"), F.lit(1.0).alias("weight")).where("tx is not null and ty is not null")
-    out = coadd(placed, "tx", "ty", order=order)
+    sky = pixels.select(*keys, "value", F.expr(x).alias("sx"), F.expr(y).alias("sy"), F.expr(z).alias("sz"))
+    placed = sky.select(*keys, "value", F.expr(px).alias("tx"), F.expr(py).alias("ty"), F.lit(1.0).alias("weight")).where("tx is not null and ty is not null")
+    out = coadd(placed, "tx", "ty", order=order, keys=keys)
     return out.where(wcs.in_image(target, "x", "y")) if target.size != (0.0, 0.0) else out
 
 

@@ -218,10 +218,19 @@ def sweep_order(stars: DataFrame, sweep: str, value: str, tie: str) -> DataFrame
     return stars.orderBy(sweep, value, tie)
 
 
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`")
+
+
 def filter_rows(df: DataFrame, expression: str) -> DataFrame:
-    """Rows for which an expression over the columns holds (C-style ``&&``, ``||``, ``!``, ``==`` are read as SQL)."""
-    text = re.sub(r"!(?!=)", " NOT ", expression.replace("&&", " AND ").replace("||", " OR ").replace("==", "="))
-    return df.where(text)
+    """Rows for which an expression over the columns holds (C-style ``&&``, ``||``, ``!``, ``==`` are read as SQL, but not inside of quotes)."""
+    sql, at = [], 0
+    for m in [*_QUOTED.finditer(expression), None]:
+        plain = expression[at : m.start() if m else len(expression)]
+        sql.append(re.sub(r"!(?!=)", " NOT ", plain.replace("&&", " AND ").replace("||", " OR ").replace("==", "=")))
+        if m:
+            sql.append(m[0])
+            at = m.end()
+    return df.where("".join(sql))
 
 
 def column_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

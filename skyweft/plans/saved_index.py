@@ -69,10 +69,20 @@ def share_stars(index: Index, stars: DataFrame, nside: int, low_arcmin: float, h
     return Index(index.stars, cell_quads(stars, nside, low_arcmin, high_arcmin, per_cell, max_uses), low_arcmin, high_arcmin)
 
 
-def write_tiles(rows: DataFrame, path: str, source: str, row_col: str, tile_col: str = "tile") -> None:
-    """One folder of files a tile, each row with where it comes from (``backref_file``, ``backref_index``)."""
-    out = rows.withColumns({"backref_file": F.lit(source), "backref_index": F.col(row_col).cast("long")})
-    out.repartition(F.col(tile_col)).write.partitionBy(tile_col).parquet(path)
+def write_tiles(rows: DataFrame, path: str, tile_col: str = "tile") -> None:
+    """One folder of files a tile. Rows carry where they come from (``backref_file``, ``backref_index``), as a read with ``provenance`` gives it."""
+    missing = {"backref_file", "backref_index"} - set(rows.columns)
+    if missing:
+        raise ValueError(f"rows without {sorted(missing)}")
+    rows.repartition(F.col(tile_col)).write.partitionBy(tile_col).parquet(path)
+
+
+def copied_rows(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``source`` (read with ``provenance``) by a list of their files and numbers: ``wanted`` has backref_file, backref_index and place.
+
+    A row that is listed twice comes twice; ``place`` keeps the order of the list. Pairs that are not there give nothing.
+    """
+    return wanted.select("backref_file", "backref_index", "place").join(source, ["backref_file", "backref_index"])
 
 
 def occupied_cells(stars: DataFrame, nside: int) -> DataFrame:

@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import glob
 import os
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 BLOCK, CARD = 2880, 80
@@ -138,7 +138,10 @@ class RowRange(InputPartition):
 
 
 class SkyTableSource(DataSource):
-    """Options: ``path`` (file, folder or pattern), ``ext`` (default: the first table), ``rows`` per partition."""
+    """Options: ``path`` (file, folder or pattern), ``ext`` (default: the first table), ``rows`` per partition, ``provenance``.
+
+    With ``provenance`` every row has the columns ``backref_file`` and ``backref_index``: its file and its 0-based number in it.
+    """
 
     @classmethod
     def name(cls):
@@ -162,11 +165,14 @@ class SkyTableSource(DataSource):
         raise ValueError(f"{path} has no such table")
 
     def schema(self):
-        return ", ".join(f"`{c.name}` {c.spark_type()}" for c in self._table(self._files()[0]).columns)
+        own = [f"`{c.name}` {c.spark_type()}" for c in self._table(self._files()[0]).columns]
+        return ", ".join(own + (["backref_file string", "backref_index long"] if self._provenance() else []))
 
-    def reader(self, schema):
-        return SkyTableReader([(p, self._table(p)) for p in self._files()], int(self.options.get("rows", 200_000)), [f.name for f in schema.fields])
+    def _provenance(self) -> bool:
+        return self.options.get("provenance", "false").lower() == "true"
 
+    def reader(self, schema):
+        return SkyTableReader([(p, self._table(p)) for p in self._files()], int(self.options.get("rows", 200_000)), [f.name for f in schema.fields], self._provenance())
 
     def writer(self, schema, overwrite):
         return SkyTableWriter(self.options["path"].removeprefix("file://"), [(f.name, f.dataType.simpleString()) for f in schema.fields], overwrite, int(self.options.get("strings", 32)), int(self.options.get("arrays", 1)))
@@ -191,6 +197,14 @@ class SkyTableWriter(DataSourceWriter):
         import uuid
 
         path = os.path.join(self.folder, f".{uuid.uuid4().hex}.fits.part")
+        try:
+            self._table(path, rows)
+        except BaseException:
+            _remove([path])
+            raise
+        return Written(path)
+
+    def _table(self, path, rows):
         n, step = 0, []
         with open(path, "wb") as f:
             f.write(table_header(self.columns, self._widths(), 0))
@@ -204,7 +218,6 @@ class SkyTableWriter(DataSourceWriter):
             f.write(b"\0" * (-f.tell() % BLOCK))
             f.seek(0)
             f.write(table_header(self.columns, self._widths(), n))
-        return Written(path)
 
     def _widths(self) -> list[int]:
         return [self.strings if k == "string" else self.arrays if k.startswith("array<") else 1 for _, k in self.columns]
@@ -240,6 +253,73 @@ class SkyImageSource(DataSource):
             raise FileNotFoundError(path)
         return SkyImageReader(files, int(self.options.get("rows", 256)))
 
+    def writer(self, schema, overwrite):
+        return SkyImageWriter(self.options["path"].removeprefix("file://"), schema.fieldNames(), overwrite)
+
+
+class SkyImageWriter(DataSourceWriter):
+    """A file an image from rows (image, x, y, value, width, height) that a task gets in the order of image, y and x; see :func:`write_images`.
+
+    A line of pixels is held at a time; pixels without a row are NaN. Files get their names when all tasks have ended.
+    """
+
+    def __init__(self, folder: str, names: list[str], overwrite: bool):
+        self.folder, self.at = folder, [names.index(c) for c in ("image", "x", "y", "value", "width", "height")]
+        os.makedirs(folder, exist_ok=True)
+        self.old = set(glob.glob(os.path.join(folder, "*.fits"))) if overwrite else set()
+
+    def write(self, rows):
+        import uuid
+        from itertools import groupby
+
+        out = []
+        try:
+            for image, pixels in groupby(([row[i] for i in self.at] for row in rows), key=lambda p: p[0]):
+                final = os.path.join(self.folder, f"image-{image}.fits")
+                path = os.path.join(self.folder, f".{uuid.uuid4().hex}.fits.part")
+                if any(f == final for _, f in out):
+                    raise ValueError(f"the rows of image {image} are not together")
+                out.append((path, final))
+                with open(path, "wb") as f:
+                    self._image(f, pixels)
+        except BaseException:
+            _remove(p for p, _ in out)
+            raise
+        return WrittenFiles(out)
+
+    def _image(self, f, pixels):
+        line, at, width, height = None, 0, 0, 0
+        for _, x, y, value, w, h in pixels:
+            if line is None:
+                width, height = int(w), int(h)
+                f.write(image_header(width, height))
+                line = np.full(width, np.nan, ">f8")
+            if not at <= y < height or not 0 <= x < width:
+                raise ValueError("pixels out of order or outside of the image")
+            while at < y:
+                f.write(line.tobytes())
+                line[:] = np.nan
+                at += 1
+            line[x] = np.nan if value is None else value
+        for at in range(at, height):  # noqa: B020
+            f.write(line.tobytes())
+            line[:] = np.nan
+        f.write(b"\0" * (-f.tell() % BLOCK))
+
+    def commit(self, messages):
+        _commit_files(messages, self.old)
+
+    def abort(self, messages):
+        for m in messages:
+            _remove(p for p, _ in (m.paths if m is not None else ()))
+
+
+def write_images(pixels: DataFrame, path: str, mode: str = "append") -> None:
+    """Images in long form (image, x, y, value) as files, ``image-<number>.fits`` each; an image's pixels pass through one task as a sorted stream."""
+    sizes = pixels.groupBy("image").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    rows = pixels.select("image", "x", "y", F.col("value").cast("double").alias("value")).join(sizes, "image")
+    rows.repartition("image").sortWithinPartitions("image", "y", "x").write.format("skyimage").mode(mode).save(path)
+
 
 class SkyImageReader(DataSourceReader):
     """Two-dimensional images of all extensions, numbered file by file; BSCALE and BZERO applied, BLANK and NaN left out."""
@@ -280,17 +360,40 @@ class ImageRows(InputPartition):
         self.path, self.number, self.header, self.at, self.first, self.last = path, number, header, at, first, last
 
 
+def image_header(width: int, height: int) -> bytes:
+    """The header of a file with one image of doubles."""
+    card = lambda k, v: f"{k:<8}= {v:>20}".ljust(CARD)
+    head = card("SIMPLE", "T") + card("BITPIX", -64) + card("NAXIS", 2) + card("NAXIS1", width) + card("NAXIS2", height) + "END".ljust(CARD)
+    return head.encode("ascii").ljust(-(-len(head) // BLOCK) * BLOCK)
+
+
 def encode_image(image: np.ndarray) -> bytes:
     """A file with one image of doubles."""
-    card = lambda k, v: f"{k:<8}= {v:>20}".ljust(CARD)
-    head = card("SIMPLE", "T") + card("BITPIX", -64) + card("NAXIS", 2) + card("NAXIS1", image.shape[1]) + card("NAXIS2", image.shape[0]) + "END".ljust(CARD)
-    pad = lambda b, fill: b + fill * (-len(b) % BLOCK)
-    return pad(head.encode("ascii"), b" ") + pad(image.astype(">f8").tobytes(), b"\0")
+    body = image.astype(">f8").tobytes()
+    return image_header(image.shape[1], image.shape[0]) + body + b"\0" * (-len(body) % BLOCK)
+
+
+def _remove(paths) -> None:
+    for path in paths:
+        if os.path.exists(path):
+            os.remove(path)
+
+
+def _commit_files(messages, old: set[str]) -> None:
+    """Gives written files their names, each of which one task may have, and removes the others of ``old``."""
+    files = [f for m in messages if m is not None for f in m.paths]
+    names = [final for _, final in files]
+    if len(set(names)) < len(names):
+        _remove(p for p, _ in files)
+        raise ValueError("several rows or tasks wrote one file")
+    for path, final in files:
+        os.replace(path, final)
+    _remove(old - set(names))
 
 
 class SkyTableReader(DataSourceReader):
-    def __init__(self, tables, rows: int, wanted: list[str]):
-        self.tables, self.rows, self.wanted = tables, rows, wanted
+    def __init__(self, tables, rows: int, wanted: list[str], provenance: bool = False):
+        self.tables, self.rows, self.wanted, self.provenance = tables, rows, wanted, provenance
 
     def partitions(self):
         return [RowRange(p, t, lo, min(lo + self.rows, t.rows)) for p, t in self.tables for lo in range(0, t.rows, self.rows)] or [RowRange("", self.tables[0][1], 0, 0)]
@@ -301,11 +404,121 @@ class SkyTableReader(DataSourceReader):
             with open(partition.path, "rb") as f:
                 f.seek(t.data_at + lo * t.width)
                 data = f.read((min(lo + step, partition.last) - lo) * t.width)
-            yield from decode_rows(t, data, self.wanted)
+            if self.provenance:
+                for i, row in enumerate(decode_rows(t, data, self.wanted), lo):
+                    yield (*row, partition.path, i)
+            else:
+                yield from decode_rows(t, data, self.wanted)
+
+
+class SkyHeaderSource(DataSource):
+    """Header cards as rows (file, extension, name, value), a file a partition. Option: ``path``."""
+
+    @classmethod
+    def name(cls):
+        return "skyheader"
+
+    def schema(self):
+        return "file string, extension int, name string, value string"
+
+    def reader(self, schema):
+        path = self.options["path"].removeprefix("file://")
+        return SkyHeaderReader(sorted(glob.glob(os.path.join(path, "*.fits") if os.path.isdir(path) else path)))
+
+
+class SkyHeaderReader(DataSourceReader):
+    def __init__(self, files: list[str]):
+        self.files = files
+
+    def partitions(self):
+        return [InputPartition(p) for p in self.files] or [InputPartition("")]
+
+    def read(self, partition):
+        if partition.value:
+            with open(partition.value, "rb") as f:
+                for number, cards, _ in read_headers(f):
+                    yield from ((partition.value, number, k, v) for k, v in cards.items())
+
+
+class SkyFileSink(DataSource):
+    """``df.write.format("skyfiles")``: a file a row. The columns are ``name`` (of the file), ``header`` (map of cards of the first part) and,
+    for each extension in order, an array of structs, written as a binary table with the column's name as EXTNAME.
+    """
+
+    @classmethod
+    def name(cls):
+        return "skyfiles"
+
+    def schema(self):
+        return "name string, header map<string, string>"
+
+    def writer(self, schema, overwrite):
+        tables = [(f.name, [(c.name, c.dataType.simpleString()) for c in f.dataType.elementType.fields]) for f in schema.fields if f.name not in ("name", "header")]
+        return SkyFileWriter(self.options["path"].removeprefix("file://"), schema.fieldNames(), tables, overwrite)
+
+
+@dataclass
+class WrittenFiles(WriterCommitMessage):
+    paths: list[tuple[str, str]]
+
+
+class SkyFileWriter(DataSourceWriter):
+    """Files are written under hidden names and get their own when all tasks have ended; a name that is there already is replaced."""
+
+    def __init__(self, folder: str, names: list[str], tables: list[tuple[str, list[tuple[str, str]]]], overwrite: bool):
+        self.folder, self.names, self.tables = folder, names, tables
+        os.makedirs(folder, exist_ok=True)
+        self.old = set(glob.glob(os.path.join(folder, "*.fits"))) if overwrite else set()
+
+    def write(self, rows):
+        import uuid
+
+        out = []
+        try:
+            for row in rows:
+                at = dict(zip(self.names, row, strict=True))
+                path = os.path.join(self.folder, f".{uuid.uuid4().hex}.fits.part")
+                out.append((path, os.path.join(self.folder, f"{at['name']}.fits")))
+                with open(path, "wb") as f:
+                    f.write(primary_header(at["header"] or {}))
+                    for name, columns in self.tables:
+                        f.write(encode_table(columns, [tuple(r) for r in at[name] or ()], {"EXTNAME": name})[BLOCK:])
+        except BaseException:
+            _remove(p for p, _ in out)
+            raise
+        return WrittenFiles(out)
+
+    def commit(self, messages):
+        _commit_files(messages, self.old)
+
+    def abort(self, messages):
+        for m in messages:
+            _remove(p for p, _ in (m.paths if m is not None else ()))
+
+
+def primary_header(cards: dict[str, str]) -> bytes:
+    """The first part of a file: a header without data. Numbers and T or F stand as they are, other values in quotes."""
+    def card(key: str, value: str) -> str:
+        if len(key) > 8 or not key.isascii():
+            raise ValueError(f"{key} is no keyword")
+        try:
+            float(value)
+            plain = True
+        except ValueError:
+            plain = value in ("T", "F")
+        text = f"{key:<8}= {value:>20}" if plain else f"{key:<8}= '{value.replace(chr(39), chr(39) * 2)}'"
+        if len(text) > CARD:
+            raise ValueError(f"the value of {key} is too long")
+        return text.ljust(CARD)
+
+    text = card("SIMPLE", "T") + card("BITPIX", "8") + card("NAXIS", "0") + card("EXTEND", "T") + "".join(card(k.upper(), v) for k, v in cards.items()) + "END".ljust(CARD)
+    return text.encode("latin-1", "replace").ljust(-(-len(text) // BLOCK) * BLOCK)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SkyTableSource)
+    spark.dataSource.register(SkyHeaderSource)
+    spark.dataSource.register(SkyFileSink)
     spark.dataSource.register(SkyImageSource)
 
 
@@ -375,19 +588,3 @@ def tables_from_binary(files: DataFrame, like: bytes) -> DataFrame:
                 yield pd.DataFrame(list(decode_rows(t, data[t.data_at : t.data_at + t.rows * t.width])), columns=[c.name for c in t.columns])
 
     return files.select("content").mapInPandas(run, schema)
-
-
-def read_packed(files: DataFrame, fields: list[tuple[str, str]], record: int) -> DataFrame:
-    """Fixed-size little-endian records of binary catalogues: fields are (name, struct code), padded to ``record`` bytes."""
-    layout = "<" + "".join(c for _, c in fields)
-    kinds = {"b": "int", "B": "int", "h": "int", "H": "int", "i": "int", "I": "long", "q": "long", "f": "float", "d": "double"}
-
-    def run(batches):
-        import pandas as pd
-
-        size = struct.calcsize(layout)
-        for pdf in batches:
-            for data in pdf["content"]:
-                yield pd.DataFrame([struct.unpack(layout, data[i : i + size]) for i in range(0, len(data) - record + 1, record)], columns=[n for n, _ in fields])
-
-    return files.select("content").mapInPandas(run, ", ".join(f"{n} {kinds[c[-1]]}" for n, c in fields))

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: Types of the struct text format and their Spark types (fixed values).
 STRUCT_TYPES = {"short": "short", "int": "int", "long": "long", "float": "float", "double": "double", "char": "string"}
-#: Different headers of a folder that are read for its types.
-MOST_HEADERS = 100
 _TYPEDEF = re.compile(r"typedef\s+(struct|enum)\s*\{(.*?)\}\s*(\w+)\s*;", re.S)
 _MEMBER = re.compile(r"(\w+)\s+(\w+)((?:\s*[\[<]\d*[\]>])*)\s*;?")
 
@@ -111,9 +109,18 @@ def _tokens(line: str) -> list[str]:
 def read_struct_text(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One table of a struct text file: data lines begin with the table's name; ``\\`` joins lines, arrays stand in braces."""
     whole = spark.read.text(path, wholetext=True)
-    found = whole.select(F.concat_ws("\n", F.regexp_extract_all("value", F.lit(r"(?s)typedef\s+(?:struct|enum)\s*\{.*?\}\s*\w+\s*;"), F.lit(0))).alias("value"))
-    header = "\n".join(r["value"] for r in found.where("value <> ''").distinct().limit(MOST_HEADERS).collect())
-    cols = struct_text_schema(header)[table.upper()]
+    name = re.escape(table)
+    found = whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?s)typedef\s+(?:struct|enum)\s*\{.*?\}\s*\w+\s*;"), F.lit(0))).alias("value"))
+    own = [r["value"] for r in found.where(F.col("value").rlike(rf"(?is)^typedef\s+struct.*\}}\s*{name}\s*;$")).distinct().limit(2).collect()]
+    if not own:
+        raise ValueError(f"no file defines {table}")
+    enum = F.regexp_extract("value", r"(?s)^typedef\s+enum.*\}\s*(\w+)\s*;$", 1)
+    used = found.select(enum.alias("name"), "value").where(F.col("name").isin(sorted({w for d in own for w in re.findall(r"\w+", d)})))
+    enums = [r["value"] for r in used.groupBy("name").agg(F.min("value").alias("value")).collect()]  # no more than the words of the definition
+    defined = [struct_text_schema("\n".join([*enums, d]))[table.upper()] for d in own]
+    if any(d != defined[0] for d in defined):
+        raise ValueError(f"files define {table} differently")
+    cols = defined[0]
     schema = ", ".join(f"`{c}` {f'array<{t}>' if n else t}" for c, t, n in cols)
     cast = {"short": int, "int": int, "long": int, "float": float, "double": float, "string": str}
 

@@ -150,40 +150,6 @@ def test_codes_do_not_change_under_similarity(spark):
     assert all((c[0] + c[2]) / 2 <= 0.5 + 1e-12 and c[0] <= c[2] for c in by[0].values())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_of_pixels(seed):
-    mask = np.random.default_rng(seed).random((11, 9)) < 0.45
-    label = images.label_components(mask)
-    seen = np.zeros_like(label)
-    n = 0
-    for y, x in zip(*np.nonzero(mask), strict=True):
-        if not seen[y, x]:
-            n += 1
-            todo = [(y, x)]
-            seen[y, x] = n
-            while todo:
-                a, b = todo.pop()
-                for c, d in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                    if 0 <= c < 11 and 0 <= d < 9 and mask[c, d] and not seen[c, d]:
-                        seen[c, d] = n
-                        todo.append((c, d))
-    assert (label == seen).all()
-
-
-def test_sources_are_found_where_they_are():
-    r = np.random.default_rng(5)
-    y, x = np.mgrid[:80, :100]
-    image = r.normal(100, 1, (80, 100))
-    for cx, cy, f in ((20.3, 30.7, 300), (70.1, 50.4, 150)):
-        image += f * np.exp(-0.5 * ((x - cx) ** 2 + (y - cy) ** 2))
-    got = images.extract_sources(image, half=20)[:2]
-    assert abs(got[0][0] - 20.3) < 0.2 and abs(got[0][1] - 30.7) < 0.2 and abs(got[1][0] - 70.1) < 0.2 and abs(got[1][1] - 50.4) < 0.2
-
-
-def test_block_average_of_a_cut_edge():
-    assert images.block_average(np.arange(6.0).reshape(2, 3), 2).tolist() == [[2.0, 3.5]]
-
-
 def test_service_queries(spark):
     jobs = spark.createDataFrame([(1, 10, None, 5), (2, 10, 7, 1), (3, 11, None, 2), (4, 11, None, 9)], "job_id long, image_id long, calibration_id long, end_time int")
     assert {r.image_id: (r.job_id, r.solved) for r in web.best_jobs(jobs).collect()} == {10: (2, True), 11: (4, False)}

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweft.plans import solve
-from skyweft.sources import fits, text
+from skyweft.operators import table
+from skyweft.plans import saved_index, solve
+from skyweft.sources import fits, packed, text
 from skyweft.streaming import jobs
 
 
@@ -45,7 +46,8 @@ def test_packed_records(spark, tmp_path):
 
     (tmp_path / "p.bin").write_bytes(b"".join(struct.pack("<ihf", i, -i, i / 2) + b"\0\0" for i in range(5)))
     files = spark.read.format("binaryFile").load(str(tmp_path / "p.bin"))
-    assert sorted(map(tuple, fits.read_packed(files, [("a", "i"), ("b", "h"), ("c", "f")], 12).collect())) == [(i, -i, i / 2) for i in range(5)]
+    got = packed.read_records(spark, str(tmp_path / "p*"), [("a", "i"), ("b", "h"), ("c", "f")], 12)
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(i, i, -i, i / 2) for i in range(5)]
 
 
 def test_solved_stays_solved(spark, tmp_path):
@@ -111,3 +113,145 @@ def test_images_are_read_by_rows(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 3
     got = {(r.x, r.y): r.value for r in df.collect()}
     assert got == {(x, y): image[y, x] for x in range(30) for y in range(20) if not np.isnan(image[y, x])}
+
+
+def test_usnob_records_are_taken_apart(spark, tmp_path):
+    """Digits put together by hand in every word, files cut into ranges of records."""
+    r, want, files = np.random.default_rng(1), {}, []
+    n = lambda hi: int(r.integers(0, hi))
+    for k in range(3):
+        raw = []
+        for i in range(50 + k):
+            ra, spd, det, spike = n(129_600_000), n(64_800_000), n(6), n(2)
+            pm, spm, prob, moving = n(10_000), n(10_000), n(10), n(2)
+            e = (n(1000), n(1000), n(10), n(10))
+            s = (n(1000), n(1000), n(1000), n(2))
+            obs = [(n(10_000), n(938) if n(4) else 0, n(10), n(12), n(10_000), n(10_000), n(10), n(10_000_000)) for _ in range(5)]
+            w = [ra, spd, pm + spm * 10**4 + prob * 10**8 + moving * 10**9, e[0] + e[1] * 1000 + e[2] * 10**6 + e[3] * 10**7 + det * 10**8 + spike * 10**9, s[0] + s[1] * 1000 + s[2] * 10**6 + s[3] * 10**9]
+            w += [m + f * 10**4 + v * 10**7 + g * 10**8 for m, f, v, g, *_ in obs] + [x + y * 10**4 + c * 10**8 for *_, x, y, c, _ in obs] + [o[-1] for o in obs]
+            raw.append(w)
+            residual = lambda o, at, d=det: 0.0 if d >= 2 and o[1] == 0 else (o[at] - 5000) * 0.01 / 3600
+            want[k, i] = [ra / 360_000, spd / 360_000 - 90, 0.002 * (pm - 5000), 0.002 * (spm - 5000), 0.1 * prob, moving, 0.001 * e[0], 0.001 * e[1], 0.1 * e[2] / 3600, 0.1 * e[3] / 3600, det, spike, 0.001 * s[0] / 3600, 0.001 * s[1] / 3600, 1950 + 0.1 * s[2], s[3]]
+            want[k, i] += [v for o in obs for v in (0.01 * o[0], o[1], o[2], o[3], residual(o, 4), residual(o, 5), o[6], o[7])]
+        files.append(tmp_path / f"b{k}.cat")
+        files[-1].write_bytes(np.array(raw, "<u4").tobytes())
+    df = packed.read_usnob(spark, str(tmp_path), records=20)
+    assert df.rdd.getNumPartitions() == 9
+    rows = df.collect()
+    assert len(rows) == len(want)
+    for x in rows:
+        flat = [float(v) for c in x[2:-1] for v in [c]] + [float(v) for o in x.obs for v in o]
+        assert np.allclose(flat, [float(v) for v in want[int(x.file[-5]), x.row]], atol=1e-9)
+
+
+@pytest.mark.parametrize("layout, record", [(packed.UCAC3, packed.UCAC3_RECORD), (packed.UCAC4, packed.UCAC4_RECORD)])
+def test_ucac_records_there_and_back(spark, tmp_path, layout, record):
+    fields = packed.layout_of(layout)
+    assert packed.Layout(tuple(fields), record).dtype().itemsize == record == sum(np.dtype(packed.CODES[c][0]).itemsize for _, c in fields)
+    r = np.random.default_rng(2)
+    raw = np.zeros(230, np.dtype([(n, packed.CODES[c][0]) for n, c in fields]))
+    for n in raw.dtype.names:
+        info = np.iinfo(raw.dtype[n])
+        raw[n] = r.integers(info.min, info.max, len(raw), dtype=np.int64, endpoint=True)
+    (tmp_path / "z001").write_bytes(raw.tobytes())
+    read = packed.read_ucac3 if record == packed.UCAC3_RECORD else packed.read_ucac4
+    rows = sorted(read(spark, str(tmp_path), records=100).collect(), key=lambda x: x.row)
+    assert [x.row for x in rows] == list(range(230))
+    for name, _, factor, offset in layout:
+        assert np.allclose([float(x[name]) for x in rows], raw[name].astype(float) * factor + offset, atol=1e-9)
+    plain = packed.read_records(spark, str(tmp_path), fields, record)
+    packed.write_records(plain.drop("file", "row").repartition(3), str(tmp_path / "out"), fields, record)
+    again = packed.read_records(spark, str(tmp_path / "out"), fields, record, 7).drop("file", "row")
+    assert again.exceptAll(plain.drop("file", "row")).isEmpty() and again.count() == 230
+
+
+def test_records_that_can_not_be_read_or_written(spark, tmp_path):
+    (tmp_path / "cut").write_bytes(b"123456789")
+    with pytest.raises(Exception, match="within a record"):
+        packed.read_records(spark, str(tmp_path / "cut"), [("a", "i")]).collect()
+    for bad, why in (("null", "null"), ("300", "does not fit")):
+        with pytest.raises(Exception, match=why):
+            packed.write_records(spark.sql(f"SELECT cast({bad} as int) AS a"), str(tmp_path / "bad"), [("a", "B")])
+    assert list((tmp_path / "bad").iterdir()) == []
+    packed.write_records(spark.range(5).selectExpr("cast(id as int) AS a").repartition(9), str(tmp_path / "o"), [("_", "h"), ("a", "B")], 4)
+    assert sorted(x.a for x in packed.read_records(spark, str(tmp_path / "o"), [("_", "h"), ("a", "B")], 4).collect()) == [0, 1, 2, 3, 4]
+    packed.write_records(spark.range(2).selectExpr("cast(id + 7 as int) AS a"), str(tmp_path / "o"), [("_", "h"), ("a", "B")], 4, "overwrite")
+    assert sorted(x.a for x in packed.read_records(spark, str(tmp_path / "o"), [("_", "h"), ("a", "B")], 4).collect()) == [7, 8]
+
+
+@pytest.mark.parametrize("n", [0, 1, 9_999, 10_000, 10_001, 20_000])
+def test_tables_of_full_steps_and_of_nothing(spark, tmp_path, n):
+    fits.register(spark)
+    spark.range(n).selectExpr("id", "concat('s', id) AS name", "id > 3 AS ok").coalesce(1).write.format("skytable").mode("append").save(str(tmp_path / "t"))
+    assert sorted(x.id for x in spark.read.format("skytable").load(str(tmp_path / "t")).collect()) == list(range(n))
+
+
+def test_rows_keep_where_they_come_from(spark, tmp_path):
+    fits.register(spark)
+    for name in "ab":
+        rows = [(i, f"{name}{i}") for i in range(1500)]
+        (tmp_path / f"{name}.fits").write_bytes(fits.encode_table([("n", "int"), ("name", "string")], rows))
+    df = spark.read.format("skytable").option("provenance", "true").option("rows", 400).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 8
+    assert all(x.name == f"{x.backref_file[-6]}{x.backref_index}" for x in df.repartition(5).collect())
+    saved_index.write_tiles(df.withColumn("tile", F.col("n") % 7), str(tmp_path / "tiles"))
+    tiles = spark.read.parquet(str(tmp_path / "tiles"))
+    assert tiles.count() == 3000 and all(x.name == f"{x.backref_file[-6]}{x.backref_index}" for x in tiles.collect())
+    with pytest.raises(ValueError, match="backref_index"):
+        saved_index.write_tiles(df.drop("backref_index"), str(tmp_path / "no"))
+    a = str(tmp_path / "a.fits")
+    wanted = spark.createDataFrame([(a, 7, 0), (a, 3, 1), (a, 7, 2), (a, 99_999, 3), ("gone", 1, 4)], "backref_file string, backref_index long, place int")
+    assert [(x.place, x.name) for x in saved_index.copied_rows(df, wanted).orderBy("place").collect()] == [(0, "a7"), (1, "a3"), (2, "a7")]
+
+
+def test_a_file_a_row_with_headers_and_tables(spark, tmp_path):
+    fits.register(spark)
+    out = str(tmp_path / "f")
+    row = "name string, header map<string, string>, stars array<struct<id: bigint, label: string>>, pairs array<struct<a: int, b: double>>"
+    df = spark.createDataFrame([("one", {"OBJECT": "it's one", "EXPTIME": "1.5", "SOLVED": "T"}, [(1, "x"), (2, "long name")], [(1, 0.5)]), ("two", None, None, []), ("three", {"a": "b"}, [(9, None)], [(3, 1.0), (4, 2.0)])], row)
+    df.repartition(4).write.format("skyfiles").mode("append").save(out)
+    read = lambda ext: sorted((x.backref_file.rsplit("/", 1)[1], *x[:2]) for x in spark.read.format("skytable").option("ext", ext).option("provenance", "true").load(out).collect())
+    assert read(1) == [("one.fits", 1, "x"), ("one.fits", 2, "long name"), ("three.fits", 9, "")]
+    assert read(2) == [("one.fits", 1, 0.5), ("three.fits", 3, 1.0), ("three.fits", 4, 2.0)]
+    cards = {(x.file.rsplit("/", 1)[1], x.extension, x.name): x.value for x in spark.read.format("skyheader").load(out).collect()}
+    assert cards["one.fits", 0, "OBJECT"] == "it's one" and cards["one.fits", 0, "SOLVED"] == "T" and cards["three.fits", 2, "EXTNAME"] == "pairs" and cards["three.fits", 0, "A"] == "b"
+    df.where("name = 'two'").write.format("skyfiles").mode("overwrite").save(out)
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == ["two.fits"] and read(1) == []
+    with pytest.raises(Exception, match="too long"):
+        spark.createDataFrame([("x", {"A": "v" * 90}, [], [])], row).write.format("skyfiles").mode("append").save(out)
+    assert read(1) == []
+
+
+def test_struct_text_of_many_definitions(spark, tmp_path):
+    """More files and tables than any bound on headers would allow; a table that files define differently is refused."""
+    for i in range(130):
+        (tmp_path / f"{i}.par").write_text(f"typedef enum {{\n A,\n B\n}} KIND{i};\ntypedef struct {{\n int n;\n KIND{i} k;\n}} T{i};\ntypedef struct {{\n int n;\n}} SAME;\nT{i} {i} A\nSAME {i}\n")
+    assert [tuple(x) for x in text.read_struct_text(spark, str(tmp_path), "t129").collect()] == [(129, "A")]
+    assert text.read_struct_text(spark, str(tmp_path), "SAME").count() == 130
+    (tmp_path / "z.par").write_text("typedef struct {\n double n;\n} SAME;\nSAME 1.5\n")
+    with pytest.raises(ValueError, match="differently"):
+        text.read_struct_text(spark, str(tmp_path), "SAME")
+    with pytest.raises(ValueError, match="no file"):
+        text.read_struct_text(spark, str(tmp_path), "NONE")
+
+
+def test_images_are_written_by_tasks(spark, tmp_path):
+    fits.register(spark)
+    r = np.random.default_rng(3)
+    want = {(k, x, y): float(r.normal()) for k in range(7) for y in range(3 + k) for x in range(9 - k) if r.random() < 0.8 or (x, y) == (8 - k, 2 + k)}
+    df = spark.createDataFrame([(*k, v) for k, v in want.items()], "image long, x long, y long, value double").repartition(5)
+    fits.write_images(df, str(tmp_path / "i"))
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == [f"image-{k}.fits" for k in range(7)]
+    got = spark.read.format("skyimage").option("rows", 2).load(str(tmp_path / "i"))
+    assert {(x.image, x.x, x.y): x.value for x in got.collect()} == want
+    with pytest.raises(Exception, match="not together|several"):
+        df.withColumn("width", F.lit(9)).withColumn("height", F.lit(9)).orderBy("y", "image", "x").write.format("skyimage").mode("append").save(str(tmp_path / "j"))
+    assert list((tmp_path / "j").iterdir()) == []
+    fits.write_images(df.where("image = 3"), str(tmp_path / "i"), "overwrite")
+    assert [p.name for p in (tmp_path / "i").iterdir()] == ["image-3.fits"]
+
+
+def test_quoted_texts_in_filters_stay(spark):
+    df = spark.createDataFrame([(1, "a!b"), (2, "a && b"), (3, "x==y"), (4, None)], "id int, name string")
+    ids = lambda e: sorted(x.id for x in table.filter_rows(df, e).collect())
+    assert ids("name == 'a!b'") == [1] and ids("name == 'a && b' || name == 'x==y'") == [2, 3] and ids("!(id > 2) && name != 'a!b'") == [2]
