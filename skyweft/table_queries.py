@@ -370,3 +370,16 @@ SELECT id, round(p * (cos(node) * cos(peri) - sin(node) * sin(peri) * cos(i)) -
 
 
 ORACLE_SQL["orbit_positions"] = _orbits()
+
+
+@query(f"SELECT star, string_agg(cast(quad_id as varchar), ',' ORDER BY quad_id) AS quads FROM (SELECT quad_id, unnest([a, b, c, d]) AS star FROM {_FEATURES} f) m GROUP BY star")
+def features_of_stars(spark, sf):
+    """The features that each star takes part in."""
+    got = quads.star_index(_fixed_index(spark, sf).quads)
+    return got.select("star", F.array_join(F.transform("quads", lambda q: q.cast("string")), ",").alias("quads"))
+
+
+@query(f"SELECT DISTINCT cell FROM {CELL4} c")
+def occupied_cells(spark, sf):
+    """Cells of the sky that hold a star."""
+    return saved_index.occupied_cells(customers(spark, sf), 4)
