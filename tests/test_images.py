@@ -83,7 +83,7 @@ def test_sources(spark, some):
 def test_images_without_sources_are_halved(spark):
     r = np.random.default_rng(7)
     y, x = np.mgrid[:64, :64]
-    wide = r.normal(50, 3, (64, 64)) + 5 * np.exp(-0.5 * ((x - 30) ** 2 + (y - 22) ** 2) / 49)
+    wide = r.normal(50, 3, (64, 64)) + 4 * np.exp(-0.5 * ((x - 30) ** 2 + (y - 22) ** 2) / 49)
     both = {1: _image(8, 40, 40, 2), 2: wide, 3: np.full((6, 6), 4.0)}
     got = {k: sorted((s.x, s.y) for s in images.source_table(_rows(spark, both), half=100).collect() if s.image == k) for k in both}
     want, scale, data = [], 1, wide
