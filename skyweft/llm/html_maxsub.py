@@ -1,13 +1,15 @@
 """Main text of web pages by the maximum-scoring contiguous region.
 
-A page is read as a sequence of words and tags. A word's score is the log odds, learnt from labelled
-pages, that a word in its place is main text: what is known of the place are the elements around it
-(their tags, their class, id and role names, their share of linked words) and its block (length,
-linked words, kind), each seen relative to the page's article or main elements where it has such. A
-tag's score is its learnt cost, always below zero. One linear scan finds the contiguous region of the
-highest sum, and the blocks that the region reaches are the main text. Blocks inside it whose words
-score below zero (adverts, menus, forms between paragraphs) are left out; however long, a run of such
-blocks weighs no more than SIDE_COST, so that it does not cut the content around it in two.
+A page is read as a sequence of words and tags. The log odds that a word in its place is main text are
+learnt from labelled pages: what is known of the place are the elements around it (their tags, their
+class, id and role names, their share of linked words) and its block (length, linked words, kind,
+copyright mark), each seen relative to the page's article or main elements where it has such. A word's
+score is these odds, or a little above zero where they are below; a tag's score is its learnt cost and,
+on both sides of a block with odds below zero, those of its words, so that tags are always negative.
+One linear scan finds the contiguous region of the highest sum. A second one over the opposite scores
+inside it finds its holes (adverts, menus, forms between paragraphs): all maximal regions there. What
+the region reaches but for its holes is the main text; nothing else decides. However long, a run of
+side matter weighs no more than SIDE_COST, so that it does not cut the content around it in two.
 
 The labelled pages are made by :func:`labelled_pages` from a seed, in several layouts. Own ones may be
 given instead. Weights come from a logistic regression over their blocks.
@@ -27,6 +29,7 @@ import math
 import random
 import re
 from functools import cache
+from itertools import cycle
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+COPYRIGHT = re.compile(r"(?:copyright\b\W*)?(?:©|\(c\)|copyright\s+(?:19|20)\d\d)", re.I)
 #: Elements whose words are not main text wherever they stand (fixed by what is asked for).
 NEVER_MAIN = frozenset("head nav form button select option menu dialog object embed canvas audio video".split())
 #: Elements whose words do not count when it is asked which element holds most of a page.
@@ -62,6 +66,8 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 MOST = 0.9
 #: Bounds of a word's and a tag's score, and the most that a run of side matter weighs.
 WORD_SCORE, TAG_SCORE, SIDE_COST = (1.0, 6.0), (-0.3, -0.02), 3.0
+#: What a word of main text weighs against side matter when holes are looked for.
+KEEP = 2.0
 
 
 class Element:
@@ -209,7 +215,7 @@ class Reader:
         e = self.elements[at]
         where = "in" if e.home else "out" if self.has_home else "no"
         parent = self.elements[e.parent] if e.parent >= 0 else e
-        return ["bias", f"place|{where}", f"linked:{round(4 * linked / max(1, words))}|{where}", f"around:{round(4 * parent.linked / max(1, parent.words))}|{where}", f"length:{min(6, words.bit_length())}|{where}", f"kind:{heading}|{where}"]
+        return ["bias", f"place|{where}", f"linked:{round(4 * linked / max(1, words))}|{where}", f"around:{round(4 * parent.linked / max(1, parent.words))}|{where}", f"length:{min(6, words.bit_length())}|{where}", f"kind:{heading}|{where}", *(("mark:copyright",) if COPYRIGHT.match(block[0]) else ())]
 
     def scores(self, weights: dict[str, float]) -> list[float]:
         """Log odds of the words of each block."""
@@ -221,29 +227,64 @@ class Reader:
                 down[i] = max(-50.0, min(50.0, down[e.parent] + own))
         return [down[b[1]] + sum(get(f, 0.0) for f in self.block_features(b)) for b in self.blocks]
 
-    def region(self, weights: dict[str, float]) -> tuple[list[float], int, int]:
-        """The words' scores by block, and the best region's first and last token."""
+    def line(self, weights: dict[str, float]) -> tuple[list[float], list[bool]]:
+        """The score of every token between two marks of the page's ends, and which tokens are side matter.
+
+        Words are positive. A tag bears its own cost; where the words of a block are rather side matter, the tag before and
+        the tag after them bear the block's log odds a word as well, each enough to outweigh the words.
+        """
         least, most = WORD_SCORE
-        word = [min(most, max(least, x)) if x > 0 else x for x in self.scores(weights)]
+        odds = self.scores(weights)
+        word = [min(most, max(least, x)) if x > 0 else min(0.05, -x / 4) for x in odds]
         rest = weights.get("<>", TAG_SCORE[1])
-        line = [weights.get(f"<{name}>", rest) if name is not None else n * word[b] for name, n, b in self.tokens]
-        first, last = -1, -1  # of a run of side matter, with the tags between its words
-        for i, (name, _, b) in enumerate([*self.tokens, (None, 0, None)]):
-            if name is not None:
+        line = [0.0, *(weights.get(f"<{name}>", rest) if name is not None else n * word[b] for name, n, b in self.tokens), 0.0]
+        side = [False] * len(line)
+        ends: dict[int, list[int]] = {}
+        for i, (name, _, b) in enumerate(self.tokens, 1):
+            if name is None and odds[b] <= 0:
+                ends.setdefault(b, [i - 1, 0])[1] = i + 1
+        for b, (first, last) in ends.items():
+            cost = self.blocks[b][2] * max(-most, odds[b])
+            line[first] += cost
+            line[last] += cost
+            side[first : last + 1] = [True] * (last + 1 - first)
+        return line, side
+
+    def region(self, weights: dict[str, float], side_cost: float | None = None) -> tuple[list[float], int, int]:
+        """The tokens' scores, where a run of side matter weighs at most ``side_cost``, and the best region's first and last token."""
+        line, side = self.line(weights)
+        bound = SIDE_COST if side_cost is None else side_cost
+        eased, i = line.copy(), 0
+        while i < len(line):
+            if not side[i]:
+                i += 1
                 continue
-            if b is not None and word[b] <= 0:
-                first, last = (i if first < 0 else first), i
-            elif first >= 0:
-                total = sum(line[first : last + 1])
-                if total < -SIDE_COST:
-                    line[first : last + 1] = [x * SIDE_COST / -total for x in line[first : last + 1]]
-                first = -1
-        return word, *best_region(line)
-
-    def text(self, weights: dict[str, float]) -> str:
-        word, first, last = self.region(weights)
-        reached = dict.fromkeys(b for name, _, b in self.tokens[first:last] if name is None)
-        return "\n\n".join(self.blocks[b][0] for b in reached if word[b] > 0)
+            end, last = i, i
+            while end < len(line) and (side[end] or self._is_tag(end)):
+                last = end if side[end] else last
+                end += 1
+            total = sum(line[i : last + 1])
+            if total < -bound:
+                eased[i : last + 1] = [x * bound / -total if x < 0 else 0.0 for x in line[i : last + 1]]
+            i = end
+        return eased, *best_region(eased)
+
+    def _is_tag(self, at: int) -> bool:
+        return not 0 < at <= len(self.tokens) or self.tokens[at - 1][0] is not None
+
+    def text(self, weights: dict[str, float], side_cost: float | None = None, keep: float | None = None) -> str:
+        """The words of the best region but for its holes: the maximal regions of the scores' opposites inside it."""
+        line, first, last = self.region(weights, side_cost)
+        keep = KEEP if keep is None else keep
+        inside = [-x * keep if x > 0 else -x for x in line[first:last]]
+        out = [False] * len(inside)
+        for lo, hi in maximal_regions(inside):
+            out[lo:hi] = [True] * (hi - lo)
+        reached: dict[int, None] = {}
+        for i in range(first, last):
+            if not out[i - first] and not self._is_tag(i):
+                reached[self.tokens[i - 1][2]] = None
+        return "\n\n".join(self.blocks[b][0] for b in reached)
 
 
 _SCOPES = frozenset(name for names in SCOPE.values() for name in names)
@@ -261,16 +302,40 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def maximal_regions(scores: list[float]) -> list[tuple[int, int]]:
+    """All disjoint maximal-scoring regions [first, last), left to right, in one linear scan.
+
+    A region is kept apart from the one before while joining them would not score more than each of them.
+    """
+    found: list[tuple[float, float, int, int, int]] = []  # sum before, sum after, first, last, nearest one with a lower sum before
+    total = 0.0
+    for i, s in enumerate(scores):
+        before, total = total, total + s
+        if s <= 0:
+            continue
+        at, first = len(found) - 1, i
+        while True:
+            while at >= 0 and found[at][0] >= before:
+                at = found[at][4]
+            if at < 0 or found[at][1] >= total:
+                break
+            before, _, first, _, left = found[at]
+            del found[at:]
+            at = left
+        found.append((before, total, first, i + 1, at))
+    return [f[2:4] for f in found]
+
+
 #: Names that page authors give to side matter and to content (fixed values of the made-up pages).
 SIDE_WORDS = (
     "ad ads advert advertisement sponsor sponsored promo cookie cookies consent gdpr notice notices nav navbar navigation menu sidebar"
     " footer header banner breadcrumb breadcrumbs comment comments reply replies disqus share sharing social related newsletter"
-    " subscribe subscription popup modal overlay pagination pager toolbar complementary contentinfo"
+    " subscribe subscription popup modal overlay pagination pager toolbar complementary contentinfo discussion responses feedback"
 ).split()
 MAIN_WORDS = "main content post entry story text body article page node copy prose".split()
 
 
-def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, str]]:
+def labelled_pages(n: int = 1000, seed: int = 5) -> list[tuple[str, str]]:
     """(html, main text) of made-up pages in several layouts, with side matter before, after and inside the content."""
     r = random.Random(seed)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -280,8 +345,10 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, str]]:
 
     bar = lambda: " ".join(f"<a href='/{w}'>{w}</a>" for w in r.sample(words, r.randint(2, 6)))
 
+    turn = cycle(SIDE_WORDS)  # each name as often as the others
+
     def side_name() -> str:
-        w = r.choice(SIDE_WORDS)
+        w = next(turn)
         return r.choice([w, w, w, f"site-{w}", f"top-{w}", f"{w}-box", f"{w}-list", f"{w}-container", f"{w}-area"])
 
     def main_name() -> str:
@@ -295,7 +362,7 @@ def labelled_pages(n: int = 700, seed: int = 5) -> list[tuple[str, str]]:
             return f"<{(t := r.choice(['div', 'div', 'section', 'ul' if body.startswith('<li') else 'div']))} {where}='{side_name()}'>{body}</{t}>"
         if inside:
             return r.choice([f"<aside>{body}</aside>", f"<form>{body}<input></form>", f"<footer>{body}</footer>", f"<nav><ul>{links()}</ul></nav>"])
-        return r.choice([f"<nav><ul>{links()}</ul></nav>", f"<header>{body}</header>", f"<header><h1>{some(1, 4)}</h1><nav><ul>{links()}</ul></nav></header>", f"<footer>{body}</footer>", f"<footer>{some(3, 25)}</footer>", f"<aside>{body}</aside>", f"<form>{body}<input></form>", f"<div><ul>{links()}</ul></div>", f"<div>{bar()}</div>", f"<div id='{r.choice(['top', 'bottom'])}'>{bar()}</div>", f"<div role='{r.choice(['navigation', 'banner', 'contentinfo', 'complementary'])}'>{body}</div>"])
+        return r.choice([f"<nav><ul>{links()}</ul></nav>", f"<header>{body}</header>", f"<header><h1>{some(1, 4)}</h1><nav><ul>{links()}</ul></nav></header>", f"<footer>{body}</footer>", f"<footer>{some(3, 25)}</footer>", f"<p>{r.choice(['&copy;', '©', '(c)', 'Copyright ©'])} {r.randint(1999, 2030)} {some(1, 9)}</p>", f"<aside>{body}</aside>", f"<form>{body}<input></form>", f"<div><ul>{links()}</ul></div>", f"<div>{bar()}</div>", f"<div id='{r.choice(['top', 'bottom'])}'>{bar()}</div>", f"<div role='{r.choice(['navigation', 'banner', 'contentinfo', 'complementary'])}'>{body}</div>"])
 
     def piece(blocks: list[str]) -> str:
         kind = r.random()

@@ -333,6 +333,46 @@ def test_best_region_equals_brute_force():
         assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
 
 
+def _by_recursion(s, at=0):
+    """The best region, and those to its left and right."""
+    best = max(((sum(s[i:j]), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, i, j = best
+    return [*_by_recursion(s[:i], at), (at + i, at + j), *_by_recursion(s[j:], at + j)]
+
+
+def test_maximal_regions_equal_recursion():
+    r = random.Random(3)
+    for _ in range(300):
+        s = [r.gauss(-0.2, 1) for _ in range(r.randint(0, 14))]
+        assert html_maxsub.maximal_regions(s) == _by_recursion(s)
+
+
+def test_holes_are_found_by_the_second_scan(monkeypatch):
+    w = dict(html_maxsub.default_weights())
+    long = " ".join(f"word{i}" for i in range(40))
+    page = f"<body><nav><a href='/'>home</a></nav><article><h1>Title</h1><p>{long}</p><div class='advert'><p>buy this now, it is cheap</p></div><p>short</p><aside><p>other things to read</p></aside><p>{long}</p></article></body>"
+    assert html_maxsub.main_text(page, w) == f"Title\n\n{long}\n\nshort\n\n{long}"
+    monkeypatch.setattr(html_maxsub, "maximal_regions", lambda scores: [])
+    assert html_maxsub.main_text(page, w) == f"Title\n\n{long}\n\nbuy this now, it is cheap\n\nshort\n\nother things to read\n\n{long}"
+
+
+def test_scores_of_tags_are_negative_and_of_words_positive():
+    w = dict(html_maxsub.default_weights())
+    for page, _ in html_maxsub.labelled_pages(40, 8):
+        read = html_maxsub.Reader(page)
+        line, _ = read.line(w)
+        assert all((x > 0) if name is None else (x < 0) for x, (name, _, _) in zip(line[1:-1], read.tokens, strict=True)) and line[0] <= 0 and line[-1] <= 0
+
+
+def test_reader_comments_and_a_bare_copyright_line_are_left_out():
+    w = dict(html_maxsub.default_weights())
+    long = " ".join(f"word{i}" for i in range(40))
+    page = f"<body><div><h1>Title</h1><p>{long}</p><p>{long}</p></div><section class='discussion'><p>nice post I like it very much</p><p>me too</p></section><p>&copy; 2020 Acme Inc. All rights reserved.</p></body>"
+    assert html_maxsub.main_text(page, w) == f"Title\n\n{long}\n\n{long}"
+
+
 # ---- op5 and op7
 
 
