@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from skyweft.functions import healpix, sky, wcs
 from skyweft.functions.sky import num
-from skyweft.operators import images, quads, spatial, table, uniformize, web
+from skyweft.operators import catalogs, images, quads, spatial, table, uniformize, web
 from skyweft.plans import build_index, solve
 from skyweft.session import scratch_dir
 from skyweft.streaming import jobs
@@ -167,6 +167,34 @@ def cone_search(spark, sf):
     return spatial.cone_search(s, 150.0, 40.0, 12.0, "cell", 8).select("id", F.round("dist_deg", 6).alias("dist_deg"))
 
 
+_FROM_HERE = "((x - 40e0) * (x - 40e0) + (y - 60e0) * (y - 60e0))"
+
+
+@query(f"SELECT id, round({_FROM_HERE}, 6) AS dist2 FROM {POINTS} a WHERE {_FROM_HERE} <= 225")
+def range_search(spark, sf):
+    """Points within 15 of one place."""
+    return spatial.within(points(spark, sf), (40.0, 60.0), 15.0, ("x", "y")).select("id", F.round("dist2", 6).alias("dist2"))
+
+
+@query(f"SELECT id, round(d, 6) AS dist2 FROM (SELECT id, {_FROM_HERE} AS d, row_number() OVER (ORDER BY {_FROM_HERE}, id) AS k FROM {POINTS} a) s WHERE k <= 25")
+def nearest_points(spark, sf):
+    """The 25 points nearest to one place, by boxes that grow."""
+    return spatial.nearest_to(points(spark, sf), (40.0, 60.0), ("x", "y"), n=25, first_radius=0.5).select("id", F.round("dist2", 6).alias("dist2"))
+
+
+@query(f"SELECT id, cell AS tile FROM {healpix.cell_sql(CUSTOMERS, 2, 'id')} s WHERE cell = 21")
+def owned_stars(spark, sf):
+    """The stars of one tile, its own ones out of those within three degrees of it."""
+    return build_index.owned_by_tile(customers(spark, sf), 21, 2, 3.0).where("own").select("id", F.lit(21).cast("long").alias("tile"))
+
+
+@query(f"SELECT id AS number, round({sky.deg_of_chord2(D3)}, 6) AS dist_deg FROM {CUSTOMERS} a JOIN (SELECT cos(radians(-20.0)) * cos(radians(75.0)) AS x, cos(radians(-20.0)) * sin(radians(75.0)) AS y, sin(radians(-20.0)) AS z) b ON {D3} <= {_chord2(15.0)}")
+def numbered_cone(spark, sf):
+    """Numbers of stars in a cone, of a catalogue whose numbers are places in its file."""
+    s = customers(spark, sf).withColumn("place", F.col("id") - 1)
+    return catalogs.numbers_within(s, "place", 75.0, -20.0, 15.0).select("number", F.round("dist_deg", 6).alias("dist_deg"))
+
+
 @query(f"SELECT id, round(x, 9) AS x, round(y, 9) AS y FROM {POINTS} a WHERE x BETWEEN 10 AND 30 AND y BETWEEN 50 AND 90")
 def box_search(spark, sf):
     """Points in a box."""

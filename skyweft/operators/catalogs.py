@@ -115,6 +115,17 @@ def within_annulus(stars: DataFrame, ra: float, dec: float, inner_deg: float, ou
     return cone_search(stars, ra, dec, outer_deg).where(F.col("dist_deg") >= inner_deg)
 
 
+def numbers_within(stars: DataFrame, position: str, ra: float, dec: float, radius_deg: float) -> DataFrame:
+    """``(number, ra, dec, dist_deg)`` of stars (x, y, z) within a cone, for catalogues whose numbers are places in the file.
+
+    ``position`` counts from zero, as ``sources.fits.provenance`` gives it; numbers count from one.
+    """
+    from skyweft.operators.spatial import cone_search
+
+    got = cone_search(stars, ra, dec, radius_deg)
+    return got.select((F.col(position) + 1).cast("long").alias("number"), F.expr(sky.ra_of("x", "y")).alias("ra"), F.expr(sky.dec_of("z")).alias("dec"), "dist_deg")
+
+
 def bounding_box(points: DataFrame, x: str, y: str) -> DataFrame:
     return points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
 

@@ -220,6 +220,48 @@ def in_box(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     return df
 
 
+def within(rows: DataFrame, centre: Sequence[float], radius: float, coords: Sequence[str], out: str = "dist2", near_first: bool = False) -> DataFrame:
+    """The rows within ``radius`` (inclusive) of a place in any number of dimensions, with the squared distance.
+
+    The box around the ball reaches the scan as a filter, so files and row groups outside it are not read.
+    Rows with a null or NaN coordinate are outside; a radius below zero finds none.
+    """
+    if len(centre) != len(coords):
+        raise ValueError("a place has a number for each coordinate")
+    r = float(radius)
+    side = {c: abs(r) + 1e-12 * (abs(float(v)) + abs(r)) for c, v in zip(coords, centre, strict=True)}  # rounding of the ends
+    near = in_box(rows, {c: (float(v) - side[c], float(v) + side[c]) for c, v in zip(coords, centre, strict=True)})
+    d2 = reduce(operator.add, [(F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(coords, centre, strict=True)])
+    got = near.withColumn(out, d2).where((F.col(out) <= r * r) & F.lit(r >= 0))
+    return got.orderBy(out) if near_first else got
+
+
+def nearest_to(rows: DataFrame, centre: Sequence[float], coords: Sequence[str], id_col: str = "id", n: int = 1, radius: float | None = None, first_radius: float | None = None, rounds: int = 8, out: str = "dist2") -> DataFrame:
+    """The ``n`` rows nearest to a place, nearest first, ties to the smaller id; within ``radius`` (inclusive) where one is given.
+
+    With ``first_radius`` the search looks in a box that grows fourfold until it holds ``n`` rows, and reads only
+    what meets the box; after ``rounds`` boxes, and without ``first_radius``, one pass over all rows
+    decides. Every pass keeps ``n`` rows a task. Rows with a null or NaN coordinate take no part.
+    """
+    if n < 1:
+        raise ValueError("n is positive")
+    order = [F.col(out), F.col(id_col)]
+    reach = float(first_radius) if first_radius else None
+    if reach is not None and not reach > 0:
+        raise ValueError("first_radius is positive")
+    for _ in range(rounds if reach else 0):
+        reach = reach if radius is None else min(reach, float(radius))
+        got = within(rows, centre, reach, coords, out).orderBy(*order).limit(n)
+        if radius is not None and reach >= radius or within(rows, centre, reach, coords, out).limit(n).count() == n:
+            return got
+        reach *= 4
+    if radius is not None:
+        return within(rows, centre, radius, coords, out).orderBy(*order).limit(n)
+    known = reduce(operator.and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in coords])
+    d2 = reduce(operator.add, [(F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(coords, centre, strict=True)])
+    return rows.where(known).withColumn(out, d2).orderBy(*order).limit(n)
+
+
 def cone_search(stars: DataFrame, ra: float, dec: float, radius_deg: float, cell_col: str | None = None, nside: int = 0, accept: Column | None = None) -> DataFrame:
     """Stars (x, y, z) within a cone, with their distance; prunes by ``cell_col`` where stars carry cells.
 

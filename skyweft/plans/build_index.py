@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ PRESET_EDGES = (0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0, 11.0, 16.0, 2
 FIRST_PRESET = -5
 #: Parts of a tile's side between samples.
 EDGE_STEPS = 32
+#: Rows of the table of fine cells that are broadcast at most (16 bytes each).
+BROADCAST_CELLS = 500_000
 
 
 @dataclass(frozen=True)
@@ -139,26 +142,59 @@ def build_index(catalog: DataFrame, id_col: str, ra: str, dec: str, sort_col: st
     return Index(top.drop("rank"), materialize(cell_quads(top, n, low, high, quads_per_cell, max_uses, loosen), "index-quads"), low, high)
 
 
-def tiles_with_margin(stars: DataFrame, nside: int, margin_deg: float) -> DataFrame:
-    """Every star once per tile that holds it or lies within the margin; ``tile`` and ``own``.
+def _cells_of_tiles(tiles: DataFrame, nside: int, fine: int, margin_deg: float, gap: float) -> DataFrame:
+    """``(fine, tile)``: the fine cells that lie in a tile or may hold a point within the margin of it."""
+    inner, outer = healpix.cell_radius(fine), healpix.cell_radius(nside)
+    reach = inner + margin_deg + gap
 
-    The table of tiles per fine cell has a fixed size for a grid. Samples of a tile's edge, with their
-    spacing added to the reach, only say which stars to test; those are tested against the nearest
-    point of the edge itself. The margin counts in, as far as rounding (about 1e-7 degrees) lets it.
-    """
-    spark = stars.sparkSession
-    tiles = np.arange(12 * nside * nside)
+    def run(batches):
+        every = np.arange(12 * fine * fine)
+        centre = healpix.points_of(every, fine)
+        home = healpix.cells_of(centre, nside)
+        t = np.tile(np.linspace(0, 1, EDGE_STEPS + 1), 4)
+        side = np.repeat(np.arange(4), EDGE_STEPS + 1)
+        for batch in batches:
+            for k in batch["id"]:
+                middle = healpix.points_of(np.array([k]), nside)[0]
+                some = every[centre @ middle >= math.cos(math.radians(min(180.0, outer + reach)))]
+                edge = _edge_points(np.full(len(t), k), side, t, nside)
+                near = (centre[some] @ edge.T).max(1) >= math.cos(math.radians(min(180.0, reach)))
+                yield pd.DataFrame({"fine": some[near | (home[some] == k)], "tile": int(k)})
+
+    return tiles.mapInPandas(run, "fine long, tile long")
+
+
+def _edge_gap(nside: int) -> float:
+    """Degrees between neighbouring samples of a tile's edge at most, over the whole grid, a thousand tiles at a time."""
     t = np.linspace(0, 1, EDGE_STEPS + 1)
-    edge = np.stack([_edge_points(np.full(4 * len(t), k), np.repeat(np.arange(4), len(t)), np.tile(t, 4), nside) for k in tiles])
-    ends = edge.reshape(len(tiles), 4, len(t), 3)
-    gap = float(np.degrees(np.arccos(np.clip((ends[:, :, 1:] * ends[:, :, :-1]).sum(-1), -1, 1))).max())
-    fine = max(nside, 4 * nside)
-    reach = healpix.cell_radius(fine) + margin_deg + gap
-    centre = healpix.points_of(np.arange(12 * fine * fine), fine)
-    near = [(int(c), int(k)) for c in range(len(centre)) for k in np.flatnonzero((np.einsum("tek,k->te", edge, centre[c]).max(1) >= math.cos(math.radians(min(180, reach)))) | (healpix.cells_of(centre[c : c + 1], nside) == tiles))]
-    lookup = spark.createDataFrame(near, "fine long, tile long")
+    widest = 1.0
+    for lo in range(0, 12 * nside * nside, 1000):
+        tiles = np.arange(lo, min(lo + 1000, 12 * nside * nside))
+        for side in range(4):
+            ends = _edge_points(np.repeat(tiles, len(t)), np.full(len(tiles) * len(t), side), np.tile(t, len(tiles)), nside).reshape(len(tiles), len(t), 3)
+            widest = min(widest, float((ends[:, 1:] * ends[:, :-1]).sum(-1).min()))
+    return math.degrees(math.acos(max(-1.0, widest)))
+
+
+def tiles_with_margin(stars: DataFrame, nside: int, margin_deg: float, only: Sequence[int] | None = None) -> DataFrame:
+    """Every star once per tile that holds it or lies within the margin; ``tile`` and ``own``. ``only`` names the tiles wanted.
+
+    The fine cells of the tiles are found by tasks, and broadcast only up to BROADCAST_CELLS rows. Samples of a
+    tile's edge, with their spacing added to the reach, only say which stars to test; those are tested against
+    the nearest point of the edge itself. The margin counts in, as far as rounding (about 1e-7 degrees) lets it.
+    """
+    spark, grid = stars.sparkSession, 12 * nside * nside
+    if only is not None and not all(0 <= k < grid for k in only):
+        raise ValueError(f"tiles are numbered from 0 to {grid - 1}")
+    fine, gap = 4 * nside, _edge_gap(nside)
+    tiles = spark.range(grid)
+    if only is not None:
+        tiles = tiles.where(F.col("id").isin(sorted(set(only))))
+    lookup = _cells_of_tiles(tiles, nside, fine, margin_deg, gap)
+    if lookup.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        lookup = F.broadcast(lookup)
     s = healpix.with_cell(healpix.with_cell(stars, fine, out="fine"), nside, out="home")
-    s = s.join(F.broadcast(lookup), "fine")
+    s = s.join(lookup, "fine")
 
     @F.pandas_udf("double")
     def away(x: pd.Series, y: pd.Series, z: pd.Series, tile: pd.Series) -> pd.Series:
@@ -168,6 +204,16 @@ def tiles_with_margin(stars: DataFrame, nside: int, margin_deg: float) -> DataFr
     return s.where(F.col("own") | (F.col("away") <= margin_deg + 1e-7)).drop("fine", "home", "away")
 
 
+def owned_by_tile(stars: DataFrame, tile: int, nside: int, margin_deg: float = 0.0) -> DataFrame:
+    """The stars of one tile, and those within ``margin_deg`` of it; ``own`` tells them apart.
+
+    Without a margin this is a filter on the cell. Stars with a null coordinate are in no tile.
+    """
+    if margin_deg > 0:
+        return tiles_with_margin(stars, nside, margin_deg, [tile]).drop("tile")
+    return healpix.with_cell(stars, nside, out="home").where(F.col("home") == tile).drop("home").withColumn("own", F.lit(True))
+
+
 def _edge_points(tile: np.ndarray, side: np.ndarray, t: np.ndarray, nside: int) -> np.ndarray:
     """Points at ``t`` of [0, 1] on one of the four sides of tiles."""
     dx = np.choose(side, (t, t, 0 * t, 0 * t + 1))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skyweft.functions import orbits, wcs
@@ -49,6 +50,26 @@ def test_tiles_with_margin_equal_brute_force(spark):
         assert sure <= got[i] <= may
 
 
+def test_tiles_wanted_equal_those_of_all_tiles(spark):
+    rows = [(i, float(ra), float(dec)) for i, (ra, dec) in enumerate((a, d) for a in range(0, 360, 20) for d in range(-90, 91, 20))]
+    s = build_index.star_table(spark.createDataFrame(rows, "k long, ra double, dec double"), "k", "ra", "dec", 1)
+    every = {(r.tile, r.id, r.own) for r in build_index.tiles_with_margin(s, 2, 6.0).collect()}
+    some = {(r.tile, r.id, r.own) for r in build_index.tiles_with_margin(s, 2, 6.0, [3, 21]).collect()}
+    assert some == {x for x in every if x[0] in (3, 21)}
+    assert {(r.id, r.own) for r in build_index.owned_by_tile(s, 21, 2, 6.0).collect()} == {x[1:] for x in every if x[0] == 21}
+    assert {r.id for r in build_index.owned_by_tile(s, 21, 2).collect()} == {x[1] for x in every if x[0] == 21 and x[2]}
+    assert sum(own for _, _, own in every) == len(rows)
+    with pytest.raises(ValueError):
+        build_index.tiles_with_margin(s, 2, 6.0, [48])
+
+
+def test_a_large_table_of_cells_is_not_broadcast(spark, monkeypatch):
+    s = build_index.star_table(spark.createDataFrame([(1, 10.0, 10.0), (2, 200.0, -60.0)], "k long, ra double, dec double"), "k", "ra", "dec", 1)
+    want = {(r.tile, r.id, r.own) for r in build_index.tiles_with_margin(s, 1, 10.0).collect()}
+    monkeypatch.setattr(build_index, "BROADCAST_CELLS", 3)
+    assert {(r.tile, r.id, r.own) for r in build_index.tiles_with_margin(s, 1, 10.0).collect()} == want
+
+
 def test_small_margins_reach_between_samples(spark):
     k = np.repeat(np.arange(12), 64)
     t = np.tile((np.arange(64) + 0.5) / 64, 12)

@@ -203,3 +203,31 @@ def test_vectors_of_another_length_match_nothing(spark):
     got = spatial.array_radius_join(v, v, 0.5, "e", "id", "id", not_self=True).collect()
     assert {(r.l_id, r.r_id) for r in got} == {(1, 2), (2, 1)} and all(abs(r.dist2 - 0.05) < 1e-12 for r in got)
     assert spatial.array_radius_join(v, v.where("false"), 0.5, "e", "id", "id").count() == 0
+
+
+def test_searches_from_one_place_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    p = r.integers(0, 12, (400, 4)).astype(float)  # many equal distances
+    rows = [(i, *map(float, v)) for i, v in enumerate(p)] + [(900, None, 0.0, 0.0, 0.0), (901, float("nan"), 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double").repartition(5)
+    cols = ("a", "b", "c", "d")
+    for place in ((5.0, 5.0, 5.0, 5.0), (0.3, 11.0, 2.5, 7.0), (400.0, 0.0, 0.0, 0.0)):
+        d2 = ((p - place) ** 2).sum(1)
+        order = sorted(range(400), key=lambda i: (d2[i], i))
+        for radius in (0.0, 3.0, 5.0):
+            assert {x.id for x in spatial.within(df, place, radius, cols).collect()} == {i for i in order if d2[i] <= radius * radius}
+            assert [x.id for x in spatial.nearest_to(df, place, cols, n=7, radius=radius, first_radius=0.7).collect()] == [i for i in order if d2[i] <= radius * radius][:7]
+        for first in (None, 0.25):
+            assert [x.id for x in spatial.nearest_to(df, place, cols, n=9, first_radius=first).collect()] == order[:9]
+    assert spatial.within(df, (5.0,) * 4, -1.0, cols).count() == 0 and spatial.nearest_to(df.limit(0), (5.0,) * 4, cols, first_radius=1.0).count() == 0
+    assert spatial.nearest_to(df, (5.0,) * 4, cols, n=1000).count() == 400
+    got = [x.dist2 for x in spatial.within(df, (5.0,) * 4, 4.0, cols, near_first=True).collect()]
+    assert got == sorted(got)
+    with pytest.raises(ValueError):
+        spatial.within(df, (1.0,), 1.0, cols)
+
+
+def test_range_search_reaches_the_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id * 1.0D AS a").write.parquet(str(tmp_path / "t"))
+    plan = spatial.within(spark.read.parquet(str(tmp_path / "t")), (10.0,), 2.0, ("a",))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(a," in plan and "LessThanOrEqual(a," in plan
