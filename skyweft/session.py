@@ -47,6 +47,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for steps whose work their bytes don't show: a number given to
+    ``repartition`` isn't lowered to few tasks by the bytes that are shuffled."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 

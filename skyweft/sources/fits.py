@@ -137,9 +137,47 @@ class RowRange(InputPartition):
         self.path, self.table, self.first, self.last = path, table, first, last
 
 
+#: Files up to SMALL bytes are read whole, many by a task: up to GROUP_BYTES and GROUP_FILES of them.
+SMALL, GROUP_BYTES, GROUP_FILES = 4 << 20, 32 << 20, 1000
+
+
+class FileGroup(InputPartition):
+    """Small files that one task opens and reads whole."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+def grouped_files(paths: list[str]) -> tuple[list[FileGroup], list[str]]:
+    """Groups of the small files, and the large ones; only the folder's entries are looked at, no file is opened."""
+    groups, large, size = [], [], 0
+    for p in paths:
+        n = os.path.getsize(p)
+        if n > SMALL:
+            large.append(p)
+            continue
+        if not groups or size + n > GROUP_BYTES or len(groups[-1].paths) >= GROUP_FILES:
+            groups.append(FileGroup([]))
+            size = 0
+        groups[-1].paths.append(p)
+        size += n
+    return groups, large
+
+
+def find_table(path: str, ext: str | None) -> Table:
+    """The first table of a file, or that of the extension ``ext``."""
+    with open(path, "rb") as f:
+        for number, h, at in read_headers(f):
+            if h.get("XTENSION") == "BINTABLE" and (ext is None or int(ext) == number):
+                return table_of(number, h, at)
+    raise ValueError(f"{path} has no such table")
+
+
 class SkyTableSource(DataSource):
     """Options: ``path`` (file, folder or pattern), ``ext`` (default: the first table), ``rows`` per partition, ``provenance``.
 
+    Without ``rows`` large files are read by ranges of 200,000 rows and small ones many to a task; with it all are read by ranges.
+
     With ``provenance`` every row has the columns ``backref_file`` and ``backref_index``: its file and its 0-based number in it.
     """
 
@@ -157,12 +195,7 @@ class SkyTableSource(DataSource):
         return files
 
     def _table(self, path: str) -> Table:
-        ext = self.options.get("ext")
-        with open(path, "rb") as f:
-            for number, h, at in read_headers(f):
-                if h.get("XTENSION") == "BINTABLE" and (ext is None or int(ext) == number):
-                    return table_of(number, h, at)
-        raise ValueError(f"{path} has no such table")
+        return find_table(path, self.options.get("ext"))
 
     def schema(self):
         own = [f"`{c.name}` {c.spark_type()}" for c in self._table(self._files()[0]).columns]
@@ -172,7 +205,7 @@ class SkyTableSource(DataSource):
         return self.options.get("provenance", "false").lower() == "true"
 
     def reader(self, schema):
-        return SkyTableReader([(p, self._table(p)) for p in self._files()], int(self.options.get("rows", 200_000)), [f.name for f in schema.fields], self._provenance())
+        return SkyTableReader(self._files(), self.options.get("ext"), int(self.options.get("rows", 0)), [f.name for f in schema.fields], self._provenance())
 
     def writer(self, schema, overwrite):
         return SkyTableWriter(self.options["path"].removeprefix("file://"), [(f.name, f.dataType.simpleString()) for f in schema.fields], overwrite, int(self.options.get("strings", 32)), int(self.options.get("arrays", 1)))
@@ -392,27 +425,39 @@ def _commit_files(messages, old: set[str]) -> None:
 
 
 class SkyTableReader(DataSourceReader):
-    def __init__(self, tables, rows: int, wanted: list[str], provenance: bool = False):
-        self.tables, self.rows, self.wanted, self.provenance = tables, rows, wanted, provenance
+    """Ranges of rows of large files, whose headers are read for that; small files many to a task, which reads their headers."""
+
+    def __init__(self, files: list[str], ext: str | None, rows: int, wanted: list[str], provenance: bool = False):
+        self.files, self.ext, self.rows, self.wanted, self.provenance = files, ext, rows, wanted, provenance
 
     def partitions(self):
-        return [RowRange(p, t, lo, min(lo + self.rows, t.rows)) for p, t in self.tables for lo in range(0, t.rows, self.rows)] or [RowRange("", self.tables[0][1], 0, 0)]
+        groups, large = ([], self.files) if self.rows else grouped_files(self.files)
+        rows, tables = self.rows or 200_000, [(p, find_table(p, self.ext)) for p in large]
+        return [*groups, *(RowRange(p, t, lo, min(lo + rows, t.rows)) for p, t in tables for lo in range(0, t.rows, rows))] or [FileGroup([])]
 
     def read(self, partition):
-        t, step = partition.table, 10_000
-        for lo in range(partition.first, partition.last, step):
-            with open(partition.path, "rb") as f:
+        if isinstance(partition, RowRange):
+            yield from self._rows(partition)
+            return
+        for path in partition.paths:
+            t = find_table(path, self.ext)
+            yield from self._rows(RowRange(path, t, 0, t.rows))
+
+    def _rows(self, part: RowRange):
+        t, step = part.table, 10_000
+        with open(part.path, "rb") as f:
+            for lo in range(part.first, part.last, step):
                 f.seek(t.data_at + lo * t.width)
-                data = f.read((min(lo + step, partition.last) - lo) * t.width)
-            if self.provenance:
-                for i, row in enumerate(decode_rows(t, data, self.wanted), lo):
-                    yield (*row, partition.path, i)
-            else:
-                yield from decode_rows(t, data, self.wanted)
+                data = f.read((min(lo + step, part.last) - lo) * t.width)
+                if self.provenance:
+                    for i, row in enumerate(decode_rows(t, data, self.wanted), lo):
+                        yield (*row, part.path, i)
+                else:
+                    yield from decode_rows(t, data, self.wanted)
 
 
 class SkyHeaderSource(DataSource):
-    """Header cards as rows (file, extension, name, value), a file a partition. Option: ``path``."""
+    """Header cards as rows (file, extension, name, value), small files many to a task. Option: ``path``."""
 
     @classmethod
     def name(cls):
@@ -431,13 +476,14 @@ class SkyHeaderReader(DataSourceReader):
         self.files = files
 
     def partitions(self):
-        return [InputPartition(p) for p in self.files] or [InputPartition("")]
+        groups, large = grouped_files(self.files)
+        return [*groups, *(FileGroup([p]) for p in large)] or [FileGroup([])]
 
     def read(self, partition):
-        if partition.value:
-            with open(partition.value, "rb") as f:
+        for path in partition.paths:
+            with open(path, "rb") as f:
                 for number, cards, _ in read_headers(f):
-                    yield from ((partition.value, number, k, v) for k, v in cards.items())
+                    yield from ((path, number, k, v) for k, v in cards.items())
 
 
 class SkyFileSink(DataSource):

@@ -12,7 +12,7 @@ from skyweft.functions import sky, wcs
 from skyweft.functions.sky import num
 from skyweft.operators import images, match_stats, quads, spatial, table
 from skyweft.plans import build_index, saved_index
-from skyweft.session import scratch_dir
+from skyweft.session import scratch_dir, shuffle_partitions
 from skyweft.sources import fits, packed, text
 
 # ---- sinks ---------------------------------------------------------------------------------------
@@ -74,7 +74,7 @@ def _written_fields(spark, sf) -> str:
     pairs = F.transform(F.sequence(F.lit(1), F.size("stars") - 1), lambda k: F.struct(F.col("stars")[k - 1]["id"].alias("l_id"), F.col("stars")[k]["id"].alias("r_id")))
     header = F.create_map(F.lit("NSTARS"), F.size("stars").cast("string"), F.lit("OBJECT"), F.concat(F.lit("field "), F.col("field").cast("string")))
     rows = stars.select(F.concat(F.lit("field-"), F.col("field").cast("string")).alias("name"), header.alias("header"), "stars", F.when(F.size("stars") > 1, pairs).alias("pairs"))
-    rows.write.format("skyfiles").mode("append").save(path)
+    rows.repartition(shuffle_partitions(spark), "name").write.format("skyfiles").mode("append").save(path)  # files are work that their bytes don't show
     return path
 
 
