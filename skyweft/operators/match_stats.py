@@ -18,10 +18,8 @@ def shift_by_votes(left: DataFrame, right: DataFrame, reach: float, bin_size: fl
 
     Pairs come from the bucketed join, votes are counted before the shuffle; ties go to the smallest bin.
     """
-    pairs = radius_join(left, right, reach * math.sqrt(2), ("x", "y"), left_id, right_id)
-    a = left.select(F.col(left_id).alias("l_id"), F.col("x").alias("lx"), F.col("y").alias("ly"))
-    b = right.select(F.col(right_id).alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    d = pairs.join(a, "l_id").join(b, "r_id").selectExpr("rx - lx AS dx", "ry - ly AS dy").where((F.abs("dx") <= reach) & (F.abs("dy") <= reach))
+    pairs = radius_join(left, right, reach * math.sqrt(2), ("x", "y"), left_id, right_id, places=True)
+    d = pairs.selectExpr("r0 - l0 AS dx", "r1 - l1 AS dy").where((F.abs("dx") <= reach) & (F.abs("dy") <= reach))
     bins = math.ceil(2 * reach / bin_size)
     votes = d.groupBy(F.expr(bin_of("dx", -reach, bin_size, bins)).alias("bx"), F.expr(bin_of("dy", -reach, bin_size, bins)).alias("by")).agg(F.count(F.lit(1)).alias("votes"))
     top = votes.orderBy(F.desc("votes"), "bx", "by").limit(1)
@@ -92,10 +90,8 @@ def overlapping_footprints(footprints: DataFrame, id_col: str = "id") -> DataFra
     top = footprints.agg(F.max("r").alias("r")).first()["r"]
     if top is None:
         return footprints.select(F.col(id_col).alias("a"), F.col(id_col).alias("b")).where("false")
-    pairs = radius_join(footprints, footprints, math.sqrt(sky.chord2_of_deg(min(180.0, 2 * top))), ("x", "y", "z"), id_col, id_col, not_self=True).where("l_id < r_id")
-    r = lambda p: footprints.select(F.col(id_col).alias(f"{p}_id"), F.col("r").alias(f"{p}r"))
-    both = pairs.join(r("l"), "l_id").join(r("r"), "r_id")
-    return both.where(F.expr(f"{sky.deg_of_chord2('dist2')} <= lr + rr")).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    both = radius_join(footprints, footprints, math.sqrt(sky.chord2_of_deg(min(180.0, 2 * top))), ("x", "y", "z"), id_col, id_col, not_self=True, left_keep=["r"], right_keep=["r"]).where("l_id < r_id")
+    return both.where(F.expr(f"{sky.deg_of_chord2('dist2')} <= l_r + r_r")).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
 def free_stars(stars: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,7 +107,7 @@ def dedup_field_stars(stars: DataFrame, radius: float, field: str = "field", id_
     """
     s = stars.select(F.col(field).alias("group"), F.col(id_col).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("rank").alias("turn"))
     gone = walk_dropped(near_in_group(s, ["group"], sky.num(radius), sky.num(radius**2)), ["group"])
-    return stars.join(gone.select(F.col("group").alias(field), F.col("id").alias(id_col)), [field, id_col], "left_anti")
+    return stars.join(gone.select(F.col("group").alias(field), F.col("id").alias(id_col)).hint("merge"), [field, id_col], "left_anti")
 
 
 def unique_solutions(matches: DataFrame, keys: list[str], odds: str) -> DataFrame:
