@@ -20,45 +20,38 @@ def uniformize_top(stars: DataFrame, cell: str, order: list[Column], per_cell: i
 def uniformize_dedup(stars: DataFrame, id_col: str, rank_col: str, cell: str, per_cell: int, radius: float, coords=("x", "y", "z"), max_rounds: int | None = None) -> DataFrame:
     """Thinning with a minimum distance: ``(id, sweep)`` of the stars kept.
 
-    In rank order a star is kept unless its cell is full or a kept star lies within ``radius``. Rounds
-    decide all stars whose earlier neighbours and cell mates allow it, so decisions equal those of a
-    walk in order: dropped when a kept earlier star is near or the cell has ``per_cell`` kept earlier
-    stars, kept when no near earlier star is open and the cell can't fill before it, else left open.
-    The first open star is always decided, so rounds go on until no star is open; a chain of near stars
-    takes about one round a link. With ``max_rounds`` it raises where stars are open after so many.
-    Near pairs are made once; each round is a few joins whose result is written to shared storage.
+    In rank order a star is kept unless its cell is full or a kept star lies within ``radius``. A round looks at the first open
+    stars of every cell only and keeps those that no earlier open star lies near and whose cell can't fill before them; then all
+    open stars near a kept one and those of full cells go. So decisions equal those of a walk in order, and near pairs are
+    made for the stars looked at and kept, never for all. The first open star is always kept, so rounds go on until no star is
+    open; a chain of near stars takes about one round for two links. With ``max_rounds`` it raises where stars are open after so many.
     """
-    base = stars.select(F.col(id_col).alias("id"), F.col(rank_col).alias("rank"), F.col(cell).alias("cell"))
-    near = radius_join(stars, stars, radius, coords, id_col, id_col, not_self=True)
-    ranks = base.select("id", "rank")
-    near = near.join(ranks.select(F.col("id").alias("l_id"), F.col("rank").alias("lr")), "l_id").join(ranks.select(F.col("id").alias("r_id"), F.col("rank").alias("rr")), "r_id")
-    near = materialize(near.where("rr < lr OR (rr = lr AND r_id < l_id)").select(F.col("l_id").alias("id"), F.col("r_id").alias("earlier")), "uniformize-near")
-    state = materialize(base.withColumn("kept", F.lit(None).cast("boolean")), "uniformize")
-    rounds, before = 0, None
-    while left := state.where("kept IS NULL").count():
-        if left == before:
-            raise ValueError("a round decided no star: ids have to be unique")
+    place = [f"p{i}" for i in range(len(coords))]
+    left = stars.select(F.col(id_col).alias("id"), F.col(rank_col).alias("rank"), F.col(cell).alias("cell"), *[F.col(c).cast("double").alias(p) for c, p in zip(coords, place, strict=True)])
+    left = materialize(left, "uniformize")
+    if not left.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("ids have to be unique")
+    kept, rounds = left.where("false").select("id", "rank", "cell"), 0
+    order = Window.partitionBy("cell").orderBy("rank", "id")
+    earlier = "r_rank < l_rank OR (r_rank = l_rank AND r_id < l_id)"
+    while not left.isEmpty():
         if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"{left} stars are open after {max_rounds} rounds")
-        rounds, before = rounds + 1, left
-        order = Window.partitionBy("cell").orderBy("rank", "id").rowsBetween(Window.unboundedPreceding, -1)
-        mates = state.withColumn("full", F.coalesce(F.sum(F.when(F.col("kept"), 1).otherwise(0)).over(order), F.lit(0))).withColumn(
-            "may", F.coalesce(F.sum(F.when(F.coalesce("kept", F.lit(True)), 1).otherwise(0)).over(order), F.lit(0))
-        )
-        seen = near.join(state.select(F.col("id").alias("earlier"), "kept"), "earlier").groupBy("id").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))
-        nxt = mates.join(seen, "id", "left").select(
-            "id",
-            "rank",
-            "cell",
-            F.when(F.col("kept").isNotNull(), F.col("kept"))
-            .when((F.col("full") >= per_cell) | F.coalesce("hit", F.lit(False)), F.lit(False))
-            .when(~F.coalesce("open", F.lit(False)) & (F.col("may") < per_cell), F.lit(True))
-            .alias("kept"),
-        )
-        nxt = materialize(nxt, "uniformize")
-        discard(state)
-        state = nxt
-    return state.where("kept").select("id", (F.row_number().over(Window.partitionBy("cell").orderBy("rank", "id")) - 1).alias("sweep"))
+            raise RuntimeError(f"{left.count()} stars are open after {max_rounds} rounds")
+        rounds += 1
+        full = kept.groupBy(F.col("cell").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+        first = left.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= max(16, 4 * per_cell))
+        first = materialize(first.join(full, F.col("cell").eqNullSafe(F.col("of")), "left").select(*left.columns, "turn", F.coalesce("n", F.lit(0)).alias("n")), "uniformize-first")
+        waits = radius_join(first, left, radius, place, not_self=True, left_keep=["rank"], right_keep=["rank"]).where(earlier).select(F.col("l_id").alias("id")).distinct()
+        new = materialize(first.where(F.col("n") + F.col("turn") <= per_cell).join(waits, "id", "left_anti").select(*left.columns), "uniformize-kept")
+        kept = kept.unionByName(new.select("id", "rank", "cell"))
+        near = radius_join(new, left, radius, place, not_self=True, left_keep=["rank"], right_keep=["rank"]).where("l_rank < r_rank OR (l_rank = r_rank AND l_id < r_id)").select(F.col("r_id").alias("id"))
+        gone = near.unionByName(new.select("id")).distinct()
+        full = kept.groupBy(F.col("cell").alias("of")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= per_cell).select("of")
+        rest = left.join(gone.hint("merge"), "id", "left_anti").join(full, F.col("cell").eqNullSafe(F.col("of")), "left_anti")
+        rest = materialize(rest if per_cell > 0 else rest.where("false"), "uniformize")
+        discard(left)
+        left = rest
+    return kept.select("id", (F.row_number().over(Window.partitionBy("cell").orderBy("rank", "id")) - 1).alias("sweep"))
 
 
 def interleave(df: DataFrame, keys: list[str], first: list[Column], second: list[Column], out: str = "place") -> DataFrame:
