@@ -67,6 +67,6 @@ def test_fields_any_number_of_turns_away(spark):
 
     rows = spark.range(2000).selectExpr("id * 997 AS l_orderkey", "cast(id % 7 as int) AS l_linenumber")
     seen = spark.sql(survey_queries._SEEN.replace("FROM lineitem", "FROM {src}"), src=rows)
-    back = survey.with_pixels(survey.with_sky(seen))
-    assert back.agg({"a": "max"}).first()[0] > 3600
-    assert back.where("abs(px - x) > 1e-6 OR abs(py - y) > 1e-6 OR px IS NULL OR py IS NULL").count() == 0
+    back = survey.with_pixels(survey.with_sky(seen)).select("a", "x", "y", "px", "py").collect()
+    assert len(back) == 2000 and max(r["a"] for r in back) > 3600
+    assert all(abs(r["px"] - r["x"]) < 1e-6 and abs(r["py"] - r["y"]) < 1e-6 for r in back)
