@@ -12,7 +12,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyweft.operators.spatial import dealt_join
 from skyweft.plans.build_index import Index, cell_quads
+from skyweft.session import shuffle_partitions
+
+#: Tasks that write one tile.
+TILE_PARTS = 16
 
 META = "index_id int, healpix int, nside int, scale_lower double, scale_upper double, stars_at string, n_stars long, n_quads long"
 
@@ -59,7 +64,8 @@ def merge_indexes(parts: Sequence[Index]) -> Index:
 def flat_table(index: Index) -> DataFrame:
     """One row a feature with the positions of its stars, in the order a, b, c, d."""
     s = index.stars.select(F.col("id").alias("star"), "ra", "dec")
-    member = index.quads.select("quad_id", F.posexplode(F.array("a", "b", "c", "d")).alias("i", "star")).join(s, "star")
+    member = index.quads.select("quad_id", F.posexplode(F.array("a", "b", "c", "d")).alias("i", "star")).hint("merge").join(s.hint("merge"), "star")
+    member = member.repartition(shuffle_partitions(s.sparkSession), "quad_id")  # rows grow where they are grouped: as many tasks as the session has
     pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}_{'abcd'[i]}")
     return member.groupBy("quad_id").agg(*[pick(c, i) for i in range(4) for c in ("star", "ra", "dec")])
 
@@ -74,7 +80,8 @@ def write_tiles(rows: DataFrame, path: str, tile_col: str = "tile") -> None:
     missing = {"backref_file", "backref_index"} - set(rows.columns)
     if missing:
         raise ValueError(f"rows without {sorted(missing)}")
-    rows.repartition(F.col(tile_col)).write.partitionBy(tile_col).parquet(path)
+    part = F.pmod(F.col("backref_index"), F.lit(TILE_PARTS))  # a tile is the work of several tasks, each writing a file of it
+    rows.repartition(shuffle_partitions(rows.sparkSession), F.col(tile_col), part).write.partitionBy(tile_col).parquet(path)
 
 
 def copied_rows(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -82,7 +89,7 @@ def copied_rows(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A row that is listed twice comes twice; ``place`` keeps the order of the list. Pairs that are not there give nothing.
     """
-    return wanted.select("backref_file", "backref_index", "place").join(source, ["backref_file", "backref_index"])
+    return dealt_join(wanted.select("backref_file", "backref_index", "place"), source, ["backref_file", "backref_index"])
 
 
 def occupied_cells(stars: DataFrame, nside: int) -> DataFrame:
