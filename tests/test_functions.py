@@ -23,6 +23,16 @@ def test_cell_expression_equals_numpy(spark, nside):
     assert [got[i] for i in range(len(p))] == healpix.cells_of(p, nside).tolist()
 
 
+#: Stars 2e-6 of a cell from a border: thirds rounded to six digits put them on the other side of it.
+BORDER = [(float.fromhex("-0x1.5657a825d302fp-1"), float.fromhex("-0x1.535c994572006p-1"), float.fromhex("0x1.5922342a00000p-2")), (float.fromhex("0x1.0ee66d52f2f80p-7"), float.fromhex("0x1.e406cb460bfaep-1"), float.fromhex("-0x1.4dbb97ac00000p-2"))]
+
+
+@pytest.mark.parametrize("nside,want", [(4, [33, 81])])
+def test_cells_of_stars_beside_a_border(spark, nside, want):
+    assert healpix.cells_of(np.array(BORDER), nside).tolist() == want
+    assert [r.cell for r in healpix.with_cell(_rows(spark, BORDER), nside).orderBy("id").collect()] == want
+
+
 @pytest.mark.parametrize("nside", [1, 2, 4, 8])
 def test_centres_lie_in_their_cells_and_cells_have_equal_area(nside):
     cells = np.arange(12 * nside * nside)
