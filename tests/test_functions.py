@@ -27,7 +27,7 @@ def test_cell_expression_equals_numpy(spark, nside):
 BORDER = [(float.fromhex("-0x1.5657a825d302fp-1"), float.fromhex("-0x1.535c994572006p-1"), float.fromhex("0x1.5922342a00000p-2")), (float.fromhex("0x1.0ee66d52f2f80p-7"), float.fromhex("0x1.e406cb460bfaep-1"), float.fromhex("-0x1.4dbb97ac00000p-2"))]
 
 
-@pytest.mark.parametrize("nside,want", [(4, [33, 81])])
+@pytest.mark.parametrize("nside,want", [(4, [33, 81]), (8, [138, 330])])
 def test_cells_of_stars_beside_a_border(spark, nside, want):
     assert healpix.cells_of(np.array(BORDER), nside).tolist() == want
     assert [r.cell for r in healpix.with_cell(_rows(spark, BORDER), nside).orderBy("id").collect()] == want
