@@ -40,7 +40,7 @@ MAX_GROUP_DIGITS = 19
 #: Digits of a phone or card number, and groups of one digit in it (a country code, a last digit); an address has four groups.
 LEAST_DIGITS, MOST_SINGLES = 7, 2
 DOTS = (".", "[.]", "(.)")
-#: So many groups with one separator throughout are a table of numbers; a candidate in it begins with + or a bracket.
+#: So many groups with one separator throughout are a table of numbers, or a list of them; the field weighs that, no candidate is left out.
 TABLE_GROUPS = 13
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
@@ -116,6 +116,7 @@ def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], tuple]]:
     out = []
     groups = [m.span() for m in _GROUP.finditer(text)]
     unit_after: dict[int, bool] = {}
+    gaps = [None] + [gap if len(gap := text[e:b]) <= 3 and _JOINT.fullmatch(gap) else None for (_, e), (b, _) in zip(groups, groups[1:], strict=False)]
     table = _tables(text, groups)
     for i, (a, _) in enumerate(groups):
         if a and (text[a - 1].isalnum() or text[a - 1] in "_@" or text[a - 1] in "-./" and text[a - 2 : a - 1].isdigit()):
@@ -123,16 +124,13 @@ def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], tuple]]:
         start = a - 1 if a and text[a - 1] == "(" else a
         if start and text[start - 1] == "+":
             start -= 1
-        if table[i] and start == a:
-            continue
         sizes, joints, total, singles, before = [], [], 0, 0, None
         for j in range(i, min(i + MAX_GROUPS, len(groups))):
             b, e = groups[j]
             if j > i:
-                gap = text[groups[j - 1][1] : b]
-                if len(gap) > 3 or not _JOINT.fullmatch(gap):
+                if gaps[j] is None:
                     break
-                joints.append(gap)
+                joints.append(gaps[j])
             sizes.append(e - b)
             total += e - b
             singles += e - b == 1
@@ -149,7 +147,7 @@ def candidates(text: str) -> list[tuple[int, int, tuple[str, ...], tuple]]:
             if e not in unit_after:
                 m = _AFTER.match(text, e)
                 unit_after[e] = bool(m) and m[1].lower() in _UNITS
-            out.append((start, e, ("ip", "card", "phone") if dotted else ("card", "phone"), _digit_key(text, start, a, groups[i : j + 1], sizes, joints, before, unit_after[e])))
+            out.append((start, e, ("ip", "card", "phone") if dotted else ("card", "phone"), _digit_key(text, start, a, groups[i : j + 1], sizes, joints, before, unit_after[e], bool(table[i]))))
     for m in _spelt(text):
         spelt = m[0].lower()
         last = re.split(r"[^A-Za-z0-9]+", m[0])[-1]
@@ -193,19 +191,19 @@ def _before(hint: str | None) -> list[str]:
     return [f"hint={hint}", f"hinted={hint is not None}"]
 
 
-def _digit_key(text, start, a, spans, sizes, joints, before, unit) -> tuple:
+def _digit_key(text, start, a, spans, sizes, joints, before, unit, table) -> tuple:
     digits = "".join([text[b:e] for b, e in spans])
     parts_ok = len(sizes) == 4 and all(s <= 3 and int(text[b:e]) <= 255 for s, (b, e) in zip(sizes, spans, strict=True))
     joint = "none" if not joints else joints[0] if len(set(joints)) == 1 else "mixed"
     n = len(digits)
     first = "+" if text[start] == "+" else "00" if digits.startswith("00") else "0" if digits[0] == "0" else "978" if n == 13 and digits[:3] in ("978", "979") else "year" if sizes[0] == 4 and digits[:2] in ("19", "20") else "x"
-    return first, tuple(sizes), before[0], n, unit or before[1], joint, parts_ok, n >= 12 and luhn(digits), "(" in text[start:a] or any(")" in j for j in joints)
+    return first, tuple(sizes), before[0], n, unit or before[1], joint, parts_ok, n >= 12 and luhn(digits), "(" in text[start:a] or any(")" in j for j in joints), table
 
 
 def _features(key: tuple) -> list[str]:
     if not isinstance(key[1], tuple):  # those of a spelt address as they are
         return list(key)
-    first, sizes, hint, n, unit, joint, parts_ok, check, bracket = key
+    first, sizes, hint, n, unit, joint, parts_ok, check, bracket, table = key
     near = _before(hint)
     return [
         f"first={first}",
@@ -223,6 +221,7 @@ def _features(key: tuple) -> list[str]:
         f"octets={parts_ok and joint not in ('none', 'mixed') and '.' in joint}",
         f"n3={n // 3}&groups={len(sizes)}",
         *near,
+        *([f"table&first={first}", f"table&first={first}&groups={len(sizes)}", f"table&card={12 < n < 20 and check}&{'-'.join(map(str, sizes))}"] if table else []),
     ]
 
 
@@ -373,6 +372,39 @@ def labelled_sentences(n: int = 900, seed: int = 11) -> list[tuple[str, list[tup
     return out
 
 
+def number_lists(n: int = 300, seed: int = 12) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Made-up runs of TABLE_GROUPS and more digit groups with one separator: tables of numbers, and lists of phone and card numbers."""
+    r = random.Random(seed)
+    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    figure = lambda k: r.choice("123456789") + num(k - 1)
+
+    def card(joint):
+        body = num(15)
+        digits = next(body + str(c) for c in range(10) if luhn(body + str(c)))
+        return joint.join(digits[i : i + 4] for i in (0, 4, 8, 12))
+
+    def phone(joint):
+        a = "0" + r.choice("12345789") + num(r.randint(1, 3))
+        return joint.join((a, num(r.randint(5, 8))) if r.random() < 0.7 else (a, num(3), num(4)))
+
+    out = []
+    for _ in range(n):
+        joint, kind = r.choice([" ", " ", " ", ".", "/", "-"]), r.choice(["phone", "card", "table", "table", "table"])
+        text, spans = r.choice(["", "numbers ", "row "]), []
+        if kind == "table":
+            most, same = r.randint(1, 8), r.random() < 0.4
+            text += joint.join(figure(most if same else r.randint(1, most)) if r.random() < 0.97 else "0" for _ in range(r.randint(TABLE_GROUPS, 40)))
+        else:
+            joint = " "
+            for k in range(r.randint(TABLE_GROUPS // (2 if kind == "phone" else 4) + 1, 12)):
+                value = phone(joint) if kind == "phone" else card(joint)
+                text += joint * (k > 0)
+                spans.append((len(text), len(text) + len(value), kind))
+                text += value
+        out.append((text + r.choice(["", "\n", " end."]), spans))
+    return out
+
+
 def train(sentences, rounds: int = 4, rate: float = 0.3, decay: float = 1e-3) -> dict[tuple[str, str], float]:
     """Weights by stochastic gradient ascent on the conditional likelihood."""
     w: dict[tuple[str, str], float] = {}
@@ -416,7 +448,7 @@ def _log_sum(values: list[float]) -> float:
 
 @cache
 def default_weights() -> tuple[tuple[tuple[str, str], float], ...]:
-    return tuple(sorted(train(labelled_sentences()).items()))
+    return tuple(sorted(train(labelled_sentences() + number_lists()).items()))
 
 
 def find_spans(text: str | None, weights: dict[tuple[str, str], float]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

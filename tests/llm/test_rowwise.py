@@ -593,6 +593,18 @@ def test_numbers_within_longer_ones_are_no_personal_data():
     assert pii_semicrf.find_spans("call 030 1234567 now", w)[1] == [(5, 16, "phone")]
 
 
+def test_lists_of_numbers_with_one_separator_are_looked_at():
+    w = pii_semicrf.Weights(pii_semicrf.default_weights())
+    phones = [f"0{i}71 {1234567 + 7654 * i}" for i in range(1, 10)]
+    found = pii_semicrf.find_spans(" ".join(phones), w)[1]
+    assert [(b - a, k) for a, b, k in found] == [(12, "phone")] * 9  # 18 groups, all parted by a space
+    hit = wrong = missed = 0
+    for x, spans in pii_semicrf.number_lists(200, 5):
+        got = set(pii_semicrf.decode(x, w))
+        hit, wrong, missed = hit + len(got & set(spans)), wrong + len(got - set(spans)), missed + len(set(spans) - got)
+    assert hit / (hit + wrong) > 0.95 and hit / (hit + missed) > 0.95, (hit, wrong, missed)
+
+
 def test_remembered_scores_are_the_same():
     plain, seen = dict(pii_semicrf.default_weights()), pii_semicrf.Weights(pii_semicrf.default_weights())
     seen.MOST = 20
