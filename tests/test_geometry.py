@@ -38,6 +38,16 @@ def test_crossings_equal_all_pairs(spark, cell):
             assert abs((x1 - x0) * (r.y - y0) - (y1 - y0) * (r.x - x0)) < 1e-6 * (1 + math.hypot(x1 - x0, y1 - y0)) ** 2
 
 
+def test_ordered_crossings_equal_all_pairs(spark):
+    r = np.random.default_rng(8)
+    p = [(i, *map(float, v)) for i, v in enumerate(r.uniform(0, 100, (3000, 2)))]
+    a, b = (spark.createDataFrame([(i, x, y, x + dx, y + dy) for i, x, y in p], SEGMENT) for dx, dy in ((8, 3), (-2, 9)))
+    seen = spatial.segment_crossings(a, b, 4.0, ordered=True)
+    got = seen.collect()
+    want = {(s[0], t[0]) for s in p for t in p if s[0] < t[0] and abs(s[1] - t[1]) < 11 and _cross((s[1], s[2], s[1] + 8, s[2] + 3), (t[1], t[2], t[1] - 2, t[2] + 9))}
+    assert {(r.l_id, r.r_id) for r in got} == want and len(got) == len(want)
+
+
 def test_crossings_of_segments_without_an_end_or_of_none(spark):
     good = [(1, 0.0, 0.0, 2.0, 2.0)]
     odd = [(2, None, 2.0, 2.0, 0.0), (3, float("nan"), 2.0, 2.0, 0.0), (4, float("inf"), 2.0, 2.0, 0.0), (5, 0.0, 2.0, 2.0, 0.0), (6, 0.0, 0.0, 2.0, -1.0)]
