@@ -149,7 +149,9 @@ def xy_match(spark, sf):
 def nd_radius_join(spark, sf):
     """Pairs of 64-dimensional vectors within 1.1."""
     e = _read(spark, sf, "embeddings")
-    return spatial.array_radius_join(e, e, 1.1, "embedding", "vec_id", "vec_id", not_self=True).select("l_id", "r_id", F.round("dist2", 6).alias("dist2"))
+    near = spatial.array_radius_join(e, e, 1.1, "embedding", "vec_id", "vec_id", ordered=True)
+    both = F.explode(F.array(F.struct(F.col("l_id").alias("l"), F.col("r_id").alias("r")), F.struct(F.col("r_id").alias("l"), F.col("l_id").alias("r"))))
+    return near.select(both.alias("p"), F.round("dist2", 6).alias("dist2")).select(F.col("p.l").alias("l_id"), F.col("p.r").alias("r_id"), "dist2")
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT * FROM {CUSTOMERS} s1), e AS (SELECT a.id AS u, b.id AS v FROM s a JOIN s b ON a.id <> b.id AND {D3} <= {_chord2(2.2)}),

@@ -160,28 +160,46 @@ def array_distance2(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-def array_radius_join(left: DataFrame, right: DataFrame, radius: float, vec: str, left_id: str, right_id: str, grid_dims: int = 3, not_self: bool = False, strips: int = 4) -> DataFrame:
-    """Radius join of array columns of many dimensions.
+#: Rows of a block in a join of arrays at most; fewer where blocks would not do for the session's tasks, but no fewer than the other number.
+BLOCK, LEAST_BLOCK = 8192, 256
 
-    The grid is over the ``grid_dims`` dimensions in which the right side spreads most. Distances are added
-    up in ``strips`` parts of the dimensions, the widest first, in generated code; a pair is given up as soon
-    as a part exceeds the radius. Arrays of another length than the right side's longest match nothing.
-    In many dimensions no grid prunes much (the distance then does the work): vectors should be short ones.
+
+def array_radius_join(left: DataFrame, right: DataFrame, radius: float, vec: str, left_id: str, right_id: str, grid_dims: int = 1, not_self: bool = False, strips: int = 4, ordered: bool = False) -> DataFrame:
+    """Radius join of array columns of many dimensions; ``ordered`` returns the pairs with ``l_id < r_id`` only.
+
+    The grid is over the ``grid_dims`` dimensions in which the right side spreads most. In many dimensions no grid prunes much, so
+    both sides are cut into blocks too, and every pair of blocks is a key of the join: the pairs are dealt to all tasks, however few cells
+    there are, and a task holds one block. Distances are added up in ``strips`` parts of the dimensions, the widest first, in generated code; a pair is
+    given up as soon as a part exceeds the radius. Arrays of another length than the right side's longest, or that hold null, NaN or an infinity, match nothing.
     """
     size = right.agg(F.max(F.size(vec)).alias("n")).first()["n"] or 0
     if size <= 0:
         return left.select(F.col(left_id).alias("l_id"), F.col(left_id).alias("r_id"), F.lit(0.0).alias("dist2")).where("false")
-    spread = right.agg(*[F.var_pop(F.get(F.col(vec), F.lit(i))).alias(f"v{i}") for i in range(size)]).first()
-    order = sorted(range(size), key=lambda i: -(spread[i] or 0.0))
-    grid = order[: min(grid_dims, size)]
-    cols = lambda df, id_col, p: df.where(F.size(vec) == size).select(F.col(id_col).alias(f"{p}_id"), *[F.get(F.col(vec), F.lit(i)).cast("double").alias(f"{p}{i}") for i in range(size)])
+    # columns without nulls: code with a branch for each of them is too long to be compiled
+    number = lambda i: F.coalesce(F.get(F.col(vec), F.lit(i)).cast("double"), F.lit(float("nan")))
+    whole = (F.size(vec) == size) & F.forall(vec, lambda v: F.abs(v.cast("double")) < float("inf"))
+    cols = lambda df, id_col, p: df.where(whole).select(F.col(id_col).alias(f"{p}_id"), *[number(i).alias(f"{p}{i}") for i in range(size)])
     a, b = cols(left, left_id, "l"), cols(right, right_id, "r")
+    seen = b.agg(F.count(F.lit(1)).alias("n"), *[f(f"r{i}").alias(f"{k}{i}") for i in range(size) for k, f in (("v", F.var_pop), ("lo", F.min), ("hi", F.max))]).first()
+    rows = (a.count(), seen["n"])
+    if not all(rows):
+        return a.select("l_id", F.col("l_id").alias("r_id"), F.lit(0.0).alias("dist2")).where("false")
+    order = sorted(range(size), key=lambda i: -seen[f"v{i}"])
+    grid = order[: min(grid_dims, size)]
+    tasks = math.ceil(math.sqrt(2 * shuffle_partitions(left.sparkSession)))
+    blocks = [max(-(-n // BLOCK), min(tasks, -(-n // LEAST_BLOCK))) for n in rows]
     for i in grid:
-        a = a.withColumn(f"c{i}", F.explode(F.array(*[F.floor(F.col(f"l{i}") / radius) + o for o in (-1, 0, 1)])))
+        lo, hi = (math.floor(seen[f"{k}{i}"] / radius) for k in ("lo", "hi"))
+        around = F.filter(F.array(*[F.floor(F.col(f"l{i}") / radius) + o for o in (-1, 0, 1)]), lambda c: c.between(lo, hi))  # noqa: B023
+        a = a.withColumn(f"c{i}", F.explode(around))
     b = b.withColumns({f"c{i}": F.floor(F.col(f"r{i}") / radius) for i in grid})
-    pairs = a.join(b, [f"c{i}" for i in grid])
-    if not_self:
-        pairs = pairs.where("l_id <> r_id")
+    own = lambda n: (F.monotonically_increasing_id() % n).cast("int")  # noqa: E731  rows of one file in turn
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = a.withColumn("lb", own(blocks[0])).withColumn("rb", every(blocks[1]))
+    b = b.withColumn("rb", own(blocks[1])).withColumn("lb", every(blocks[0]))
+    pairs = dealt_join(a, b, ["lb", "rb", *[f"c{i}" for i in grid]])
+    if not_self or ordered:
+        pairs = pairs.where("l_id < r_id" if ordered else "l_id <> r_id")
     step, upto = -(-size // strips), None
     for k in range(0, size, step):
         part = reduce(operator.add, [(F.col(f"l{i}") - F.col(f"r{i}")) * (F.col(f"l{i}") - F.col(f"r{i}")) for i in order[k : k + step]])

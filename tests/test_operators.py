@@ -205,6 +205,22 @@ def test_vectors_of_another_length_match_nothing(spark):
     assert spatial.array_radius_join(v, v.where("false"), 0.5, "e", "id", "id").count() == 0
 
 
+def test_pairs_of_vectors_are_dealt_to_blocks(spark):
+    from skyweft.operators import spatial
+
+    r = np.random.default_rng(6)
+    e = r.normal(size=(700, 12)) * 0.3
+    rows = [(i, list(map(float, v))) for i, v in enumerate(e)]
+    v = spark.createDataFrame([*rows, (900, [float("nan")] * 12), (901, [None] * 12), (902, [float("inf")] * 12)], "id long, e array<double>")
+    near = {(i, j) for i in range(700) for j in range(700) if i < j and ((e[i] - e[j]) ** 2).sum() <= 0.49}
+    join = spatial.array_radius_join(v, v, 0.7, "e", "id", "id", ordered=True)
+    got = [(x.l_id, x.r_id) for x in join.collect()]
+    assert len(got) == len(near) > 20 and set(got) == near
+    assert {(x.l_id, x.r_id) for x in spatial.array_radius_join(v, v, 0.7, "e", "id", "id", not_self=True, grid_dims=3).collect()} == near | {(j, i) for i, j in near}
+    plan = join._jdf.queryExecution().executedPlan().toString()
+    assert "lb" in plan and "rb" in plan and "Broadcast" not in plan
+
+
 def test_searches_from_one_place_equal_brute_force(spark):
     r = np.random.default_rng(4)
     p = r.integers(0, 12, (400, 4)).astype(float)  # many equal distances
