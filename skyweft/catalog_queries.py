@@ -624,7 +624,9 @@ def solved_stream(spark, sf):
     e = _read(spark, sf, "events").selectExpr("user_id AS field", "value > 90 AS solved")
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     e.write.parquet(f"{base}/in")
-    out = jobs.solved_state(jobs.job_stream(spark, f"{base}/in", "field long, solved boolean", 2))
+    files = len(spark.read.parquet(f"{base}/in").inputFiles())
+    out = jobs.solved_state(jobs.job_stream(spark, f"{base}/in", "field long, solved boolean", max(2, -(-files // 8))))  # eight batches at most, however many files
     q = out.writeStream.outputMode("update").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spatial.first_by(spark.read.parquet(f"{base}/out"), ["field"], [F.desc("batch")]).select("field", "solved", "tries")
+    last = spark.read.parquet(f"{base}/out").groupBy("field").agg(F.max(F.struct("batch", "solved", "tries")).alias("last"))
+    return last.select("field", "last.solved", "last.tries")

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-SOLVED = "field long, solved boolean, tries int"
 
 
 def job_stream(spark: SparkSession, folder: str, schema: str, max_files: int = 100) -> DataFrame:
@@ -20,18 +16,12 @@ def job_stream(spark: SparkSession, folder: str, schema: str, max_files: int = 1
 def solved_state(results: DataFrame, key: str = "field", solved: str = "solved", retry_limit: int = 3) -> DataFrame:
     """Keyed state of each field: solved once is solved for good; (field, solved, tries) after each batch of results.
 
-    Tries stop counting at ``retry_limit``; the state per key is one flag and one number.
+    Tries stop counting at ``retry_limit``; the state per key is one flag and one number, kept by Spark's own aggregation, rows of a batch
+    are added up before they are shuffled. A null flag is no success.
     """
 
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, tries = state.get if state.exists else (False, 0)
-        for pdf in batches:
-            done = bool(done or pdf[solved].any())
-            tries = min(retry_limit, tries + len(pdf))
-        state.update((done, tries))
-        yield pd.DataFrame({"field": [keys[0]], "solved": [done], "tries": [tries]})
-
-    return results.groupBy(key).applyInPandasWithState(step, SOLVED, "solved boolean, tries int", "update", GroupStateTimeout.NoTimeout)
+    flag, tries = F.coalesce(F.bool_or(solved), F.lit(False)), F.least(F.lit(retry_limit).cast("long"), F.count(F.lit(1)))
+    return results.groupBy(F.col(key).alias("field")).agg(flag.alias("solved"), tries.cast("int").alias("tries"))
 
 
 def depth_batches(fields: DataFrame, depths: list[tuple[int, int]], solve: Callable[[DataFrame], DataFrame]) -> DataFrame:

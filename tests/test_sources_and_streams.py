@@ -60,6 +60,14 @@ def test_solved_stays_solved(spark, tmp_path):
     assert {r.field: (r.s, r.t) for r in last} == {1: (True, 2), 2: (True, 2), 3: (False, 1)}
 
 
+def test_solved_state_is_kept_by_sparks_own_aggregation(spark):
+    rows = spark.createDataFrame([(1, False), (1, None), (1, True), (1, False), (2, None)], "f long, ok boolean")
+    out = jobs.solved_state(rows, "f", "ok")
+    assert {tuple(r) for r in out.collect()} == {(1, True, 3), (2, False, 1)}
+    assert out.schema.simpleString() == "struct<field:bigint,solved:boolean,tries:int>"
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_depth_batches_stop_at_the_first_success(spark):
     f = spark.createDataFrame([(k, r) for k in (1, 2) for r in range(30)], "field long, rank int")
     found = jobs.depth_batches(f, [(1, 10), (11, 20), (21, 30)], lambda df: df.groupBy("field").agg(F.count(F.lit(1)).alias("n")).where("n >= 10 * field").select("field"))
