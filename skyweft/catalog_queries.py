@@ -343,7 +343,10 @@ def merge_fillzero(spark, sf):
 @query("""SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(abs(l_extendedprice - 20000.0), 0.6827), 6) AS spread FROM lineitem GROUP BY l_returnflag""")
 def order_statistics(spark, sf):
     """Exact median and spread by group."""
-    return _read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.5)), 6).alias("median"), F.round(F.percentile(F.abs(F.col("l_extendedprice") - 20000.0), F.lit(0.6827)), 6).alias("spread"))
+    kinds = {"median": (0.5, "l_extendedprice"), "spread": (0.6827, "abs(l_extendedprice - 20000.0)")}
+    long = _read(spark, sf, "lineitem").selectExpr("l_returnflag", "explode(array(" + ", ".join(f"struct('{k}' AS kind, {num(s)} AS share, cast({e} AS double) AS v)" for k, (s, e) in kinds.items()) + ")) AS k")
+    q = table.group_quantiles(long.select("l_returnflag", "k.kind", "k.share", "k.v"), ["l_returnflag", "kind"], "v", "share")
+    return q.groupBy("l_returnflag").agg(*[F.round(F.max(F.when(F.col("kind") == k, F.col("quantile"))), 6).alias(k) for k in kinds])
 
 
 @query("SELECT cast(floor(epoch(ts) / 600) * 600 as bigint) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

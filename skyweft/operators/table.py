@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweft.session import materialize, shuffle_partitions
+
 
 class MissingColumns(ValueError):
     """Columns that a reader asked for and the table lacks."""
@@ -237,3 +241,28 @@ def column_statistics(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     """Count, minimum, maximum, mean and spread of columns, in long form (keys, column, ...)."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e"))
     return long.groupBy(*keys, F.col("e.column").alias("column")).agg(F.count("e.v").alias("n"), F.min("e.v").alias("low"), F.max("e.v").alias("high"), F.avg("e.v").alias("mean"), F.stddev_pop("e.v").alias("spread"))
+
+
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, share: str) -> DataFrame:
+    """``(keys, quantile)``: exact quantiles of ``value`` in each group, between two values by a straight line; ``share`` is a column, the same in a group.
+
+    Distinct values with their counts are dealt by ranges, so that no task reads a whole group; sums per part tell in which part the
+    wanted ranks lie, and only those parts are numbered. Nulls take no part, NaN comes last; a group without values has a null.
+    """
+    v = df.select(*keys, F.col(share).cast("double").alias("__share"), F.col(value).cast("double").alias("__v"))
+    counts = v.groupBy(*keys, "__v").agg(F.max("__share").alias("__share"), F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, "__v").withColumn("__part", F.spark_partition_id()), "quantile-counts")
+    held = counts.where("__v IS NOT NULL")
+    parts = held.groupBy(*keys, "__part").agg(F.sum("__n").alias("__rows"), F.max("__share").alias("__share"))
+    every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumns({"__at": (F.sum("__rows").over(every) - 1) * F.col("__share"), "__before": F.sum("__rows").over(upto) - F.col("__rows")})
+    parts = parts.where("__before <= ceil(__at) AND __before + __rows > floor(__at)").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__at", "__before")
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__part") == F.col("__p"))
+    upto = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.join(parts, same).withColumn("__end", F.col("__before") + F.sum("__n").over(upto))
+    at = lambda f: F.max(F.when((f("__at") < F.col("__end")) & (f("__at") >= F.col("__end") - F.col("__n")), F.col("__v")))
+    ends = ranked.groupBy(*keys).agg(at(F.floor).alias("__low"), at(F.ceil).alias("__high"), F.max("__at").alias("__at"))
+    between = (F.ceil("__at") - F.col("__at")) * F.col("__low") + (F.col("__at") - F.floor("__at")) * F.col("__high")
+    found = ends.select(*keys, F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(between).alias("quantile"))
+    none = counts.groupBy(*keys).agg(F.count("__v").alias("__n")).where("__n = 0").select(*keys, F.lit(None).cast("double").alias("quantile"))
+    return found.unionByName(none)

@@ -221,6 +221,17 @@ def test_pairs_of_vectors_are_dealt_to_blocks(spark):
     assert "lb" in plan and "rb" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.6827, 1.0])
+def test_group_quantiles_equal_percentiles(spark, share):
+    r = np.random.default_rng(9)
+    rows = [(int(g), float(v)) for g, v in zip(r.integers(0, 4, 900), r.integers(0, 60, 900) / 7, strict=True)] + [(7, None), (8, 2.5), (None, 1.0), (None, 4.0), (9, None), (9, -3.0)]
+    df = spark.createDataFrame(rows, "g long, v double").withColumn("s", F.lit(share))
+    got = {x.g: x.quantile for x in table.group_quantiles(df, ["g"], "v", "s").collect()}
+    want = {x.g: x.q for x in df.groupBy("g").agg(F.percentile("v", F.lit(share)).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert table.group_quantiles(df.where("false"), ["g"], "v", "s").count() == 0
+
+
 def test_searches_from_one_place_equal_brute_force(spark):
     r = np.random.default_rng(4)
     p = r.integers(0, 12, (400, 4)).astype(float)  # many equal distances
