@@ -27,15 +27,23 @@ def _neighbours(col: str, along: str, window, k: int):
     return [(f(col, k).over(window), F.abs(f(along, k).over(window) - F.col(along))) for f in (F.lag, F.lead)]
 
 
-def smoothed(pixels: DataFrame, sigma: float, weight: str | None = None) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """A join of tables of pixels, or of what there is per image, that broadcasts neither: pixels are guessed to be few where they come from a small file.
+
+    A large image is split among tasks, as any large group in such a join.
+    """
+    return left.hint("merge").join(right.hint("merge"), keys, how)
+
+
+def smoothed(pixels: DataFrame, sigma: float, weight: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """``(image, x, y, value)``: separable Gaussian over pixels in long form, as far as three sigmas; edges renormalise by the weights they see.
 
     One window along rows, one along columns, by distance. A missing pixel takes no part and is no place for a sum of its row; a bad one
-    that should be such a place has a weight of zero.
+    that should be such a place has a weight of zero. Columns named in ``keep`` come along.
     """
     reach = max(1, math.ceil(3 * sigma))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    p = pixels.select("image", "x", "y", (F.col("value") * w).alias("total"), w.alias("norm"))
+    p = pixels.select("image", "x", "y", *keep, (F.col("value") * w).alias("total"), w.alias("norm"))
     for along, across in (("x", "y"), ("y", "x")):
         window = Window.partitionBy("image", across).orderBy(along)
         sums = {}
@@ -45,30 +53,44 @@ def smoothed(pixels: DataFrame, sigma: float, weight: str | None = None) -> Data
                 for v, d in _neighbours(c, along, window, k):
                     out = out + F.coalesce(F.when(d <= reach, v * F.exp(-0.5 * (d / sigma) * (d / sigma))), F.lit(0.0))
             sums[c] = out
-        p = p.select("image", "x", "y", *[v.alias(c) for c, v in sums.items()])
-    return p.select("image", "x", "y", F.when(F.col("norm") > 0, F.col("total") / F.col("norm")).otherwise(0.0).alias("value"))
+        p = p.select("image", "x", "y", *keep, *[v.alias(c) for c, v in sums.items()])
+    return p.select("image", "x", "y", *keep, F.when(F.col("norm") > 0, F.col("total") / F.col("norm")).otherwise(0.0).alias("value"))
+
 
+def background(pixels: DataFrame, half: int = 100, own: str | None = None) -> DataFrame:
+    """``(image, x, y, value)``: medians of boxes of ``half`` pixels to each side, on a grid as wide, joined linearly.
 
-def background(pixels: DataFrame, half: int = 100) -> DataFrame:
-    """``(image, x, y, value)``: medians of boxes of ``half`` pixels to each side, on a grid as wide, joined linearly."""
+    Boxes that hold the same pixels of their image are one. With ``own`` the pixel's own value comes along under that name, with ``width`` and ``height``.
+    """
     n = image_sizes(pixels)
-    p = pixels.select("image", "x", "y", "value").join(n, "image")
+    p = joined(pixels.select("image", "x", "y", "value"), n, "image")
+    if own:
+        p = materialize(p, "image-sized")
+    zero = F.lit(0).cast("long")
     last = lambda size: F.ceil((F.col(size) - 1) / half).cast("long")
     place = lambda k, size: F.least(k * half, F.col(size) - 1)
 
+    def extent(k, size):
+        """Where the box of a place of the grid begins and ends in the image."""
+        at = place(k, size)
+        return F.struct(F.greatest(zero, at - half).cast("long").alias("lo"), F.least(F.col(size) - 1, at + half).cast("long").alias("hi"))
+
     def boxes(c, size):
         k = F.floor(F.col(c) / half).cast("long")
-        return F.filter(F.sequence(F.greatest(F.lit(0).cast("long"), k - 1), F.least(last(size), k + 2)), lambda i: F.abs(place(i, size) - F.col(c)) <= half)
-
-    spread = p.withColumn("kx", F.explode(boxes("x", "width"))).withColumn("ky", F.explode(boxes("y", "height")))
-    node = spread.groupBy("image", "kx", "ky").agg(F.median("value").alias("m"))
+        near = F.filter(F.sequence(F.greatest(zero, k - 1), F.least(last(size), k + 2)), lambda i: F.abs(place(i, size) - F.col(c)) <= half)
+        return F.array_distinct(F.transform(near, lambda i: extent(i, size)))
+
+    spread = p.withColumn("bx", F.explode(boxes("x", "width"))).withColumn("by", F.explode(boxes("y", "height")))
+    medians = spread.groupBy("image", "bx", "by").agg(F.median("value").alias("m"))
+    grid = n.withColumn("kx", F.explode(F.sequence(zero, last("width")))).withColumn("ky", F.explode(F.sequence(zero, last("height"))))
+    grid = grid.select("image", "kx", "ky", extent(F.col("kx"), "width").alias("bx"), extent(F.col("ky"), "height").alias("by"))
+    node = materialize(joined(grid, medians, ["image", "bx", "by"]).select("image", "kx", "ky", "m"), "image-boxes")
     at = lambda i, j: node.select("image", (F.col("kx") - i).alias("kx"), (F.col("ky") - j).alias("ky"), F.col("m").alias(f"m{i}{j}"))
     cells = at(0, 0)
     for i, j in ((1, 0), (0, 1), (1, 1)):
-        cells = cells.join(at(i, j), ["image", "kx", "ky"], "left")
-    zero = F.lit(0).cast("long")
+        cells = joined(cells, at(i, j), ["image", "kx", "ky"], "left")
     cell = lambda c, size: F.greatest(zero, F.least(F.floor(F.col(c) / half).cast("long"), last(size) - 1))
-    p = p.withColumns({"kx": cell("x", "width"), "ky": cell("y", "height")}).join(cells, ["image", "kx", "ky"])
+    p = joined(p.withColumns({"kx": cell("x", "width"), "ky": cell("y", "height")}), cells, ["image", "kx", "ky"])
 
     def share(c, k, size):
         lo, hi = F.col(k) * half, place(F.col(k) + 1, size)
@@ -77,15 +99,17 @@ def background(pixels: DataFrame, half: int = 100) -> DataFrame:
     tx, ty = share("x", "kx", "width"), share("y", "ky", "height")
     here = lambda c: F.coalesce(c, F.lit(0.0))  # noqa: E731  beyond the last box the share is zero
     value = (1 - ty) * ((1 - tx) * F.col("m00") + tx * here("m10")) + ty * ((1 - tx) * here("m01") + tx * here("m11"))
-    return p.select("image", "x", "y", value.alias("value"))
+    return p.select("image", "x", "y", value.alias("back"), F.col("value").alias(own), "width", "height").withColumnRenamed("back", "value") if own else p.select("image", "x", "y", value.alias("value"))
 
 
 def noise(pixels: DataFrame, offset: int = 5) -> DataFrame:
     """``(image, sigma)``: differences of pixel pairs on a diagonal, sampled on a grid: 68th percentile over sqrt 2; images too small for pairs are left out."""
-    n = image_sizes(pixels).withColumn("step", F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.least("width", "height") / 4))))
-    a = pixels.select("image", "x", "y", "value").join(n.select("image", "step"), "image").where("x % step = 0 AND y % step = 0")
-    b = pixels.select("image", (F.col("x") - offset).alias("x"), (F.col("y") - offset).alias("y"), F.col("value").alias("other"))
-    return a.join(b, ["image", "x", "y"]).groupBy("image").agg((F.expr("percentile(abs(value - other), 0.6827D)") / math.sqrt(2)).alias("sigma"))
+    sized = pixels if {"width", "height"} <= set(pixels.columns) else joined(pixels, image_sizes(pixels), "image")
+    step = F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.least("width", "height") / 4)))
+    p = sized.select("image", "x", "y", "value", step.alias("step"))
+    a = p.where("x % step = 0 AND y % step = 0").select("image", "x", "y", "value")
+    b = p.where(f"(x - {offset}) % step = 0 AND (y - {offset}) % step = 0").select("image", (F.col("x") - offset).alias("x"), (F.col("y") - offset).alias("y"), F.col("value").alias("other"))
+    return joined(a, b, ["image", "x", "y"]).groupBy("image").agg((F.expr("percentile(abs(value - other), 0.6827D)") / math.sqrt(2)).alias("sigma"))
 
 
 def object_labels(mask: DataFrame) -> DataFrame:
@@ -106,13 +130,13 @@ def object_labels(mask: DataFrame) -> DataFrame:
 
 
 def significant(pixels: DataFrame, psf: float = 1.0, limit: float = 8.0, half: int = 100) -> DataFrame:
-    """``(image, x, y, flat, back, soft, above)``: the background taken off, smoothed, and whether the smoothed value is ``limit`` sigmas of its noise."""
-    back = background(pixels, half).withColumnRenamed("value", "back")
-    flat = materialize(pixels.select("image", "x", "y", "value").join(back, ["image", "x", "y"]).select("image", "x", "y", "back", (F.col("value") - F.col("back")).alias("value")), "image-flat")
-    soft = smoothed(flat, psf).withColumnRenamed("value", "soft")
+    """``(image, x, y, width, height, flat, back, soft, above)``: the background taken off, smoothed, and whether the smoothed value is ``limit`` sigmas of its noise."""
+    back = background(pixels, half, "own")
+    flat = materialize(back.select("image", "x", "y", "width", "height", F.col("value").alias("back"), (F.col("own") - F.col("value")).alias("value")), "image-flat")
+    soft = smoothed(flat.withColumn("flat", F.col("value")), psf, keep=["width", "height", "flat", "back"]).withColumnRenamed("value", "soft")
     cut = noise(flat).select("image", (F.col("sigma") * (limit / (2 * math.sqrt(math.pi) * psf))).alias("cut"))
-    both = flat.join(soft, ["image", "x", "y"]).join(cut, "image", "left")
-    return both.select("image", "x", "y", F.col("value").alias("flat"), "back", "soft", (F.col("soft") > F.coalesce("cut", F.lit(0.0))).alias("above"))
+    both = joined(soft, cut, "image", "left")
+    return both.select("image", "x", "y", "width", "height", "flat", "back", "soft", (F.col("soft") > F.coalesce("cut", F.lit(0.0))).alias("above"))
 
 
 def sources(pixels: DataFrame, psf: float = 1.0, limit: float = 8.0, half: int = 100, most: int | None = 10_000) -> DataFrame:
@@ -121,7 +145,7 @@ def sources(pixels: DataFrame, psf: float = 1.0, limit: float = 8.0, half: int =
     Background off, smoothed, the highest pixels among the significant ones, their places by parabolas through the 3 x 3 pixels around.
     ``most`` a source list of an image, the brightest (None: all). Pixels are rows throughout, so an image is not held by one task.
     """
-    p = significant(pixels, psf, limit, half).join(image_sizes(pixels), "image")
+    p = significant(pixels, psf, limit, half)
     down = Window.partitionBy("image", "x").orderBy("y")
     own = F.struct("soft", "flat", "back")
     p = p.withColumn("mid", own)
@@ -162,7 +186,7 @@ def source_table(pixels: DataFrame, retries: int = 3, **how) -> DataFrame:
         if k == retries:
             break
         large = image_sizes(left).where("width >= 4 AND height >= 4").select("image")
-        rest = left.join(found.select("image").distinct(), "image", "left_anti").join(large, "image")
+        rest = joined(joined(left, found.select("image").distinct(), "image", "left_anti"), large, "image")
         left, scale = materialize(pixel_blocks(rest, 2).select("image", F.col("bx").alias("x"), F.col("by").alias("y"), "value"), "image-halved"), scale * 2
         if left.isEmpty():
             break

@@ -97,3 +97,18 @@ def test_block_average_of_a_cut_edge(spark):
     a = np.arange(6.0).reshape(2, 3)
     got = images.pixel_blocks(_rows(spark, {1: a}), 2).select("image", F.col("bx").alias("x"), F.col("by").alias("y"), "value")
     assert _array(got, (1, 2), 1).tolist() == [[2.0, 3.5]] == block_average(a, 2).tolist()
+
+
+def test_pixels_are_not_broadcast(spark, some, monkeypatch):
+    """Pixels made from a small file are guessed to be few: no join of the sources' plans may broadcast them."""
+    plans = []
+    kept = images.materialize
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, label)
+
+    monkeypatch.setattr(images, "materialize", noted)
+    out = images.source_table(_rows(spark, some), half=20)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
