@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from skyweft.functions.sky import num
 
 
-def cell_stages(nside: int, x: str = "x", y: str = "y", z: str = "z", out: str = "cell", flat: str = "2.0 / 3.0", belt: str = "(4.0 / 3.0)") -> list[dict[str, str]]:
+def cell_stages(nside: int, x: str = "x", y: str = "y", z: str = "z", out: str = "cell", flat: str = "2.0 / 3.0", belt: str = "(4.0 / 3.0)", turn: str | None = None) -> list[dict[str, str]]:
     """Point to cell in steps, each a set of columns made from the step before, so that no term is repeated.
 
     ``flat`` is the height of the caps' edge and ``belt`` the height between the caps: Spark needs doubles, as it divides decimals to six digits.
+    ``turn`` is the longitude in radians, ``atan2`` if not given.
     """
     n, half = num(nside), num(math.pi / 2)
     cap = f"sqrt(greatest({num(0)}, 3.0 * (1.0 - abs({z}))))"
     clamp = lambda e: f"least({nside - 1}, greatest(0, cast(floor({e}) as int)))"
     polar = lambda north, south, middle: f"CASE WHEN {z} >= {flat} THEN {north} WHEN {z} <= -{flat} THEN {south} ELSE {middle} END"
     return [
-        {"hp_u": f"(atan2({y}, {x}) / {half} + {num(4)}) % {num(4)}"},
+        {"hp_u": f"({turn or f'atan2({y}, {x})'} / {half} + {num(4)}) % {num(4)}"},
         {"hp_q": "cast(floor(hp_u) as int)", "hp_t": f"hp_u % {num(1)}"},
         {"hp_e": f"(({z} + {flat}) / {belt} + hp_t) * {n}", "hp_w": f"(({z} + {flat}) / {belt} - hp_t + 1.0) * {n}", "hp_kx": f"{cap} * {n} * (1.0 - hp_t)", "hp_ky": f"{cap} * {n} * hp_t"},
         {"hp_eb": f"cast(floor(hp_e / {n}) as int)", "hp_wb": f"cast(floor(hp_w / {n}) as int)", "hp_gx": polar(f"{n} - hp_kx", "hp_ky", f"hp_e % {n}"), "hp_gy": polar(f"{n} - hp_ky", "hp_kx", f"hp_w % {n}")},
@@ -39,7 +40,9 @@ def cell_stages(nside: int, x: str = "x", y: str = "y", z: str = "z", out: str =
 def with_cell(df: DataFrame, nside: int, x: str = "x", y: str = "y", z: str = "z", out: str = "cell") -> DataFrame:
     """``df`` with the cell of a unit vector."""
     keep = [c for c in df.columns if c != out]
-    for stage in cell_stages(nside, x, y, z, out, num(2 / 3), num(4 / 3)):
+    # Spark's atan2 takes minus zero for zero: at a pole that is the other side of the sky
+    turn = f"CASE WHEN {x} = 0 AND {y} = 0 AND string({x}) = '-0.0' THEN {num(math.pi)} ELSE atan2({y}, {x}) END"
+    for stage in cell_stages(nside, x, y, z, out, num(2 / 3), num(4 / 3), turn):
         df = df.withColumns({c: F.expr(e) for c, e in stage.items()})
     return df.select(*keep, out)
 

@@ -33,6 +33,15 @@ def test_cells_of_stars_beside_a_border(spark, nside, want):
     assert [r.cell for r in healpix.with_cell(_rows(spark, BORDER), nside).orderBy("id").collect()] == want
 
 
+def test_cells_of_poles_keep_the_sign_of_zero(spark):
+    """A star at a pole lies in the cell of its longitude, which its zeros' signs tell."""
+    poles = [(x, y, z) for z in (1.0, -1.0) for x in (0.0, -0.0) for y in (0.0, -0.0)]
+    for nside in (1, 4, 8):
+        want = healpix.cells_of(np.array(poles), nside).tolist()
+        assert len(set(want)) == 4
+        assert [r.cell for r in healpix.with_cell(_rows(spark, poles), nside).orderBy("id").collect()] == want
+
+
 @pytest.mark.parametrize("nside", [1, 2, 4, 8])
 def test_centres_lie_in_their_cells_and_cells_have_equal_area(nside):
     cells = np.arange(12 * nside * nside)
