@@ -17,7 +17,7 @@ from skyweft.functions import healpix, sky, wcs
 from skyweft.functions.sky import num
 from skyweft.operators import catalogs, images, quads, spatial, table, uniformize, web
 from skyweft.plans import build_index, solve
-from skyweft.session import scratch_dir
+from skyweft.session import scratch_dir, shuffle_partitions
 from skyweft.streaming import jobs
 
 QUERIES: dict = {}
@@ -529,7 +529,8 @@ def coadd_images(spark, sf):
 @query()
 def source_extraction(spark, sf):
     """Sources of small made-up images, a Gaussian per part on a noisy ground, all pixels as rows."""
-    p = _read(spark, sf, "part").selectExpr("p_partkey AS image", "8 + p_partkey % 13 AS cx", "8 + p_partkey % 11 AS cy", "p_retailprice AS flux", "explode(sequence(0, 1023)) AS i")
+    p = _read(spark, sf, "part").repartition(shuffle_partitions(spark), "p_partkey")  # a small file is one task, its pixels are many
+    p = p.selectExpr("p_partkey AS image", "8 + p_partkey % 13 AS cx", "8 + p_partkey % 11 AS cy", "p_retailprice AS flux", "explode(sequence(0, 1023)) AS i")
     value = "flux * exp(-0.5 * (pow(i % 32 - cx, 2) + pow(floor(i / 32) - cy, 2))) + pmod(hash(image, i), 1000) / 100.0"
     return images.source_table(p.selectExpr("image", "cast(i % 32 as bigint) AS x", "cast(floor(i / 32) as bigint) AS y", f"cast({value} as double) AS value"))
 

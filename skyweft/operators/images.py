@@ -1,19 +1,25 @@
 """Images in long form (image, x, y, value): source extraction, block averages, smoothing, resampling and coadds.
 
 A pixel is a row, so that one large image is the work of many tasks. Neighbours along a row or column come from windows over it,
-boxes and blocks from grouping, objects from connected components.
+boxes and blocks from grouping, objects from connected components. Sources are looked for in tiles, which are arrays in tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyweft.functions import wcs
 from skyweft.operators.components import connected_components
+from skyweft.operators.spatial import dealt_join
 from skyweft.session import materialize
 
 
@@ -57,15 +63,13 @@ def smoothed(pixels: DataFrame, sigma: float, weight: str | None = None, keep: S
     return p.select("image", "x", "y", *keep, F.when(F.col("norm") > 0, F.col("total") / F.col("norm")).otherwise(0.0).alias("value"))
 
 
-def background(pixels: DataFrame, half: int = 100, own: str | None = None) -> DataFrame:
+def background(pixels: DataFrame, half: int = 100) -> DataFrame:
     """``(image, x, y, value)``: medians of boxes of ``half`` pixels to each side, on a grid as wide, joined linearly.
 
-    Boxes that hold the same pixels of their image are one. With ``own`` the pixel's own value comes along under that name, with ``width`` and ``height``.
+    Boxes that hold the same pixels of their image are one.
     """
     n = image_sizes(pixels)
     p = joined(pixels.select("image", "x", "y", "value"), n, "image")
-    if own:
-        p = materialize(p, "image-sized")
     zero = F.lit(0).cast("long")
     last = lambda size: F.ceil((F.col(size) - 1) / half).cast("long")
     place = lambda k, size: F.least(k * half, F.col(size) - 1)
@@ -99,12 +103,12 @@ def background(pixels: DataFrame, half: int = 100, own: str | None = None) -> Da
     tx, ty = share("x", "kx", "width"), share("y", "ky", "height")
     here = lambda c: F.coalesce(c, F.lit(0.0))  # noqa: E731  beyond the last box the share is zero
     value = (1 - ty) * ((1 - tx) * F.col("m00") + tx * here("m10")) + ty * ((1 - tx) * here("m01") + tx * here("m11"))
-    return p.select("image", "x", "y", value.alias("back"), F.col("value").alias(own), "width", "height").withColumnRenamed("back", "value") if own else p.select("image", "x", "y", value.alias("value"))
+    return p.select("image", "x", "y", value.alias("value"))
 
 
 def noise(pixels: DataFrame, offset: int = 5) -> DataFrame:
     """``(image, sigma)``: differences of pixel pairs on a diagonal, sampled on a grid: 68th percentile over sqrt 2; images too small for pairs are left out."""
-    sized = pixels if {"width", "height"} <= set(pixels.columns) else joined(pixels, image_sizes(pixels), "image")
+    sized = joined(pixels, image_sizes(pixels), "image")
     step = F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.least("width", "height") / 4)))
     p = sized.select("image", "x", "y", "value", step.alias("step"))
     a = p.where("x % step = 0 AND y % step = 0").select("image", "x", "y", "value")
@@ -129,67 +133,187 @@ def object_labels(mask: DataFrame) -> DataFrame:
     return rooted.join(heads, ["image", "first"]).select("image", "x", "y", "object")
 
 
-def significant(pixels: DataFrame, psf: float = 1.0, limit: float = 8.0, half: int = 100) -> DataFrame:
-    """``(image, x, y, width, height, flat, back, soft, above)``: the background taken off, smoothed, and whether the smoothed value is ``limit`` sigmas of its noise."""
-    back = background(pixels, half, "own")
-    flat = materialize(back.select("image", "x", "y", "width", "height", F.col("value").alias("back"), (F.col("own") - F.col("value")).alias("value")), "image-flat")
-    soft = smoothed(flat.withColumn("flat", F.col("value")), psf, keep=["width", "height", "flat", "back"]).withColumnRenamed("value", "soft")
-    cut = noise(flat).select("image", (F.col("sigma") * (limit / (2 * math.sqrt(math.pi) * psf))).alias("cut"))
-    both = joined(soft, cut, "image", "left")
-    return both.select("image", "x", "y", "width", "height", "flat", "back", "soft", (F.col("soft") > F.coalesce("cut", F.lit(0.0))).alias("above"))
+#: Least side of a tile's core, in pixels.
+TILE = 800
+
+
+def _blurred(total: np.ndarray, norm: np.ndarray, here: np.ndarray, null: np.ndarray, sigma: float, reach: int) -> np.ndarray:
+    """:func:`smoothed` of an array whose pixels are there where ``here`` is and have no value where ``null`` is."""
+    total, norm = np.where(here & ~null, total, 0.0), norm.astype(float)
+    for axis in (1, 0):
+        n = total.shape[axis]
+        for_axis = lambda a, lo, hi: a[:, lo:hi] if axis else a[lo:hi]  # noqa: B023, E731
+        sums = []
+        for c in (total, norm):
+            out = c.copy()
+            for k in range(1, min(reach, n - 1) + 1):
+                weight = math.exp(-0.5 * (k / sigma) * (k / sigma))
+                for_axis(out, k, n)[...] += for_axis(c, 0, n - k) * weight
+                for_axis(out, 0, n - k)[...] += for_axis(c, k, n) * weight
+            sums.append(out)
+        total, norm = np.where(here & ~null, sums[0], 0.0), np.where(here, sums[1], 0.0)
+    return np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
+
+
+def _middle(values: np.ndarray) -> float:
+    """Median where NaN is the largest value."""
+    s = np.sort(values)
+    return 0.5 * s[(len(s) - 1) // 2] + 0.5 * s[len(s) // 2]
+
+
+def _back(value: np.ndarray, known: np.ndarray, size: tuple[int, int], first: tuple[int, int], inner: tuple[slice, slice], half: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`background` of the part ``inner`` of a tile, and where it has none; ``first`` is the tile's first row and column, ``size`` the image's height and width."""
+    spots = []
+    for n, at, part in zip(size, first, inner, strict=True):
+        c = np.arange(part.start, part.stop) + at
+        last = -(-(n - 1) // half)
+        k = np.clip(c // half, 0, max(0, last - 1))
+        lo, hi = k * half, np.minimum((k + 1) * half, n - 1)
+        place = np.minimum(np.arange(k[0], k[-1] + 2) * half, n - 1)
+        spots.append((k - k[0], np.divide(c - lo, hi - lo, out=np.zeros(len(c)), where=hi > lo), np.maximum(0, place - half) - at, np.minimum(n - 1, place + half) + 1 - at))
+    (ky, ty, y0, y1), (kx, tx, x0, x1) = spots
+    m, known_boxes = np.zeros((len(y0), len(x0))), {}
+    for j, i in np.ndindex(m.shape):
+        box = (y0[j], y1[j], x0[i], x1[i])
+        if box not in known_boxes:
+            inside = slice(*box[:2]), slice(*box[2:])
+            seen = value[inside][known[inside]]
+            known_boxes[box] = (_middle(seen), True) if len(seen) else (0.0, False)
+        m[j, i] = known_boxes[box][0]
+    lacks = np.array([[not known_boxes[y0[j], y1[j], x0[i], x1[i]][1] for i in range(len(x0))] for j in range(len(y0))])
+    at = lambda a, j, i: a[np.ix_(ky + j, kx + i)]
+    ty, tx = ty[:, None], tx[None]
+    return (1 - ty) * ((1 - tx) * at(m, 0, 0) + tx * at(m, 0, 1)) + ty * ((1 - tx) * at(m, 1, 0) + tx * at(m, 1, 1)), at(lacks, 0, 0)
+
+
+def _peaks(x: np.ndarray, y: np.ndarray, value: np.ndarray, null: np.ndarray, size: tuple[int, int], tile: tuple[int, int], core: int, near: int, halo: int, psf: float, half: int, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """Peaks (x, y, flux, background, height) in a tile's core, and the differences of its pairs for the noise."""
+    first = tuple(max(0, t * core - halo) for t in tile)
+    shape = tuple(min(n, (t + 1) * core + halo) - f for n, t, f in zip(size, tile, first, strict=True))
+    inner = tuple(slice(max(0, t * core - near) - f, min(n, (t + 1) * core + near) - f) for n, t, f in zip(size, tile, first, strict=True))
+    image, here, none = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+    at = (y - first[0], x - first[1])
+    image[at], here[at], none[at] = value, True, null
+    back, lacks = _back(image, here & ~none, size, first, inner, half)
+    here, none = here[inner], none[inner] | lacks
+    flat = image[inner] - back
+    soft = _blurred(flat, here, here, none, psf, max(1, math.ceil(3 * psf)))
+    known = here & ~none
+    row, col = (np.arange(p.start, p.stop) + f for p, f in zip(inner, first, strict=True))
+    own = tuple((c >= t * core) & (c < (t + 1) * core) for c, t in zip((row, col), tile, strict=True))
+    step = max(1, min(20, min(size) // 4))
+    on = [np.flatnonzero(o & (c % step == 0) & (c + offset <= c[-1])) for o, c in zip(own, (row, col), strict=True)]
+    a, b = np.ix_(*on), np.ix_(*[i + offset for i in on])
+    pairs = np.abs(flat[a] - flat[b])[known[a] & known[b]]
+    h, w = soft.shape
+    if h < 3 or w < 3:
+        return np.empty((0, 5)), pairs
+    mid = soft[1:-1, 1:-1]
+    top = np.outer(own[0][1:-1], own[1][1:-1])
+    for j in range(3):
+        for i in range(3):
+            top &= known[j : h - 2 + j, i : w - 2 + i] & (mid >= soft[j : h - 2 + j, i : w - 2 + i])
+    j, i = (k + 1 for k in np.nonzero(top))
+    shifts = []
+    for p, q in (((j, i - 1), (j, i + 1)), ((j - 1, i), (j + 1, i))):
+        d = soft[p] - 2 * soft[j, i] + soft[q]
+        shifts.append(np.divide(0.5 * (soft[p] - soft[q]), d, out=np.full(len(d), np.inf), where=d < 0))
+    good = (np.abs(shifts[0]) <= 1) & (np.abs(shifts[1]) <= 1)
+    j, i = j[good], i[good]
+    fx, fy = col[i] + shifts[0][good], row[j] + shifts[1][good]
+    spot = (np.rint(fy).astype(np.int64) - row[0], np.rint(fx).astype(np.int64) - col[0])
+    return np.stack([fx, fy, flat[spot], back[spot], soft[j, i]], 1), pairs
+
+
+def tile_peaks(pixels: DataFrame, sizes: DataFrame, psf: float = 1.0, half: int = 100, offset: int = 5) -> DataFrame:
+    """``(image, x, y, flux, background, height, pairs)``: a row a peak of the smoothed images without their background, however low,
+    and a row a tile with the differences ``pairs`` that :func:`noise` is made of.
+
+    A tile is an array in a task: its core and what its edge needs for backgrounds and smoothing. A small image is one tile, a large one many.
+    ``sizes`` as :func:`image_sizes` returns them. Places are counted from 0; of a pixel given twice one counts.
+    """
+    core = half * -(-TILE // half)
+    near = max(max(1, math.ceil(3 * psf)) + 1, offset)
+    halo = near + 2 * half
+    spread = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / core).cast("int")), F.floor((F.col(c) + halo) / core).cast("int")))
+    p = pixels.select("image", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("value").cast("double").alias("value")).where("x >= 0 AND y >= 0")
+    p = p.withColumn("tx", spread("x")).withColumn("ty", spread("y"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / core).cast("int")))
+    tiles = sizes.where("width > 0 AND height > 0").select("image", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height")).withColumn("tx", upto("width")).withColumn("ty", upto("height"))
+    keys = ["image", "tx", "ty"]
+    rows = dealt_join(p, tiles, keys).select(*keys, "width", "height", "x", "y", "value").sortWithinPartitions(*keys)
+    out = T.StructType([T.StructField("image", pixels.schema["image"].dataType), *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "flux", "background", "height")], T.StructField("pairs", T.ArrayType(T.DoubleType()))])
+
+    def found(parts: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        get = lambda c: t[c].chunk(0).fill_null(0).to_numpy()
+        one = lambda c: t[c][0].as_py()
+        with np.errstate(all="ignore"):
+            peaks, pairs = _peaks(get("x"), get("y"), get("value"), t["value"].chunk(0).is_null().to_numpy(zero_copy_only=False), (one("height"), one("width")), (one("ty"), one("tx")), core, near, halo, psf, half, offset)
+        n = len(peaks)
+        cols = [pa.array(np.append(c, 0.0), mask=np.append(np.zeros(n, bool), True)) for c in peaks.T]
+        return pa.Table.from_arrays([pa.repeat(t["image"][0], n + 1), *cols, pa.array([None] * n + [pairs], pa.list_(pa.float64()))], names=out.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done, size = [], [], 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            here = [batch[c] for c in keys]
+            new = np.any([pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in here], axis=0) if n > 1 else np.zeros(0, bool)
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+            for lo, hi in pairwise(cuts):
+                if held and (lo or any(held[0][c][0] != batch[c][0] for c in keys)):
+                    done.append(found(held))
+                    held, size = [], size + done[-1].num_rows
+                held.append(batch.slice(lo, hi - lo))
+            if size > 10_000:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done, size = [], 0
+        if held:
+            done.append(found(held))
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, out)
+
+
+def _sources(pixels: DataFrame, sizes: DataFrame, psf: float, limit: float, half: int, most: int | None) -> DataFrame:
+    p = materialize(tile_peaks(pixels, sizes, psf, half), "image-peaks")
+    sigma = p.where("pairs IS NOT NULL").select("image", F.explode("pairs").alias("far")).groupBy("image").agg((F.expr("percentile(far, 0.6827D)") / math.sqrt(2)).alias("sigma"))
+    cut = sigma.select("image", (F.col("sigma") * (limit / (2 * math.sqrt(math.pi) * psf))).alias("cut"))
+    p = joined(p.where("pairs IS NULL"), cut, "image", "left").where(F.col("height") > F.coalesce("cut", F.lit(0.0)))
+    p = p.withColumn("source", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("flux"), "x", "y")) - 1)
+    p = p if most is None else p.where(F.col("source") < most)
+    return p.select("image", "source", "x", "y", "flux", "background")
 
 
 def sources(pixels: DataFrame, psf: float = 1.0, limit: float = 8.0, half: int = 100, most: int | None = 10_000) -> DataFrame:
     """``(image, source, x, y, flux, background)``: the sources of images in long form (image, x, y, value), brightest first in each.
 
     Background off, smoothed, the highest pixels among the significant ones, their places by parabolas through the 3 x 3 pixels around.
-    ``most`` a source list of an image, the brightest (None: all). Pixels are rows throughout, so an image is not held by one task.
+    ``most`` a source list of an image, the brightest (None: all). Pixels are dealt once, by tiles, so a large image is not held by one task.
     """
-    p = significant(pixels, psf, limit, half)
-    down = Window.partitionBy("image", "x").orderBy("y")
-    own = F.struct("soft", "flat", "back")
-    p = p.withColumn("mid", own)
-    beside = lambda f, c, at, w: F.when(F.abs(f(at, 1).over(w) - F.col(at)) == 1, f(c, 1).over(w))
-    p = p.select("image", "x", "y", "above", "width", "height", F.struct(beside(F.lag, "mid", "y", down).alias("up"), F.col("mid"), beside(F.lead, "mid", "y", down).alias("low")).alias("column"))
-    right = Window.partitionBy("image", "y").orderBy("x")
-    p = p.select("*", beside(F.lag, "column", "x", right).alias("left"), beside(F.lead, "column", "x", right).alias("right"))
-    p = p.where("above AND x > 0 AND y > 0 AND x < width - 1 AND y < height - 1")
-    around = [F.col(f"{c}.{r}") for c in ("left", "column", "right") for r in ("up", "mid", "low")]
-    centre = F.col("column.mid.soft")
-    for a in around:
-        p = p.where(a.isNotNull() & (centre >= a["soft"]))
-    soft = lambda c, r: F.col(f"{c}.{r}.soft")
-
-    def shift(a, b, c):
-        d = a - 2 * b + c
-        return F.when(d < 0, 0.5 * (a - c) / d)
-
-    p = p.withColumns({"sx": shift(soft("left", "mid"), centre, soft("right", "mid")), "sy": shift(soft("column", "up"), centre, soft("column", "low"))})
-    p = p.where("sx IS NOT NULL AND sy IS NOT NULL AND abs(sx) <= 1 AND abs(sy) <= 1").withColumns({"fx": F.col("x") + F.col("sx"), "fy": F.col("y") + F.col("sy")})
-    ix, iy = F.rint("fx") - F.col("x"), F.rint("fy") - F.col("y")
-    nearest = F.coalesce(*[F.when((ix == i) & (iy == j), F.col(f"{c}.{r}")) for i, c in ((-1, "left"), (0, "column"), (1, "right")) for j, r in ((-1, "up"), (0, "mid"), (1, "low"))])
-    p = p.withColumn("at", nearest).select("image", F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("at.flat").alias("flux"), F.col("at.back").alias("background"))
-    p = p.withColumn("source", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("flux"), "x", "y")) - 1)
-    p = p if most is None else p.where(F.col("source") < most)
-    return p.select("image", "source", "x", "y", "flux", "background")
+    return _sources(pixels, image_sizes(pixels), psf, limit, half, most)
 
 
-def source_table(pixels: DataFrame, retries: int = 3, **how) -> DataFrame:
+def source_table(pixels: DataFrame, retries: int = 3, psf: float = 1.0, limit: float = 8.0, half: int = 100, most: int | None = 10_000) -> DataFrame:
     """:func:`sources` of all images; those without any are halved in size and tried again, up to ``retries`` times. Places are those of the whole image."""
     left, scale, out = pixels.select("image", "x", "y", "value"), 1, None
     for k in range(retries + 1):
-        found = sources(left, **how)
+        sizes = materialize(image_sizes(left), "image-sizes")
+        found = _sources(left, sizes, psf, limit, half, most)
         if k < retries:
             found = materialize(found, "image-sources")
         here = found.select("image", "source", *[((F.col(c) + 0.5) * scale - 0.5).alias(c) for c in ("x", "y")], "flux", "background")
         out = here if out is None else out.unionByName(here)
         if k == retries:
             break
-        large = image_sizes(left).where("width >= 4 AND height >= 4").select("image")
-        rest = joined(joined(left, found.select("image").distinct(), "image", "left_anti"), large, "image")
-        left, scale = materialize(pixel_blocks(rest, 2).select("image", F.col("bx").alias("x"), F.col("by").alias("y"), "value"), "image-halved"), scale * 2
-        if left.isEmpty():
+        rest = materialize(joined(sizes.where("width >= 4 AND height >= 4").select("image"), found.select("image").distinct(), "image", "left_anti"), "image-rest")
+        if rest.isEmpty():  # no pixel is looked at again
             break
+        left, scale = materialize(pixel_blocks(joined(left, rest, "image"), 2).select("image", F.col("bx").alias("x"), F.col("by").alias("y"), "value"), "image-halved"), scale * 2
     return out
 
 

@@ -112,3 +112,36 @@ def test_pixels_are_not_broadcast(spark, some, monkeypatch):
     out = images.source_table(_rows(spark, some), half=20)
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 4 and not any("BroadcastHashJoin" in p or "BroadcastExchange" in p for p in plans)
+
+
+@pytest.mark.parametrize("tile", [7, 16, 800])
+def test_sources_of_images_cut_into_tiles(spark, some, monkeypatch, tile):
+    """The same sources whatever the tiles, also where pixels are missing, null or NaN; pixels are read twice, for the sizes and for the tiles."""
+    monkeypatch.setattr(images, "TILE", tile, raising=False)
+    df = _rows(spark, some)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    seen = df.mapInArrow(counted, df.schema)
+    for how in ({"half": 9, "psf": 1.4, "limit": 5.0}, {"half": 4, "limit": 6.0}):
+        read.value = 0
+        found = images.sources(seen, **how).orderBy("image", "source").collect()
+        assert read.value <= 2 * sum(a.size for a in some.values())
+        for k, a in some.items():
+            want, got = extract_sources(a, **how), [(r.x, r.y, r.flux, r.background) for r in found if r.image == k]
+            assert len(want) == len(got) and (not want or np.allclose(want, got)), k
+    holes = df.where("(7 * x + 3 * y) % 41 <> 5").withColumn("value", F.expr("CASE WHEN (x + 5 * y) % 97 = 3 THEN NULL WHEN image = 2 AND x = 20 AND y = 25 THEN double('NaN') ELSE value END"))
+    got = [tuple(r) for r in images.sources(holes, half=9, limit=5.0).orderBy("image", "source").collect()]
+    soft = images.smoothed(_without_background(holes, 9), 1.0).where("value IS NOT NULL")
+    top = {(r.image, r.x, r.y): r.value for r in soft.collect()}
+    peaks = {(k, x, y) for (k, x, y), v in top.items() if all(top.get((k, x + i, y + j), np.inf) <= v for i in (-1, 0, 1) for j in (-1, 0, 1))}
+    assert len(got) > 3 and all(any((k, round(x) + i, round(y) + j) in peaks for i in (-1, 0, 1) for j in (-1, 0, 1)) for k, _, x, y, *_ in got)
+
+
+def _without_background(df, half):
+    back = images.background(df, half).withColumnRenamed("value", "back")
+    return df.join(back, ["image", "x", "y"]).select("image", "x", "y", (F.col("value") - F.col("back")).alias("value"))
