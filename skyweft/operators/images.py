@@ -8,18 +8,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyweft.functions import wcs
 from skyweft.operators.components import connected_components
-from skyweft.operators.spatial import dealt_join
+from skyweft.operators.spatial import dealt_join, runs_of
 from skyweft.session import materialize
 
 
@@ -257,17 +255,11 @@ def tile_peaks(pixels: DataFrame, sizes: DataFrame, psf: float = 1.0, half: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done, size = [], [], 0
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            here = [batch[c] for c in keys]
-            new = np.any([pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in here], axis=0) if n > 1 else np.zeros(0, bool)
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
-            for lo, hi in pairwise(cuts):
-                if held and (lo or any(held[0][c][0] != batch[c][0] for c in keys)):
+            for part in runs_of(batch, keys):
+                if held and any(held[0][c][0] != part[c][0] for c in keys):
                     done.append(found(held))
                     held, size = [], size + done[-1].num_rows
-                held.append(batch.slice(lo, hi - lo))
+                held.append(part)
             if size > 10_000:
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
                 done, size = [], 0

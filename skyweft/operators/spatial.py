@@ -8,14 +8,18 @@ coordinates; more of them prune little and only take part in the distance.
 
 from __future__ import annotations
 
-import itertools
 import math
 import operator
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyweft.functions import geometry, sky
 from skyweft.operators.components import connected_components
@@ -37,6 +41,14 @@ def dealt_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return left.repartition(n, *keys).hint("merge").join(right.repartition(n, *keys).hint("merge"), list(keys))
 
 
+def runs_of(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows of a sorted batch that have the same keys, which are not null."""
+    n = batch.num_rows
+    new = np.any([pc.not_equal(batch[c].slice(1), batch[c].slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in keys], axis=0) if n > 1 else np.zeros(0, bool)
+    for lo, hi in pairwise([0, *(np.flatnonzero(new) + 1).tolist(), n] if n else []):
+        yield batch.slice(lo, hi - lo)
+
+
 def radius_join(
     left: DataFrame,
     right: DataFrame,
@@ -160,53 +172,87 @@ def array_distance2(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v)
 
 
-#: Rows of a block in a join of arrays at most; fewer where blocks would not do for the session's tasks, but no fewer than the other number.
-BLOCK, LEAST_BLOCK = 8192, 256
+#: Numbers of a block in a join of arrays at most, and its rows at least; it has fewer rows where blocks would not do for the session's tasks, but no fewer than LEAST_BLOCK.
+BLOCK, LEAST_BLOCK = 2**21, 256
+#: Pairs of vectors that are compared at once.
+PAIRS = 2**21
 
 
-def array_radius_join(left: DataFrame, right: DataFrame, radius: float, vec: str, left_id: str, right_id: str, grid_dims: int = 1, not_self: bool = False, strips: int = 4, ordered: bool = False) -> DataFrame:
+def array_radius_join(left: DataFrame, right: DataFrame, radius: float, vec: str, left_id: str, right_id: str, grid_dims: int = 1, not_self: bool = False, ordered: bool = False) -> DataFrame:
     """Radius join of array columns of many dimensions; ``ordered`` returns the pairs with ``l_id < r_id`` only.
 
     The grid is over the ``grid_dims`` dimensions in which the right side spreads most. In many dimensions no grid prunes much, so
-    both sides are cut into blocks too, and every pair of blocks is a key of the join: the pairs are dealt to all tasks, however few cells
-    there are, and a task holds one block. Distances are added up in ``strips`` parts of the dimensions, the widest first, in generated code; a pair is
-    given up as soon as a part exceeds the radius. Arrays of another length than the right side's longest, or that hold null, NaN or an infinity, match nothing.
+    both sides are cut into blocks too, and every pair of blocks is a key: the pairs are dealt to all tasks, however few cells
+    there are, and a task holds one block of the right side. Distances of blocks come from one product of matrices, those that may be near are added up
+    exactly. Arrays of another length than the right side's longest, or that hold null, NaN or an infinity, match nothing.
     """
     size = right.agg(F.max(F.size(vec)).alias("n")).first()["n"] or 0
+    none = left.select(F.col(left_id).alias("l_id"), F.lit(None).cast(right.schema[right_id].dataType).alias("r_id"), F.lit(0.0).alias("dist2")).where("false")
     if size <= 0:
-        return left.select(F.col(left_id).alias("l_id"), F.col(left_id).alias("r_id"), F.lit(0.0).alias("dist2")).where("false")
-    # columns without nulls: code with a branch for each of them is too long to be compiled
-    number = lambda i: F.coalesce(F.get(F.col(vec), F.lit(i)).cast("double"), F.lit(float("nan")))
+        return none
     whole = (F.size(vec) == size) & F.forall(vec, lambda v: F.abs(v.cast("double")) < float("inf"))
-    cols = lambda df, id_col, p: df.where(whole).select(F.col(id_col).alias(f"{p}_id"), *[number(i).alias(f"{p}{i}") for i in range(size)])
-    a, b = cols(left, left_id, "l"), cols(right, right_id, "r")
-    seen = b.agg(F.count(F.lit(1)).alias("n"), *[f(f"r{i}").alias(f"{k}{i}") for i in range(size) for k, f in (("v", F.var_pop), ("lo", F.min), ("hi", F.max))]).first()
+    a, b = (df.where(whole).select(F.col(id_col).alias(f"{p}_id"), F.col(vec).alias("v")) for df, id_col, p in ((left, left_id, "l"), (right, right_id, "r")))
+    at = lambda i: F.get("v", F.lit(i)).cast("double")
+    seen = b.agg(F.count(F.lit(1)).alias("n"), *[f(at(i)).alias(f"{k}{i}") for i in range(size) for k, f in (("v", F.var_pop), ("lo", F.min), ("hi", F.max))]).first()
     rows = (a.count(), seen["n"])
     if not all(rows):
-        return a.select("l_id", F.col("l_id").alias("r_id"), F.lit(0.0).alias("dist2")).where("false")
-    order = sorted(range(size), key=lambda i: -seen[f"v{i}"])
-    grid = order[: min(grid_dims, size)]
-    tasks = math.ceil(math.sqrt(2 * shuffle_partitions(left.sparkSession)))
-    blocks = [max(-(-n // BLOCK), min(tasks, -(-n // LEAST_BLOCK))) for n in rows]
+        return none
+    n = shuffle_partitions(left.sparkSession)
+    grid = sorted(range(size), key=lambda i: -seen[f"v{i}"])[: min(grid_dims, size)]
+    tasks = math.ceil(math.sqrt(2 * n))
+    blocks = [max(-(-k // max(LEAST_BLOCK, BLOCK // size)), min(tasks, -(-k // LEAST_BLOCK))) for k in rows]
     for i in grid:
         lo, hi = (math.floor(seen[f"{k}{i}"] / radius) for k in ("lo", "hi"))
-        around = F.filter(F.array(*[F.floor(F.col(f"l{i}") / radius) + o for o in (-1, 0, 1)]), lambda c: c.between(lo, hi))  # noqa: B023
+        around = F.filter(F.array(*[F.floor(at(i) / radius) + o for o in (-1, 0, 1)]), lambda c: c.between(lo, hi))  # noqa: B023
         a = a.withColumn(f"c{i}", F.explode(around))
-    b = b.withColumns({f"c{i}": F.floor(F.col(f"r{i}") / radius) for i in grid})
-    own = lambda n: (F.monotonically_increasing_id() % n).cast("int")  # noqa: E731  rows of one file in turn
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = a.withColumn("lb", own(blocks[0])).withColumn("rb", every(blocks[1]))
-    b = b.withColumn("rb", own(blocks[1])).withColumn("lb", every(blocks[0]))
-    pairs = dealt_join(a, b, ["lb", "rb", *[f"c{i}" for i in grid]])
-    if not_self or ordered:
-        pairs = pairs.where("l_id < r_id" if ordered else "l_id <> r_id")
-    step, upto = -(-size // strips), None
-    for k in range(0, size, step):
-        part = reduce(operator.add, [(F.col(f"l{i}") - F.col(f"r{i}")) * (F.col(f"l{i}") - F.col(f"r{i}")) for i in order[k : k + step]])
-        upto = part if upto is None else F.col("upto") + part
-        rest = [f"{p}{i}" for i in order[k + step :] for p in "lr"]
-        pairs = pairs.select("l_id", "r_id", *rest, upto.alias("upto")).where(F.col("upto") <= radius * radius)
-    return pairs.select("l_id", "r_id", F.col("upto").alias("dist2"))
+    b = b.withColumns({f"c{i}": F.floor(at(i) / radius) for i in grid})
+    own = lambda k: (F.monotonically_increasing_id() % k).cast("int")  # noqa: E731  rows of one file in turn
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = a.withColumn("lb", own(blocks[0])).withColumn("rb", every(blocks[1])).withColumn("side", F.lit(1))
+    b = b.withColumn("rb", own(blocks[1])).withColumn("lb", every(blocks[0])).withColumn("side", F.lit(0))
+    keys = ["lb", "rb", *[f"c{i}" for i in grid]]
+    both = a.unionByName(b, allowMissingColumns=True).repartition(n, *keys).sortWithinPartitions(*keys, "side").select(*keys, "side", "l_id", "r_id", "v")
+    out = T.StructType([T.StructField("l_id", a.schema["l_id"].dataType), T.StructField("r_id", b.schema["r_id"].dataType), T.StructField("dist2", T.DoubleType())])
+    r2 = float(radius) * float(radius)
+
+    def vectors(batch: pa.RecordBatch) -> np.ndarray:
+        return batch["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, size)
+
+    def near(u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places in ``u`` and ``v`` of the pairs within the radius, and their squared distances."""
+        mid = v.mean(0)
+        v0, v2 = v - mid, ((v - mid) ** 2).sum(1)
+        for k in range(0, len(u), step := max(1, PAIRS // len(v))):
+            some = u[k : k + step]
+            u0, u2 = some - mid, ((some - mid) ** 2).sum(1)
+            rough = (u0 @ v0.T) * -2 + u2[:, None] + v2
+            i, j = np.nonzero(~(rough > r2 + 1e-13 * size * (r2 + u2.max() + v2.max())))  # what is not known to be far
+            for m in range(0, len(i), PAIRS // size + 1):
+                x, y = i[m : m + PAIRS // size + 1], j[m : m + PAIRS // size + 1]
+                d2 = np.cumsum((some[x] - v[y]) ** 2, axis=1)[:, -1]  # one term after the other
+                good = d2 <= r2
+                yield x[good] + k, y[good], d2[good]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block = None, [], None
+        for batch in batches:
+            for part in runs_of(batch, [*keys, "side"]):
+                now = tuple(part[c][0].as_py() for c in keys)
+                if now != key:
+                    key, held, block = now, [], None
+                if part["side"][0].as_py() == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    block = np.concatenate([vectors(h) for h in held]), pa.concat_arrays([h["r_id"] for h in held])
+                with np.errstate(all="ignore"):
+                    for i, j, d2 in near(vectors(part), block[0]):
+                        pairs = pa.RecordBatch.from_arrays([part["l_id"].take(pa.array(i)), block[1].take(pa.array(j)), pa.array(d2)], names=out.names)
+                        yield pairs.filter((pc.less if ordered else pc.not_equal)(pairs["l_id"], pairs["r_id"])) if not_self or ordered else pairs
+
+    return both.mapInArrow(run, out)
 
 
 def friends_of_friends(points: DataFrame, radius: float, coords: Sequence[str], id_col: str = "id", singletons: bool = True) -> DataFrame:
