@@ -1,6 +1,7 @@
 """Segments, polygons, cells beside a cell and sizes of features, each against brute force."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -63,6 +64,13 @@ def test_crossing_plan_is_an_equi_join(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
 
 
+def test_small_cells_of_segments_are_not_shuffled(spark):
+    s = spark.createDataFrame(_segments(3, 20), SEGMENT)
+    plan = spatial.segment_crossings(s, s, 4.0)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and all("level" in d and "cu" not in d for d in dealt)
+
+
 def test_overlap_areas_equal_a_count_of_points(spark):
     r = np.random.default_rng(5)
     polygon = lambda k: (lambda t: np.column_stack([np.cos(t), np.sin(t)]) * r.uniform(0.5, 2) + r.uniform(-1, 1, 2))(np.sort(r.uniform(0, 2 * np.pi, k)))
