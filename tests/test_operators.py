@@ -235,6 +235,30 @@ def test_distances_of_vectors_are_exact(spark, monkeypatch, offset):
     assert len(want) > 50 and got == want | {(j, i): d for (i, j), d in want.items()} and got[300, 302] == 0.0
 
 
+def test_codes_are_dealt_by_blocks(spark):
+    """The same pairs however cells are put together, below zero too; what is shuffled is dealt by blocks, not by cells."""
+    import re
+
+    from skyweft.operators import quads, spatial
+
+    r = np.random.default_rng(12)
+    e = np.r_[r.uniform(-0.3, 0.3, (500, 4)), np.zeros((2, 4)), np.full((2, 4), -0.16)]
+    rows = [(i, *map(float, v)) for i, v in enumerate(e)] + [(900, None, 0.0, 0.0, 0.0), (901, float("nan"), 0.0, 0.0, 0.0)]
+    q = spark.createDataFrame(rows, "quad_id long, cx double, cy double, dx double, dy double").withColumn("tag", F.concat(F.lit("t"), F.col("quad_id")))
+    want = {(i, j) for i in range(504) for j in range(504) if ((e[i] - e[j]) ** 2).sum() <= 0.08**2}
+    join = quads.code_join(q, q, 0.08, left_keep=["tag"], right_keep=["tag"])
+    got = join.collect()
+    assert {(x.l_id, x.r_id) for x in got} == want and len(got) == len(want) > 600
+    assert all(x.l_tag == f"t{x.l_id}" and x.r_tag == f"t{x.r_id}" for x in got)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", join._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all("b0" in d and "c0" not in d for d in dealt)
+    short = q.withColumn("reach", F.when(F.col("quad_id") % 2 == 0, 0.05).otherwise(1.0))
+    for block in (1, 3):
+        some = spatial.radius_join(short, q, 0.08, ("cx", "cy", "dx"), "quad_id", "quad_id", reach="reach", block=block).where("dist2 <= 0.05 * 0.05 OR l_id % 2 = 1")
+        near = {(i, j) for i in range(504) for j in range(504) if ((e[i] - e[j])[:3] ** 2).sum() <= (0.08 if i % 2 else 0.05) ** 2}
+        assert {(x.l_id, x.r_id) for x in some.collect()} == near
+
+
 @pytest.mark.parametrize("share", [0.0, 0.5, 0.6827, 1.0])
 def test_group_quantiles_equal_percentiles(spark, share):
     r = np.random.default_rng(9)
