@@ -259,6 +259,13 @@ def test_codes_are_dealt_by_blocks(spark):
         assert {(x.l_id, x.r_id) for x in some.collect()} == near
 
 
+def test_wide_sky_join_is_dealt_by_blocks(spark, sf):
+    import re
+
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", QUERIES["sky_radius_join"](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert dealt and all("b0" in d and "c0" not in d for d in dealt)
+
+
 @pytest.mark.parametrize("share", [0.0, 0.5, 0.6827, 1.0])
 def test_group_quantiles_equal_percentiles(spark, share):
     r = np.random.default_rng(9)
